@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from millrace.llm.dedup import op9
 from millrace.llm.langid import op4
+from millrace.llm.media import op8
+from millrace.llm.packing import op7
+from millrace.llm.pii import op2
+from millrace.llm.secrets import op1
 from millrace.llm.sharding import op10
+from millrace.llm.toxicity import op3
 
 QUERIES = {
+    "op1_secret_scan": op1,
+    "op2_personal_data": op2,
+    "op3_toxicity": op3,
     "op4_language_id": op4,
+    "op7_best_fit_packing": op7,
+    "op8_telephony_media": op8,
     "op9_exact_dedup": op9,
     "op10_sharding": op10,
 }
