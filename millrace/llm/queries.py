@@ -5,6 +5,8 @@ from __future__ import annotations
 from millrace.llm.dedup import op9
 from millrace.llm.langid import op4
 from millrace.llm.media import op8
+from millrace.llm.mixing import op6
+from millrace.llm.ngram_join import op5
 from millrace.llm.packing import op7
 from millrace.llm.pii import op2
 from millrace.llm.secrets import op1
@@ -16,6 +18,8 @@ QUERIES = {
     "op2_personal_data": op2,
     "op3_toxicity": op3,
     "op4_language_id": op4,
+    "op5_ngram_jaccard_join": op5,
+    "op6_hierarchical_mix": op6,
     "op7_best_fit_packing": op7,
     "op8_telephony_media": op8,
     "op9_exact_dedup": op9,
