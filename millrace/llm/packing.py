@@ -13,6 +13,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterable
@@ -30,8 +31,9 @@ CAPACITY = 2048
 END_ID = 0
 #: Bins that one task merges.
 GROUP = 16_384
-#: A worker's memo of tokenized words is emptied at this many entries.
-MEMO = 150_000
+#: A worker remembers the ids of at most so many words; when they are more, the half used last stays.
+MEMO = 600_000
+SLICE_BYTES = 8 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long"
 
@@ -42,8 +44,17 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def _closed(c: str) -> bool:
+    """Whether c, normalised, ends in a letter or number: then a mark after it starts a pre-token."""
+    return c.isalnum() and (c.isascii() or unicodedata.normalize("NFC", c).lower()[-1].isalnum())
+
+
 class Words:
-    """Token ids of texts for a tokenizer whose pre-tokens never span ASCII white space: words are encoded once."""
+    """Token ids of texts for a tokenizer whose pre-tokens never span ASCII white space: words are encoded once.
+
+    Of unseen words only the stem (lower case if ASCII) without closing marks is encoded; the marks are a pre-token
+    of their own, and the tokenizer lowers case itself, so the ids are those of the whole text. Known words lie in
+    Arrow and numpy arrays; the ids of word k are pool[begin[k] : begin[k] + width[k]]."""
 
     _kept: dict[str, Words] = {}
 
@@ -52,7 +63,10 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.words = pa.array([""], pa.string())
+        self.begin, self.width, self.used = (np.zeros(1, np.int64) for _ in range(3))
+        self.pool = np.zeros(0, "<u2")
+        self.turn = 0
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -60,40 +74,70 @@ class Words:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def learn(self, words: list[str]) -> None:
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
         """Encode words as one text, joined by spaces, and cut its ids where words begin."""
+        out: dict[str, bytes] = {}
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, "<u2")
+            raw = np.array(got.ids, "<u2").tobytes()
             begins = np.cumsum([0, *(len(w) + 1 for w in part)])
-            cut = np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), begins)
-            for w, a, b in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                self.memo[w] = ids[a:b].tobytes()
+            cut = (2 * np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), begins)).tolist()
+            out.update(zip(part, (raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)), strict=True))
+        return out
+
+    def _add(self, fresh: pa.Array) -> None:
+        split = []
+        for w in fresh.to_pylist():
+            low = w.lower() if w.isascii() else w
+            stem = low.rstrip(".,!?;:")
+            if len(stem) < len(low) and stem and _closed(stem[-1]):
+                split.append((stem, low[len(stem) :]))
+            else:
+                split.append((low, ""))
+        got = self._encode(sorted({x for pair in split for x in pair if x}))
+        got[""] = b""
+        ids = [got[a] + got[b] for a, b in split]
+        width = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        self.words = pa.concat_arrays([self.words, fresh])
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(width) - width])
+        self.width = np.concatenate([self.width, width])
+        self.used = np.concatenate([self.used, np.full(len(ids), self.turn)])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u2")])
+
+    def _forget(self) -> None:
+        """Keep the half of the words that were used last."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: MEMO // 2])
+        self.pool = self.pool[_ragged(self.begin[keep], self.width[keep])]
+        self.words, self.width, self.used = self.words.take(pa.array(keep)), self.width[keep], self.used[keep]
+        self.begin = np.cumsum(self.width) - self.width
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has. Null counts as empty."""
+        self.turn += 1
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = lists.flatten().dictionary_encode()
-        unique, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        memo = self.memo
-        new = [w for w in unique if w and w not in memo]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = [w for w in unique if w]
-        memo[""] = b""
-        self.learn(new)
-        parts = [memo[w] for w in unique]
-        widths = np.array([len(p) for p in parts], np.int64) // 2
-        begins = np.cumsum(widths) - widths
-        pool = np.frombuffer(b"".join(parts), "<u2")
-        lens = widths[index] if len(index) else np.zeros(0, np.int64)
-        ends = np.cumsum(lens)
-        where = np.repeat(begins[index] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0) if len(index) else np.zeros(0, np.int64)
+        flat = lists.flatten()
+        at = pc.index_in(flat, value_set=self.words)
+        unseen = flat.filter(at.is_null()).dictionary_encode()
+        index = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(unseen):
+            index[index < 0] = len(self.words) + unseen.indices.to_numpy()
+            self._add(unseen.dictionary)
+        self.used[index] = self.turn
+        lens = self.width[index]
+        total = np.concatenate([[0], np.cumsum(lens)])
+        ids = self.pool[_ragged(self.begin[index], lens)].astype("<u4")
         edges = lists.offsets.to_numpy().astype(np.int64)
         edges -= edges[0]
-        total = np.concatenate([[0], ends])
-        return pool[where].astype("<u4"), total[edges[1:]] - total[edges[:-1]]
+        if len(self.words) > MEMO:
+            self._forget()
+        return ids, total[edges[1:]] - total[edges[:-1]]
+
+
+def _ragged(begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """begin[0], ..., begin[0] + width[0] - 1, begin[1], ..."""
+    ends = np.cumsum(width)
+    return np.repeat(begin - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def best_fit(sizes: Iterable[int], capacity: int = CAPACITY) -> tuple[list[int], list[int], list[int]]:
@@ -129,7 +173,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY, id_col: str =
         words = Words.of(vocab)
         cols = [array("q") for _ in range(5)]
         doc_ids: list = []
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE_BYTES):
             ids, counts = words.encode(part.column("text"))
             at = 0
             for doc_id, n in zip(part.column("doc_id").to_pylist(), counts.tolist(), strict=True):
@@ -156,9 +200,10 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY, id_col: str =
 
 def _merge(batches, capacity: int):
     """Best fit over the bins of each group in this partition: every bin gets the bin it goes into and its offset there."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = list(batches)
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     group, bin_, load = (table.column(c).to_numpy() for c in ("group", "bin", "load"))
     for g in np.unique(group):
         rows = np.flatnonzero(group == g)
