@@ -2,5 +2,520 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from millrace.functions import identity, ranking, text, urls
+from millrace.operators import cdc, chunking, crawl, extract, hybrid, index, routing, search
+from millrace.plans import sqltext as S
+from millrace.plans.views import AS_OF, COSINE, DOCS, QUERY_VECTOR, TERMS, VECTORS, docs, query_text, query_vector, table, vectors
+from millrace.streaming import jobs
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- semantic search
+
+_SCORED = f"with {VECTORS}, {QUERY_VECTOR}, s as (select v.*, {COSINE.format(a='vector', b='q')} as score from v, q)"
+
+
+@query(f"{_SCORED} select vec_id, path, round(score, 6) as score from s order by s.score desc, vec_id limit 10")
+def semantic_topk(spark, d):
+    return search.semantic(vectors(spark, d), query_vector(spark, d), 10, -1.0, "vec_id").select("vec_id", "path", F.round("score", 6).alias("score"))
+
+
+@query(f"{_SCORED} select vec_id, repo, path, round(score, 6) as score from s where modality = 'text' and repo = 'r1' and source_id in ('s1', 's2', 's3') and path like 'p1%' order by s.score desc, vec_id limit 10")
+def semantic_filtered(spark, d):
+    rows = vectors(spark, d).where(F.col("source_id").isin("s1", "s2", "s3"))
+    return search.semantic(rows, query_vector(spark, d), 10, -1.0, "vec_id", modality="text", repo="r1", path_prefix="p1").select("vec_id", "repo", "path", F.round("score", 6).alias("score"))
+
+
+@query(f"{_SCORED} select vec_id, round(score, 6) as score from s where score >= 0.2 order by s.score desc, vec_id limit 25")
+def semantic_threshold(spark, d):
+    return search.semantic(vectors(spark, d), query_vector(spark, d), 25, 0.2, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+_FRESH = f"coalesce(exp(-greatest(0.0, ({AS_OF} - content_modified_ts) / 86400.0) / 180.0), 0.5)"
+
+
+@query(f"""{_SCORED}, f as (select *, score * 0.7 + {_FRESH} * 0.3 as score_final from (select * from s order by score desc, vec_id limit 40))
+select vec_id, round(score, 6) as score, round(score_final, 6) as score_final from f order by f.score_final desc, vec_id limit 10""")
+def semantic_fresh(spark, d):
+    return search.semantic(vectors(spark, d), query_vector(spark, d), 10, -1.0, "vec_id", AS_OF, 0.3).select("vec_id", F.round("score", 6).alias("score"), F.round("score_final", 6).alias("score_final"))
+
+
+@query(f"{_SCORED} select vec_id, content_modified_ts, round(score, 6) as score from s where content_modified_ts >= {AS_OF - 90 * 86400} order by s.score desc, vec_id limit 10")
+def semantic_max_age(spark, d):
+    return search.semantic(vectors(spark, d), query_vector(spark, d), 10, -1.0, "vec_id", AS_OF, max_age_days=90).select("vec_id", "content_modified_ts", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {VECTORS}, qs as (select vec_id as query_id, vector as qv from v where vec_id % 100 = 0),
+s as (select query_id, vec_id, {COSINE.format(a='vector', b='qv')} as score from v, qs)
+select query_id, vec_id, round(score, 6) as score, row_number() over (partition by query_id order by s.score desc, vec_id) as rank from s
+qualify row_number() over (partition by query_id order by s.score desc, vec_id) <= 5""")
+def semantic_batch_topk(spark, d):
+    v = vectors(spark, d)
+    qs = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return search.semantic_batch(v, qs, 5, -1.0, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"with {VECTORS} select vec_id, round({_FRESH}, 6) as freshness, round(0.4 * 0.5 + 0.5 * {_FRESH}, 6) as blended from v")
+def freshness_scores(spark, d):
+    fresh = ranking.freshness(F.col("content_modified_ts"), AS_OF)
+    return vectors(spark, d).select("vec_id", F.round(fresh, 6).alias("freshness"), F.round(ranking.blended(F.lit(0.4), fresh, 0.5), 6).alias("blended"))
+
+
+# ---- lexical search
+
+_BM25 = f"""{DOCS}, w as (select doc_id, {TERMS.format(x='snippet')} as ws from d),
+qt as (select distinct unnest({TERMS.format(x='text')}) as term from benchmark where item_id = 0),
+tot as (select count(*) as n, avg(len(ws)) as m from w), x as (select doc_id, len(ws) as dl, unnest(ws) as term from w),
+tf as (select doc_id, dl, term, count(*) as tf from x where term in (select term from qt) group by all), df as (select term, count(*) as df from tf group by 1),
+b as (select doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))), 6) as bm25 from tf join df using (term), tot group by 1)"""
+
+
+@query(f"with {_BM25} select doc_id, bm25 from b order by bm25 desc, doc_id limit 20")
+def lexical_bm25(spark, d):
+    return search.lexical(docs(spark, d), query_text(spark, d)).select("doc_id", "bm25")
+
+
+@query(f"with {_BM25} select doc_id, path, bm25 from b join d using (doc_id) where repo = 'en' order by bm25 desc, doc_id limit 10 offset 10")
+def lexical_paged(spark, d):
+    return search.lexical(docs(spark, d), query_text(spark, d), 10, 10, repo="en").select("doc_id", "path", "bm25")
+
+
+@query(f"""with {_BM25}, h as (select doc_id, bm25, content_modified_ts from b join d using (doc_id) order by bm25 desc, doc_id limit 80),
+r as (select doc_id, content_modified_ts, 1 - (row_number() over (order by bm25 desc, doc_id) - 1) / (count(*) over ())::double as score from h),
+f as (select doc_id, score, score * 0.5 + {_FRESH} * 0.5 as score_final from r)
+select doc_id, round(score, 6) as score, round(score_final, 6) as score_final from f order by f.score_final desc, doc_id limit 20""")
+def lexical_rank_score(spark, d):
+    return search.lexical(docs(spark, d), query_text(spark, d), 20, as_of=AS_OF, freshness_boost=0.5).select("doc_id", F.round("score", 6).alias("score"), F.round("score_final", 6).alias("score_final"))
+
+
+@query(f"""with {DOCS}, w as (select doc_id, {TERMS.format(x='snippet')} as ws from d), qt as (select unnest(['tion', 'worthles', 'patheticc']) as term),
+tot as (select count(*) as n, avg(len(ws)) as m from w), x as (select doc_id, len(ws) as dl, unnest(ws) as word from w),
+tf as (select doc_id, dl, term, count(*) as tf from x join qt on levenshtein(regexp_replace(word, '[^\\x00-\\x7f]', '~', 'g'), term) <= case when length(term) < 4 then 0 when length(term) < 8 then 1 else 2 end group by all),
+df as (select term, count(*) as df from tf group by 1),
+b as (select doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))), 6) as bm25 from tf join df using (term), tot group by 1)
+select doc_id, bm25 from b order by bm25 desc, doc_id limit 20""")
+def lexical_typo(spark, d):
+    return search.lexical(docs(spark, d), "tion worthles patheticc", typos=True).select("doc_id", "bm25")
+
+
+@query(f"with {DOCS} select doc_id, regexp_replace(left(snippet, 300), '(?i)\\b(the|of)\\b', '<em>\\1</em>', 'g') as highlight from d where repo = 'en' and doc_id % 3 = 0")
+def highlights(spark, d):
+    return docs(spark, d).where("repo = 'en' and doc_id % 3 = 0").select("doc_id", text.highlight(F.left("snippet", F.lit(300)), ["the", "of"]).alias("highlight"))
+
+
+@query(f"with {DOCS}, w as (select doc_id, {TERMS.format(x='snippet')} as ws from d), x as (select doc_id, len(ws) as doc_len, unnest(ws) as term from w) select term, doc_id, doc_len, count(*) as tf from x group by all")
+def postings(spark, d):
+    return index.postings(docs(spark, d)).select("term", "doc_id", F.col("doc_len").cast("long").alias("doc_len"), "tf")
+
+
+# ---- hybrid retrieval
+
+
+def _legs(spark, d):
+    """Vectors stand for the documents of the same number; a query is vector 0 and benchmark text 0."""
+    base = docs(spark, d).select("doc_id", "source_id", "repo", "path", "snippet", "content_modified_ts")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    order = Window.orderBy(F.desc("score"), "doc_id")
+    sem = search.semantic(base.join(v, "doc_id"), query_vector(spark, d), 15, hybrid.THRESHOLD - 0.15, "doc_id").withColumn("pos", F.row_number().over(order) - 1)
+    lex = search.lexical(base, query_text(spark, d), 15).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("bm25"), "doc_id")) - 1)
+    return sem, lex
+
+
+_LEGS = f"""{_BM25}, {QUERY_VECTOR}, s0 as (select d.*, {COSINE.format(a='embedding::double[]', b='q')} as score from d join embeddings e on e.vec_id = d.doc_id, q),
+sem as (select *, row_number() over (order by score desc, doc_id) - 1 as pos from s0 where score >= 0.1 order by score desc, doc_id limit 15),
+lex as (select d.*, bm25, row_number() over (order by bm25 desc, doc_id) - 1 as pos from b join d using (doc_id) order by bm25 desc, doc_id limit 15),
+m as (select coalesce(s.doc_id, l.doc_id) as doc_id, coalesce(s.source_id, l.source_id) as source_id, coalesce(s.path, l.path) as path, coalesce(s.snippet, l.snippet) as snippet,
+  coalesce(s.score, 0) as semantic_score, case when l.doc_id is not null then 0.5 else 0 end as lexical_score, case when s.doc_id is null then 1 else 0 end as leg, coalesce(s.pos, l.pos) as pos
+  from sem s full join lex l on s.doc_id = l.doc_id),
+c as (select *, semantic_score * 0.7 + lexical_score * (1.0 - 0.7) as combined_score, split_part(path, '/', 1) || '/' || (doc_id % 7) as folder from m)"""
+
+
+@query(f"with {_LEGS} select doc_id, path, round(semantic_score, 6) as semantic_score, round(lexical_score, 6) as lexical_score, round(combined_score, 6) as combined_score from c")
+def hybrid_merge(spark, d):
+    m = hybrid.merge(*_legs(spark, d))
+    return m.select("doc_id", "path", *[F.round(c, 6).alias(c) for c in ("semantic_score", "lexical_score", "combined_score")])
+
+
+def _merged(spark, d):
+    """Several chunks share a path here, so that grouping by path has work to do."""
+    m = hybrid.merge(*_legs(spark, d))
+    return m.withColumn("path", F.concat(F.get(F.split("path", "/"), F.lit(0)), F.lit("/"), (F.col("doc_id") % 7).cast("string")))
+
+
+_BEST = f"""{_LEGS}, p as (select *, row_number() over (order by combined_score desc, leg, pos) as path_rank from
+  (select * from c qualify row_number() over (partition by folder order by combined_score desc, leg, pos) = 1))"""
+
+
+@query(f"with {_BEST} select path_rank, folder as path, doc_id, round(combined_score, 6) as combined_score from p")
+def hybrid_best_per_path(spark, d):
+    return hybrid.best_per_path(_merged(spark, d)).select(F.col("path_rank").cast("long").alias("path_rank"), "path", "doc_id", F.round("combined_score", 6).alias("combined_score"))
+
+
+_USED = f"""{_BEST}, t as (select path_rank, folder as path, source_id, combined_score, {S.strip('snippet')} as snippet from p),
+u as (select *, coalesce(sum(length(snippet) + length(path) + 20) over (order by path_rank rows between unbounded preceding and 1 preceding), 0) as before from t where snippet <> ''),
+k as (select path_rank, path, source_id, combined_score, case when length(snippet) > 6000 - before then left(snippet, (6000 - before)::int) || '...' else snippet end as snippet from u where before < 6000)"""
+
+
+@query(f"""with {_USED} select coalesce(string_agg('### ' || path || ' (score: ' || printf('%.2f', combined_score) || ')' || chr(10) || snippet, chr(10) || chr(10) order by path_rank), '{hybrid.EMPTY_CONTEXT}') as context,
+  count(*) as sources_in_context, coalesce(sum(length(snippet) + length(path) + 20), 0)::bigint as context_chars from k""")
+def rag_context(spark, d):
+    return hybrid.context(hybrid.budgeted(hybrid.best_per_path(_merged(spark, d)))).withColumn("context_chars", F.col("context_chars").cast("long"))
+
+
+@query(f"with {_USED} select path_rank, path, source_id, round_even(combined_score, 3) as score, length(snippet) as chars from k")
+def rag_sources(spark, d):
+    out = hybrid.sources(hybrid.budgeted(hybrid.best_per_path(_merged(spark, d))))
+    return out.withColumns({"path_rank": F.col("path_rank").cast("long"), "chars": F.col("chars").cast("long")})
+
+
+@query(f"with {_LEGS} select count(*) filter (leg = 0) as semantic_hits, count(*) filter (lexical_score > 0) as lexical_hits, count(*) as merged_candidates from c")
+def rag_stats(spark, d):
+    m = hybrid.merge(*_legs(spark, d))
+    return m.agg(F.count_if(F.col("leg") == 0).alias("semantic_hits"), F.count_if(F.col("lexical_score") > 0).alias("lexical_hits"), F.count(F.lit(1)).alias("merged_candidates"))
+
+
+@query(f"with {_LEGS} select doc_id, path from c where contains(path, 'en/') or contains(split_part(path, '/', 1), 'src3') or contains(source_id, 'src3')")
+def rag_repos(spark, d):
+    m = hybrid.merge(*_legs(spark, d)).withColumn("repo", F.get(F.split("path", "/"), F.lit(0)))
+    return hybrid.in_repos(m, ["en/", "src3"]).select("doc_id", "path")
+
+
+# ---- identity and chunking
+
+
+@query(f"""with {DOCS} select doc_id, sha256(source_id || ':' || path || ':' || sha256(text) || ':' || modality) as idempotency_key, sha256(text) as content_hash, source_id || ':' || path || ':0' as chunk_id,
+  md5(source_id || ':' || path || ':0') as lexical_id, left(sha256('plain:0.1.0:' || sha256(text)), 32) as cache_key from d""")
+def identity_keys(spark, d):
+    b = docs(spark, d).withColumn("content_hash", identity.content_hash(F.col("text").cast("binary"))).withColumn("chunk_id", identity.chunk_id(F.col("source_id"), F.col("path"), F.lit(0)))
+    return b.select(
+        "doc_id", identity.idempotency_key(F.col("source_id"), F.col("path"), F.col("content_hash"), F.col("modality")).alias("idempotency_key"), "content_hash", "chunk_id",
+        identity.lexical_id(F.col("chunk_id")).alias("lexical_id"), identity.cache_key(F.lit("plain"), F.lit("0.1.0"), F.col("content_hash")).alias("cache_key"),
+    )
+
+
+@query(f"with {DOCS} select doc_id, ('0x' || left(md5(source_id || ':' || path || ':0'), 16))::ubigint::varchar as point_id from d")
+def point_ids(spark, d):
+    b = docs(spark, d)
+    return b.select("doc_id", identity.point_id(identity.chunk_id(F.col("source_id"), F.col("path"), F.lit(0))).cast("string").alias("point_id"))
+
+
+@query(f"with {DOCS} select doc_id, case when length(text) = 0 then 0 else greatest(1, length(text) // 4) end as tokens from d")
+def token_count(spark, d):
+    return docs(spark, d).select("doc_id", text.count_tokens(F.col("text")).cast("long").alias("tokens"))
+
+
+def _chunks(df):
+    return df.select("chunk_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("total_chunks").cast("long").alias("total_chunks"), "content")
+
+
+@query(S.chunked(f"with {DOCS}, src as (select source_id, path, text as body from d)", S.recursive("body", 128), 20))
+def chunk_recursive(spark, d):
+    return _chunks(chunking.chunk(docs(spark, d).select("source_id", "path", "text"), most=128, overlap=20))
+
+
+@query(S.chunked(f"with {DOCS}, src as (select source_id, path, text as body from d)", S.recursive("body", 512), 0))
+def chunk_default_size(spark, d):
+    return _chunks(chunking.chunk(docs(spark, d).select("source_id", "path", "text"), overlap=0))
+
+
+def _talks(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n\n").alias("text"))
+    return c.select(F.lit("talks").alias("source_id"), F.col("conv_id").cast("string").alias("path"), "text")
+
+
+@query(S.chunked("with src as (select 'talks' as source_id, conv_id::varchar as path, string_agg(text, chr(10) || chr(10) order by turn) as body from conversations group by conv_id)", S.paragraphs("body", 32), 5))
+def chunk_paragraph(spark, d):
+    return _chunks(chunking.chunk(_talks(spark, d), most=32, overlap=5, strategy="paragraph"))
+
+
+@query(f"with {DOCS} select doc_id, list_transform({S.hard('text', 100)}, lambda s: md5(s)) as slices from d")
+def chunk_hard_slice(spark, d):
+    return docs(spark, d).select("doc_id", F.transform(text.hard_slices(F.col("text"), 100), lambda s: F.md5(s.cast("binary"))).alias("slices"))
+
+
+@query(S.chunked("with src as (select 'talks' as source_id, conv_id || '#page=' || turn as path, text as body from conversations)", S.recursive("body", 64), 10))
+def chunk_paged(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").cast("int").alias("index"), "text", F.col("role").alias("title")))).alias("pages"))
+    rows = c.select(F.lit("talks").alias("source_id"), F.col("conv_id").cast("string").alias("path"), F.lit("unused").alias("text"), "pages")
+    return _chunks(chunking.chunk_extracted(rows, most=64, overlap=10))
+
+
+# ---- change detection and routing
+
+
+@query(f"""with {DOCS}, cur as (select path, content_modified_ts as modified, length(text) as size from d where doc_id % 11 <> 3),
+prev as (select path, content_modified_ts as modified, case when doc_id % 5 = 0 then 1 else length(text) end as size from d where doc_id % 13 <> 4)
+select coalesce(cur.path, prev.path) as path, case when prev.path is null then 'add' when cur.path is null then 'delete' else 'modify' end as operation from cur full join prev on cur.path = prev.path
+where prev.path is null or cur.path is null or cur.modified is distinct from prev.modified or cur.size is distinct from prev.size""")
+def snapshot_diff(spark, d):
+    b = docs(spark, d).select("doc_id", "path", F.col("content_modified_ts").alias("modified"), F.length("text").alias("size"))
+    cur = b.where("doc_id % 11 <> 3").drop("doc_id")
+    prev = b.where("doc_id % 13 <> 4").withColumn("size", F.when(F.col("doc_id") % 5 == 0, 1).otherwise(F.col("size"))).drop("doc_id")
+    return cdc.snapshot_diff(cur, prev).select("path", "operation")
+
+
+@query(f"""with {DOCS}, cur as (select path, case when doc_id % 4 <> 0 then md5(text) end as etag, 1 as size from d), prev as (select path, case when doc_id % 3 <> 0 then md5(text) else 'old' end as etag, 1 as size from d)
+select cur.path, 'modify' as operation from cur join prev using (path) where cur.etag is not null and cur.etag is distinct from prev.etag""")
+def object_diff(spark, d):
+    b = docs(spark, d).select("doc_id", "path", F.md5("text").alias("m"))
+    cur = b.select("path", F.when(F.col("doc_id") % 4 != 0, F.col("m")).alias("etag"), F.lit(1).alias("size"))
+    prev = b.select("path", F.when(F.col("doc_id") % 3 != 0, F.col("m")).otherwise("old").alias("etag"), F.lit(1).alias("size"))
+    return cdc.snapshot_diff(cur, prev, compare=("size",), etag="etag").select("path", "operation")
+
+
+@query(f"""with {DOCS}, x as (select doc_id, path, case doc_id % 6 when 0 then 'A' when 1 then 'M' when 2 then 'D' when 3 then 'R' when 4 then 'C' else 'T' end as mark from d)
+select doc_id, case mark when 'A' then 'add' when 'M' then 'modify' when 'D' then 'delete' else 'add' end as operation, case mark when 'R' then path || '.new' else path end as path from x where mark in ('A', 'M', 'D', 'R')
+union all select doc_id, 'delete', path from x where mark = 'R'""")
+def git_status_parse(spark, d):
+    marks = F.element_at(F.lit(["A", "M", "D", "R", "C", "T"]), (F.col("doc_id") % 6 + 1).cast("int"))
+    line = F.when(marks == "R", F.concat(F.lit("R087\t"), F.col("path"), F.lit("\t"), F.col("path"), F.lit(".new"))).otherwise(F.concat(marks, F.lit("\t"), F.col("path")))
+    return cdc.split_renames(cdc.git_status(docs(spark, d).select("doc_id", line.alias("line")))).select("doc_id", "operation", "path")
+
+
+@query(f"with {DOCS} select path from d where (path like 'en/1%.txt' or regexp_matches(path, '^(fr|de)/.*[02468]\\.txt$')) and not regexp_matches(path, '/[^/]*7[^/]*$')")
+def glob_filter(spark, d):
+    return docs(spark, d).where(text.selected(F.col("path"), ["en/1*.txt", "fr/*[02468].txt", "de/*[02468].txt"], ["*7*"])).select("path")
+
+
+@query(f"with {DOCS} select path, length(text) as size from d where length(text) <= 2000")
+def size_cap(spark, d):
+    return docs(spark, d).select("path", F.length("text").cast("long").alias("size")).where("size <= 2000")
+
+
+_EXT = "case doc_id % 8 when 0 then 'PNG' when 1 then 'txt' when 2 then 'jpeg' when 3 then 'bmp' when 4 then 'md' when 5 then 'pdf' when 6 then 'webp' else 'html' end"
+
+
+def _named(spark, d):
+    ext = F.element_at(F.lit(["PNG", "txt", "jpeg", "bmp", "md", "pdf", "webp", "html"]), (F.col("doc_id") % 8 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("a.b/"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"))
+
+
+@query(f"""with x as (select doc_id, {_EXT} as e from documents) select doc_id, case when lower(e) in ('png', 'jpg', 'jpeg', 'gif', 'bmp', 'tiff', 'tif', 'webp', 'ico') then 'image' else 'text' end as detected,
+  case when lower(e) in ('png', 'jpg', 'jpeg', 'gif', 'webp') then 'image' else 'text' end as adapter from x""")
+def modality_detect(spark, d):
+    return _named(spark, d).select("doc_id", text.detect_modality(F.col("path")).alias("detected"), text.adapter_modality(F.col("path")).alias("adapter"))
+
+
+_MIME = "case when doc_id % 3 = 0 then 'text/html; charset=utf-8' when doc_id % 5 = 0 then 'Text/Markdown' end"
+
+
+def _events(spark, d):
+    n = F.col("doc_id")
+    mime = F.when(n % 3 == 0, "text/html; charset=utf-8").when(n % 5 == 0, "Text/Markdown")
+    ref = F.when(n % 9 != 5, F.struct(F.lit("path").alias("kind"), F.col("path").alias("path")))
+    return _named(spark, d).select(n.cast("string").alias("event_id"), "doc_id", "path", mime.alias("content_mime"), F.when(n % 7 == 0, "delete").otherwise("add").alias("operation"), (n % 5).cast("int").alias("depth"), text.adapter_modality(F.col("path")).alias("modality"), ref.alias("content_ref"))
+
+
+_PICK = f"""x as (select doc_id, lower({_EXT}) as e, {_MIME} as mime from documents),
+k as (select *, case when mime like 'text/html%' or e = 'html' then 'html' when e = 'pdf' then 'pdf-text' when mime = 'Text/Markdown' or e in ('txt', 'md') then 'plain' end as extractor,
+  case when e in ('png', 'jpeg', 'webp') then 'image' else 'text' end as modality from x)"""
+
+
+@query(f"with {_PICK} select doc_id, extractor from k")
+def route_extractor(spark, d):
+    return routing.pick_extractor(_events(spark, d), routing.capabilities(spark)).select("doc_id", "extractor")
+
+
+@query(f"""with {_PICK} select doc_id, case when doc_id % 7 = 0 then 'delete' when doc_id % 5 >= 3 then 'too_deep' when modality = 'image' then 'image' when doc_id % 9 = 5 then 'no_content'
+  when extractor is null then 'skip' else 'extract' end as route from k""")
+def route_decision(spark, d):
+    return routing.route(_events(spark, d), routing.capabilities(spark), text_fallback=False).select("doc_id", "route")
+
+
+@query("""with k as (select doc_id, case when doc_id % 2 = 0 then source else 'own' end as source_id, doc_id % 4 + 1 as depth, source, lang from documents)
+select doc_id, source_id, depth, sha256(source_id || ':' || doc_id || '#img-0::image') as idempotency_key from k where depth < 3""")
+def attached_depth(spark, d):
+    b = table(spark, d, "documents")
+    parents = b.select(F.col("doc_id").alias("event_id"), F.col("source").alias("source_id"), F.lit("folder").alias("source_type"), (F.col("doc_id") % 4).alias("depth"))
+    kids = b.select("doc_id", F.col("doc_id").alias("parent_event_id"), F.when(F.col("doc_id") % 2 == 0, "").otherwise("own").alias("source_id"), F.lit("").alias("source_type"), F.concat(F.col("doc_id").cast("string"), F.lit("#img-0")).alias("path"), F.lit(None).cast("string").alias("content_hash"), F.lit("image").alias("modality"))
+    return routing.attach(kids, parents).select("doc_id", "source_id", "depth", "idempotency_key")
+
+
+# ---- pages
+
+_HEAD = "regexp_extract(regexp_replace({u}, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')"
+_CANON = f"(lower({_HEAD}) || substr(regexp_replace({{u}}, '#.*$', ''), length({_HEAD}) + 1))"
+
+
+@query(f"select page_id, {_CANON.format(u='url')} as canonical, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) || '://' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) as origin from pages")
+def url_canonical(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"), urls.origin(F.col("url")).alias("origin"))
+
+
+@query(r"""with h as (select page_id, url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''>]*)["'']', 1)) as href from pages), t as (select page_id, url, trim(href) as href from h)
+select page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || href as link, count(*) as n from t where href like '/%' and href not like '//%' group by 1, 2""")
+def link_extract(spark, d):
+    p = table(spark, d, "pages")
+    return p.select("page_id", F.explode(urls.links(F.col("html"), F.col("url"))).alias("link")).groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
+
+
+_HTML_SQL = S.html("html")
+
+
+@query(f"select page_id, {_HTML_SQL} as text from pages")
+def html_text(spark, d):
+    return extract.html(table(spark, d, "pages")).select("page_id", "text")
+
+
+def _site(spark, d):
+    """Pages have no links among themselves, so each links to the next two of a derived order."""
+    p = table(spark, d, "pages").select("page_id")
+    hop = F.explode(F.lit([2, 3]))
+    links = p.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("src"), F.col("page_id").alias("n"), hop.alias("k"))
+    return links.select("src", F.concat(F.lit("p"), ((F.col("n") * F.col("k") + 1) % 97).cast("string")).alias("dst"), (F.col("k") - 2).alias("link_pos"))
+
+
+@query("""with recursive l as (select 'p' || page_id as src, 'p' || ((page_id * k + 1) % 97) as dst from pages, (select unnest([2, 3]) as k)),
+r(url, depth) as (select 'p1', 0 union select l.dst, r.depth + 1 from r join l on l.src = r.url where r.depth < 5)
+select url, min(depth) as depth from r group by 1""")
+def crawl_bfs(spark, d):
+    root = spark.range(1).select(F.lit("p1").alias("url"))
+    return crawl.crawl(root, _site(spark, d), 5).select("url", F.col("depth").cast("int").alias("depth"))
+
+
+@query("""with h as (select page_id, url, md5(html) as h, page_id % 17 as site from pages), g as (select *, lag(h) over (partition by site order by page_id) as before, row_number() over (partition by site order by page_id) as n from h where page_id % 19 <> 1)
+select page_id, case when n = 1 then 'add' else 'modify' end as operation from g where n = 1 or h is distinct from before""")
+def fetch_changes(spark, d):
+    p = table(spark, d, "pages").select("page_id", (F.col("page_id") % 17).alias("url"), F.md5("html").alias("content_hash"))
+    return cdc.fetch_changes(p, "url", "page_id", failed=F.col("page_id") % 19 == 1).select("page_id", "operation")
+
+
+# ---- indexes
+
+_UPSERT = f"""{DOCS}, old as (select doc_id, source_id, path, left(text, 50) as snippet, 0 as seq from d where doc_id % 3 <> 0),
+new as (select doc_id, source_id, path, left(text, 40) || '!' as snippet, doc_id % 100 + 1 as seq from d where doc_id % 2 = 0)"""
+
+
+def _old_new(spark, d):
+    b = docs(spark, d)
+    old = b.where("doc_id % 3 <> 0").select("doc_id", "source_id", "path", F.left("text", F.lit(50)).alias("snippet"), F.lit(0).cast("long").alias("seq"))
+    new = b.where("doc_id % 2 = 0").select("doc_id", "source_id", "path", F.concat(F.left("text", F.lit(40)), F.lit("!")).alias("snippet"), (F.col("doc_id") % 100 + 1).alias("seq"))
+    return old, new.unionByName(new.withColumns({"seq": F.lit(0).cast("long"), "snippet": F.lit("stale")}))
+
+
+@query(f"with {_UPSERT} select doc_id, snippet, seq from new union all select doc_id, snippet, seq from old where doc_id not in (select doc_id from new)")
+def upsert_latest(spark, d):
+    old, new = _old_new(spark, d)
+    return index.upsert(old, new, "doc_id", "seq").select("doc_id", "snippet", "seq")
+
+
+def _chunk_rows(spark, d):
+    b = docs(spark, d).select("source_id", F.concat("path", F.lit("#page="), (F.col("doc_id") % 3).cast("string")).alias("path"), F.when(F.col("doc_id") % 10 == 1, F.lit("en/2.txt")).otherwise("").alias("derived_from"), "doc_id")
+    return b
+
+
+_GONE = f"{DOCS}, gone as (select source_id, path from d where doc_id % 6 = 2)"
+
+
+@query(f"""with {_GONE} select doc_id from d where (source_id, path) not in (select (source_id, path) from gone)
+  and not (doc_id % 10 = 1 and source_id in (select source_id from gone where path = 'en/2.txt'))""")
+def delete_by_path(spark, d):
+    gone = docs(spark, d).where("doc_id % 6 = 2").select("source_id", "path")
+    return index.delete_paths(_chunk_rows(spark, d), gone).select("doc_id")
+
+
+@query(f"with {DOCS} select (select count(*) from d where source_id = 'src3') as deleted, (select count(*) from d where source_id <> 'src3') as kept")
+def purge_source(spark, d):
+    kept, deleted = index.purge_source(docs(spark, d), "src3")
+    return deleted.crossJoin(kept.agg(F.count(F.lit(1)).alias("kept")))  # one row each
+
+
+@query(f"""with {VECTORS}, {DOCS} select (select count(*) from v where modality = 'text') as text_points, (select count(*) from v where modality = 'image') as image_points, (select max(content_modified_ts) from v) as last_index_ts,
+  (select count(*) from d) as lexical_docs, (select count(*) from v) + (select count(*) from d) as total""")
+def index_stats(spark, d):
+    v = vectors(spark, d).withColumn("collection", index.collection(F.col("modality")))
+    return index.stats(v, docs(spark, d))
+
+
+@query(f"with {DOCS} select source_id, path, modality, count(*) as chunks, max(content_modified_ts) as content_modified_ts from d where source_id = 'src2' and path like 'en/%' group by all order by 1, 2 limit 20 offset 5")
+def list_files(spark, d):
+    return index.list_files(docs(spark, d), "src2", "en/", "text", 20, 5)
+
+
+@query("""select case when vec_id % 5 in (0, 1) then 'text' when vec_id % 5 = 2 then 'image' else null end as collection, count(*) as n from embeddings group by 1""")
+def collection_routing(spark, d):
+    m = F.element_at(F.lit(["text", "audio_transcript", "image", "hologram", ""]), (F.col("vec_id") % 5 + 1).cast("int"))
+    return table(spark, d, "embeddings").select(index.collection(m).alias("collection")).groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- sources, queues, schedules
+
+
+@query("select source, min(doc_id) as doc_id from documents group by 1")
+def sources_dedup(spark, d):
+    return cdc.distinct_in_order(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id")
+
+
+@query("select event_type, case when bool_and(value > 90) then 'all' when bool_or(value > 90) then 'some' else 'none' end as status from events group by 1")
+def status_rollup(spark, d):
+    good = F.col("value") > 90
+    return table(spark, d, "events").groupBy("event_type").agg(F.when(F.bool_and(good), "all").when(F.bool_or(good), "some").otherwise("none").alias("status"))
+
+
+_LATE = "case retry_count when 0 then 60 when 1 then 300 when 2 then 900 end"
+_DEAD = f"q as (select event_id, event_id % 5 as retry_count, ts from events), a as (select timestamp '2024-01-15 00:00:00' as now), k as (select *, epoch(ts)::bigint + {_LATE} as due from q), n as (select epoch(now)::bigint as now from a)"
+
+
+@query(f"with {_DEAD} select case when retry_count >= 3 then 'final' when due <= now then 'again' else 'waiting' end as state, retry_count + case when retry_count < 3 and due <= now then 1 else 0 end as retry_count, count(*) as n from k, n group by 1, 2")
+def dlq_retry(spark, d):
+    dead = table(spark, d, "events").select("event_id", (F.col("event_id") % 5).alias("retry_count"), F.col("ts").cast("timestamp").alias("failed_at"))
+    parts = zip(("again", "waiting", "final"), jobs.drain(dead, F.lit("2024-01-15 00:00:00").cast("timestamp")), strict=True)
+    again, waiting, final = (p.select(F.lit(n).alias("state"), "retry_count") for n, p in parts)
+    return again.unionByName(waiting).unionByName(final).groupBy("state", "retry_count").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select sha256(user_id || ':' || event_type || '::text') as idempotency_key from events where user_id % 7 <> 0 group by 1")
+def idempotent_dedup(spark, d):
+    e = table(spark, d, "events").select("user_id", identity.idempotency_key(F.col("user_id").cast("string"), F.col("event_type"), F.lit(None), F.lit("text")).alias("idempotency_key"))
+    return routing.unprocessed(e, e.where("user_id % 7 = 0")).select("idempotency_key")
+
+
+@query("""with c as (select doc_id, case doc_id % 6 when 0 then '*/5 * * * *' when 1 then '0 */2 * * *' when 2 then '15 * * * *' when 3 then '0 6 * * *' when 4 then '*/x * * * *' else 'daily' end as cron from documents)
+select doc_id, case doc_id % 6 when 0 then 300.0 when 1 then 7200.0 when 2 then 3600.0 when 4 then 300.0 else 86400.0 end::double as seconds from c""")
+def cron_interval(spark, d):
+    cron = F.element_at(F.lit(["*/5 * * * *", "0 */2 * * *", "15 * * * *", "0 6 * * *", "*/x * * * *", "daily"]), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", urls.poll_seconds(cron).alias("seconds"))
+
+
+@query("select event_type, (props->>'k')::bigint % 10 as k, count(*) as n from events group by 1, 2")
+def json_props(spark, d):
+    k = F.from_json("props", "k long")["k"]
+    return table(spark, d, "events").groupBy("event_type", (k % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' as value from events""")
+def publish_json(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type")
+    return e.select("event_id", F.to_json(F.struct("event_id", "event_type")).alias("value"))
+
+
+@query(f"with {DOCS} select doc_id, case when doc_id % 4 = 0 then 'log' when doc_id % 4 = 1 then 'csv' else 'md' end as format, case when doc_id % 4 = 1 then ',' end as delimiter, md5(text) as digest from d")
+def plain_extract(spark, d):
+    ext = F.element_at(F.lit(["log", "csv", "md", "md"]), (F.col("doc_id") % 4 + 1).cast("int"))
+    b = docs(spark, d).withColumn("path", F.concat(F.lit("x."), ext))
+    return extract.plain(b).select("doc_id", F.col("metadata.format").alias("format"), F.col("structure.delimiter").alias("delimiter"), F.md5("text").alias("digest"))
+
+
+@query("""with e as (select user_id, ts, event_type from events), s as (select *, row_number() over (partition by user_id order by ts desc, event_type desc) as n from e) select user_id, event_type from s where n = 1""")
+def latest_state(spark, d):
+    """A streaming upsert, run to its end: the last event of each user."""
+    from millrace.plans.session import run_stream
+
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern, as the table may be one file
+    key = stream.withColumn("at", F.struct("ts", "event_type"))
+    return run_stream(jobs.latest_state(key, "user_id", "at", ["event_type"])).select("user_id", "event_type")

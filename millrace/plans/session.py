@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent.parent
 
@@ -25,3 +26,20 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(archive)
     context._millrace_shipped = True
     return spark
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the folder that all executors share; below the warehouse where none is configured (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{base.rstrip('/')}/millrace/{tag}-{uuid.uuid4().hex}"
+
+
+def run_stream(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there and return its last result, written as a table to the shared folder."""
+    spark, out, state = stream.sparkSession, shared_folder(stream.sparkSession, "stream"), shared_folder(stream.sparkSession, "stream-state")
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
