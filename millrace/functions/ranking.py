@@ -31,8 +31,8 @@ def cutoff(as_of: int, max_age_days: int | None) -> int | None:
 
 def freshness(modified: Column, as_of: int) -> Column:
     """Exponential decay; the future counts as now."""
-    age = F.greatest(F.lit(0.0), (F.lit(as_of) - modified).cast("double") / DAY)
-    return F.coalesce(F.exp(-age / HALF_WAY), F.lit(UNKNOWN))
+    age = F.greatest(F.lit(0.0), (F.lit(as_of) - modified).cast("double") / DAY)  # greatest skips nulls
+    return F.when(modified.isNull(), UNKNOWN).otherwise(F.exp(-age / HALF_WAY))
 
 
 def clamp(boost: float) -> float:

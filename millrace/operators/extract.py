@@ -43,7 +43,7 @@ def plain(docs: DataFrame, content: str = "text") -> DataFrame:
 
 def html_text(html: Column, strip_nav: bool = True, include_tables: bool = True) -> Column:
     """The readable text: scripts, styles, comments and, with strip_nav, page furniture go; blocks end lines; the common entities are resolved."""
-    gone = ["script", "style", "noscript", "template", "svg", "head"] + (["nav", "header", "footer", "aside", "form"] if strip_nav else []) + ([] if include_tables else ["table"])
+    gone = ["script", "style", "noscript", "template", "svg", "head", "title"] + (["nav", "header", "footer", "aside", "form"] if strip_nav else []) + ([] if include_tables else ["table"])
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for tag in gone:
         out = F.regexp_replace(out, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", " ")

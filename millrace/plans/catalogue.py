@@ -46,7 +46,7 @@ def semantic_threshold(spark, d):
     return search.semantic(vectors(spark, d), query_vector(spark, d), 25, 0.2, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
-_FRESH = f"coalesce(exp(-greatest(0.0, ({AS_OF} - content_modified_ts) / 86400.0) / 180.0), 0.5)"
+_FRESH = f"(case when content_modified_ts is null then 0.5 else exp(-greatest(0.0, ({AS_OF} - content_modified_ts) / 86400.0) / 180.0) end)"
 
 
 @query(f"""{_SCORED}, f as (select *, score * 0.7 + {_FRESH} * 0.3 as score_final from (select * from s order by score desc, vec_id limit 40))

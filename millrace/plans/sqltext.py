@@ -83,7 +83,7 @@ select source_id || ':' || path || ':' || chunk_index as chunk_id, chunk_index,
 
 def html(x: str) -> str:
     out = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
-    for tag in ("script", "style", "noscript", "template", "svg", "head", "nav", "header", "footer", "aside", "form"):
+    for tag in ("script", "style", "noscript", "template", "svg", "head", "title", "nav", "header", "footer", "aside", "form"):
         out = f"regexp_replace({out}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', ' ', 'g')"
     out = f"regexp_replace({out}, '\\s+', ' ', 'g')"
     out = f"regexp_replace({out}, '(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|blockquote|pre|main|body|html)(\\s[^>]*)?/?>', chr(10), 'g')"
