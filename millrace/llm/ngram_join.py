@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents, materialise, slices, small
+from millrace.llm.common import documents, materialise, slices, small, tidy
 
 WORDS, PERCENT = 4, 85
 #: Text bytes whose n-grams go to one fragment, about.
@@ -124,11 +124,11 @@ def _segments(batches, fragments: int, words: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _SEGMENTS.split(", ")])
 
 
-_PARTIAL = "kind int, doc_id long, sig long, n int"
+_PARTIAL = "kind int, doc_id long, sig long, n int, bucket int, sigs binary, counts binary"
 
 
-def _partial(batches):
-    """Kind 1: one row per text. Kind 0: per class, how many of its n-grams in this fragment another class has too."""
+def _partial(batches, buckets: int):
+    """Kind 1: one row per text. Kind 0: how many n-grams of each class in this fragment another class has too, in one row per bucket of classes."""
     held: dict[int, list] = {}
     names = [x.split()[0] for x in _PARTIAL.split(", ")]
     for b in batches:
@@ -136,7 +136,8 @@ def _partial(batches):
             sig, n = np.frombuffer(sigs, np.int64), np.frombuffer(counts, np.uint32)
             if kind == 1:
                 doc = np.frombuffer(ids, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(doc), np.int32)), pa.array(doc, mask=doc == -(1 << 63)), pa.array(sig), pa.array(n.astype(np.int32))], names)
+                none = [pa.nulls(len(doc), t) for t in (pa.int32(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(doc), np.int32)), pa.array(doc, mask=doc == -(1 << 63)), pa.array(sig), pa.array(n.astype(np.int32)), *none], names)
             else:
                 held.setdefault(f, []).append((sig, n, np.frombuffer(hashes, np.uint32)))
     for f in sorted(held):
@@ -154,7 +155,34 @@ def _partial(batches):
         shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         total = np.bincount(who[order[shared]], minlength=len(sig))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.nulls(len(at), pa.int64()), pa.array(sig[at]), pa.array(total[at].astype(np.int32))], names)
+        bucket = (sig[at].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        at = at[np.argsort(bucket, kind="stable")]
+        there, cuts = np.unique(np.sort(bucket), return_index=True)
+        del h, who, order, s, same, shared, kept, inside
+        tidy()
+        sigs = [x.tobytes() for x in np.split(sig[at], cuts[1:])] if len(at) else []
+        counts = [x.tobytes() for x in np.split(total[at].astype(np.int64), cuts[1:])] if len(at) else []
+        m = len(there)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(there.astype(np.int32)), pa.array(sigs, pa.binary()), pa.array(counts, pa.binary())], names)
+
+
+def _summed(batches):
+    """The partial counts of each class, summed over the fragments. A bucket holds as many classes as a fragment's share of the texts."""
+    parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for b in batches:
+        for k, sigs, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            own = parts.setdefault(k, [])
+            own.append((np.frombuffer(sigs, np.int64), np.frombuffer(counts, np.int64)))
+            if sum(len(x[0]) for x in own[1:]) > max(1 << 20, len(own[0][0])):
+                own[:] = [_added(own)]
+    for k in sorted(parts):
+        sig, n = _added(parts.pop(k))
+        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(n)], ["sig", "shared"])
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    sig, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return sig, np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
 
 def _whole(batches, words: int):
@@ -215,11 +243,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(2, -(-total // FRAGMENT_BYTES))
     dealt = docs.mapInArrow(lambda b: _segments(b, fragments, words), _SEGMENTS).repartition(fragments, "frag")
-    counted = materialise(dealt.mapInArrow(_partial, _PARTIAL), "join-partial")
+    counted = materialise(dealt.mapInArrow(lambda b: _partial(b, fragments), _PARTIAL), "join-partial")
 
     texts = counted.where("kind = 1").select("doc_id", "sig", F.col("n").alias("n_shingles"))
     classes = texts.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
-    shared = counted.where("kind = 0").groupBy("sig").agg(F.sum("n").alias("shared"))
+    shared = counted.where("kind = 0").select("bucket", "sigs", "counts").repartition(fragments, "bucket").mapInArrow(_summed, "sig long, shared long")
     rest = materialise(shared.join(classes, "sig").where(f"shared * 100 >= n * {PERCENT}").select("sig", "rep", "n", (F.col("n") - F.col("shared")).alias("own")), "join-rest")
     n_rest = rest.count()
     ids = rest.select(F.col("rep").alias("doc_id"), "own", F.col("sig").alias("is"))
