@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import urls
+from millrace.plans.session import materialise
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -38,7 +39,8 @@ def crawl(roots: DataFrame, links: DataFrame, max_depth: int = 3, max_pages: int
             break
         found = frontier.join(links, frontier["url"] == links["src"]).groupBy("dst").agg(F.min(F.struct("rank", "link_pos")).alias("via"))
         fresh = found.join(visited.select(F.col("url").alias("dst")), "dst", "left_anti")
-        frontier = fresh.select(F.col("dst").alias("url"), F.lit(depth).alias("depth"), (F.row_number().over(Window.orderBy("via", "dst")) + n).alias("rank")).checkpoint()
+        frontier = fresh.select(F.col("dst").alias("url"), F.lit(depth).alias("depth"), (F.row_number().over(Window.orderBy("via", "dst")) + n).alias("rank"))
+        frontier = materialise(frontier, "crawl-level")
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)

@@ -34,6 +34,13 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/millrace/{tag}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Cut the lineage: a table in the shared folder, read back."""
+    path = shared_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_stream(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over what is there and return its last result, written as a table to the shared folder."""
     spark, out, state = stream.sparkSession, shared_folder(stream.sparkSession, "stream"), shared_folder(stream.sparkSession, "stream-state")
