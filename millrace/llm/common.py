@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -12,6 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.plans.session import materialise  # noqa: F401
+from millrace.plans.session import shared_folder as scratch  # noqa: F401
+
 #: Rows of a narrow table (a few dozen bytes each) that may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -23,21 +25,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder all executors share; a local one only where none is configured (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return f"{base.rstrip('/')}/millrace/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back, so a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Delete what materialise() wrote, once nothing lazy reads it any more."""
     spark = df.sparkSession

@@ -159,8 +159,8 @@ def resample(samples: np.ndarray, rate: int, rate_out: int = RATE_OUT, chunk: in
         part = np.pad(samples[max(0, a - before) : b + after].astype(np.int32), (max(0, before - a), max(0, b + after - len(samples))), "edge")
         out = np.empty((b - a, up), np.int32)
         for p in range(up):
-            acc = np.full(b - a, 1 << 13, np.int32)  # |sample| 2**15 times 2**14 stays within 31 bits for one tap; sums are bounded below
-            wide = acc.astype(np.int64) if np.abs(h[p]).sum() > (1 << 15) else acc
+            fits = np.abs(h[p]).sum() <= 1 << 15  # then sums of samples times taps stay within 31 bits
+            wide = np.full(b - a, 1 << 13, np.int32 if fits else np.int64)
             for j in range(taps):
                 if h[p, j]:
                     wide += part[j : j + b - a] * h[p, j]

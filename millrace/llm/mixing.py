@@ -14,7 +14,7 @@ Tokens are words here (runs without ASCII white space), at least one for a text;
 Defined results: a null text counts as empty (one token); null language or source form leaves of their own
 (`~`); repeated rows are chosen alike, as copies; ties in the order go by doc_id, and rows with equal doc_id
 are taken or left together; unknown domains, languages and sources weigh 1; an empty table or a zero
-weight gives no rows; extra columns are carried along by mix().
+weight gives no rows; extra columns are carried along by mix(), which finds the chosen rows by doc_id.
 """
 
 from __future__ import annotations
@@ -150,3 +150,32 @@ def op6(spark, sf_dir):
         words_in(F.col("text")).alias("tokens"),
     )
     return choose(materialise(rows, "mix-tokens"), WEIGHTS, BUDGET_SHARE, MAX_EPOCHS, SEED)
+
+
+def _filled(name: str, source: str, parent: str, child: str) -> str:
+    """SQL views that end in `name`: source (parent, child, w, lim, budget) with `given`."""
+    order = f"partition by {parent} order by lim / w, {child}"
+    return f"""
+{name}_a as (select *, (budget - coalesce(sum(lim) over ({order} rows between unbounded preceding and 1 preceding), 0)) / sum(w) over ({order} rows between current row and unbounded following) as level from {source}),
+{name}_b as (select *, lim <= level * w as is_full from {name}_a),
+{name} as (select *, case when is_full then lim else (budget - coalesce(sum(case when is_full then lim end) over (partition by {parent}), 0)) * w / sum(case when not is_full then w end) over (partition by {parent}) end as given from {name}_b)"""
+
+
+def _sql_weight(column: str, weights: Mapping[str, float]) -> str:
+    return f"case {column} {' '.join(f"when '{k}' then {v}" for k, v in weights.items())} else 1.0 end::double"
+
+
+#: The same rows in SQL, every epoch's order sorted whole.
+ORACLE = rf"""
+with t as (select doc_id, case when source is null then '~' when source = 'src0' then 'bulk' else 'd' || (coalesce(try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') as int), 0) % 4) end as domain,
+  coalesce(lang, '~') as language, coalesce(source, '~') as origin, greatest(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')), 1) as tokens from documents),
+lf as (select domain, language, origin, sum(tokens)::double as tokens from t group by all),
+s1 as (select 0 as root, domain, {_sql_weight("domain", DOMAIN_WEIGHTS)} as w, sum(tokens) * {MAX_EPOCHS} as lim, (select sum(tokens) from lf) * {BUDGET_SHARE} as budget from lf group by domain),{_filled("f1", "s1", "root", "domain")},
+s2 as (select x.domain, language, {_sql_weight("language", LANGUAGE_WEIGHTS)} as w, lim, given as budget from (select domain, language, sum(tokens) * {MAX_EPOCHS} as lim from lf group by all) x join (select domain, given from f1) using (domain)),{_filled("f2", "s2", "domain", "language")},
+s3 as (select domain, language, origin, tokens, 1.0::double as w, tokens * {MAX_EPOCHS} as lim, given as budget from lf join (select domain, language, given from f2) using (domain, language)),{_filled("f3", "s3", "domain, language", "origin")},
+b as (select domain, language, origin, least({MAX_EPOCHS}, floor(round(given / tokens, 9)))::int as whole, given, tokens as have from f3),
+c as (select domain, language, origin, whole, greatest(0.0, round(given - whole * have, 6)) as rest from b),
+r as (select t.*, whole, rest from t join c using (domain, language, origin)),
+p as (select *, sum(tokens) over (partition by domain, language, origin order by md5('{SEED}:' || (whole + 1) || ':' || coalesce(doc_id::varchar, '~')), doc_id) as upto from r where whole < {MAX_EPOCHS})
+select doc_id, domain, language, origin, tokens, unnest(range(1, whole + 1))::int as epoch from r where whole > 0
+union all select doc_id, domain, language, origin, tokens, (whole + 1)::int from p where upto <= rest"""

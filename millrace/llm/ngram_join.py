@@ -39,6 +39,7 @@ FRAGMENT_BYTES = 24 << 20
 #: Fragments in which pairs are verified.
 PAIR_FRAGMENTS = 8
 SKETCH = 16  # longs of 64 bits
+_NO_ID = -(1 << 63)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -104,7 +105,7 @@ def _segments(batches, fragments: int, words: int):
         sigs = np.array([_signature(s) if len(s) else 0 for s in own], np.int64)
         sizes = np.array([len(s) for s in own], np.uint32)
         ids = part.column("doc_id")
-        rows = [(block % fragments, 1, pc.fill_null(ids, -(1 << 63)).to_numpy().astype(np.int64).tobytes(), sigs.tobytes(), sizes.tobytes(), b"")]
+        rows = [(block % fragments, 1, pc.fill_null(ids, _NO_ID).to_numpy().astype(np.int64).tobytes(), sigs.tobytes(), sizes.tobytes(), b"")]
         first = np.unique(sigs, return_index=True)[1]  # one text of each class
         first = first[sizes[first] > 0]
         if len(first):
@@ -137,7 +138,7 @@ def _partial(batches, buckets: int):
             if kind == 1:
                 doc = np.frombuffer(ids, np.int64)
                 none = [pa.nulls(len(doc), t) for t in (pa.int32(), pa.binary(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(doc), np.int32)), pa.array(doc, mask=doc == -(1 << 63)), pa.array(sig), pa.array(n.astype(np.int32)), *none], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(doc), np.int32)), pa.array(doc, mask=doc == _NO_ID), pa.array(sig), pa.array(n.astype(np.int32)), *none], names)
             else:
                 held.setdefault(f, []).append((sig, n, np.frombuffer(hashes, np.uint32)))
     for f in sorted(held):
@@ -146,19 +147,20 @@ def _partial(batches, buckets: int):
         first = np.unique(sig, return_index=True)[1]
         kept = np.zeros(len(sig), bool)
         kept[first] = True
-        who = np.repeat(np.arange(len(sig)), n)
+        del own
+        who = np.repeat(np.arange(len(sig), dtype=np.int32), n)
         inside = kept[who]
-        h, who = h[inside], who[inside]
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = s[1:] == s[:-1]
-        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        total = np.bincount(who[order[shared]], minlength=len(sig))
+        pair = h[inside].astype(np.uint64) << np.uint64(32) | who[inside].astype(np.uint64)
+        del h, who, inside
+        pair.sort()
+        same = np.diff(pair >> np.uint64(32)) == 0
+        shared = (np.concatenate([[False], same]) | np.concatenate([same, [False]]))[: len(pair)]
+        total = np.bincount((pair[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(sig))
         at = np.flatnonzero(total)
         bucket = (sig[at].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
         at = at[np.argsort(bucket, kind="stable")]
         there, cuts = np.unique(np.sort(bucket), return_index=True)
-        del h, who, order, s, same, shared, kept, inside
+        del pair, same, shared
         tidy()
         sigs = [x.tobytes() for x in np.split(sig[at], cuts[1:])] if len(at) else []
         counts = [x.tobytes() for x in np.split(total[at].astype(np.int64), cuts[1:])] if len(at) else []
@@ -246,14 +248,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counted = materialise(dealt.mapInArrow(lambda b: _partial(b, fragments), _PARTIAL), "join-partial")
 
     texts = counted.where("kind = 1").select("doc_id", "sig", F.col("n").alias("n_shingles"))
-    classes = texts.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    keyed = F.coalesce(F.col("doc_id"), F.lit(_NO_ID))
+    classes = texts.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max(keyed).alias("key"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     shared = counted.where("kind = 0").select("bucket", "sigs", "counts").repartition(fragments, "bucket").mapInArrow(_summed, "sig long, shared long")
-    rest = materialise(shared.join(classes, "sig").where(f"shared * 100 >= n * {PERCENT}").select("sig", "rep", "n", (F.col("n") - F.col("shared")).alias("own")), "join-rest")
+    rest = materialise(shared.join(classes, "sig").where(f"shared * 100 >= n * {PERCENT}").select("sig", "key", "n", (F.col("n") - F.col("shared")).alias("own")), "join-rest")
     n_rest = rest.count()
-    ids = rest.select(F.col("rep").alias("doc_id"), "own", F.col("sig").alias("is"))
-    whole = docs.join(small(ids.select("doc_id"), n_rest), "doc_id", "left_semi").mapInArrow(lambda b: _whole(b, words), "doc_id long, sig long, n int, sketch array<long>, prefix array<long>, parts array<array<long>>")
-    whole = materialise(whole, "join-sets")
-    whole = whole.join(small(ids.select(F.col("is").alias("sig"), "own"), n_rest), "sig")
+    wanted = docs.withColumn("key", keyed).join(small(rest.select("key"), n_rest), "key", "left_semi").select("doc_id", "text")
+    whole = wanted.mapInArrow(lambda b: _whole(b, words), "doc_id long, sig long, n int, sketch array<long>, prefix array<long>, parts array<array<long>>")
+    whole = materialise(whole, "join-sets").drop("doc_id")
+    whole = whole.join(small(rest.select("sig", "own"), n_rest), "sig")
     parts = whole.select("sig", "n", F.posexplode("parts").alias("frag", "grams")).where(F.size("grams") > 0)
     posts = materialise(whole.select("sig", "n", "own", F.explode("prefix").alias("h")), "join-posts")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from millrace.llm.dedup import op9
 from millrace.llm.langid import op4
 from millrace.llm.media import op8
+from millrace.llm.mixing import ORACLE as MIX_SQL
 from millrace.llm.mixing import op6
 from millrace.llm.ngram_join import op5
 from millrace.llm.packing import op7
@@ -27,6 +28,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_hierarchical_mix": MIX_SQL,
     "op9_exact_dedup": r"""
 with n as (select doc_id, text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t from documents)
 select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by t) as group_size,
