@@ -122,7 +122,7 @@ _FOLD = _folds()
 _CHANGED = _FOLD | dict.fromkeys(_INVISIBLE, "")
 _UNUSUAL = re.compile("[^" + "".join(c for c in map(chr, range(256)) if c not in _CHANGED and c not in "]\\^-") + "\\]\\\\^-]")  # outside Latin-1, or changed within it
 _number = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<![^\W_])(?:{_number}|[0-9])(?:[ ,.-]{{1,2}}(?:{_number}|[0-9])(?![^\W_]))+(?![^\W_])", re.I)
+_SPELLED = re.compile(rf"(?<![^\W_])(?:{_number}|[0-9]+)(?:[ ,.()-]{{1,3}}(?:{_number}|[0-9]+)(?![^\W_]))+(?![^\W_])", re.I)
 _NUMBER = re.compile(rf"{_number}|[0-9]", re.I)
 _at, _dot = "|".join(_AT_WORDS), "|".join(_DOT_WORDS)
 _BRACKET_AT = re.compile(rf"[ \t]*(?:[\[({{<][ \t]*(?:{_at}|@)[ \t]*[\])}}>])[ \t]*", re.I)
@@ -132,6 +132,12 @@ _SPOKEN = re.compile(
     rf"(?P<host>[A-Za-z0-9-]+(?:(?:[ \t]+(?:{_dot})[ \t]+|\.)[A-Za-z0-9-]+)*(?:[ \t]+(?:{_dot})[ \t]+|\.)(?:{'|'.join(_DOMAINS)}))(?![A-Za-z0-9])",
     re.I,
 )
+_SPACED = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?P<at>[ \t]*@[ \t]*)(?P<host>[A-Za-z0-9-]+(?:[ \t]?\.[ \t]?[A-Za-z0-9-]+)*[ \t]?\.[ \t]?(?:{'|'.join(_DOMAINS)}))(?![A-Za-z0-9])",
+    re.I,
+)
+#: Which dot words go with which bare at words; others in between are prose.
+_PAIRS = {"at": {"dot", "punkt"}, "ät": {"dot", "punkt"}, "klammeraffe": {"punkt"}, "arobase": {"point"}, "arroba": {"punto"}, "@": set(_DOT_WORDS)}
 _SPOKEN_IP = re.compile(rf"(?<![^\W_])[0-9]{{1,3}}(?:(?:[ \t]+(?:{_dot})[ \t]+|\.)[0-9]{{1,3}}){{3}}(?![^\W_])", re.I)
 _DOT_WORD = re.compile(rf"[ \t]+(?:{_dot})[ \t]+", re.I)
 _PLUS = re.compile(r"(?<![^\W_])plus[ \t]+(?=[0-9])", re.I)
@@ -142,6 +148,10 @@ _AT_SET = frozenset(_AT_WORDS)
 _DIGIT_SET = frozenset(_DIGIT_WORDS)
 
 
+#: A number of so many digits, three different ones or more, that was at least half spelled is a phone number even without a plus.
+_SPELLED_PHONE = range(10, 14)
+
+
 class Rewritten:
     """A text with, for each of its characters, the source span that it stands for."""
 
@@ -181,7 +191,7 @@ def suspicious(text: str) -> bool:
     if " @" in text or "@ " in text or "\t@" in text or "@\t" in text or _BRACKETS.search(text) is not None:
         return True
     low = text.lower()
-    words = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
+    words = low.replace("-", " ").replace(",", " ").replace(".", " ").replace("(", " ").replace(")", " ").split()
     seen = set(words)
     if "plus" in seen or not _DOT_SET.isdisjoint(seen):
         return True
@@ -190,7 +200,7 @@ def suspicious(text: str) -> bool:
     if not _DIGIT_SET.isdisjoint(seen):
         run = 0
         for w in words:
-            run = run + 1 if w in _DIGIT_SET or len(w) == 1 and w in "0123456789" else 0
+            run = run + 1 if w in _DIGIT_SET or w.isdigit() else 0
             if run == 4:
                 return True
     return False
@@ -206,14 +216,29 @@ def deobfuscate(text: str) -> Rewritten:
     out = out.replace([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(out.text)])
     edits = []
     for m in _SPOKEN.finditer(out.text):
+        dots = {d[0].strip().lower() for part in ("local", "host") for d in _DOT_WORD.finditer(out.text, m.start(part), m.end(part))}
+        if not dots <= _PAIRS[m["at"].strip().lower()]:
+            continue
         edits += [(d.start(), d.end(), ".") for d in _DOT_WORD.finditer(out.text, m.start("local"), m.end("local"))]
         edits.append((m.start("at"), m.end("at"), "@"))
         edits += [(d.start(), d.end(), ".") for d in _DOT_WORD.finditer(out.text, m.start("host"), m.end("host"))]
     out = out.replace([e for e in edits if e[2] != out.text[e[0] : e[1]]])
+    spaced = [(m.start("host") + d.start(), m.start("host") + d.end(), ".") for m in _SPACED.finditer(out.text) for d in re.finditer(r"[ \t]+\.[ \t]*|\.[ \t]+", m["host"])]
+    ats = [(m.start("at"), m.end("at"), "@") for m in _SPACED.finditer(out.text) if len(m["at"]) > 1]
+    out = out.replace(sorted(spaced + ats))
     out = out.replace([(d.start(), d.end(), ".") for m in _SPOKEN_IP.finditer(out.text) for d in _DOT_WORD.finditer(out.text, m.start(), m.end())])
     return out.replace([(m.start(), m.end(), "+") for m in _PLUS.finditer(out.text)])
 
 
+def spelled_phones(text: str) -> list[tuple[int, int]]:
+    out = []
+    for m in _SPELLED.finditer(text):
+        digits = [n[0] for n in _NUMBER.finditer(m[0])]
+        if len(digits) in _SPELLED_PHONE and 2 * sum(len(d) > 1 for d in digits) >= len(digits) and len({d.lower() for d in digits}) >= 3:
+            out.append(m.span())
+    return out
+
+
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, each by start, then kind as listed."""
     text = text or ""
@@ -226,6 +251,9 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
                 start, end = clean.source(a, b)
                 if not any(k == kind and start < e and s < end for s, e, k in every):
                     every.append((start, end, kind))
+            for start, end in spelled_phones(text):
+                if not any(start < e and s < end for s, e, _ in every):
+                    every.append((start, end, "phone"))
     rank = {k: i for i, k in enumerate(KINDS)}
     order = lambda s: (s[0], rank[s[2]])
     return sorted(base, key=order), sorted(every, key=order)
