@@ -172,3 +172,17 @@ def highlight(text: Column, terms: Sequence[str], before: str = "<em>", after: s
 def decoded(content: Column) -> Column:
     """Bytes as UTF-8 text, malformed ones replaced."""
     return F.make_valid_utf8(content.cast("string"))
+
+
+# MIME types by extension where platform tables differ.
+MIMES = {
+    "md": "text/markdown", "markdown": "text/markdown", "yaml": "text/yaml", "yml": "text/yaml", "py": "text/x-python", "txt": "text/plain",
+    "html": "text/html", "htm": "text/html", "json": "application/json", "csv": "text/csv", "tsv": "text/tab-separated-values", "pdf": "application/pdf",
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp",
+}
+
+
+def mime(path: Column) -> Column:
+    """The MIME type by extension, or null."""
+    pairs = [F.lit(x) for k, v in MIMES.items() for x in (k, v)]
+    return F.try_element_at(F.create_map(*pairs), extension(path))

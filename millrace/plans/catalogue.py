@@ -519,3 +519,82 @@ def latest_state(spark, d):
     stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern, as the table may be one file
     key = stream.withColumn("at", F.struct("ts", "event_type"))
     return run_stream(jobs.latest_state(key, "user_id", "at", ["event_type"])).select("user_id", "event_type")
+
+
+# ---- references, listings, snapshots
+
+
+@query("""with k as (select doc_id, 'pre/' || case when doc_id % 5 = 0 then source || '/' else source || '/' || doc_id || '.md' end as key, length(text) as size, '"' || md5(text) || '"' as etag from documents)
+select substr(key, 5) as path, size, trim(etag, '"') as etag from k where not ends_with(key, '/') and size <= 5000 and not regexp_matches(key, '^pre/src1/')""")
+def object_listing(spark, d):
+    from millrace.sources import folder
+
+    b = table(spark, d, "documents")
+    name = F.when(F.col("doc_id") % 5 == 0, F.concat("source", F.lit("/"))).otherwise(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")))
+    listing = b.select(F.concat(F.lit("pre/"), name).alias("key"), F.lit(0).alias("modified"), F.length("text").cast("long").alias("size"), F.concat(F.lit('"'), F.md5("text"), F.lit('"')).alias("etag"))
+    return folder.objects(listing, "pre", ["*.md"], ["src1/*"], 5000).select("path", "size", "etag")
+
+
+@query("select doc_id, case when strlen(text) < 2000 then 'inline_bytes' else 'url' end as kind, case when strlen(text) < 2000 then base64(encode(text)) end as bytes_b64 from documents")
+def inline_reference(spark, d):
+    ref = cdc.inline_reference(F.col("text").cast("binary"), F.lit("u"), 2000)
+    b = table(spark, d, "documents").select("doc_id", ref.alias("r"))
+    return b.select("doc_id", "r.kind", F.regexp_replace("r.bytes_b64", "[\\r\\n]", "").alias("bytes_b64"))
+
+
+@query("""select doc_id, case doc_id % 6 when 0 then true when 1 then doc_id % 4 = 1 when 2 then doc_id % 4 = 2 when 3 then true when 4 then doc_id % 8 = 4 else false end as valid from documents""")
+def reference_validation(spark, d):
+    n = F.col("doc_id")
+    kind = F.element_at(F.lit(["path", "inline_bytes", "inline_text", "url", "object_storage", "odd"]), (n % 6 + 1).cast("int"))
+    some = lambda c: F.when(c, F.lit("x"))
+    ref = F.struct(kind.alias("kind"), F.lit("p").alias("path"), some(n % 4 == 1).alias("bytes_b64"), some(n % 4 == 2).alias("text"), F.lit("u").alias("url"), some(n % 2 == 0).alias("bucket"), some(n % 8 == 4).alias("key"))
+    return table(spark, d, "documents").select("doc_id", routing.valid_reference(ref).alias("valid"))
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then left(text, 20) else '[file: ' || doc_id || '.xyz]' end as text from documents")
+def legacy_text(spark, d):
+    n = F.col("doc_id")
+    modality, ocr = F.when(n % 3 == 0, "image").otherwise("text"), F.when(n % 3 == 1, F.left("text", F.lit(20))).otherwise("")
+    return table(spark, d, "documents").select("doc_id", routing.legacy_text(modality, ocr, F.concat(n.cast("string"), F.lit(".xyz"))).alias("text"))
+
+
+@query("select event_type as path, max(ts) as content_modified_at from events group by 1")
+def last_commit(spark, d):
+    return cdc.last_commit(table(spark, d, "events").select(F.col("event_type").alias("path"), F.col("ts").alias("committed_at")))
+
+
+@query("""with c as (select doc_id, 2 as seen from documents where doc_id % 3 <> 0), p as (select doc_id, 1 as seen from documents where doc_id % 5 <> 0), f as (select doc_id from documents where doc_id % 7 = 0)
+select doc_id, seen from c where doc_id not in (select doc_id from f) union all select doc_id, seen from p where doc_id in (select doc_id from f)""")
+def next_snapshot(spark, d):
+    b = table(spark, d, "documents").select("doc_id")
+    return cdc.next_snapshot(b.where("doc_id % 3 <> 0").withColumn("seen", F.lit(2)), b.where("doc_id % 5 <> 0").withColumn("seen", F.lit(1)), b.where("doc_id % 7 = 0"), "doc_id")
+
+
+@query("""select page_id, regexp_replace(regexp_extract(regexp_replace(split_part(split_part(url, '?', 1), '#', 1) || '.git', '/+$', ''), '([^/]*)$', 1), '\\.git$', '') as repo from pages""")
+def repository_names(spark, d):
+    bare = F.regexp_replace("url", "[?#].*$", "")
+    return table(spark, d, "pages").select("page_id", urls.repository(F.concat(bare, F.lit(".git"))).alias("repo"))
+
+
+@query(f"with x as (select doc_id, lower({_EXT}) as e from documents) select doc_id, case e when 'png' then 'image/png' when 'txt' then 'text/plain' when 'jpeg' then 'image/jpeg' when 'md' then 'text/markdown' when 'pdf' then 'application/pdf' when 'webp' then 'image/webp' when 'html' then 'text/html' end as mime from x")
+def mime_inference(spark, d):
+    return _named(spark, d).select("doc_id", text.mime(F.col("path")).alias("mime"))
+
+
+@query("select event_id, strptime(strftime(ts, '%d %b %Y %H:%M:%S'), '%d %b %Y %H:%M:%S') as modified from events where event_id % 2 = 0 union all select event_id, null from events where event_id % 2 = 1")
+def http_dates(spark, d):
+    header = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Wed, "), F.date_format("ts", "dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).otherwise("soon")
+    return table(spark, d, "events").select("event_id", urls.http_time(header).cast("timestamp_ntz").alias("modified"))
+
+
+@query("select doc_id from documents where source not in (select distinct source from documents where doc_id % 50 = 0)")
+def unknown_sources(spark, d):
+    b = table(spark, d, "documents").select("doc_id", "source")
+    return b.join(b.where("doc_id % 50 = 0").select("source"), "source", "left_anti").select("doc_id")
+
+
+@query(None)
+def hashing_embeddings(spark, d):
+    from millrace.operators import embed
+
+    return embed.embed(docs(spark, d).select("doc_id", F.left("snippet", F.lit(400)).alias("content")), dimensions=32).select("doc_id", "vector")

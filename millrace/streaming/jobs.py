@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -64,3 +66,26 @@ def latest_state(stream: DataFrame, key: str, order: str, columns: list[str]) ->
 def backlog(progress: dict | None) -> int:
     """Rows that the last micro-batch found waiting, from a query's lastProgress."""
     return int((progress or {}).get("numInputRows") or 0)
+
+
+def supervise(start: Callable[[], StreamingQuery], attempts: int | None = None, first: float = 1.0, longest: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Keep a query running: after a failure it starts again from its checkpoint, waiting twice as long each time; a micro-batch that succeeds resets the wait."""
+    wait, failures = first, 0
+    while True:
+        query = start()
+        try:
+            query.awaitTermination()
+            return
+        except StreamingQueryException:
+            failures += 1
+            if any((p.get("numInputRows") or 0) > 0 for p in query.recentProgress):
+                wait = first
+            if attempts is not None and failures >= attempts:
+                raise
+            sleep(wait)
+            wait = min(2 * wait, longest)
+
+
+def counted(df: DataFrame, name: str, **conditions: Column) -> DataFrame:
+    """df with an observation `name`: rows, and rows that meet each condition; read from the query's progress or an Observation."""
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in conditions.items()])

@@ -26,7 +26,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
@@ -37,6 +37,11 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert got == sorted(([plain(x) for x in r] for r in rows), key=repr)
 
 
+def test_hashing_embeddings_are_unit_vectors(spark, sf_dir):
+    for r in QUERIES["hashing_embeddings"](spark, sf_dir).collect():
+        assert len(r.vector) == 32 and abs(sum(x * x for x in r.vector) - 1) < 1e-5
+
+
 def test_entry_runs_without_the_corpus_package(spark, sf_dir):
     import __spark_entry__
 
