@@ -1,0 +1,475 @@
+"""Each operator on awkward rows, against brute force or its own contract."""
+
+import hashlib
+import json
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import dedup, langid, media, mixing, ngram_join, packing, pii, queries, secrets, sharding, toxicity
+from millrace.llm.common import documents
+
+WHITE = re.compile("[\x20\x09-\x0d]+")
+KINDS = ["tricky", "wide", "empty", "blank"]
+
+
+def rows_of(spark, folder):
+    return [(r.doc_id, r.text) for r in documents(spark, folder).select("doc_id", "text").collect()]
+
+
+def collect(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def key(x):
+    return tuple((v is not None, v if v is not None else 0) if not isinstance(v, str) else (True, v) for v in x)
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_runs_on_every_table(spark, tables, name, kind):
+    out = queries.QUERIES[name](spark, tables[kind])
+    n = out.count()
+    assert n >= 0 and "doc_id" in out.columns
+    if name not in ("op6_hierarchical_mix", "op7_best_fit_packing"):
+        assert n == documents(spark, tables[kind]).count()
+
+
+@pytest.mark.parametrize("kind", ["tricky", "blank"])
+def test_dedup(spark, tables, kind):
+    groups = defaultdict(list)
+    rows = rows_of(spark, tables[kind])
+    for i, t in rows:
+        groups[WHITE.sub("", t or "")].append((-len(t or ""), i is None, i or 0))
+    got = queries.QUERIES["op9_exact_dedup"](spark, tables[kind]).collect()
+    by_text = defaultdict(list)
+    for r in got:
+        by_text[r.text_sha256].append(r)
+    for t, members in groups.items():
+        own = by_text[hashlib.sha256(t.encode()).hexdigest()]
+        best = min(members)
+        assert len(own) == len(members) and {r.group_size for r in own} == {len(members)}
+        assert {r.keep_id for r in own} == {None if best[1] else best[2]} and sum(r.kept for r in own) == 1
+
+
+def test_dedup_compares_bytes_on_hits(spark, tmp_path, monkeypatch):
+    """A digest that covers different texts is regrouped by the texts."""
+    monkeypatch.setattr(dedup.F, "sha2", lambda c, n: F.substring(F.md5(F.substring(c, 1, 1)), 1, 4))
+    spark.createDataFrame([(1, "ab"), (2, "a b"), (3, "ac"), (4, "x")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in dedup.exact_dedup(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True), 4: (4, 1, True)}
+
+
+def brute_join(rows):
+    table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t in rows:
+        w = [x for x in WHITE.split((t or "").translate(table)) if x]
+        sets.append({tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return [(i, len(sets[k]), least.get(find(k), i) if sets[k] else i) for k, (i, _) in enumerate(rows)]
+
+
+def test_join(spark, tables):
+    rows = rows_of(spark, tables["tricky"])
+    got = collect(queries.QUERIES["op5_ngram_jaccard_join"](spark, tables["tricky"]))
+    assert sorted(got, key=key) == sorted(brute_join(rows), key=key)
+
+
+def test_join_on_random_families(spark, tmp_path):
+    r = random.Random(5)
+    rows = []
+    for f in range(25):
+        words = [f"{f}_{r.randrange(60)}" for _ in range(r.randrange(4, 90))]
+        for _ in range(r.randrange(1, 9)):
+            own = [w if r.random() > 0.015 else f"z{r.randrange(10**6)}" for w in words]
+            rows.append((len(rows), " ".join(own)))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(collect(queries.QUERIES["op5_ngram_jaccard_join"](spark, str(tmp_path)))) == sorted(brute_join(rows))
+
+
+def test_packing(spark, tables):
+    words = packing.Words.of(packing.vocabulary())
+    want = []
+    for i, t in rows_of(spark, tables["tricky"]):
+        ids = np.array([*words.tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want += [(i, p, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())) for p, s in enumerate(range(0, len(ids), 2048))]
+    got = queries.QUERIES["op7_best_fit_packing"](spark, tables["tricky"]).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=key) == sorted(want, key=key)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for o, n in sorted(own):
+            assert o == at
+            at += n
+        assert at <= 2048
+    assert len(bins) <= -(-sum(w[3] for w in want) // 2048) + 1
+
+
+def test_packing_merges_over_rounds(spark):
+    """Underfull bins of many groups end as few full ones."""
+    bins = spark.range(3000).select(F.col("id").alias("bin"), (F.col("id") % 500 + 1).alias("load"))
+    moved = packing.merge_rounds(bins, group=100).collect()
+    held = defaultdict(list)
+    for r in moved:
+        held[r.into].append((r.base, r.bin % 500 + 1))
+    total = sum(k % 500 + 1 for k in range(3000))
+    for own in held.values():
+        at = 0
+        for base, load in sorted(own):
+            assert base == at
+            at += load
+        assert at <= 2048
+    assert len(moved) == 3000 and len(held) <= 1.03 * total / 2048
+
+
+def test_word_memo_equals_whole_texts(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 200)
+    words, r = packing.Words(packing.vocabulary()), random.Random(3)
+    parts = [*"aBcİıſKẗÅé́.,!?;:'’sSdDlL0123٣²½ \t\n\x0b\x0c\r\x1c\x85\xa0 ​﻿#@-—ßÄö中文🙂àα", "T̈.", "'s", "'LL", "don't. ", "<|endoftext|>", "é,"]
+    texts = ["".join(r.choices(parts, k=r.randrange(50))) for _ in range(3000)] + ["", None]
+    for k in range(0, len(texts), 250):
+        ids, counts = words.encode(pa.array(texts[k : k + 250], pa.string()))
+        at = 0
+        for t, n in zip(texts[k : k + 250], counts, strict=True):
+            assert ids[at : at + n].tolist() == words.tokenizer.encode(t or "", add_special_tokens=False).ids
+            at += n
+
+
+def test_sharding(spark, tables):
+    rows = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows_of(spark, tables["tricky"]))
+    got = queries.QUERIES["op10_sharding"](spark, tables["tricky"]).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == rows
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(16))
+
+
+def test_shards_are_even_under_a_hot_group(spark, tmp_path):
+    """A third of the rows are copies of one text; each shard is within one text of its share."""
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("c" * 400)).otherwise(F.repeat(F.col("id").cast("string"), (F.col("id") % 90).cast("int"))).alias("text")).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    sizes = [r[1] for r in queries.QUERIES["op10_sharding"](spark, str(tmp_path)).groupBy("shard").agg(F.sum("size")).collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) <= 2 * 401
+
+
+def brute_mix(rows, share, epochs, seed):
+    leaf = defaultdict(list)
+    for i, t, lang, source in rows:
+        m = re.search("([0-9]+)$", source or "")
+        domain = "~" if source is None else "bulk" if source == "src0" else f"d{(int(m[1]) if m else 0) % 4}"
+        leaf[domain, lang or "~", source or "~"].append((i, max(1, len([x for x in WHITE.split(t or "") if x]))))
+    tokens = {k: sum(n for _, n in v) for k, v in leaf.items()}
+
+    def fill(children, budget):
+        out, left = {}, dict(children)
+        while left:
+            weight = sum(w for w, _ in left.values())
+            full = [c for c, (w, limit) in left.items() if limit <= budget * w / weight + 1e-9]
+            if not full:
+                return out | {c: budget * w / weight for c, (w, _) in left.items()}
+            for c in full:
+                out[c] = left.pop(c)[1]
+                budget -= out[c]
+        return out
+
+    def down(keys, depth, budget):
+        if depth == 3:
+            return {keys[0]: budget}
+        by = defaultdict(list)
+        for k in keys:
+            by[k[depth]].append(k)
+        weights = [mixing.DOMAIN_WEIGHTS, mixing.LANGUAGE_WEIGHTS, {}][depth]
+        given = fill({c: (weights.get(c, 1.0), epochs * sum(tokens[k] for k in own)) for c, own in by.items()}, budget)
+        return {k: v for c, b in given.items() for k, v in down(by[c], depth + 1, b).items()}
+
+    out = []
+    for k, budget in down(list(leaf), 0, share * sum(tokens.values())).items() if leaf else ():
+        whole = min(epochs, int(round(budget / tokens[k], 9)))
+        left, used = round(budget - whole * tokens[k], 6), 0
+        out += [(i, *k, n, e) for e in range(1, whole + 1) for i, n in leaf[k]]
+        order = defaultdict(list)
+        for i, n in leaf[k]:
+            order[hashlib.md5(f"{seed}:{whole + 1}:{'~' if i is None else i}".encode()).hexdigest(), i].append(n)
+        for _, i in sorted(order, key=lambda x: x[0]) if whole < epochs else ():
+            own = order[hashlib.md5(f"{seed}:{whole + 1}:{'~' if i is None else i}".encode()).hexdigest(), i]
+            used += sum(own)
+            if used > left:
+                break
+            out += [(i, *k, n, whole + 1) for n in own]
+    return out
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 1.0, 1.9])
+def test_mixing(spark, tables, share):
+    rows = [tuple(r) for r in documents(spark, tables["tricky"]).select("doc_id", "text", "lang", "source").collect()]
+    d = documents(spark, tables["tricky"]).select("doc_id", F.coalesce(mixing.domain_of(F.col("source")), F.lit("~")).alias("domain"), F.coalesce("lang", F.lit("~")).alias("language"), F.coalesce("source", F.lit("~")).alias("origin"), mixing.words_in(F.col("text")).alias("tokens"))
+    got = collect(mixing.choose(d, mixing.WEIGHTS, share, 2, 17).select("doc_id", "domain", "language", "origin", "tokens", "epoch"))
+    assert sorted(got, key=key) == sorted(brute_mix(rows, share, 2, 17), key=key)
+
+
+def test_mixing_on_many_documents(spark, sf_dir):
+    rows = [tuple(r) for r in documents(spark, sf_dir).select("doc_id", "text", "lang", "source").collect()]
+    got = collect(queries.QUERIES["op6_hierarchical_mix"](spark, sf_dir).select("doc_id", "domain", "language", "origin", "tokens", "epoch"))
+    assert sorted(got) == sorted(brute_mix(rows, mixing.BUDGET_SHARE, mixing.MAX_EPOCHS, mixing.SEED))
+
+
+# ---- secrets and personal data
+
+ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute_secrets(t):
+    t = t or ""
+    out = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+
+
+def test_secret_base_spans(spark, tables):
+    r = random.Random(1)
+    parts = ["password", "API_KEY", "token", '"', "'", "=", ":", " ", "abc", "deadbeef", "0123456789abcdef", "AKIA", "ABCD1234", "é", "\n", "sec", "ret", "ſecret", "9"]
+    texts = ["".join(r.choices(parts, k=r.randrange(30))) for _ in range(4000)]
+    found = secrets.find(texts, secrets.trained())
+    for t, (base, every, _) in zip(texts, found, strict=True):
+        assert [(a, b, k) for a, _, b, k in brute_secrets(t)] == base and set(base) <= set(every)
+    for row in queries.QUERIES["op1_secret_scan"](spark, tables["tricky"]).collect():
+        if row.doc_id == 12:
+            assert (row.n_assign, row.n_access, row.n_hex) == (1, 1, 1)
+            t = documents(spark, tables["tricky"]).where("doc_id = 12").first().text
+            assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in brute_secrets(t)).encode()).hexdigest()
+
+
+def test_secret_network_on_unseen_findings():
+    net = secrets.trained()
+    found, y = secrets.labelled_findings(1000, 12345)
+    p = net.score(np.stack([secrets.window(*f) for f in found]))
+    assert (p[y == 1] >= net.threshold).mean() >= 0.93 and (p[y == 0] >= net.threshold).mean() <= 0.05
+    base, every, _ = secrets.find(["key ghp_9dJ3kfL0sZ2pQ7wX8vB1nM4cT6yR5eU0aH end"], net)[0]
+    assert base == [] and every == [(4, 42, "cnn")]
+
+
+def test_network_gradient():
+    net = secrets.Network(3)
+    found, y = secrets.labelled_findings(8, 4)
+    x = np.stack([secrets.window(*f) for f in found])
+    loss = lambda: float(np.mean(np.logaddexp(0, net.forward(x)[0]) - y * net.forward(x)[0]))
+    before, state = loss(), {}
+    for t in range(1, 30):
+        net.step(x, y, state, t)
+    assert loss() < 0.6 * before
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(d[::-1])) % 10 == 0
+
+
+def brute_pii(t):
+    out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[ -]", "", m[0])
+        out += [(m.start(), 2, m.end(), "card")] if 14 <= len(d) <= 19 and luhn(d) else []
+    out += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(out)
+
+
+def test_pii_base_spans(spark, tables):
+    r = random.Random(2)
+    parts = ["a", "B9", "@", "@", ".", ".", "-", "+", " ", "1", "255", "256", "07", "4111", "1111", "(", ")", "é", "x.y", "\n", "_"]
+    for t in ["".join(r.choices(parts, k=r.randrange(40))) for _ in range(6000)]:
+        base, every = pii.find(t)
+        assert [(a, b, k) for a, _, b, k in brute_pii(t)] == base and set(base) <= set(every)
+    row = next(x for x in queries.QUERIES["op2_personal_data"](spark, tables["tricky"]).collect() if x.doc_id == 11)
+    assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 1, 1, 1)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("write to john dot doe at example dot com now", "email", "john dot doe at example dot com"),
+        ("see john [at] example [dot] com!", "email", "john [at] example [dot] com"),
+        ("x jоhn@exаmple.com y", "email", "jоhn@exаmple.com"),
+        ("a​b@ex​ample.com", "email", "a​b@ex​ample.com"),
+        ("call plus four nine one seven two five five five zero one nine nine now", "phone", "plus four nine one seven two five five five zero one nine nine"),
+        ("tel +1 ５５５ １２３ ４５６７.", "phone", "+1 ５５５ １２３ ４５６７"),
+        ("at 192 dot 168 dot 1 dot 10 ok", "ip", "192 dot 168 dot 1 dot 10"),
+        ("ring +1 (seven four three) five five five 3824 now", "phone", "+1 (seven four three) five five five 3824"),
+        ("it is five five five one two three four five six seven ok", "phone", "five five five one two three four five six seven"),
+        ("to john @ example . com please", "email", "john @ example . com"),
+        ("host 192[.]168[.]0[.]1 up", "ip", "192[.]168[.]0[.]1"),
+        ("card four one one one 1 1 1 1 one one one one one one one one end", "card", "four one one one 1 1 1 1 one one one one one one one one"),
+    ],
+)
+def test_pii_deobfuscation_keeps_offsets(text, kind, part):
+    base, every = pii.find(text)
+    assert base == [] and every == [(text.index(part), text.index(part) + len(part), kind)]
+    assert pii.masked(text) == text.replace(part, f"[{kind.upper()}]")
+
+
+@pytest.mark.parametrize("text", ["meet at the dot. com", "one of the two at home", "that at on. The de un un un", "look at this. example", "look at this point us all", "pages 1, 2, 3, 4, 5, 6, 7, 8, 9, 10", "un " * 11, "", None])
+def test_pii_leaves_prose_alone(text):
+    assert pii.find(text) == ([], [])
+
+
+def test_pii_is_linear():
+    import time
+
+    began = time.time()
+    for t in ("a" * 200_000 + " @", "1" * 200_000 + ".", "1." * 100_000, "+1" + " " * 200_000, "@" * 100_000, "one " * 50_000):
+        pii.find(t)
+    assert time.time() - began < 20
+
+
+# ---- media
+
+
+def test_media_round_trip(spark, tables):
+    texts = dict(rows_of(spark, tables["tricky"]))
+    for r in queries.QUERIES["op8_telephony_media"](spark, tables["tricky"]).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    stored = media.store_texts(documents(spark, tables["tricky"])).collect()
+    codec, _, data = media.parse(bytes(stored[0].media))
+    assert media.payload_of(codec, data).rstrip(b" ") == (texts[stored[0].doc_id] or "").encode().rstrip(b" ")
+    pcm = media.decode_media(media.store_texts(documents(spark, tables["tricky"]))).collect()
+    assert all(bytes(p.pcm)[:4] == b"RIFF" for p in pcm)
+
+
+def test_expansion_tables():
+    """Known points of both laws, and symmetry."""
+    assert media.MULAW[0xFF] == 0 and media.MULAW[0x7F] == 0 and media.MULAW[0x80] == 32124 and media.MULAW[0x00] == -32124
+    assert media.ALAW[0xD5] == 8 and media.ALAW[0x55] == -8 and media.ALAW[0xAA] == 32256 and media.ALAW[0x2A] == -32256
+
+
+def test_adpcm_equals_a_plain_decoder():
+    rng = np.random.default_rng(1)
+    blocks = rng.integers(0, 256, (7, 40), dtype=np.uint8)
+    blocks[:, 2] = [0, 5, 88, 200, 40, 1, 60]
+    for row, got in zip(blocks, media.adpcm_blocks(blocks), strict=True):
+        level, at = int(np.frombuffer(row[:2].tobytes(), "<i2")[0]), min(int(row[2]), 88)
+        want = [level]
+        for byte in row[4:].tolist():
+            for code in (byte & 15, byte >> 4):
+                step = media.STEPS[at]
+                d = step // 8 + (step if code & 4 else 0) + (step // 2 if code & 2 else 0) + (step // 4 if code & 1 else 0)
+                level = max(-32768, min(32767, level - d if code & 8 else level + d))
+                at = max(0, min(88, at + media.MOVES[code & 7]))
+                want.append(level)
+        assert got.tolist() == want
+
+
+def test_resampling_chunks_join():
+    x = np.random.default_rng(2).integers(-32768, 32768, 5000).astype("<i2")
+    whole = np.concatenate(list(media.resample(x, 8000)))
+    assert len(whole) == 10000 and (whole == np.concatenate(list(media.resample(x, 8000, chunk=333)))).all() and (whole[::2] == x).all()
+    assert media.parse(b"junk") is None and media.parse(None) is None
+
+
+# ---- models
+
+
+def test_language_id_on_held_out_rows(spark, sf_dir):
+    got = queries.QUERIES["op4_language_id"](spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 20 and sum(r.lang_pred == r.lang for r in got) / len(got) >= 0.95
+    assert all(0 <= r.score <= 1 for r in got)
+    assert {r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in queries.QUERIES["op4_language_id"](spark, sf_dir).collect()} == {True}
+
+
+def test_language_id_on_awkward_rows(spark, tables):
+    got = {r.doc_id: r for r in queries.QUERIES["op4_language_id"](spark, tables["tricky"]).collect()}
+    assert [got[k].lang_pred for k in (3, 4, 5, 10)] == ["und"] * 4
+    assert langid.Model([], {}, np.zeros((0, 0)), {}).predict(pa.array(["abc", None])) == (["und", "und"], [0.0, 0.0])
+
+
+def test_words_before_grams():
+    """A known word decides by itself; an unseen one by the longest known n-gram."""
+    h, _ = langid.gram_hashes(["abcde"])
+    empty = (np.zeros(0, np.uint64), np.zeros((0, 2), np.float32))
+    grams = dict.fromkeys(langid.GRAM_SIZES, empty)
+    grams[3] = (np.sort(h[3][0][h[3][1]])[:1], np.array([[0.0, 2.0]], np.float32))
+    m = langid.Model(["x", "y"], {"known": 0}, np.array([[3.0, 0.0]], np.float32), grams)
+    assert m.predict(pa.array(["known", "abcde"]))[0] == ["x", "y"]
+    assert np.allclose(m.unseen(["abcde"])[0], [0, 2 * langid.BACKOFF**3])
+
+
+def test_toxicity_on_held_out_rows(spark, tmp_path):
+    """Planted insults are learned from labels of other rows, and clean texts are left alone."""
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefghij", k=5)) for _ in range(400)]
+    rows, labels = [], []
+    for k in range(900):
+        own = r.choices(words, k=60)
+        toxic = k % 5 == 0
+        if toxic:
+            own[10:10] = ["zorgon" + r.choice(["a", "ich", "ung"]), r.choice(["idiot", "moron"])]
+        rows.append((k, " ".join(own)))
+        labels.append((k, 1, int(toxic)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = [x for x in queries.QUERIES["op3_toxicity"](spark, str(tmp_path)).collect() if x.held_out]
+    assert {x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) for x in got} == {True}
+    hit = sum(x.predicted for x in got if x.doc_id % 5 == 0) / sum(x.doc_id % 5 == 0 for x in got)
+    wrong = sum(x.predicted for x in got if x.doc_id % 5) / sum(x.doc_id % 5 > 0 for x in got)
+    assert hit >= 0.95 and wrong <= 0.02
+
+
+def test_label_model_discounts_copies():
+    """Three copies of one voter speak with about one voice, and a good voter is told from a bad one."""
+    rng = np.random.default_rng(3)
+    y = rng.random(3000) < 0.3
+    vote = lambda a: np.where(rng.random(3000) < a, np.where(y, 1, -1), np.where(y, -1, 1))
+    same = vote(0.7)
+    votes = np.stack([vote(0.9), vote(0.85), same, same, same, vote(0.8)], 1)
+    m = toxicity.LabelModel(votes, 0.3)
+    assert m.voice[2] < 0.5 < m.voice[0] and m.accuracy[0] > m.accuracy[2]
+    assert ((m.posterior(votes) > 0.5) == y).mean() > 0.9
+
+
+def test_sql_of_dedup(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    got = queries.QUERIES["op9_exact_dedup"](spark, sf_dir)
+    want = con.sql(queries.ORACLES["op9_exact_dedup"])
+    assert sorted(collect(got.select(*want.columns))) == sorted(want.fetchall())
+
+
+def test_sharding_probes_count_exactly(spark):
+    table = spark.range(500).select((F.xxhash64("id") % 50).alias("h"), F.col("id"), (F.col("id") % 7 + 1).alias("size"))
+    held = [(r.h, r.id, r["size"]) for r in table.collect()]
+    probes = sorted({(h, i) for h, i, _ in held[::37]})
+    assert sharding.bytes_below(table, probes) == [(sum(s for h, i, s in held if (h, i) < p), sum((h, i) < p for h, i, _ in held)) for p in probes]
+
+
+def test_queries_are_registered():
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert json.dumps(sorted(names))
+    assert ngram_join.PERCENT == 85
