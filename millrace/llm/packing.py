@@ -7,13 +7,12 @@ groups each round, until one group is left or merging gains no more. Only (bin,
 pieces are given their final sequence and offset by one join at the end.
 
 Defined results: a null text counts as empty and is one piece that holds only the end id; repeated rows are
-packed as rows of their own; ties in length go by doc_id, piece; a null doc_id sorts first; an empty table gives
+packed as rows of their own; ties in length go by doc_id, piece (a null id as 0); an empty table gives
 an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterable
@@ -32,8 +31,8 @@ END_ID = 0
 #: Bins that one task merges.
 GROUP = 16_384
 #: A worker remembers the ids of at most so many words; when they are more, the half used last stays.
-MEMO = 600_000
-SLICE_BYTES = 8 << 20
+MEMO = 500_000
+SLICE_BYTES = 2 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long"
 
@@ -44,9 +43,8 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def _closed(c: str) -> bool:
-    """Whether c, normalised, ends in a letter or number: then a mark after it starts a pre-token."""
-    return c.isalnum() and (c.isascii() or unicodedata.normalize("NFC", c).lower()[-1].isalnum())
+#: A last character that is a letter or number, and stays one when normalised: marks after it are a pre-token.
+_CLOSED = "[0-9A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]$"
 
 
 class Words:
@@ -67,6 +65,9 @@ class Words:
         self.begin, self.width, self.used = (np.zeros(1, np.int64) for _ in range(3))
         self.pool = np.zeros(0, "<u2")
         self.turn = 0
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -74,36 +75,53 @@ class Words:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """Encode words as one text, joined by spaces, and cut its ids where words begin."""
-        out: dict[str, bytes] = {}
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            raw = np.array(got.ids, "<u2").tobytes()
-            begins = np.cumsum([0, *(len(w) + 1 for w in part)])
-            cut = (2 * np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), begins)).tolist()
-            out.update(zip(part, (raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)), strict=True))
-        return out
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words encoded as one text, joined by spaces, and where each word's begin and how many they are.
+
+        A word of letters is one pre-token, whose last id is a token that ends a word; others are found by their place."""
+        plain = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+        begin, width = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        ids, at = [], 0
+        for group, simple in ((np.flatnonzero(plain), True), (np.flatnonzero(~plain), False)):
+            for k in range(0, len(group), 20_000):
+                own = group[k : k + 20_000]
+                part = words.take(pa.array(own)).to_pylist()
+                got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+                new = np.array(got.ids, "<u2")
+                ends = np.flatnonzero(self.ends_word[new]) + 1
+                if simple and len(ends) == len(part):  # each word has at least one end, so each has one
+                    begin[own] = at + np.concatenate([[0], ends[:-1]])
+                    width[own] = np.diff(ends, prepend=0)
+                else:
+                    places = np.cumsum([0, *(len(w) + 1 for w in part)])
+                    cut = np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), places)
+                    begin[own], width[own] = at + cut[:-1], np.diff(cut)
+                ids.append(new)
+                at += len(new)
+        return np.concatenate([*ids, np.zeros(0, "<u2")]), begin, width
 
     def _add(self, fresh: pa.Array) -> None:
-        split = []
-        for w in fresh.to_pylist():
-            low = w.lower() if w.isascii() else w
-            stem = low.rstrip(".,!?;:")
-            if len(stem) < len(low) and stem and _closed(stem[-1]):
-                split.append((stem, low[len(stem) :]))
-            else:
-                split.append((low, ""))
-        got = self._encode(sorted({x for pair in split for x in pair if x}))
-        got[""] = b""
-        ids = [got[a] + got[b] for a, b in split]
-        width = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        low = pc.if_else(pc.string_is_ascii(fresh), pc.ascii_lower(fresh), fresh)
+        stem = pc.ascii_rtrim(low, characters=".,!?;:")
+        splits = pc.and_(pc.less(pc.binary_length(stem), pc.binary_length(low)), pc.match_substring_regex(stem, _CLOSED))
+        stem = pc.if_else(splits, stem, low)
+        tail = pa.array([""] * len(fresh), pa.string())
+        lengths = pc.utf8_length(stem).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(splits.to_numpy(zero_copy_only=False))
+        if len(at):
+            marks = [w[n:] for w, n in zip(low.take(pa.array(at)).to_pylist(), lengths[at].tolist(), strict=True)]
+            tail = pc.replace_with_mask(tail, splits, pa.array(marks, pa.string()))
+        coded = pa.concat_arrays([stem, tail]).dictionary_encode()
+        ids, begin, width = self._encode(coded.dictionary)
+        index = coded.indices.to_numpy()
+        both = np.stack([index[: len(fresh)], index[len(fresh) :]], 1).ravel()  # stem and marks of each word in turn
+        widths = width[both]
+        total = widths.reshape(-1, 2).sum(1)
         self.words = pa.concat_arrays([self.words, fresh])
-        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(width) - width])
-        self.width = np.concatenate([self.width, width])
-        self.used = np.concatenate([self.used, np.full(len(ids), self.turn)])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u2")])
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(total) - total])
+        self.width = np.concatenate([self.width, total])
+        self.used = np.concatenate([self.used, np.full(len(fresh), self.turn)])
+        self.pool = np.concatenate([self.pool, ids[_ragged(begin[both], widths)]])
 
     def _forget(self) -> None:
         """Keep the half of the words that were used last."""
