@@ -51,11 +51,10 @@ def semantic(
 
 
 def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, tie: str = "chunk_id") -> DataFrame:
-    """queries: query_id, query_vector, a stated set that is broadcast. The k best per query: each task first keeps its own k, so k rows per task and query are shuffled."""
+    """queries: query_id, query_vector, a stated set that is broadcast. The k best per query: the planner limits each group before the exchange too (WindowGroupLimit), so k rows per task and query are shuffled."""
     scored = vectors.crossJoin(F.broadcast(queries.select("query_id", "query_vector"))).withColumn("score", ranking.cosine(F.col("vector"), F.col("query_vector"))).where(F.col("score") >= threshold)
     narrow = scored.select("query_id", F.col(tie), F.col("score"))
-    local = narrow.withColumn("__task", F.spark_partition_id()).withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "__task").orderBy(F.desc("score"), tie))).where(F.col("__n") <= k)
-    best = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), tie))).where(F.col("rank") <= k)
+    best = narrow.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), tie))).where(F.col("rank") <= k)
     return best.select("query_id", tie, "score", "rank")
 
 
