@@ -209,10 +209,15 @@ def _long_enough(a: Column, b: Column) -> Column:
 
 
 def verify(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """pairs: a, b (distinct). parts: sig, n, frag, grams. The pairs that link; the overlap of each fragment is counted apart."""
-    left = parts.select(F.col("sig").alias("a"), F.col("n").alias("na"), "frag", F.col("grams").alias("ga"))
+    """pairs: a, b (distinct). parts: sig, n, frag, grams. The pairs that link; the overlap of each fragment is counted apart.
+
+    Only the n-grams of texts in some pair move, once to their partner."""
+    n = pairs.count()
+    ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    parts = parts.join(small(ends), "sig", "left_semi")
+    left = parts.select(F.col("sig").alias("a"), F.col("n").alias("na"), "frag", F.col("grams").alias("ga")).join(small(pairs, n), "a")
     right = parts.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "frag", F.col("grams").alias("gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).alias("same"))
+    partial = left.join(right, ["b", "frag"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).alias("same"))
     total = partial.groupBy("a", "b", "na", "nb", "frag").agg(F.max("same").alias("same")).groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same"))
     return total.where((F.col("same") * 100 >= (F.col("na") + F.col("nb") - F.col("same")) * PERCENT)).select("a", "b")
 
