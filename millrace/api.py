@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace import schemas
-from millrace.functions import identity, ranking, text
+from millrace.functions import identity
 from millrace.operators import cdc, chunking, embed, extract, hybrid, index, routing, search
 from millrace.sources import folder
 
@@ -239,4 +239,4 @@ class Engine:
         return {"status": state} | checks
 
 
-__all__ = ["Conflict", "Engine", "NotFound", "ranking", "text"]
+__all__ = ["Conflict", "Engine", "NotFound"]

@@ -73,7 +73,7 @@ def lexical_scores(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", c
     query = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
     if typos:
         near = lambda w, t: F.levenshtein(w, t) <= F.when(F.length(t) < 4, 0).when(F.length(t) < 8, 1).otherwise(2)
-        hits = words.select(key, "doc_len", F.explode("__t").alias("word"), ).select(key, "doc_len", F.explode(F.filter(query, lambda t: near(F.col("word"), t))).alias("term"))
+        hits = words.select(key, "doc_len", F.explode("__t").alias("word")).select(key, "doc_len", F.explode(F.filter(query, lambda t: near(F.col("word"), t))).alias("term"))
     else:
         hits = words.select(key, "doc_len", F.explode(F.filter("__t", lambda w: F.array_contains(query, w))).alias("term"))
     tf = hits.groupBy(key, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
