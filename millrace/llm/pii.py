@@ -146,6 +146,8 @@ _ENDINGS = tuple(f".{d}" for d in _DOMAINS)
 _DOT_SET = frozenset(_DOT_WORDS)
 _AT_SET = frozenset(_AT_WORDS)
 _DIGIT_SET = frozenset(_DIGIT_WORDS)
+_ODD = frozenset(_CHANGED) | {"ſ", "İ"}  # these two equal s and i where case is ignored, but lower() does not make them so
+_TOKEN = re.compile(r"[^\W_]+")
 
 
 #: A number of so many digits, three different ones or more, that was at least half spelled is a phone number even without a plus.
@@ -185,24 +187,27 @@ class Rewritten:
 
 
 def suspicious(text: str) -> bool:
-    """Whether some transducer may have work to do; a false alarm costs time only."""
-    if not text.isascii() and _UNUSUAL.search(text) is not None and not _CHANGED.keys().isdisjoint(text):
+    """Whether some transducer may have work to do: true wherever one of them would edit the text as it is; a false alarm costs time only."""
+    if not text.isascii() and _UNUSUAL.search(text) is not None and not _ODD.isdisjoint(text):
         return True
     if " @" in text or "@ " in text or "\t@" in text or "@\t" in text or _BRACKETS.search(text) is not None:
         return True
+    if "@" in text and any(d["host"].count(" ") + d["host"].count("\t") for d in _SPACED.finditer(text)):
+        return True
     low = text.lower()
-    words = low.replace("-", " ").replace(",", " ").replace(".", " ").replace("(", " ").replace(")", " ").split()
+    words = _TOKEN.findall(low)
     seen = set(words)
     if "plus" in seen or not _DOT_SET.isdisjoint(seen):
         return True
     if not _AT_SET.isdisjoint(seen) and any(e in low for e in _ENDINGS):
         return True
     if not _DIGIT_SET.isdisjoint(seen):
-        run = 0
+        spelled = number = False  # of the word before
         for w in words:
-            run = run + 1 if w in _DIGIT_SET or w.isdigit() else 0
-            if run == 4:
+            word = w in _DIGIT_SET
+            if word and number or spelled and (word or w.isdigit()):
                 return True
+            spelled, number = word, word or w.isdigit()
     return False
 
 

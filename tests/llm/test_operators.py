@@ -334,6 +334,30 @@ def test_pii_leaves_prose_alone(text):
     assert pii.find(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("ring +four nine 170 1234567 now", "phone", "+four nine 170 1234567"),
+        ("card four 111 111111111111", "card", "four 111 111111111111"),
+        ("tel:plus 49 170 1234567", "phone", "plus 49 170 1234567"),
+        ("to john@example .com now", "email", "john@example .com"),
+    ],
+)
+def test_pii_disguises_of_few_words(text, kind, part):
+    assert pii.find(text) == ([], [(text.index(part), text.index(part) + len(part), kind)])
+
+
+def test_pii_prefilter_misses_no_edit():
+    r = random.Random(5)
+    parts = ["four", "Nine", "un", "one", "plus", "dot", "at", "@", ".", "com", "example", "+", "/", ":", "_", "-", "(", ")", ",", "1", "49", "170", "1234567", " ", " ", " ", " ", "\t", "x", "ſix", "é"]
+    edited = 0
+    for t in ["".join(r.choices(parts, k=r.randrange(24))) for _ in range(20_000)]:
+        if pii.deobfuscate(t).text != t:
+            edited += 1
+            assert pii.suspicious(t), t
+    assert edited > 100
+
+
 def test_pii_is_linear():
     import time
 
