@@ -8,8 +8,9 @@ on held-out findings calibrates it, and the threshold is the largest that keeps
 Base findings always stay; the network adds spans of kind `cnn`.
 
 Defined results: a null text counts as empty and has no spans; rows repeat as they are; ids may be null; an
-empty table gives an empty result; other columns are ignored. Of a candidate longer than the window the network
-sees its two ends, but the span is the whole. Offsets are code points, end exclusive.
+empty table gives an empty result; other columns are ignored. Over a candidate longer than the window the network
+slides overlapping windows and the highest score counts; the span is the whole. What base spans leave of a run is a
+candidate of its own. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ from millrace.llm.common import arrow_map, documents
 
 KINDS = ("assign", "access", "hex", "cnn")
 WINDOW, CONTEXT = 48, 24
+#: Steps between the windows of a long candidate: any 40 characters in a row are seen together.
+STRIDE = 8
+SHORTEST = 16
 RECALL = 0.97
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -52,14 +56,29 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Key-like runs apart from the base spans."""
+    """Key-like runs, and of those that base spans touch what lies before, between and after the spans."""
     if not _DIGIT.search(text):
         return []
     runs = [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0])]
     if not base:
         return runs
-    held = sorted(base)
-    return [(a, b) for a, b in runs if not any(a < e and s < b for s, e, _ in held)]
+    cuts: list[list[int]] = []
+    for start, end, _ in sorted(base):
+        if cuts and start <= cuts[-1][1]:
+            cuts[-1][1] = max(cuts[-1][1], end)
+        else:
+            cuts.append([start, end])
+    out, k = [], 0
+    for a, b in runs:
+        while k < len(cuts) and cuts[k][1] <= a:
+            k += 1
+        while k < len(cuts) and cuts[k][0] < b:
+            out.append((a, cuts[k][0]))
+            a = cuts[k][1]
+            k += 1
+        k = max(0, k - 1)  # the last one may reach into the next run
+        out.append((a, b))
+    return [(a, b) for a, b in out if b - a >= SHORTEST and _DIGIT.search(text, a, b)]
 
 
 # ---- the network
@@ -72,16 +91,27 @@ SYMBOLS = 72
 _LENGTH = WINDOW + 2 * CONTEXT
 
 
-def window(text: str, a: int, b: int) -> np.ndarray:
-    """Codes of the context, the candidate (its two ends if it is longer than the window) and the context after it."""
-    inner = text[a:b] if b - a <= WINDOW else text[a : a + WINDOW // 2] + text[b - WINDOW // 2 : b]
-    out = np.zeros(_LENGTH, np.uint8)
-    for at, part in ((CONTEXT - min(CONTEXT, a), text[max(0, a - CONTEXT) : a]), (CONTEXT, inner), (CONTEXT + WINDOW, text[b : b + CONTEXT])):
-        raw = np.frombuffer(part.encode("utf-32-le"), np.uint32)
-        out[at : at + len(raw)] = np.where(raw < 128, _CODE[np.minimum(raw, 127)], 1)
+def windows(text: str, a: int, b: int) -> np.ndarray:
+    """For each window of the candidate (one, if it is not longer than that): codes of the context before, the window and the context after."""
+    at = [a] if b - a <= WINDOW else [*range(a, b - WINDOW, STRIDE), b - WINDOW]
+    out = np.zeros((len(at), _LENGTH), np.uint8)
+    first = max(0, a - CONTEXT)
+    raw = np.frombuffer(text[first : b + CONTEXT].encode("utf-32-le"), np.uint32)
+    codes = np.where(raw < 128, _CODE[np.minimum(raw, 127)], 1)
+    before, inner, after = codes[: a - first], codes[a - first : b - first], codes[b - first :]
+    out[:, CONTEXT - len(before) : CONTEXT] = before
+    out[:, CONTEXT + WINDOW : CONTEXT + WINDOW + len(after)] = after
+    for row, k in zip(out, at, strict=True):
+        own = inner[k - a : k - a + WINDOW]
+        row[CONTEXT : CONTEXT + len(own)] = own
     return out
 
 
+def window(text: str, a: int, b: int) -> np.ndarray:
+    """The first window of a candidate."""
+    return windows(text, a, b)[0]
+
+
 class Network:
     """Embedding 12, convolution of width 5 with 24 filters, ReLU, two maxima, logistic output, Platt scaling."""
 
@@ -135,9 +165,9 @@ class Network:
         parts = [1 / (1 + np.exp(-(self.scale * self.forward(x[k : k + 512])[0] + self.shift))) for k in range(0, len(x), 512)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling by Newton steps, then the largest threshold that keeps the recall."""
-        z = np.concatenate([self.forward(x[k : k + 512])[0] for k in range(0, len(x), 512)])
+    def calibrate(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, recall: float) -> None:
+        """Platt scaling of the highest output of each finding by Newton steps, then the largest threshold that keeps the recall. first: where the windows of each finding begin."""
+        z = np.maximum.reduceat(np.concatenate([self.forward(x[k : k + 512])[0] for k in range(0, len(x), 512)]), first)
         w, a = np.array([1.0, 0.0]), np.stack([z, np.ones_like(z)], 1)
         for _ in range(30):
             p = 1 / (1 + np.exp(-a @ w))
@@ -183,26 +213,30 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
 @lru_cache(maxsize=2)
 def trained(seed: int = 7, size: int = 3000, steps: int = 350, recall: float = RECALL) -> Network:
     found, y = labelled_findings(size, seed)
-    x = np.stack([window(*f) for f in found])
+    x = [windows(*f) for f in found]
     fit = size * 3 // 4
     net, state, r = Network(seed), {}, np.random.default_rng(seed)
     for t in range(1, steps + 1):
         rows = r.integers(0, fit, 96)
-        net.step(x[rows], y[rows], state, t)
-    net.calibrate(x[fit:], y[fit:], recall)
+        net.step(np.stack([x[k][r.integers(len(x[k]))] for k in rows]), y[rows], state, t)
+    net.calibrate(np.concatenate(x[fit:]), _starts(x[fit:]), y[fit:], recall)
     return net
 
 
+def _starts(x: list[np.ndarray]) -> np.ndarray:
+    return np.cumsum([0, *map(len, x[:-1])])
+
+
 def find(texts: list[str | None], net: Network) -> list[tuple[list[Span], list[Span], list[float]]]:
     """For each text: base spans and all spans by start, then kind; and the score of each of the latter."""
-    found, windows = [], []
+    found, seen = [], []
     for t in texts:
         t = t or ""
         base = base_spans(t)
         more = candidates(t, base)
-        windows += [window(t, a, b) for a, b, _ in base] + [window(t, a, b) for a, b in more]
+        seen += [windows(t, a, b) for a, b, *_ in (*base, *more)]
         found.append((base, more))
-    scores = net.score(np.stack(windows)) if windows else np.zeros(0)
+    scores = np.maximum.reduceat(net.score(np.concatenate(seen)), _starts(seen)) if seen else np.zeros(0)
     out, at = [], 0
     for base, more in found:
         p = scores[at : at + len(base) + len(more)].tolist()
