@@ -13,6 +13,8 @@ from millrace.plans.session import ship
 
 #: The mix keeps nearly all tokens in sum: parts in short supply are used twice, the largest source gives way.
 MIX_SHARE = 0.9
+#: Near copies share this part of their 5-word n-grams or more (op5, the query by itself, has a contract of 4 words and 85).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar texts one stays."""
     ship(spark)
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ _NO_ID = -(1 << 63)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5)]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -74,7 +74,7 @@ def sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     n = len(w)
     h = np.zeros(max(0, n - words + 1), np.uint64)
     for k in range(words):
-        h += w[k : n - words + 1 + k] * _FACTORS[k % 4] + np.uint64(k) if n >= words else 0
+        h += w[k : n - words + 1 + k] * _FACTORS[k % len(_FACTORS)] + np.uint64(k) if n >= words else 0
     h = _mix(h)
     out = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -187,7 +187,7 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return sig, np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
 
-def _whole(batches, words: int):
+def _whole(batches, words: int, percent: int):
     """Per text its signature, size, parity sketch, prefix and n-grams by pair fragment."""
     for part in slices(batches):
         own = sets(part.column("text"), words)
@@ -197,18 +197,18 @@ def _whole(batches, words: int):
             np.bitwise_xor.at(bits, (s >> np.uint64(20)).astype(np.int64) % (SKETCH * 64), 1)
             signed = s.view(np.int64)
             cut = np.searchsorted(s, np.arange(1, PAIR_FRAGMENTS).astype(np.uint64) * np.uint64((1 << 64) // PAIR_FRAGMENTS))
-            rows.append((_signature(s), len(s), np.packbits(bits).view(np.int64), signed[: len(s) - (PERCENT * len(s) + 99) // 100 + 1], np.split(signed, cut)))
+            rows.append((_signature(s), len(s), np.packbits(bits).view(np.int64), signed[: len(s) - (percent * len(s) + 99) // 100 + 1], np.split(signed, cut)))
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.list_(pa.list_(pa.int64())))],
             ["doc_id", "sig", "n", "sketch", "prefix", "parts"],
         )
 
 
-def _long_enough(a: Column, b: Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def _long_enough(a: Column, b: Column, percent: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def verify(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """pairs: a, b (distinct). parts: sig, n, frag, grams. The pairs that link; the overlap of each fragment is counted apart.
 
     Only the n-grams of texts in some pair move, once to their partner."""
@@ -219,7 +219,7 @@ def verify(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     right = parts.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "frag", F.col("grams").alias("gb"))
     partial = left.join(right, ["b", "frag"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).alias("same"))
     total = partial.groupBy("a", "b", "na", "nb", "frag").agg(F.max("same").alias("same")).groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same"))
-    return total.where((F.col("same") * 100 >= (F.col("na") + F.col("nb") - F.col("same")) * PERCENT)).select("a", "b")
+    return total.where((F.col("same") * 100 >= (F.col("na") + F.col("nb") - F.col("same")) * percent)).select("a", "b")
 
 
 def components(links: DataFrame, most_rounds: int = 30) -> DataFrame:
@@ -244,7 +244,7 @@ def components(links: DataFrame, most_rounds: int = 30) -> DataFrame:
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, sig (class of equal sets, 0 if empty), component_id: one row per row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -256,19 +256,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = F.coalesce(F.col("doc_id"), F.lit(_NO_ID))
     classes = texts.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max(keyed).alias("key"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     shared = counted.where("kind = 0").select("bucket", "sigs", "counts").repartition(fragments, "bucket").mapInArrow(_summed, "sig long, shared long")
-    rest = materialise(shared.join(classes, "sig").where(f"shared * 100 >= n * {PERCENT}").select("sig", "key", "n", (F.col("n") - F.col("shared")).alias("own")), "join-rest")
+    rest = materialise(shared.join(classes, "sig").where(f"shared * 100 >= n * {percent}").select("sig", "key", "n", (F.col("n") - F.col("shared")).alias("own")), "join-rest")
     n_rest = rest.count()
     wanted = docs.withColumn("key", keyed).join(small(rest.select("key"), n_rest), "key", "left_semi").select("doc_id", "text")
-    whole = wanted.mapInArrow(lambda b: _whole(b, words), "doc_id long, sig long, n int, sketch array<long>, prefix array<long>, parts array<array<long>>")
+    whole = wanted.mapInArrow(lambda b: _whole(b, words, percent), "doc_id long, sig long, n int, sketch array<long>, prefix array<long>, parts array<array<long>>")
     whole = materialise(whole, "join-sets").drop("doc_id")
     whole = whole.join(small(rest.select("sig", "own"), n_rest), "sig")
     parts = whole.select("sig", "n", F.posexplode("parts").alias("frag", "grams")).where(F.size("grams") > 0)
     posts = materialise(whole.select("sig", "n", "own", F.explode("prefix").alias("h")), "join-posts")
 
     heads = posts.groupBy("h").agg(F.min(F.struct("own", "sig", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = posts.join(heads, "h").where((F.col("sig") != F.col("head.sig")) & _long_enough(F.col("n"), F.col("head.n")))
+    stars = posts.join(heads, "h").where((F.col("sig") != F.col("head.sig")) & _long_enough(F.col("n"), F.col("head.n"), percent))
     pairs = materialise(stars.select(F.least("sig", "head.sig").alias("a"), F.greatest("sig", "head.sig").alias("b")).distinct(), "join-pairs")
-    links = materialise(verify(pairs, parts), "join-links")
+    links = materialise(verify(pairs, parts, percent), "join-links")
     found = components(links)
 
     placed = posts.join(small(found.select(F.col("node").alias("sig"), "root")), "sig", "left").withColumn("comp", F.coalesce("root", "sig"))
@@ -277,10 +277,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_ = materialise(open_, "join-open")
     x, y = open_.alias("x"), open_.alias("y")
     apart = sum((F.bit_count(F.col(f"x.sketch")[k].bitwiseXOR(F.col(f"y.sketch")[k])) for k in range(SKETCH)), F.lit(0))
-    close = (F.col("x.sig") < F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & _long_enough(F.col("x.n"), F.col("y.n")) & (apart * (100 + PERCENT) <= (F.col("x.n") + F.col("y.n")) * (100 - PERCENT))
+    close = (F.col("x.sig") < F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & _long_enough(F.col("x.n"), F.col("y.n"), percent) & (apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
     crossing = x.join(y, (F.col("x.h") == F.col("y.h")) & close).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
     crossing = materialise(crossing.join(pairs, ["a", "b"], "left_anti"), "join-crossing")
-    more = materialise(verify(crossing, parts), "join-links")
+    more = materialise(verify(crossing, parts, percent), "join-links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
@@ -291,9 +291,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return texts.join(small(mapped), "sig", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, but of each component only the one with the smallest id."""
-    found = jaccard_components(docs, id_col, text_col)
+    found = jaccard_components(docs, id_col, text_col, words, percent)
     gone = materialise(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "join-gone")
     return docs.join(small(gone), docs[id_col] == F.col("__gone"), "left_anti")
 

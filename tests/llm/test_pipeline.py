@@ -1,8 +1,11 @@
 """The pipeline stage by stage against brute force."""
 
+import random
 import re
 
-from millrace.llm import mixing
+import pyarrow as pa
+
+from millrace.llm import mixing, ngram_join
 from millrace.llm.common import documents
 from tests.llm.test_operators import WHITE, brute_join, brute_mix
 
@@ -36,3 +39,38 @@ def test_stages(spark, sf_dir, tmp_path):
         else:
             assert docs.where("piece = 0").count() == len(rows)
     assert kept[-1].count() > 0
+
+
+def test_near_copies_share_four_fifths_of_five_words(spark):
+    r = random.Random(8)
+    rows = []
+    for f in range(20):
+        words = [f"{f}_{r.randrange(60)}" for _ in range(r.randrange(4, 120))]
+        for _ in range(r.randrange(1, 6)):
+            own = [w if r.random() > 0.018 else f"z{r.randrange(10**6)}" for w in words]
+            rows.append((len(rows), " ".join(own + [f"y{r.randrange(10**6)}" for _ in range(r.choice([0, len(words) // 5]))])))
+    grams = []
+    for _, t in rows:
+        w = t.split()
+        grams.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b]):
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if x == hi else x for x in root]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == [k for k, x in enumerate(root) if k == x]
+    assert got != sorted(i for i, _, c in brute_join(rows) if i == c)
+
+
+def test_an_appended_fifth_is_a_near_copy(spark):
+    words = [f"w{k}" for k in range(200)]
+    rows = [(0, " ".join(words)), (1, " ".join(words + [f"more{k}" for k in range(44)]))]
+    assert [x.doc_id for x in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()] == [0]
+
+
+def test_hashes_of_five_words_depend_on_their_order():
+    a, b = ngram_join.sets(pa.array(["a b c d e", "e b c d a"]), 5)
+    assert a[0] != b[0]
