@@ -110,13 +110,13 @@ class Voters:
         votes = [1 if not lex.isdisjoint(found) else 0 for lex in self.lexicons.values()]
         n = max(1, len(words))
         starred = sum(1 for t in strong if not t.endswith("*"))
-        letters = sum(map(str.isupper, text[:4000])) if strong else 0
+        letters = sum(map(str.isupper, text)) if strong else 0
         votes += [
             1 if strong else -1,
             1 if len(strong) >= 3 else -1 if not strong else 0,
             1 if len(strong) / n > 0.004 else -1 if not strong else 0,
             1 if strong and not _SECOND.isdisjoint(words) else 0,
-            1 if strong and letters > 0.4 * min(len(text), 4000) else 0,
+            1 if strong and letters > 0.4 * len(text) else 0,
             1 if strong and text.count("!") > 0.02 * len(text) else 0,
             1 if len(self.seeds & found) >= 2 else 0,
             -1 if n > 200 and not strong else 0,

@@ -481,6 +481,13 @@ def test_toxicity_on_held_out_rows(spark, tmp_path):
     assert hit >= 0.95 and wrong <= 0.02
 
 
+def test_shouting_counts_the_whole_text():
+    voters = toxicity.Voters({"idiot": 2.0})
+    at = voters.names.index("shouting")
+    quiet, loud = "a calm line of words " * 200, "YOU IDIOT GO AWAY NOW " * 400
+    assert voters(quiet + loud)[0][at] == 1 and voters(loud[:4000] + " " + quiet * 5)[0][at] == 0
+
+
 def test_label_model_discounts_copies():
     """Three copies of one voter speak with about one voice, and a good voter is told from a bad one."""
     rng = np.random.default_rng(3)
