@@ -174,7 +174,7 @@ class Network:
             w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.5 * np.eye(2), a.T @ (p - y) + 0.5 * w)
         self.scale, self.shift = w
         found = np.sort(1 / (1 + np.exp(-(a @ w)[y == 1])))
-        self.threshold = max(0.5, float(found[int((1 - recall) * len(found))]))
+        self.threshold = float(found[int((1 - recall) * len(found))])
 
 
 def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np.ndarray]:

@@ -291,6 +291,15 @@ def test_secret_candidates_are_the_runs_without_base_spans():
         assert secrets.candidates(t, base) == [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", masked) if re.search("[0-9]", m[0])], t
 
 
+def test_secret_threshold_keeps_the_recall_of_a_weak_network():
+    net = secrets.Network(3)
+    found, y = secrets.labelled_findings(400, 4)
+    x = [secrets.windows(*f) for f in found]
+    net.calibrate(np.concatenate(x), np.cumsum([0, *map(len, x[:-1])]), y, 0.97)
+    p = np.array([net.score(w).max() for w in x])
+    assert net.threshold < 0.5 and (p[y == 1] >= net.threshold - 1e-9).mean() >= 0.97
+
+
 def test_network_gradient():
     net = secrets.Network(3)
     found, y = secrets.labelled_findings(8, 4)
