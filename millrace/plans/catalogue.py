@@ -597,4 +597,4 @@ def unknown_sources(spark, d):
 def hashing_embeddings(spark, d):
     from millrace.operators import embed
 
-    return embed.embed(docs(spark, d).select("doc_id", F.left("snippet", F.lit(400)).alias("content")), dimensions=32).select("doc_id", "vector")
+    return embed.embed(docs(spark, d).select("doc_id", F.col("text").alias("content")), dimensions=32).select("doc_id", "vector")

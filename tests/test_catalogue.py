@@ -42,6 +42,14 @@ def test_hashing_embeddings_are_unit_vectors(spark, sf_dir):
         assert len(r.vector) == 32 and abs(sum(x * x for x in r.vector) - 1) < 1e-5
 
 
+def test_hashing_embeddings_read_whole_texts(spark, tmp_path):
+    head = "water wheels turn slowly " * 200
+    rows = [(0, head, "en", "a", 0), (1, head + "granite " * 900, "en", "a", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    a, b = (r.vector for r in QUERIES["hashing_embeddings"](spark, str(tmp_path)).collect())
+    assert sum(x * y for x, y in zip(a, b, strict=True)) < 0.95
+
+
 def test_entry_runs_without_the_corpus_package(spark, sf_dir):
     import __spark_entry__
 
