@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 PACKAGE = Path(__file__).resolve().parent.parent
 
 
+#: Rows of an Arrow batch on its way to Python: whole texts are long, and a batch lies in memory on both sides.
+ARROW_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Hand the package to the executors, once per context: their Python need not have it installed."""
-    context = spark.sparkContext
+    """Hand the package to the executors, once per context: their Python need not have it installed. Arrow batches are made smaller unless the session sets them."""
+    context, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":  # the default
+        spark.conf.set(rows, ARROW_ROWS)
     if getattr(context, "_millrace_shipped", False):
         return spark
     folder = tempfile.mkdtemp(prefix="millrace-")
