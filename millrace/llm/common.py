@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,16 @@ def tidy() -> None:
         _trim()(0)
 
 
+@contextmanager
+def lent(held: Broadcast):
+    """The value of a broadcast, which the worker forgets at the end: workers are reused, and would keep the models of earlier stages."""
+    try:
+        yield held.value
+    finally:
+        held.__dict__.pop("_value", None)
+        tidy()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about limit bytes of text (or one longer text)."""
     for batch in batches:
@@ -77,11 +89,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     tidy()
 
 
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
-    """mapInArrow over slices of bounded bytes."""
+def arrow_map(df: DataFrame, f: Callable[..., pa.RecordBatch], schema: str, column: str = "text", model: object = None) -> DataFrame:
+    """mapInArrow over slices of bounded bytes; a model is broadcast and handed to f, and forgotten after each partition."""
+    held = None if model is None else df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part in slices(batches, column):
-            yield f(part)
+        if held is None:
+            yield from map(f, slices(batches, column))
+        else:
+            with lent(held) as own:
+                for part in slices(batches, column):
+                    yield f(part, own)
 
     return df.mapInArrow(run, schema)

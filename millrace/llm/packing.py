@@ -6,8 +6,9 @@ corpus are done. The others become items of the next round: groups of them are p
 groups each round, until one group is left or merging gains no more. Only (bin, load) pairs move between rounds;
 pieces are given their final sequence and offset by one join at the end.
 
-Defined results: a null text counts as empty and is one piece that holds only the end id; repeated rows are
-packed as rows of their own; ties in length go by doc_id, piece (a null id as 0); an empty table gives
+Defined results: a null text counts as empty and is one piece that holds only the end id; a very long text is
+tokenized whole and cut into pieces (a task holds its ids, and of a partition only five numbers a piece); repeated
+rows are packed as rows of their own; ties in length go by doc_id, piece (a null id as 0); an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -30,8 +31,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Bins that one task merges.
 GROUP = 16_384
-#: A worker remembers the ids of at most so many words; when they are more, the half used last stays.
-MEMO = 500_000
+#: A worker remembers the ids of about so many stems and marks; when they are more, the half used last stays.
+MEMO = 100_000
 SLICE_BYTES = 2 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long"
@@ -50,9 +51,10 @@ _CLOSED = "[0-9A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u
 class Words:
     """Token ids of texts for a tokenizer whose pre-tokens never span ASCII white space: words are encoded once.
 
-    Of unseen words only the stem (lower case if ASCII) without closing marks is encoded; the marks are a pre-token
-    of their own, and the tokenizer lowers case itself, so the ids are those of the whole text. Known words lie in
-    Arrow and numpy arrays; the ids of word k are pool[begin[k] : begin[k] + width[k]]."""
+    A word is its stem (lower case if ASCII) and its closing marks, which are a pre-token of their own; the tokenizer
+    lowers case itself, so the ids of both are those of the whole text. A text that holds one of the tokenizer's added
+    tokens is encoded whole, since these may begin anywhere in a word. Known stems and marks lie in Arrow and numpy
+    arrays; the ids of part k are pool[begin[k] : begin[k] + width[k]]."""
 
     _kept: dict[str, Words] = {}
 
@@ -60,8 +62,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words = pa.array([""], pa.string())
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts = pa.array([""], pa.string())
         self.begin, self.width, self.used = (np.zeros(1, np.int64) for _ in range(3))
         self.pool = np.zeros(0, "<u2")
         self.turn = 0
@@ -100,54 +102,76 @@ class Words:
                 at += len(new)
         return np.concatenate([*ids, np.zeros(0, "<u2")]), begin, width
 
-    def _add(self, fresh: pa.Array) -> None:
-        low = pc.if_else(pc.string_is_ascii(fresh), pc.ascii_lower(fresh), fresh)
+    @staticmethod
+    def _split(words: pa.Array) -> pa.Array:
+        """Stems, then closing marks, of distinct words."""
+        low = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
         stem = pc.ascii_rtrim(low, characters=".,!?;:")
         splits = pc.and_(pc.less(pc.binary_length(stem), pc.binary_length(low)), pc.match_substring_regex(stem, _CLOSED))
         stem = pc.if_else(splits, stem, low)
-        tail = pa.array([""] * len(fresh), pa.string())
-        lengths = pc.utf8_length(stem).to_numpy(zero_copy_only=False)
+        tail = pa.array([""] * len(words), pa.string())
         at = np.flatnonzero(splits.to_numpy(zero_copy_only=False))
         if len(at):
+            lengths = pc.utf8_length(stem).to_numpy(zero_copy_only=False)
             marks = [w[n:] for w, n in zip(low.take(pa.array(at)).to_pylist(), lengths[at].tolist(), strict=True)]
             tail = pc.replace_with_mask(tail, splits, pa.array(marks, pa.string()))
-        coded = pa.concat_arrays([stem, tail]).dictionary_encode()
-        ids, begin, width = self._encode(coded.dictionary)
-        index = coded.indices.to_numpy()
-        both = np.stack([index[: len(fresh)], index[len(fresh) :]], 1).ravel()  # stem and marks of each word in turn
-        widths = width[both]
-        total = widths.reshape(-1, 2).sum(1)
-        self.words = pa.concat_arrays([self.words, fresh])
-        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(total) - total])
-        self.width = np.concatenate([self.width, total])
-        self.used = np.concatenate([self.used, np.full(len(fresh), self.turn)])
-        self.pool = np.concatenate([self.pool, ids[_ragged(begin[both], widths)]])
+        return pa.concat_arrays([stem, tail])
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Where distinct parts are known; those that were not are encoded and added."""
+        found = pc.index_in(parts, value_set=self.parts)
+        place = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unseen = np.flatnonzero(place < 0)
+        if len(unseen):
+            fresh = parts.take(pa.array(unseen))
+            ids, begin, width = self._encode(fresh)
+            place[unseen] = len(self.parts) + np.arange(len(unseen))
+            self.parts = pa.concat_arrays([self.parts, fresh])
+            self.begin = np.concatenate([self.begin, len(self.pool) + begin])
+            self.width = np.concatenate([self.width, width])
+            self.used = np.concatenate([self.used, np.zeros(len(unseen), np.int64)])
+            self.pool = np.concatenate([self.pool, ids])
+        self.used[place] = self.turn
+        return place
 
     def _forget(self) -> None:
-        """Keep the half of the words that were used last."""
+        """Keep the half of MEMO parts that were used last."""
         keep = np.sort(np.argsort(-self.used, kind="stable")[: MEMO // 2])
         self.pool = self.pool[_ragged(self.begin[keep], self.width[keep])]
-        self.words, self.width, self.used = self.words.take(pa.array(keep)), self.width[keep], self.used[keep]
+        self.parts, self.width, self.used = self.parts.take(pa.array(keep)), self.width[keep], self.used[keep]
         self.begin = np.cumsum(self.width) - self.width
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has. Null counts as empty."""
         self.turn += 1
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        flat = lists.flatten()
-        at = pc.index_in(flat, value_set=self.words)
-        unseen = flat.filter(at.is_null()).dictionary_encode()
-        index = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(unseen):
-            index[index < 0] = len(self.words) + unseen.indices.to_numpy()
-            self._add(unseen.dictionary)
-        self.used[index] = self.turn
-        lens = self.width[index]
+        texts = pc.fill_null(texts, "")
+        special = np.zeros(len(texts), bool)
+        for t in self.added:
+            special |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        ids, counts = self._by_words(pc.if_else(pa.array(special), "", texts) if special.any() else texts)
+        for k in np.flatnonzero(special).tolist():
+            own = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4")
+            at = int(counts[:k].sum())
+            ids, counts[k] = np.concatenate([ids[:at], own, ids[at:]]), len(own)
+        return ids, counts
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        parts = self._split(words.dictionary).dictionary_encode()
+        place = self._places(parts.dictionary)[parts.indices.to_numpy()].reshape(2, -1)
+        both = place.T.ravel()  # stem and marks of each distinct word in turn
+        widths = self.width[both]
+        own = self.pool[_ragged(self.begin[both], widths)]
+        width = widths.reshape(-1, 2).sum(1)
+        begin = np.cumsum(width) - width
+        index = words.indices.to_numpy()
+        lens = width[index]
         total = np.concatenate([[0], np.cumsum(lens)])
-        ids = self.pool[_ragged(self.begin[index], lens)].astype("<u4")
+        ids = own[_ragged(begin[index], lens)].astype("<u4")
         edges = lists.offsets.to_numpy().astype(np.int64)
         edges -= edges[0]
-        if len(self.words) > MEMO:
+        if len(self.parts) > MEMO:
             self._forget()
         return ids, total[edges[1:]] - total[edges[:-1]]
 
@@ -236,19 +260,18 @@ def _merge(batches, capacity: int):
         )
 
 
-def merge_rounds(bins: DataFrame, capacity: int = CAPACITY, group: int = GROUP, most_rounds: int = 12) -> DataFrame | None:
-    """bins: bin, load. Where each underfull bin ends: bin, into, base; None if no two can go together."""
-    moved, current, before = None, bins, None
-    for turn in range(most_rounds):
+def merge_rounds(bins: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame | None:
+    """bins: bin, load. Where each underfull bin ends: bin, into, base; None if no two can go together.
+
+    Rounds go on until all underfull bins were one group's, or a round of new groups moved none."""
+    moved, current, turn = None, bins, 0
+    while True:
         n, least = current.agg(F.count(F.lit(1)), F.min("load")).first()
+        under = current.where(F.col("load") <= capacity - least) if n > 1 else None
+        n = under.count() if under is not None else 0
         if n < 2:
             break
-        under = current.where(F.col("load") <= capacity - least)
-        n = under.count()
         groups = -(-n // group)
-        if n < 2 or (before is not None and n > 0.99 * before):
-            break
-        before = n
         merged = under.withColumn("group", F.pmod(F.xxhash64(F.lit(turn), "bin"), F.lit(groups))).repartition(groups, "group").mapInArrow(lambda b: _merge(b, capacity), "bin long, into long, base long, load long")
         merged = materialise(merged, "pack-round")
         if moved is None:
@@ -258,7 +281,8 @@ def merge_rounds(bins: DataFrame, capacity: int = CAPACITY, group: int = GROUP,
             moved = moved.join(small(step, n), "into", "left").select("bin", F.coalesce("further", "into").alias("into"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base"), "load")
             moved = materialise(moved, "pack-moved")
         current = merged.where("bin = into").select("bin", "load")
-        if groups == 1:
+        turn += 1
+        if groups == 1 or current.count() == n:
             break
     return moved
 
