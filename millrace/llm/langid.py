@@ -2,13 +2,15 @@
 
 A word that training has seen scores by its log frequency in each language. An unseen word backs off to its
 character n-grams: the longest size with a known n-gram decides, each backoff step costs a factor, and a word
-without any known n-gram says nothing. Training counts a sample of at most TRAIN_ROWS labelled rows, drawn evenly
-by a hash of the id; the tables keep the most frequent words and n-grams. These are the documented bounds on what
-every task holds. Distinct words of a batch are scored once, all together, with numpy.
+without any known n-gram says nothing. Training counts a sample of about TRAIN_ROWS labelled rows, drawn evenly
+by a hash of the id: this documented bound is the only one, for the tables keep every word and n-gram that the
+sample has twice or more, in whatever language. Words and n-grams are known by 64-bit hashes, in sorted arrays.
+Distinct words of a batch are scored once, all together, with numpy.
 
 Defined results: text that is null or has no letter is `und` with score 0; with no training rows at all every
 text is `und`; ties go to the language first in the alphabet; rows repeat as they are; a text in several
-languages gets the one with the most evidence; other columns are ignored.
+languages gets the one with the most evidence; very long texts and words are read whole (a text without white
+space is one word, judged by all its n-grams); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,21 +18,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_map, crc_split, discard, documents, materialise, slices
 
-#: Labelled rows that training uses at most (expected).
-TRAIN_ROWS = 8_000
-#: Bounds of the model: words and n-grams kept, most frequent first.
-MAX_WORDS, MAX_GRAMS = 60_000, 40_000
+#: Labelled rows that training uses (expected number); the bound of the model.
+TRAIN_ROWS = 20_000
+#: How often the sample must have a word or n-gram.
+LEAST = 2
 GRAM_SIZES = (5, 4, 3, 2, 1)
 #: Factor on the evidence of a word for each step it had to back off.
 BACKOFF = 0.6
-#: Letters of a word that its n-grams are taken from.
-LETTERS = 40
-
 
 _PLAIN = np.arange(256, dtype=np.uint8)  # ASCII letters become lower case, other ASCII white space
 for _c in range(128):
@@ -55,9 +55,13 @@ def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return [_letters(w) for w in coded.dictionary.to_pylist()], coded.indices.to_numpy().astype(np.int64), edges - edges[0]
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def gram_hashes(words: list[str]):
     """For each size: the hashes of the n-grams of all words, with their words' numbers."""
-    padded = [f"<{w[:LETTERS]}>" for w in words]
+    padded = [f"<{w}>" for w in words]
     points = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
     lens = np.array([len(p) for p in padded], np.int64)
     ends = np.repeat(np.cumsum(lens), lens)
@@ -73,9 +77,16 @@ def gram_hashes(words: list[str]):
     return {size: (by_size[size], at + size <= ends) for size in GRAM_SIZES}, owner
 
 
+_COUNTED = "lang string, size int, h long, n long"
+
+
 def _counts(batches):
-    """Counts of words and n-grams per language; the n-grams of a word weigh as often as it occurs."""
-    names = ["lang", "kind", "key", "h", "n"]
+    """Counts of words (size 0) and n-grams per language; the n-grams of a word weigh as often as it occurs."""
+
+    def batch(lang, size, h, n):
+        m = len(h)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array(np.full(m, size, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], [x.split()[0] for x in _COUNTED.split(", ")])
+
     for part in slices(batches):
         words, index, edges = split_words(part.column("text"))
         tags = part.column("lang").to_pylist()
@@ -87,21 +98,30 @@ def _counts(batches):
             if not there:
                 continue
             keys, weights = [words[k] for k in there], n[there]
-            m = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array(["w"] * m), pa.array(keys), pa.nulls(m, pa.int64()), pa.array(weights)], names)
+            yield batch(lang, 0, word_hashes(keys), weights)
             grams, owner = gram_hashes(keys)
             for size, (h, valid) in grams.items():
                 unique, inverse = np.unique(h[valid], return_inverse=True)
-                total = np.bincount(inverse, weights[owner[valid]]).astype(np.int64)
-                m = len(unique)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array([f"g{size}"] * m), pa.nulls(m, pa.string()), pa.array(unique.view(np.int64)), pa.array(total)], names)
+                yield batch(lang, size, unique, np.bincount(inverse, weights[owner[valid]]))
+
+
+Table = tuple[np.ndarray, np.ndarray]
+
+
+def _lookup(table: Table, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes a table has, and in what rows."""
+    keys = table[0]
+    if not len(keys):
+        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return keys[place] == h, place
 
 
 class Model:
-    """Log probabilities, one column per language: a row per known word, and per size sorted n-gram hashes with rows."""
+    """Log probabilities, one column per language; a table is sorted hashes and their rows. words: one table; grams: one per size."""
 
-    def __init__(self, langs: list[str], words: dict[str, int], rows: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.langs, self.words, self.rows, self.grams = langs, words, rows, grams
+    def __init__(self, langs: list[str], words: Table, grams: dict[int, Table]):
+        self.langs, self.words, self.grams = langs, words, grams
 
     def unseen(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)), np.float32)
@@ -110,18 +130,14 @@ class Model:
         hashed, owner = gram_hashes(words)
         waiting = np.ones(len(words), bool)
         for step, size in enumerate(GRAM_SIZES):
-            keys, rows = self.grams[size]
-            if not len(keys):
-                continue
             h, valid = hashed[size]
             at = np.flatnonzero(valid & waiting[owner])
-            place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-            hit = keys[place] == h[at]
+            hit, place = _lookup(self.grams[size], h[at])
             who, place = owner[at[hit]], place[hit]
             n = np.bincount(who, minlength=len(words))
             found = n > 0
             for k in range(len(self.langs)):
-                total = np.bincount(who, rows[place, k], len(words))
+                total = np.bincount(who, self.grams[size][1][place, k], len(words))
                 out[found, k] = total[found] / n[found] * BACKOFF ** (step + 1)
             waiting &= ~found
         return out
@@ -131,12 +147,13 @@ class Model:
         n = len(texts)
         if not self.langs or not words:
             return ["und"] * n, [0.0] * n
-        known = np.array([self.words.get(w, -1) for w in words])
+        real = np.array([bool(w) for w in words])
+        known, place = _lookup(self.words, word_hashes(words))
+        known &= real
         table = np.zeros((len(words), len(self.langs)), np.float64)
-        table[known >= 0] = self.rows[known[known >= 0]]
-        fresh = [k for k in np.flatnonzero(known < 0).tolist() if words[k]]
+        table[known] = self.words[1][place[known]]
+        fresh = np.flatnonzero(real & ~known).tolist()
         table[fresh] = self.unseen([words[k] for k in fresh])
-        real = np.array([bool(w) for w in words])
         sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(table[index], 0)])
         total = sums[edges[1:]] - sums[edges[:-1]]
         counts = np.concatenate([[0], np.cumsum(real[index])])
@@ -149,44 +166,34 @@ class Model:
 
 
 def train(rows: DataFrame) -> Model:
-    """rows: text, lang (not null). Counting is distributed; MAX_WORDS and MAX_GRAMS keys come back."""
-    counted = rows.select("text", "lang").mapInArrow(_counts, "lang string, kind string, key string, h long, n long").groupBy("kind", "key", "h", "lang").agg(F.sum("n").alias("n"))
+    """rows: text, lang (not null). Counting is distributed; one row per word and n-gram of the bounded sample comes back."""
+    counted = rows.select("text", "lang").mapInArrow(_counts, _COUNTED).groupBy("size", "h", "lang").agg(F.sum("n").alias("n"))
     counted = materialise(counted, "langid-counts")
-    totals = {(r[0], r[1]): r[2] for r in counted.groupBy("kind", "lang").agg(F.sum("n")).collect()}  # six rows a language
+    totals = {(r[0], r[1]): r[2] for r in counted.groupBy("size", "lang").agg(F.sum("n")).collect()}  # six rows a language
     langs = sorted({lang for _, lang in totals})
     per_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(langs)]
-
-    def most_frequent(which: Column, limit: int):
-        found = counted.where(which).groupBy("kind", "key", "h").agg(F.sum("n").alias("n"), *per_lang).where("n >= 2").orderBy(F.desc("n"), "kind", "key", "h").limit(limit)
-        return found.toArrow().to_pydict()  # limit rows
-
-    def rows_of(found: dict, at: list[int]) -> np.ndarray:
-        kinds = [found["kind"][k] for k in at]
-        p = np.array([[np.log((found[f"n{j}"][k] + 0.5) / (totals.get((kind, x), 0) + 1000)) for j, x in enumerate(langs)] for k, kind in zip(at, kinds, strict=True)], np.float32).reshape(len(at), len(langs))
-        return p - p.mean(1, keepdims=True) if len(at) and langs else p
-
-    found = most_frequent(F.col("kind") == "w", MAX_WORDS)
-    words = {w: k for k, w in enumerate(found["key"])}
-    rows = rows_of(found, list(range(len(words))))
-    found, grams = most_frequent(F.col("kind") != "w", MAX_GRAMS), {}
-    for size in GRAM_SIZES:
-        at = [k for k, kind in enumerate(found["kind"]) if kind == f"g{size}"]
-        keys = np.array([found["h"][k] for k in at], np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        grams[size] = keys[order], rows_of(found, at)[order]
+    found = counted.groupBy("size", "h").agg(F.sum("n").alias("n"), *per_lang).where(F.col("n") >= LEAST).drop("n").toArrow()
     discard(counted)
-    return Model(langs, words, rows, grams)
+    sizes, h = found.column("size").to_numpy(), found.column("h").to_numpy().view(np.uint64)
+    n = np.stack([found.column(f"n{k}").to_numpy() for k in range(len(langs))], 1) if langs else np.zeros((len(h), 0))
+
+    def table(size: int) -> Table:
+        own = np.flatnonzero(sizes == size)
+        own = own[np.argsort(h[own])]
+        p = np.log((n[own] + 0.5) / np.array([totals.get((size, x), 0) + 1000 for x in langs]))
+        return h[own], (p - p.mean(1, keepdims=True) if langs else p).astype(np.float32)
+
+    return Model(langs, table(0), {size: table(size) for size in GRAM_SIZES})
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score per row of docs."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, p = held.value.predict(batch.column("text"))
+    def score(batch: pa.RecordBatch, own: Model) -> pa.RecordBatch:
+        lang, p = own.predict(batch.column("text"))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(p, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), score, "doc_id long, lang_pred string, score double")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), score, "doc_id long, lang_pred string, score double", model=model)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -201,13 +208,12 @@ def training_rows(docs: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
 
 def accept(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, whose language is told with a score of at least `least`; `und` goes."""
-    held, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
-    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, p = held.value.predict(batch.column("text"))
+    def keep(batch: pa.RecordBatch, own: Model) -> pa.RecordBatch:
+        lang, p = own.predict(batch.column("text"))
         return batch.filter(pa.array([x != "und" and q >= least for x, q in zip(lang, p, strict=True)], pa.bool_()))
 
-    return arrow_map(docs, keep, schema)
+    return arrow_map(docs, keep, docs.schema, model=model)
 
 
 def op4(spark, sf_dir):

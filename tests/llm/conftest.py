@@ -34,6 +34,7 @@ TEXTS = [
     *family(6),
     "long " * 3000 + "end",
     "x" * 5000,
+    "one <|endoftext|>two <|startoftext|> three",
 ]
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from millrace.llm import dedup, langid, media, mixing, ngram_join, packing, pii, queries, secrets, sharding, toxicity
 from millrace.llm.common import documents
@@ -109,10 +111,10 @@ def test_join_on_random_families(spark, tmp_path):
 
 
 def test_packing(spark, tables):
-    words = packing.Words.of(packing.vocabulary())
+    plain = Tokenizer.from_file(packing.vocabulary())
     want = []
     for i, t in rows_of(spark, tables["tricky"]):
-        ids = np.array([*words.tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         want += [(i, p, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())) for p, s in enumerate(range(0, len(ids), 2048))]
     got = queries.QUERIES["op7_best_fit_packing"](spark, tables["tricky"]).collect()
     assert sorted((tuple(r)[:5] for r in got), key=key) == sorted(want, key=key)
@@ -147,15 +149,22 @@ def test_packing_merges_over_rounds(spark):
 
 def test_word_memo_equals_whole_texts(monkeypatch):
     monkeypatch.setattr(packing, "MEMO", 200)
-    words, r = packing.Words(packing.vocabulary()), random.Random(3)
-    parts = [*"aBcİıſKẗÅé́.,!?;:'’sSdDlL0123٣²½ \t\n\x0b\x0c\r\x1c\x85\xa0 ​﻿#@-—ßÄö中文🙂àα", "T̈.", "'s", "'LL", "don't. ", "<|endoftext|>", "é,"]
+    words, plain, r = packing.Words(packing.vocabulary()), Tokenizer.from_file(packing.vocabulary()), random.Random(3)
+    parts = [*"aBcİıſKẗÅé́.,!?;:'’sSdDlL0123٣²½ \t\n\x0b\x0c\r\x1c\x85\xa0 ​﻿#@-—ßÄö中文🙂àα", "T̈.", "'s", "'LL", "don't. ", "<|endoftext|>", "x<|startoftext|>y", "é,"]
     texts = ["".join(r.choices(parts, k=r.randrange(50))) for _ in range(3000)] + ["", None]
     for k in range(0, len(texts), 250):
         ids, counts = words.encode(pa.array(texts[k : k + 250], pa.string()))
         at = 0
         for t, n in zip(texts[k : k + 250], counts, strict=True):
-            assert ids[at : at + n].tolist() == words.tokenizer.encode(t or "", add_special_tokens=False).ids
+            assert ids[at : at + n].tolist() == plain.encode(t or "", add_special_tokens=False).ids
             at += n
+    assert words.encode(pa.array(["a <|endoftext|> b"]))[0].tolist() == [320, 49407, 321]
+
+
+def test_sequences_are_near_the_least_number(spark):
+    folder = "/root/testdata/sf0.01"
+    got = queries.QUERIES["op7_best_fit_packing"](spark, folder).agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+    assert got[1] <= -(-got[0] // 2048) * 1.005 + 1
 
 
 def test_sharding(spark, tables):
@@ -455,7 +464,7 @@ def test_language_id_on_held_out_rows(spark, sf_dir):
 def test_language_id_on_awkward_rows(spark, tables):
     got = {r.doc_id: r for r in queries.QUERIES["op4_language_id"](spark, tables["tricky"]).collect()}
     assert [got[k].lang_pred for k in (3, 4, 5, 10)] == ["und"] * 4
-    assert langid.Model([], {}, np.zeros((0, 0)), {}).predict(pa.array(["abc", None])) == (["und", "und"], [0.0, 0.0])
+    assert langid.Model([], (np.zeros(0, np.uint64), np.zeros((0, 0))), {}).predict(pa.array(["abc", None])) == (["und", "und"], [0.0, 0.0])
 
 
 def test_words_before_grams():
@@ -464,11 +473,64 @@ def test_words_before_grams():
     empty = (np.zeros(0, np.uint64), np.zeros((0, 2), np.float32))
     grams = dict.fromkeys(langid.GRAM_SIZES, empty)
     grams[3] = (np.sort(h[3][0][h[3][1]])[:1], np.array([[0.0, 2.0]], np.float32))
-    m = langid.Model(["x", "y"], {"known": 0}, np.array([[3.0, 0.0]], np.float32), grams)
+    m = langid.Model(["x", "y"], (langid.word_hashes(["known"]), np.array([[3.0, 0.0]], np.float32)), grams)
     assert m.predict(pa.array(["known", "abcde"]))[0] == ["x", "y"]
     assert np.allclose(m.unseen(["abcde"])[0], [0, 2 * langid.BACKOFF**3])
 
 
+def brute_languages(train, texts):
+    """Word-first backoff with dictionaries of strings."""
+    words_of = lambda t: [w for w in ("".join(filter(str.isalpha, x)) for x in re.split(r"[^a-z\x80-\U0010ffff]+", (t or "").lower())) if w]
+    grams_of = lambda w, n: [f"<{w}>"[k : k + n] for k in range(len(w) + 3 - n)]
+    langs = sorted({lang for _, lang in train})
+    counts = defaultdict(lambda: defaultdict(Counter))  # size, key, language
+    totals = Counter()
+    for t, lang in train:
+        for w in words_of(t):
+            for size, key in [(0, w), *((n, g) for n in langid.GRAM_SIZES for g in grams_of(w, n))]:
+                counts[size][key][lang] += 1
+                totals[size, lang] += 1
+
+    def row(size, key):
+        c = counts[size].get(key)
+        if c is None or sum(c.values()) < langid.LEAST:
+            return None
+        p = [math.log((c[x] + 0.5) / (totals[size, x] + 1000)) for x in langs]
+        return [q - sum(p) / len(p) for q in p]
+
+    def evidence(w):
+        if (own := row(0, w)) is not None:
+            return own
+        for step, n in enumerate(langid.GRAM_SIZES):
+            if rows := [r for g in grams_of(w, n) if (r := row(n, g)) is not None]:
+                return [langid.BACKOFF ** (step + 1) * sum(c) / len(rows) for c in zip(*rows, strict=True)]
+        return [0.0] * len(langs)
+
+    out = []
+    for t in texts:
+        own = [evidence(w) for w in words_of(t)]
+        if not own:
+            out.append(("und", 0.0))
+            continue
+        total = [sum(c) for c in zip(*own, strict=True)]
+        best = max(range(len(langs)), key=lambda k: (round(total[k], 6), -k))
+        logit = [x / len(own) * min(len(own), 20) ** 0.5 for x in total]
+        out.append((langs[best], math.exp(logit[best]) / sum(map(math.exp, logit))))
+    return out
+
+
+def test_language_id_equals_brute_force(spark):
+    r = random.Random(11)
+    sounds = {"x": ["ka", "ro", "été", "mi"], "y": ["sch", "ung", "ß", "ka"], "z": ["ção", "nho", "mi", "日本"]}
+    text = lambda lang, n: " ".join("".join(r.choices(sounds[lang], k=r.randrange(1, 5))) + r.choice(["", ",", "!", "7"]) for _ in range(n))
+    train = [(text(lang, r.randrange(1, 40)), lang) for lang in "xxxxxxyyyyzz" for _ in range(6)] + [("", "x"), (None, "y")]
+    texts = [text(r.choice("xyz"), r.randrange(0, 12)) for _ in range(300)] + [None, "", "123", "q" * 500, "KA Ro, SCHung", "日本日本日本" * 40]
+    model = langid.train(spark.createDataFrame(train, "text string, lang string").repartition(3))
+    lang, p = model.predict(pa.array(texts, pa.string()))
+    want = brute_languages(train, texts)
+    assert lang == [w for w, _ in want] and np.allclose(p, [q for _, q in want], atol=1e-4)
+
+
 def test_toxicity_on_held_out_rows(spark, tmp_path):
     """Planted insults are learned from labels of other rows, and clean texts are left alone."""
     r = random.Random(9)
