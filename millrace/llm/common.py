@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
@@ -89,6 +90,31 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     tidy()
 
 
+_PLAIN = np.arange(256, dtype=np.uint8)  # ASCII letters become lower case, other ASCII white space
+for _c in range(128):
+    _PLAIN[_c] = ord(chr(_c).lower()) if chr(_c).isalpha() else 32
+
+
+def plain_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words between ASCII characters that are no letters, ASCII in lower case: the distinct ones, the place of each word
+    of the texts among them, and where each text begins and ends. White space at the ends leaves empty words. Null counts as empty."""
+    texts = pc.fill_null(texts, "")
+    texts = pa.concat_arrays([texts]) if texts.offset else texts
+    _, offsets, data = texts.buffers()
+    size = int(np.frombuffer(offsets, np.int32, 1, 4 * len(texts))[0]) if len(texts) else 0
+    plain = _PLAIN[np.frombuffer(data, np.uint8, size)] if size else np.zeros(0, np.uint8)
+    lists = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), offsets, pa.py_buffer(plain)))
+    coded = lists.flatten().dictionary_encode()
+    edges = lists.offsets.to_numpy().astype(np.int64)
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), edges - edges[0]
+
+
+def ragged(begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """begin[0], ..., begin[0] + width[0] - 1, begin[1], ..."""
+    ends = np.cumsum(width)
+    return np.repeat(begin - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def arrow_map(df: DataFrame, f: Callable[..., pa.RecordBatch], schema: str, column: str = "text", model: object = None) -> DataFrame:
     """mapInArrow over slices of bounded bytes; a model is broadcast and handed to f, and forgotten after each partition."""
     held = None if model is None else df.sparkSession.sparkContext.broadcast(model)

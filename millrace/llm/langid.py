@@ -17,12 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, crc_split, discard, documents, materialise, slices
+from millrace.llm.common import arrow_map, crc_split, discard, documents, materialise, plain_words, slices
 
 #: Labelled rows that training uses (expected number); the bound of the model.
 TRAIN_ROWS = 20_000
@@ -32,11 +31,6 @@ GRAM_SIZES = (5, 4, 3, 2, 1)
 #: Factor on the evidence of a word for each step it had to back off.
 BACKOFF = 0.6
 
-_PLAIN = np.arange(256, dtype=np.uint8)  # ASCII letters become lower case, other ASCII white space
-for _c in range(128):
-    _PLAIN[_c] = ord(chr(_c).lower()) if chr(_c).isalpha() else 32
-
-
 def _letters(word: str) -> str:
     return word if word.isascii() else "".join(filter(str.isalpha, word.lower()))
 
@@ -44,15 +38,8 @@ def _letters(word: str) -> str:
 def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Words between white space and ASCII signs, lower-case letters only; the place of each word of the texts among
     them (a spelling may be listed twice), and where each text begins and ends."""
-    texts = pc.fill_null(texts, "")
-    texts = pa.concat_arrays([texts]) if texts.offset else texts
-    _, offsets, data = texts.buffers()
-    size = int(np.frombuffer(offsets, np.int32, 1, 4 * len(texts))[0]) if len(texts) else 0
-    plain = _PLAIN[np.frombuffer(data, np.uint8, size)] if size else np.zeros(0, np.uint8)
-    lists = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), offsets, pa.py_buffer(plain)))
-    coded = lists.flatten().dictionary_encode()
-    edges = lists.offsets.to_numpy().astype(np.int64)
-    return [_letters(w) for w in coded.dictionary.to_pylist()], coded.indices.to_numpy().astype(np.int64), edges - edges[0]
+    words, index, edges = plain_words(texts)
+    return [_letters(w) for w in words], index, edges
 
 
 def word_hashes(words: list[str]) -> np.ndarray:

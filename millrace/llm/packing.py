@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, documents, materialise, slices, small
+from millrace.llm.common import discard, documents, materialise, ragged, slices, small
 
 CAPACITY = 2048
 END_ID = 0
@@ -137,7 +137,7 @@ class Words:
     def _forget(self) -> None:
         """Keep the half of MEMO parts that were used last."""
         keep = np.sort(np.argsort(-self.used, kind="stable")[: MEMO // 2])
-        self.pool = self.pool[_ragged(self.begin[keep], self.width[keep])]
+        self.pool = self.pool[ragged(self.begin[keep], self.width[keep])]
         self.parts, self.width, self.used = self.parts.take(pa.array(keep)), self.width[keep], self.used[keep]
         self.begin = np.cumsum(self.width) - self.width
 
@@ -162,13 +162,13 @@ class Words:
         place = self._places(parts.dictionary)[parts.indices.to_numpy()].reshape(2, -1)
         both = place.T.ravel()  # stem and marks of each distinct word in turn
         widths = self.width[both]
-        own = self.pool[_ragged(self.begin[both], widths)]
+        own = self.pool[ragged(self.begin[both], widths)]
         width = widths.reshape(-1, 2).sum(1)
         begin = np.cumsum(width) - width
         index = words.indices.to_numpy()
         lens = width[index]
         total = np.concatenate([[0], np.cumsum(lens)])
-        ids = own[_ragged(begin[index], lens)].astype("<u4")
+        ids = own[ragged(begin[index], lens)].astype("<u4")
         edges = lists.offsets.to_numpy().astype(np.int64)
         edges -= edges[0]
         if len(self.parts) > MEMO:
@@ -176,12 +176,6 @@ class Words:
         return ids, total[edges[1:]] - total[edges[:-1]]
 
 
-def _ragged(begin: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """begin[0], ..., begin[0] + width[0] - 1, begin[1], ..."""
-    ends = np.cumsum(width)
-    return np.repeat(begin - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def best_fit(sizes: Iterable[int], capacity: int = CAPACITY) -> tuple[list[int], list[int], list[int]]:
     """For sizes in descending order: the bin and offset of each, and the load of each bin. The fullest bin that fits takes an item."""
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]

@@ -1,17 +1,19 @@
 """Toxicity by weak supervision.
 
 Lexicons of words and word beginnings are drawn from training labels; together with fixed lexicons and surface
-patterns they make about thirty voters, each voting toxic, clean or nothing. A generative label model (EM) gives
-each voter a table of vote probabilities per class; correlations that remain given the class are measured, and
-voters that move together share one voice. A training row's own label is one more voter of known trust.
-A linear classifier on term and vote features is trained on the posterior labels and calibrated on training labels.
+patterns they make about thirty voters, each voting toxic, clean or nothing. A training row's own label is one more
+voter of the label model and nothing else. The generative label model (EM) gives each voter a table of vote
+probabilities per class, so its accuracy; correlations that remain given the class are measured, and voters that move
+together share one voice. A linear classifier on term and vote features (without the label) is trained on the
+model's posteriors alone, and its scores are calibrated on the training rows' labels.
 
-Labels come only from rows outside the held-out split, at most TRAIN_ROWS of them (drawn by a hash of the id);
-that and MAX_TERMS bound what training holds. Scoring covers every document.
+Labels come only from rows outside the held-out split, about TRAIN_ROWS of them (drawn by a hash of the id): the one
+documented bound. Every term of that sample whose class is sure enough is kept. Scoring covers every document.
 
 Defined results: a null text counts as empty and scores like a text without any evidence; without training
-labels every score is 0; rows repeat as they are; ids may be null (such rows have no label); several labels of
-one id count as their maximum; an empty table gives an empty result; other columns are ignored.
+labels of both classes every score is 0; rows repeat as they are; ids may be null (such rows have no label); several
+labels of one id count as their maximum; very long texts are read whole; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +24,17 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, crc_split, documents, materialise, slices, small
+from millrace.llm.common import arrow_map, crc_split, discard, documents, materialise, plain_words, ragged, slices, small
 
 TRAIN_ROWS = 20_000
-MAX_TERMS = 600
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
-#: A given label is right with this probability; else the votes decide: the posterior of a labelled training row.
-GIVEN = 0.8
+#: Log odds that a term must reach at least, drawn towards 0 by their uncertainty; and those of a strong term.
+SURE, STRONG = 0.3, 1.2
 
 # Seed lexicons, as voters of their own.
 SEEDS = {
@@ -73,60 +75,99 @@ def _count_terms(batches):
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
             counts[int(toxic > 0)].update(terms_of(set(_WORD.findall((text or "").lower()))))
-        for y, c in enumerate(counts):
-            keys = [k for k, n in c.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([0 if y else c[k] for k in keys], pa.int64()), pa.array([c[k] if y else 0 for k in keys], pa.int64())], ["term", "clean", "toxic"])
+        keys = list(counts[0].keys() | counts[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], ["term", "clean", "toxic"])
 
 
 class Voters:
-    """Votes and term features of a text."""
+    """Votes and term features of texts.
+
+    Items are the terms, the seeds and the words of address. The items of each distinct word of a batch are looked up
+    once; what a text has follows from its words by numpy."""
 
     def __init__(self, terms: dict[str, float]):
         """terms: log odds of being in toxic rather than clean texts, drawn towards 0 by their uncertainty."""
-        self.terms = terms
-        self.index = {t: k for k, t in enumerate(sorted(terms))}
-        kinds = {"word": [], **{f"begin{n}": [] for n in PREFIXES}}
+        self.terms = sorted(terms)
+        seeds = sorted({w for own in SEEDS.values() for w in own})
+        self.items: dict[str, list[int]] = {}
+        for k, t in enumerate([*self.terms, *seeds, *sorted(_SECOND)]):
+            self.items.setdefault(t, []).append(k)
+        n = len(self.terms)
+        kinds = {"word": [], **{f"begin{k}": [] for k in PREFIXES}}
+        number = {t: k for k, t in enumerate(self.terms)}
         for t in sorted(terms, key=lambda t: (-terms[t], t)):
             if terms[t] > 0:
-                kinds[f"begin{len(t) - 1}" if t.endswith("*") else "word"].append(t)
-        self.lexicons: dict[str, frozenset] = {}
-        for kind, own in kinds.items():
-            for part in range(4):
-                cut = own[part::4]
-                if cut:
-                    self.lexicons[f"{kind}_{part}"] = frozenset(cut)
-        for name, own in SEEDS.items():
-            self.lexicons[name] = frozenset(own)
-        self.strong = frozenset(t for t, v in terms.items() if v >= 1.2)
-        self.seeds = frozenset(w for own in SEEDS.values() for w in own)
-        self.names = [*self.lexicons, "any_strong", "several_strong", "dense_strong", "aimed", "shouting", "exclaiming", "several_seeds", "long_and_quiet", "short_and_quiet"]
+                kinds[f"begin{len(t) - 1}" if t.endswith("*") else "word"].append(number[t])
+        lexicons = {f"{kind}_{part}": own[part::4] for kind, own in kinds.items() for part in range(4) if own[part::4]}
+        place = {w: n + k for k, w in enumerate(seeds)}
+        lexicons |= {name: [place[w] for w in own] for name, own in SEEDS.items()}
+        self.member = np.array(sorted((i, k) for k, own in enumerate(lexicons.values()) for i in own), np.int64).reshape(-1, 2)
+        every = n + len(seeds) + len(_SECOND)
+        self.begin = np.searchsorted(self.member[:, 0], np.arange(every + 1))
+        self.strong = np.zeros(every, bool)
+        self.strong[[number[t] for t, v in terms.items() if v >= STRONG]] = True
+        self.whole = np.array([not t.endswith("*") for t in self.terms] + [False] * (every - n), bool) & self.strong
+        self.seed, self.second = np.zeros((2, every), bool)
+        self.seed[n : n + len(seeds)], self.second[n + len(seeds) :] = True, True
+        self.lexicons = list(lexicons)
+        self.names = [*lexicons, "any_strong", "several_strong", "dense_strong", "aimed", "shouting", "exclaiming", "several_seeds", "long_and_quiet", "short_and_quiet"]
+
+    def _of_word(self, word: str) -> tuple[int, list[int]]:
+        """How many words of letters a word is, and the items they have."""
+        words = [word] if word.isascii() else _WORD.findall(word.lower())
+        return len(words), sorted({k for t in terms_of(words) if t in self.items for k in self.items[t]})
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Votes (a row per text), and pairs of text and term, as two arrays."""
+        n = len(texts)
+        texts = pc.fill_null(texts, "")
+        words, index, edges = plain_words(texts)
+        found = [self._of_word(w) if w else (0, []) for w in words]
+        many = np.array([m for m, _ in found], np.int64)
+        width = np.array([len(i) for _, i in found], np.int64)
+        flat = np.array([i for _, own in found for i in own], np.int64)
+        begin = np.cumsum(width) - width
+        at = np.flatnonzero(width[index]) if len(words) else np.zeros(0, np.int64)
+        owner = np.searchsorted(edges, at, "right") - 1
+        w = index[at]
+        pairs = np.unique(np.repeat(owner, width[w]) * len(self.strong) + flat[ragged(begin[w], width[w])])
+        text, item = np.divmod(pairs, len(self.strong))
+
+        counted = lambda mask: np.bincount(text[mask[item]], minlength=n)
+        total = np.concatenate([[0], np.cumsum(many[index])]) if len(words) else np.zeros(1, np.int64)
+        size = np.maximum(total[edges[1:]] - total[edges[:-1]], 1)
+        strong, whole, seeds, aimed = counted(self.strong), counted(self.whole), counted(self.seed), counted(self.second) > 0
+        length = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+        marks = pc.count_substring(texts, "!").to_numpy(zero_copy_only=False)
+        capitals = np.zeros(n, np.int64)
+        for k in np.flatnonzero(strong).tolist():
+            capitals[k] = sum(map(str.isupper, texts[k].as_py()))
+        votes = np.zeros((n, len(self.names)), np.int8)
+        in_lexicon = self.begin[item + 1] - self.begin[item]
+        votes[np.repeat(text, in_lexicon), self.member[ragged(self.begin[item], in_lexicon), 1]] = 1
+        some = strong > 0
+        patterns = [
+            np.where(some, 1, -1),
+            np.where(strong >= 3, 1, np.where(some, 0, -1)),
+            np.where(strong / size > 0.004, 1, np.where(some, 0, -1)),
+            some & aimed,
+            some & (capitals > 0.4 * length),
+            some & (marks > 0.02 * length),
+            seeds >= 2,
+            -((size > 200) & ~some).astype(int),
+            -((size <= 200) & ~some & (whole == 0)).astype(int),
+        ]
+        votes[:, len(self.lexicons) :] = np.stack(patterns, 1)
+        own = item < len(self.terms)
+        return votes, text[own], item[own]
 
     def __call__(self, text: str | None) -> tuple[list[int], list[int]]:
-        text = text or ""
-        words = _WORD.findall(text.lower())
-        found = terms_of(set(words))
-        hits = found & self.terms.keys()
-        strong = hits & self.strong
-        votes = [1 if not lex.isdisjoint(found) else 0 for lex in self.lexicons.values()]
-        n = max(1, len(words))
-        starred = sum(1 for t in strong if not t.endswith("*"))
-        letters = sum(map(str.isupper, text)) if strong else 0
-        votes += [
-            1 if strong else -1,
-            1 if len(strong) >= 3 else -1 if not strong else 0,
-            1 if len(strong) / n > 0.004 else -1 if not strong else 0,
-            1 if strong and not _SECOND.isdisjoint(words) else 0,
-            1 if strong and letters > 0.4 * len(text) else 0,
-            1 if strong and text.count("!") > 0.02 * len(text) else 0,
-            1 if len(self.seeds & found) >= 2 else 0,
-            -1 if n > 200 and not strong else 0,
-            -1 if n <= 200 and not strong and not starred else 0,
-        ]
-        return votes, [self.index[t] for t in hits]
+        votes, _, terms = self.batch(pa.array([text], pa.string()))
+        return votes[0].tolist(), terms.tolist()
 
 
 class LabelModel:
-    """Class-conditional vote tables by EM; correlated voters share a voice."""
+    """Class-conditional vote tables by EM; correlated voters share a voice. Rows with the same votes are counted, not repeated."""
 
     #: Votes correlated beyond this over all texts are not used to judge each other.
     ALIKE = 0.8
@@ -134,10 +175,13 @@ class LabelModel:
     def __init__(self, votes: np.ndarray, prior: float, rounds: int = 25):
         self.prior = prior
         n, k = votes.shape
+        votes, times = np.unique(votes.astype(np.int64), axis=0, return_counts=True)
         one_hot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
-        sd = votes.std(0)
-        centred = (votes - votes.mean(0)) / np.where(sd > 0, sd, 1)
-        self.marginal = centred.T @ centred / max(n, 1)
+        mean = times @ votes / n
+        centred = votes - mean
+        sd = np.sqrt(times @ (centred * centred) / n)
+        centred = centred / np.where(sd > 0, sd, 1)
+        self.marginal = centred.T @ (centred * times[:, None]) / max(n, 1)
         alike = np.abs(self.marginal) > self.ALIKE
         np.fill_diagonal(alike, True)
         self.voice = 1 / alike.sum(1)
@@ -145,32 +189,34 @@ class LabelModel:
         for turn in range(rounds):
             self.tables = []
             for p in (1 - posterior, posterior):
-                t = (one_hot * p[:, None, None]).sum(0) + 0.5
+                t = (one_hot * (p * times)[:, None, None]).sum(0) + 0.5
                 self.tables.append(t / t.sum(1, keepdims=True))
             if turn == rounds // 3:
-                self.voice = self._voices(votes)
+                self.voice = self._voices(votes, times)
             posterior = self.posterior(votes)
-        self.accuracy = [float((one_hot[:, j, 2] * posterior + one_hot[:, j, 0] * (1 - posterior)).sum() / max(1e-9, (1 - one_hot[:, j, 1]).sum())) for j in range(k)]
+        right = (one_hot[:, :, 2] * posterior[:, None] + one_hot[:, :, 0] * (1 - posterior)[:, None]) * times[:, None]
+        self.accuracy = (right.sum(0) / np.maximum(1e-9, (times[:, None] * (1 - one_hot[:, :, 1])).sum(0))).tolist()
 
-    def _voices(self, votes: np.ndarray) -> np.ndarray:
+    def _voices(self, votes: np.ndarray, times: np.ndarray) -> np.ndarray:
         """One over the number of voters that a voter effectively repeats: its correlations with others given the class.
 
         The class is told without the two voters in question and without those much like them."""
         k = votes.shape[1]
         evidence = self._evidence(votes)
+        whole, share = evidence.sum(1), times / times.sum()
         apart = [float((t1 - t0) @ (-1, 0, 1)) for t0, t1 in zip(*self.tables, strict=True)]  # how far the classes move each vote
         self.correlation = np.eye(k)
         for i in range(k):
             for j in range(i):
-                others = (np.abs(self.marginal[i]) <= self.ALIKE) & (np.abs(self.marginal[j]) <= self.ALIKE)
-                others[[i, j]] = False
-                p1 = self._logistic(evidence[:, others].sum(1))
+                left_out = (np.abs(self.marginal[i]) > self.ALIKE) | (np.abs(self.marginal[j]) > self.ALIKE)
+                left_out[[i, j]] = True
+                p1 = self._logistic(whole - evidence[:, left_out].sum(1))
                 cov, vi, vj = 0.0, 0.0, 0.0
-                for p in (1 - p1, p1):
+                for p in ((1 - p1) * share, p1 * share):
                     w = p / max(p.sum(), 1e-9)
                     a, b = votes[:, i] - w @ votes[:, i], votes[:, j] - w @ votes[:, j]
-                    cov, vi, vj = cov + p.mean() * (w @ (a * b)), vi + p.mean() * (w @ (a * a)), vj + p.mean() * (w @ (b * b))
-                unsure = float((p1 * (1 - p1)).mean())  # what the classes still explain where they are not certain
+                    cov, vi, vj = cov + p.sum() * (w @ (a * b)), vi + p.sum() * (w @ (a * a)), vj + p.sum() * (w @ (b * b))
+                unsure = float((p1 * (1 - p1)) @ share)  # what the classes still explain where they are not certain
                 cov, vi, vj = cov - apart[i] * apart[j] * unsure, vi - apart[i] ** 2 * unsure, vj - apart[j] ** 2 * unsure
                 self.correlation[i, j] = self.correlation[j, i] = np.clip(cov / np.sqrt(max(vi, 1e-9) * max(vj, 1e-9)), -1, 1)
         strong = np.where(self.correlation > 0.15, self.correlation, 0)
@@ -193,10 +239,10 @@ class Classifier:
     def __init__(self, voters: Voters, weights: np.ndarray, bias: float, calibration: Calibration):
         self.voters, self.weights, self.bias, self.calibration = voters, weights, bias, calibration
 
-    def score(self, text: str | None) -> float:
-        votes, terms = self.voters(text)
-        k = len(votes)
-        return self.calibration(self.bias + float(np.dot(self.weights[:k], votes)) + float(self.weights[k:][terms].sum()))
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        votes, text, term = self.voters.batch(texts)
+        k = votes.shape[1]
+        return self.calibration(self.bias + votes @ self.weights[:k] + np.bincount(text, self.weights[k:][term], len(texts)))
 
 
 class Calibration:
@@ -216,24 +262,33 @@ class Calibration:
         spread = max(float(z.std()), 1e-9)
         self.share, self.middle, self.spread = logistic, float(z.mean()), spread
 
-    def __call__(self, z: float) -> float:
-        x = max(-30.0, min(30.0, (z - self.middle) / self.spread))
-        return (1 - self.share) * float(np.interp(z, self.at, self.p)) + self.share / (1 + math.exp(-x))
+    def __call__(self, z: np.ndarray) -> np.ndarray:
+        x = np.clip((z - self.middle) / self.spread, -30, 30)
+        return (1 - self.share) * np.interp(z, self.at, self.p) + self.share / (1 + np.exp(-x))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 300, rate: float = 0.1) -> np.ndarray:
-    """Adam on the mean log loss; the last column of x is the bias and is not shrunk."""
-    w, m, s = (np.zeros(x.shape[1], np.float64) for _ in range(3))
+def _logistic(dense: np.ndarray, row: np.ndarray, column: np.ndarray, columns: int, y: np.ndarray, ridge: float, steps: int = 300, rate: float = 0.1) -> np.ndarray:
+    """Weights of the dense columns, of the sparse ones (1 at each row, column) and the bias, by Adam on the mean log loss; the bias is not shrunk."""
+    n, k = dense.shape
+    w, m, s = (np.zeros(k + columns + 1, np.float64) for _ in range(3))
     shrink = np.full(len(w), ridge)
     shrink[-1] = 0
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) / len(y) + shrink * w
+        z = dense @ w[:k] + np.bincount(row, w[k + column], n) + w[-1]
+        off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        g = np.concatenate([off @ dense, np.bincount(column, off[row], columns), [off.sum()]]) + shrink * w
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     return w
 
 
+def _likelihood_ratio(a: Column, b: Column, n_a: int, n_b: int) -> Column:
+    """Twice the log likelihood ratio of a of n_a and b of n_b rows against equal shares."""
+    share = (a + b) / F.lit(float(n_a + n_b))
+    cells = [(a, n_a * share), (b, n_b * share), (n_a - a, n_a * (1 - share)), (n_b - b, n_b * (1 - share))]
+    return 2 * sum((F.when(o > 0, o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
+
+
 def train(sample: DataFrame) -> Classifier | None:
     """sample: text, toxic. Counts terms, collects votes and features (bounded by the sample), fits."""
     sample = materialise(sample, "toxicity-sample")
@@ -243,41 +298,50 @@ def train(sample: DataFrame) -> Classifier | None:
     n0, n1 = sizes[False], sizes[True]
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
     counted = sample.mapInArrow(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # a term counts by what its log odds are at least (or at most), so that few texts make no strong term
+    counted = materialise(counted.where("toxic + clean >= 4"), "toxicity-terms")
+    # a term counts by what its log odds are at least (or at most), so that few texts make no strong term; the more terms
+    # there are, the more its likelihood ratio must exceed chance, so that hardly one of them passes by luck
     spread = 1.64 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    ranked = counted.where("toxic + clean >= 4").withColumn("odds", odds).withColumn("sure", F.signum("odds") * F.greatest(F.lit(0.0), F.abs("odds") - spread))
-    toxic = ranked.where("sure > 0.3").orderBy(F.desc("sure"), "term").limit(MAX_TERMS).collect()
-    clean = ranked.where("sure < -0.3").orderBy("sure", "term").limit(MAX_TERMS // 6).collect()
-    voters = Voters({r["term"]: float(r["sure"]) for r in [*toxic, *clean]})
+    ranked = counted.withColumn("odds", odds).withColumn("sure", F.signum("odds") * F.greatest(F.lit(0.0), F.abs("odds") - spread))
+    ranked = ranked.where(_likelihood_ratio(F.col("toxic"), F.col("clean"), n1, n0) > 2 * math.log(max(2, counted.count())))
+    terms = ranked.where(F.abs("sure") > SURE).select("term", "sure").toArrow()  # terms of the bounded sample
+    voters = Voters(dict(zip(terms.column("term").to_pylist(), terms.column("sure").to_pylist(), strict=True)))
 
     def votes(batches):
         for part in slices(batches):
-            got = [voters(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([v for v, _ in got], pa.list_(pa.int32())), pa.array([f for _, f in got], pa.list_(pa.int32()))], ["toxic", "votes", "terms"])
+            v, text, term = voters.batch(part.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(v) + 1)), pa.int32()), pa.array(term, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(list(v.astype(np.int32)), pa.list_(pa.int32())), lists], ["toxic", "votes", "terms"])
 
     rows = sample.mapInArrow(votes, "toxic int, votes array<int>, terms array<int>").toArrow()  # the bounded sample
+    discard(sample)
+    discard(counted)
     y = (rows.column("toxic").to_numpy() > 0).astype(float)
     v = np.array(rows.column("votes").to_pylist(), np.int64)
-    model = LabelModel(v, n1 / (n0 + n1))
-    x = np.zeros((len(y), v.shape[1] + len(voters.index) + 1), np.float32)
-    x[:, : v.shape[1]], x[:, -1] = v, 1
-    for k, terms in enumerate(rows.column("terms").to_pylist()):
-        x[k, [v.shape[1] + t for t in terms]] = 1
-    w = _logistic(x, GIVEN * y + (1 - GIVEN) * model.posterior(v), 1e-4)
-    z = x @ w
+    posterior = posteriors(v, y, n1 / (n0 + n1))
+    lists = rows.column("terms").combine_chunks()
+    width = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    row, term = np.repeat(np.arange(len(y)), width), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    w = _logistic(v.astype(np.float64), row, term, len(voters.terms), posterior, 1e-4)
+    k = v.shape[1]
+    z = v @ w[:k] + np.bincount(row, w[k + term], len(y)) + w[-1]
     return Classifier(voters, w[:-1], float(w[-1]), Calibration(z, y))
 
 
+def posteriors(votes: np.ndarray, toxic: np.ndarray, prior: float) -> np.ndarray:
+    """Of each training row, from its votes and its label, which votes too."""
+    every = np.concatenate([np.where(toxic > 0, 1, -1)[:, None], votes], 1)
+    return LabelModel(every, prior).posterior(every)
+
+
 def score_toxicity(docs: DataFrame, model: Classifier | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted per row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = held.value
-        p = [m.score(t) if m is not None else 0.0 for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array([int(q >= threshold) for q in p], pa.int32())], ["doc_id", "score", "predicted"])
+    def run(batch: pa.RecordBatch, own: Classifier | None = None) -> pa.RecordBatch:
+        p = own.scores(batch.column("text")) if own is not None else np.zeros(batch.num_rows)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double, predicted int")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double, predicted int", model=model)
 
 
 def op3(spark, sf_dir):

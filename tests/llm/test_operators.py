@@ -571,6 +571,56 @@ def test_label_model_discounts_copies():
     assert ((m.posterior(votes) > 0.5) == y).mean() > 0.9
 
 
+def test_label_model_equals_plain_em(monkeypatch):
+    monkeypatch.setattr(toxicity.LabelModel, "_voices", lambda self, votes, times: self.voice)
+    r = random.Random(4)
+    rows = [[r.choice([-1, 0, 1]) if r.random() < 0.4 else y for _ in range(5)] for y in r.choices([-1, 1], [0.7, 0.3], k=200)]
+    m, prior, rounds = toxicity.LabelModel(np.array(rows), 0.3, 6), 0.3, 6
+    assert (m.voice == 1).all()
+    p = [min(0.98, max(0.02, prior + sum(v) / 5)) for v in rows]
+    for _ in range(rounds):
+        table = {}
+        for c in (0, 1):
+            for j in range(5):
+                n = {x: 0.5 + sum(q if c else 1 - q for q, v in zip(p, rows, strict=True) if v[j] == x) for x in (-1, 0, 1)}
+                table |= {(c, j, x): n[x] / sum(n.values()) for x in n}
+        odds = [math.prod(table[1, j, x] / table[0, j, x] for j, x in enumerate(v)) * prior / (1 - prior) for v in rows]
+        p = [o / (1 + o) for o in odds]
+    assert np.allclose(m.posterior(np.array(rows)), p, atol=1e-9)
+
+
+def test_votes_of_a_batch_equal_votes_word_by_word():
+    r = random.Random(6)
+    terms = {"idiot": 2.0, "zorg*": 1.5, "moronic": 0.5, "trash": 1.3, "calm": -1.0, "gentl*": -0.6, "crétin": 1.4}
+    voters = toxicity.Voters(terms)
+    parts = ["idiot", "IDIOT!", "zorgon", "zorg", "moronic,", "trash-talk", "calm", "gentle", "gently", "Crétin", "you", "hate", "l’idiot", "a", "b", "\n", "É", "1idiot2"]
+    texts = [" ".join(r.choices(parts, k=r.randrange(30))) for _ in range(300)] + [None, "", "calm " * 300]
+    votes, text, term = voters.batch(pa.array(texts, pa.string()))
+    for k, t in enumerate(texts):
+        t = t or ""
+        words = re.findall(r"[^\W\d_]+", t.lower())
+        found = set(words) | {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) > n}
+        assert {voters.terms[i] for i in term[text == k]} == found & terms.keys()
+        strong = {x for x in found if terms.get(x, 0) >= 1.2}
+        own = dict(zip(voters.names, votes[k].tolist(), strict=True))
+        assert own["any_strong"] == (1 if strong else -1) and own["several_strong"] == (1 if len(strong) >= 3 else 0 if strong else -1)
+        assert own["aimed"] == int(bool(strong) and "you" in words) and own["several_seeds"] == int(len(found & {w for s in toxicity.SEEDS.values() for w in s}) >= 2)
+        assert own["long_and_quiet"] == (-1 if len(words) > 200 and not strong else 0)
+        assert own["insults_en"] == int(not found.isdisjoint(toxicity.SEEDS["insults_en"])) and own["insults_fr"] == int(not found.isdisjoint(toxicity.SEEDS["insults_fr"]))
+        assert own["shouting"] == int(bool(strong) and sum(map(str.isupper, t)) > 0.4 * len(t)) and own["exclaiming"] == int(bool(strong) and t.count("!") > 0.02 * len(t))
+
+
+def test_toxicity_learns_from_posteriors_only():
+    """A label that all voters contradict counts as one voice among them."""
+    rng = np.random.default_rng(1)
+    y = rng.random(2000) < 0.3
+    votes = np.stack([np.where(rng.random(2000) < 0.9, np.where(y, 1, -1), np.where(y, -1, 1)) for _ in range(7)], 1)
+    given = y.copy()
+    given[:50] = ~given[:50]
+    p = toxicity.posteriors(votes, given, 0.3)
+    assert ((p[:50] > 0.5) == y[:50]).mean() > 0.8 and ((p > 0.5) == y).mean() > 0.97
+
+
 def test_sql_of_dedup(spark, sf_dir):
     import duckdb
 
