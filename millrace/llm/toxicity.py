@@ -92,6 +92,8 @@ class Voters:
         self.items: dict[str, list[int]] = {}
         for k, t in enumerate([*self.terms, *seeds, *sorted(_SECOND)]):
             self.items.setdefault(t, []).append(k)
+        #: How a word of ASCII letters begins that has an item.
+        self.heads = frozenset(t.rstrip("*")[: min(PREFIXES)] for t in self.items)
         n = len(self.terms)
         kinds = {"word": [], **{f"begin{k}": [] for k in PREFIXES}}
         number = {t: k for k, t in enumerate(self.terms)}
@@ -122,7 +124,8 @@ class Voters:
         n = len(texts)
         texts = pc.fill_null(texts, "")
         words, index, edges = plain_words(texts)
-        found = [self._of_word(w) if w else (0, []) for w in words]
+        heads, nothing = self.heads, (1, [])
+        found = [(self._of_word(w) if w else (0, [])) if w[:4] in heads or not w.isascii() or not w else nothing for w in words]
         many = np.array([m for m, _ in found], np.int64)
         width = np.array([len(i) for _, i in found], np.int64)
         flat = np.array([i for _, own in found for i in own], np.int64)
