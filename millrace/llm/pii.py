@@ -6,8 +6,8 @@ the source characters it stands for. Detectors for email, ip, card and phone run
 spans) and on the rewritten text; spans found there are mapped back to source characters and added unless they
 touch a base span of their kind.
 
-Defined results: a null text counts as empty and has no spans; rows repeat as they are; ids may be null; the
-detectors take linear time on very long texts; an empty table gives an empty result; other columns are ignored.
+Defined results: a null text counts as empty and has no spans; rows repeat as they are; ids may be null; transducers
+and detectors read very long texts whole, in linear time; an empty table gives an empty result; other columns are ignored.
 Offsets are code points of the source text, end exclusive.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -125,13 +126,11 @@ _number = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<![^\W_])(?:{_number}|[0-9]+)(?:[ ,.()-]{{1,3}}(?:{_number}|[0-9]+)(?![^\W_]))+(?![^\W_])", re.I)
 _NUMBER = re.compile(rf"{_number}|[0-9]", re.I)
 _at, _dot = "|".join(_AT_WORDS), "|".join(_DOT_WORDS)
-_BRACKET_AT = re.compile(rf"[ \t]*(?:[\[({{<][ \t]*(?:{_at}|@)[ \t]*[\])}}>])[ \t]*", re.I)
-_BRACKET_DOT = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:{_dot}|\.)[ \t]*[\])}}>][ \t]*", re.I)
-_SPOKEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]++(?:[ \t]+(?:{_dot})[ \t]+[A-Za-z0-9._%+-]++)*)(?P<at>[ \t]+(?:{_at})[ \t]+|[ \t]*@[ \t]*)"
-    rf"(?P<host>[A-Za-z0-9-]+(?:(?:[ \t]+(?:{_dot})[ \t]+|\.)[A-Za-z0-9-]+)*(?:[ \t]+(?:{_dot})[ \t]+|\.)(?:{'|'.join(_DOMAINS)}))(?![A-Za-z0-9])",
-    re.I,
-)
+# Brackets take the white space around them; that before is added by code, since a pattern would try each place of a run.
+_BRACKET_AT = re.compile(rf"[\[({{<][ \t]*(?:{_at}|@)[ \t]*[\])}}>][ \t]*", re.I)
+_BRACKET_DOT = re.compile(rf"[\[({{<][ \t]*(?:{_dot}|\.)[ \t]*[\])}}>][ \t]*", re.I)
+_AT_SIGN = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:[ \t]+({_at})[ \t]+|[ \t]*(@)[ \t]*)", re.I)
+_HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:[ \t]+(?:{_dot})[ \t]+|\.)[A-Za-z0-9-]+)*(?:[ \t]+(?:{_dot})[ \t]+|\.)(?:{'|'.join(_DOMAINS)})(?![A-Za-z0-9])", re.I)
 _SPACED = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?P<at>[ \t]*@[ \t]*)(?P<host>[A-Za-z0-9-]+(?:[ \t]?\.[ \t]?[A-Za-z0-9-]+)*[ \t]?\.[ \t]?(?:{'|'.join(_DOMAINS)}))(?![A-Za-z0-9])",
     re.I,
@@ -211,23 +210,71 @@ def suspicious(text: str) -> bool:
     return False
 
 
+def _with_space_before(text: str, pattern: re.Pattern, new: str) -> list[tuple[int, int, str]]:
+    """An edit for each match, with the white space before it."""
+    out, free = [], 0
+    for m in pattern.finditer(text):
+        start = m.start()
+        while start > free and text[start - 1] in " \t":
+            start -= 1
+        out.append((start, m.end(), new))
+        free = m.end()
+    return out
+
+
+def _local_before(text: str, end: int, free: int) -> tuple[int, list[tuple[int, int]]]:
+    """Where the words before `end` begin that dot words join, back to `free` at most, and those dot words with the space around them."""
+
+    def back(at: int, chars) -> int:
+        while at > free and text[at - 1] in chars:
+            at -= 1
+        return at
+
+    start, dots = back(end, _LOCAL), []
+    while True:
+        stop = back(start, " \t")
+        word = back(stop, _LOCAL)
+        if stop == start or text[word:stop].lower() not in _DOT_SET:
+            return start, dots[::-1]
+        before = back(word, " \t")
+        more = back(before, _LOCAL)
+        if before == word or more == before:
+            return start, dots[::-1]
+        dots.append((before, start))
+        start = more
+
+
+def spoken_addresses(text: str) -> list[tuple[int, int, str]]:
+    """Edits that turn words and spaced signs of addresses into signs. Looking at each at in turn takes linear time:
+    hosts are read forwards, and only if there is one the words before, as far as the last address."""
+    edits: list[tuple[int, int, str]] = []
+    at, free = _AT_SIGN.search(text), 0
+    while at is not None:
+        host = _HOST.match(text, at.end())
+        if host is None:
+            at = _AT_SIGN.search(text, at.start() + 1)
+            continue
+        start, dots = _local_before(text, at.start(), free)
+        if start == at.start():  # what precedes belongs to the last address
+            at = _AT_SIGN.search(text, at.start() + 1)
+            continue
+        after = [d.span() for d in _DOT_WORD.finditer(text, *host.span())]
+        if {text[a:b].strip().lower() for a, b in dots + after} <= _PAIRS[(at[1] or at[2]).lower()]:
+            edits += [(a, b, ".") for a, b in dots] + [(at.start(), at.end(), "@")] + [(a, b, ".") for a, b in after]
+        free = host.end()
+        at = _AT_SIGN.search(text, free)
+    return [e for e in edits if e[2] != text[e[0] : e[1]]]
+
+
 def deobfuscate(text: str) -> Rewritten:
     out = Rewritten(text)
     if not text.isascii():
         out = out.replace([(k, k + 1, _CHANGED[c]) for k, c in enumerate(text) if c in _CHANGED])
     spelled = [(m.start() + n.start(), m.start() + n.end(), _DIGIT_WORDS.get(n[0].lower(), n[0])) for m in _SPELLED.finditer(out.text) if sum(1 for _ in _NUMBER.finditer(m[0])) >= 4 and re.search("[^\\W\\d]", m[0]) for n in _NUMBER.finditer(m[0])]
     out = out.replace(spelled)
-    out = out.replace([(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(out.text)])
-    out = out.replace([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(out.text)])
-    edits = []
-    for m in _SPOKEN.finditer(out.text):
-        dots = {d[0].strip().lower() for part in ("local", "host") for d in _DOT_WORD.finditer(out.text, m.start(part), m.end(part))}
-        if not dots <= _PAIRS[m["at"].strip().lower()]:
-            continue
-        edits += [(d.start(), d.end(), ".") for d in _DOT_WORD.finditer(out.text, m.start("local"), m.end("local"))]
-        edits.append((m.start("at"), m.end("at"), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _DOT_WORD.finditer(out.text, m.start("host"), m.end("host"))]
-    out = out.replace([e for e in edits if e[2] != out.text[e[0] : e[1]]])
+    out = out.replace(_with_space_before(out.text, _BRACKET_AT, "@"))
+    out = out.replace(_with_space_before(out.text, _BRACKET_DOT, "."))
+    out = out.replace(spoken_addresses(out.text))
     spaced = [(m.start("host") + d.start(), m.start("host") + d.end(), ".") for m in _SPACED.finditer(out.text) for d in re.finditer(r"[ \t]+\.[ \t]*|\.[ \t]+", m["host"])]
     ats = [(m.start("at"), m.end("at"), "@") for m in _SPACED.finditer(out.text) if len(m["at"]) > 1]
     out = out.replace(sorted(spaced + ats))
@@ -244,6 +291,29 @@ def spelled_phones(text: str) -> list[tuple[int, int]]:
     return out
 
 
+class _Taken:
+    """Disjoint stretches of a text, to which later ones are added in order."""
+
+    def __init__(self, spans):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.last = 0  # end of the last one added
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add(self, a: int, b: int) -> bool:
+        """False if a to b touches what is taken. Calls come by ascending a."""
+        k = bisect_left(self.starts, b) - 1
+        if a < self.last or k >= 0 and self.ends[k] > a:
+            return False
+        self.last = b
+        return True
+
+
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, each by start, then kind as listed."""
     text = text or ""
@@ -252,13 +322,13 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     if suspicious(text):
         clean = deobfuscate(text)
         if clean.text != text:
+            taken = {kind: _Taken((a, b) for a, b, k in base if k == kind) for kind in KINDS}
             for a, b, kind in detect(clean.text):
-                start, end = clean.source(a, b)
-                if not any(k == kind and start < e and s < end for s, e, k in every):
-                    every.append((start, end, kind))
-            for start, end in spelled_phones(text):
-                if not any(start < e and s < end for s, e, _ in every):
-                    every.append((start, end, "phone"))
+                span = clean.source(a, b)
+                if taken[kind].add(*span):
+                    every.append((*span, kind))
+            anything = _Taken((a, b) for a, b, _ in every)
+            every += [(a, b, "phone") for a, b in spelled_phones(text) if anything.add(a, b)]
     rank = {k: i for i, k in enumerate(KINDS)}
     order = lambda s: (s[0], rank[s[2]])
     return sorted(base, key=order), sorted(every, key=order)
@@ -268,18 +338,18 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-_OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+_OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base counts by kind, digest of the base spans, all spans, and how many the rewriting added."""
+    """doc_id, base counts by kind, digest of the base spans, all spans, how many the rewriting added, and how many there are."""
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             base, every = find(text)
             counts = [sum(s[2] == k for s in base) for k in KINDS]
-            rows.append((doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base)))
+            rows.append((doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base), len(every)))
         kinds = [x.split() for x in _OUT.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.string()) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [k for k, _ in kinds])
 
