@@ -2,15 +2,15 @@
 
 Mu-law and A-law samples expand by lookup tables. ADPCM blocks are independent, so the decoder takes one nibble
 of every block of a batch at a time; its two state updates are table lookups too. Expanded audio is resampled by
-an integer polyphase filter and can be stored as a PCM WAV file.
+an integer polyphase filter, from any rate to any (a narrower filter where the rate falls), and stored as PCM WAV.
 
 As a media column for texts: the UTF-8 bytes, padded with spaces to a positive multiple of 192, are the codes of
 such a file (an ADPCM block carries 192 of them); the crc of the bytes picks the codec, so equal texts give equal
-files. The stored file is parsed again and the codes come back unchanged.
+files. The stored file is parsed again, the codes come back unchanged, and the PCM file of it is described too.
 
 Defined results: a null text counts as empty and is stored as 192 spaces; long texts are resampled in chunks;
-repeated rows and null ids go through as they are; bytes that are no known WAV file decode to null; an empty
-table gives an empty result; other columns are ignored.
+repeated rows and null ids go through as they are; bytes that are no known WAV file, or of a sampling rate outside
+RATES, decode to null; a file without samples decodes to one without samples; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from math import isqrt
+from math import ceil, gcd, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import arrow_map, documents
 
 RATE, RATE_OUT, UNIT = 8000, 16000, 192
+#: Sampling rates that are read, in Hz.
+RATES = range(1000, 384_001)
 CODECS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 
 # The step sizes and index moves of IMA ADPCM.
@@ -117,7 +119,7 @@ def parse(media: bytes) -> tuple[str, int, np.ndarray] | None:
             data = np.frombuffer(media, np.uint8, min(n, len(media) - at - 8), at + 8)
         at += 8 + n + (n & 1)
     codec = next((k for k, v in CODECS.items() if form and v == form[0]), None)
-    if codec is None or data is None or form[1] != 1:
+    if codec is None or data is None or form[1] != 1 or form[2] not in RATES:
         return None
     if codec == "adpcm":
         if form[4] <= 4:
@@ -136,49 +138,60 @@ def expand(codec: str, data: np.ndarray) -> np.ndarray:
     return (MULAW if codec == "mulaw" else ALAW)[data]
 
 
-def _filter(up: int, taps: int = 8) -> np.ndarray:
+def _filter(up: int, down: int = 1) -> np.ndarray:
     """Integer phases of a windowed sinc, each summing to 2 ** 14; row p interpolates p / up of the way to the next sample."""
+    band = min(1.0, up / down)  # what is left of the band
+    taps = 2 * ceil(4 / band)
     k = np.arange(taps) - (taps // 2 - 1)
     t = k[None] - np.arange(up)[:, None] / up
-    h = np.sinc(t) * np.cos(np.pi * t / (taps + 2)) ** 2
+    h = np.sinc(t * band) * np.cos(np.pi * t / (taps + 2)) ** 2
     h = np.rint(h / h.sum(1, keepdims=True) * (1 << 14)).astype(np.int64)
     h[np.arange(up), np.abs(h).argmax(1)] += (1 << 14) - h.sum(1)
     return h
 
 
 def resample(samples: np.ndarray, rate: int, rate_out: int = RATE_OUT, chunk: int = 1 << 19):
-    """Yields the samples at rate_out chunk by chunk; rate_out must be a multiple of rate."""
-    up = rate_out // rate
-    if up * rate != rate_out or up < 1:
-        raise ValueError(f"{rate_out} Hz is no multiple of {rate} Hz")
-    h = _filter(up).astype(np.int32)
+    """Yields the samples at rate_out, chunk by chunk: sample j lies j * rate / rate_out input samples from the start, as long as that is before the last one's end."""
+    if rate not in RATES or rate_out not in RATES:
+        raise ValueError(f"sampling rates go from {RATES[0]} to {RATES[-1]} Hz")
+    common = gcd(rate, rate_out)
+    up, down = rate_out // common, rate // common
+    h = _filter(up, down)
     taps = h.shape[1]
+    fits = np.abs(h).sum(1).max() <= 1 << 15  # then sums of samples times taps stay within 31 bits
+    h = h.astype(np.int32) if fits else h
     before, after = taps // 2 - 1, taps // 2
-    for a in range(0, len(samples), chunk):
-        b = min(len(samples), a + chunk)
-        part = np.pad(samples[max(0, a - before) : b + after].astype(np.int32), (max(0, before - a), max(0, b + after - len(samples))), "edge")
-        out = np.empty((b - a, up), np.int32)
-        for p in range(up):
-            fits = np.abs(h[p]).sum() <= 1 << 15  # then sums of samples times taps stay within 31 bits
-            wide = np.full(b - a, 1 << 13, np.int32 if fits else np.int64)
+    total = -(-len(samples) * up // down)
+    step = max(1, chunk // down) * up  # outputs of a chunk begin at an input sample
+    for first in range(0, total, step):
+        last = min(total, first + step)
+        a, b = first * down // up, min(len(samples), (last - 1) * down // up + 1)
+        part = np.pad(samples[max(0, a - before) : b + after].astype(h.dtype), (max(0, before - a), max(0, b + after - len(samples))), "edge")
+        if down == 1:
+            out = np.empty((b - a, up), h.dtype)
+            for p in range(up):
+                out[:, p] = sum((part[j : j + b - a] * h[p, j] for j in range(taps) if h[p, j]), np.full(b - a, 1 << 13, h.dtype)) >> 14
+        else:
+            at = np.arange(first, last, dtype=np.int64) * down
+            place, phase = at // up - a, at % up
+            out = np.full(last - first, 1 << 13, h.dtype)
             for j in range(taps):
-                if h[p, j]:
-                    wide += part[j : j + b - a] * h[p, j]
-            out[:, p] = wide >> 14
+                out += part[place + j] * h[phase, j]
+            out >>= 14
         yield np.clip(out, -32768, 32767).astype("<i2").ravel()
 
 
-def features(codec: str, samples: np.ndarray, rate: int) -> str:
+def features(codec: str, samples: np.ndarray, pcm: np.ndarray) -> str:
     """Codec, length, root mean square, peak and sign changes of the audio; length and crc32 of the resampled PCM."""
     n = len(samples)
     wide = samples.astype(np.int64)
     rms, peak = isqrt(int(np.dot(wide, wide)) // max(n, 1)), int(np.abs(wide).max(initial=0))
     turns = int(np.count_nonzero(np.signbit(samples[1:]) != np.signbit(samples[:-1])))
-    out, crc = 0, 0
-    for part in resample(samples, rate):
-        out += len(part)
-        crc = zlib.crc32(part.tobytes(), crc)
-    return f"{codec};n={n};rms={rms};peak={peak};turns={turns};out={out};pcm={crc:08x}"
+    return f"{codec};n={n};rms={rms};peak={peak};turns={turns};out={len(pcm)};pcm={zlib.crc32(pcm.tobytes()):08x}"
+
+
+def resampled(samples: np.ndarray, rate: int, rate_out: int = RATE_OUT) -> np.ndarray:
+    return np.concatenate([*resample(samples, rate, rate_out), np.zeros(0, "<i2")])
 
 
 def text_payload(text: str | None) -> tuple[int, bytes]:
@@ -205,7 +218,7 @@ def decode_media(files: DataFrame, id_col: str = "doc_id", media_col: str = "med
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
         parsed = [parse(m) for m in batch.column("media").to_pylist()]
-        pcm = [None if x is None else pcm_file(np.concatenate([*resample(s, x[1], rate_out), np.zeros(0, "<i2")]), rate_out) for x, s in zip(parsed, _expanded(parsed), strict=True)]
+        pcm = [None if x is None else pcm_file(resampled(s, x[1], rate_out), rate_out) for x, s in zip(parsed, _expanded(parsed), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pcm, pa.binary())], ["doc_id", "pcm"])
 
     return arrow_map(files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")), decode, "doc_id long, pcm binary", "media")
@@ -230,11 +243,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores each text, parses the stored file again, and describes both, in one pass."""
+    """Stores each text, parses the stored file again, stores its audio as PCM, and describes all three, in one pass."""
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [text_payload(t) for t in batch.column("text").to_pylist()]
@@ -242,8 +255,9 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         parsed = [parse(m) for m in media]
         rows = []
         for doc_id, (n, _), m, (codec, rate, data), samples in zip(batch.column("doc_id").to_pylist(), texts, media, parsed, _expanded(parsed), strict=True):
-            back = payload_of(codec, data)
-            rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(codec, samples, rate)))
+            back, pcm = payload_of(codec, data), resampled(samples, rate)
+            file = pcm_file(pcm)
+            rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(codec, samples, pcm), len(file), hashlib.sha256(file).hexdigest()))
         kinds = [x.split() for x in _DIGESTS.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.string()) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [k for k, _ in kinds])
 

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -472,6 +473,87 @@ def test_resampling_chunks_join():
     assert media.parse(b"junk") is None and media.parse(None) is None
 
 
+def plain_decode(codec, payload):
+    if codec == "mulaw":
+        out = []
+        for b in payload:
+            u = ~b & 255
+            size = (((u & 15) * 2 + 33) << (u >> 4 & 7)) - 33
+            out.append(-4 * size if u & 128 else 4 * size)
+        return out
+    if codec == "alaw":
+        out = []
+        for b in payload:
+            a = b ^ 0x55
+            e, m = a >> 4 & 7, a & 15
+            size = 2 * m + 1 if e == 0 else (2 * m + 33) << (e - 1)
+            out.append(8 * size if a & 128 else -8 * size)
+        return out
+    out = []
+    for k in range(0, len(payload), 192):
+        level = at = 0
+        out.append(0)
+        for byte in payload[k : k + 192]:
+            for code in (byte & 15, byte >> 4):
+                step = media.STEPS[at]
+                d = step // 8 + (step if code & 4 else 0) + (step // 2 if code & 2 else 0) + (step // 4 if code & 1 else 0)
+                level = max(-32768, min(32767, level - d if code & 8 else level + d))
+                at = max(0, min(88, at + media.MOVES[code & 7]))
+                out.append(level)
+    return out
+
+
+def test_media_files_and_features_equal_a_plain_reading(spark, tables):
+    texts, seen = dict(rows_of(spark, tables["tricky"])), set()
+    for r in queries.QUERIES["op8_telephony_media"](spark, tables["tricky"]).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        codec = ["mulaw", "alaw", "adpcm"][zlib.crc32(payload) % 3]
+        seen.add(codec)
+        x = plain_decode(codec, payload)
+        body = b"".join(bytes(4) + payload[k : k + 192] for k in range(0, len(payload), 192)) if codec == "adpcm" else payload
+        form = struct.pack("<HHIIHHHH", 17, 1, 8000, 8000 * 196 // 385, 196, 4, 2, 385) if codec == "adpcm" else struct.pack("<HHIIHHH", {"mulaw": 7, "alaw": 6}[codec], 1, 8000, 8000, 1, 8, 0) + b""
+        chunks = b"".join(k + struct.pack("<I", len(v)) + v + b"\0" * (len(v) % 2) for k, v in ((b"fmt ", form), (b"fact", struct.pack("<I", len(x))), (b"data", body)))
+        file = b"RIFF" + struct.pack("<I", len(chunks) + 4) + b"WAVE" + chunks
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+        h, padded, pcm = media._filter(2).tolist(), [x[0]] * 3 + x + [x[-1]] * 4, []
+        for k in range(len(x)):
+            for phase in h:
+                pcm.append(max(-32768, min(32767, (sum(a * b for a, b in zip(phase, padded[k : k + 8], strict=True)) + 8192) >> 14)))
+        raw_pcm = struct.pack(f"<{len(pcm)}h", *pcm)
+        turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        assert r.feature == f"{codec};n={len(x)};rms={math.isqrt(sum(v * v for v in x) // len(x))};peak={max(map(abs, x))};turns={turns};out={len(pcm)};pcm={zlib.crc32(raw_pcm):08x}"
+        own = b"RIFF" + struct.pack("<I", 36 + len(raw_pcm)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16) + b"data" + struct.pack("<I", len(raw_pcm)) + raw_pcm
+        assert (r.pcm_bytes, r.pcm_sha256) == (len(own), hashlib.sha256(own).hexdigest())
+    assert len(seen) == 3
+
+
+def test_any_rate_is_resampled_and_no_file_crashes(spark):
+    """A tone keeps its pitch from any rate; files without a usable rate are null."""
+    rows = []
+    for k, rate in enumerate((8000, 11025, 16000, 22050, 44100, 48000, 12345)):
+        tone = np.rint(8000 * np.sin(2 * np.pi * 440 * np.arange(rate) / rate)).astype(int)
+        codes = np.abs(media.MULAW.astype(int)[None] - tone[:, None]).argmin(1).astype(np.uint8).tobytes()
+        file = bytearray(media.wrap(codes, "mulaw"))
+        file[24:28] = struct.pack("<I", rate)
+        rows.append((k, bytes(file)))
+    for k, rate in ((20, 0), (21, 4_000_000_000)):
+        rows.append((k, rows[0][1][:24] + struct.pack("<I", rate) + rows[0][1][28:]))
+    rows += [(22, rows[0][1][:40]), (23, media.wrap(b"", "mulaw")), (24, media.wrap(b"", "adpcm")), (25, b""), (26, None)]
+    got = {r.doc_id: r.pcm for r in media.decode_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    for k in range(7):
+        pcm = np.frombuffer(bytes(got[k])[44:], "<i2").astype(float)
+        assert len(pcm) == 16000 and abs(np.abs(np.fft.rfft(pcm)).argmax() - 440) <= 1 and np.abs(pcm - 8000 * np.sin(2 * np.pi * 440 * np.arange(16000) / 16000))[100:-100].max() < 500
+    assert all(got[k] is None for k in (20, 21, 22, 25, 26)) and len(got[23]) == len(got[24]) == 44
+
+
+@pytest.mark.parametrize("rates", [(8000, 16000), (11025, 16000), (44100, 16000), (16000, 8000)])
+def test_resampling_in_chunks_is_resampling_at_once(rates):
+    x = np.random.default_rng(3).integers(-30000, 30000, 9000).astype("<i2")
+    whole = media.resampled(x, *rates)
+    assert len(whole) == -(-9000 * rates[1] // rates[0]) and (whole == np.concatenate(list(media.resample(x, *rates, chunk=1000)))).all()
+
+
 # ---- models
 
 
