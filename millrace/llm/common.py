@@ -11,8 +11,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.plans.session import materialise  # noqa: F401
 from millrace.plans.session import shared_folder as scratch  # noqa: F401
@@ -43,6 +45,47 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, spread: Column, rows: int | None = None, salts: int = 32) -> DataFrame:
+    """Inner join on a key of which the left may have very many rows and the right has one row each.
+
+    A small right side is broadcast; beyond that each of its rows goes to every salt, and spread deals the left rows over them."""
+    n = right.count() if rows is None else rows
+    if n <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key)
+    salted = right.withColumn("__salt", F.explode(F.lit(list(range(salts)))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
+
+
+def _is_scan(plan) -> bool:
+    """Whether each row of a plan is one row of a file, at most once."""
+    children = plan.children()
+    if children.size() == 0:
+        return plan.nodeName().startswith(("Relation", "LogicalRelation"))
+    return children.size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View") and _is_scan(children.apply(0))
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """docs itself if it is a scan of files, whose rows a file and a row number find; else (rows may come twice) a copy that is one."""
+    if _is_scan(docs._jdf.queryExecution().analyzed()):
+        try:
+            docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+            return docs
+        except AnalysisException:
+            pass
+    return materialise(docs, "located")
+
+
+def row_keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number for each row, unique and the same whenever it is read: the rank of its file and its place there.
+
+    Files are ranked in one task, by name; there are far fewer of them than rows."""
+    docs = located(docs)
+    files = docs.select(F.col("_metadata.file_path").alias("__file")).distinct()
+    ranked = materialise(files.withColumn("__rank", F.row_number().over(Window.orderBy("__file")).cast("long")), "files")
+    out = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return out.join(small(ranked), "__file").withColumn(name, F.shiftleft("__rank", 40) + F.col("__row")).drop("__file", "__row", "__rank")
+
+
 def crc_split(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True for rows held out: crc32 of the id as text leaves the remainder. A null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder

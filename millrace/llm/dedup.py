@@ -7,16 +7,16 @@ covers different texts is regrouped by the texts themselves. Everything runs on
 
 Defined results: a null text counts as empty; empty texts form a group; among equal texts the row with the most
 code points stays, then the smallest doc_id (null last), then the first by content locator, so of fully repeated
-rows exactly one stays; an empty table gives an empty result; other columns are ignored.
+rows exactly one stays (rows that are no plain scan are written first, so that each has a locator of its own); very
+long texts are digested and compared whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WHITE, documents, materialise, scratch, small
+from millrace.llm.common import WHITE, documents, located, materialise, scratch, small
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -33,15 +33,6 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs itself if its rows have a file and a row number to be found by; else a copy that has."""
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
-    except AnalysisException:
-        return materialise(docs, "dedup-input")
-    return docs
-
-
 def arrivals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One narrow row per document; file and row are the content locator."""
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents, materialise, slices, small, tidy
+from millrace.llm.common import documents, join_hot, materialise, row_keyed, slices, small, tidy
 
 WORDS, PERCENT = 4, 85
 #: Text bytes whose n-grams go to one fragment, about.
@@ -222,18 +222,18 @@ def verify(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFr
     return total.where((F.col("same") * 100 >= (F.col("na") + F.col("nb") - F.col("same")) * percent)).select("a", "b")
 
 
-def components(links: DataFrame, most_rounds: int = 30) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links: a, b. node, root: the smallest node that each linked node (itself included) reaches, by large-star and small-star steps."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialise(edges, "join-edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_hot(both, least, "u", F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small_ = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        small_ = join_hot(large, least, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = materialise(small_, "join-edges")
         # a fixed point when each node has one edge, and its end has none
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -286,16 +286,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     roots = classes.join(found, F.col("sig") == F.col("node"), "left").select("sig", "rep", "copies", F.coalesce("root", "sig").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = roots.where("linked").groupBy("root").agg(F.min("rep").alias("component_id"))
-    mapped = roots.where("linked").join(named, "root").select("sig", "component_id").unionByName(roots.where("not linked and copies > 1").select("sig", F.col("rep").alias("component_id")))
+    mapped = join_hot(roots.where("linked"), named, "root", F.col("sig")).select("sig", "component_id").unionByName(roots.where("not linked and copies > 1").select("sig", F.col("rep").alias("component_id")))
     mapped = materialise(mapped, "join-mapped")
     return texts.join(small(mapped), "sig", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, but of each component only the one with the smallest id."""
-    found = jaccard_components(docs, id_col, text_col, words, percent)
-    gone = materialise(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "join-gone")
-    return docs.join(small(gone), docs[id_col] == F.col("__gone"), "left_anti")
+    """The rows of docs, all columns, but of each component only the one with the smallest id (null last; of equal ids the first by place).
+
+    Rows are told apart by their place, not by their id: rows that share an id, or have none, are judged by their own texts."""
+    rows = row_keyed(docs, "__key")
+    found = jaccard_components(rows, "__key", text_col, words, percent).select(F.col("doc_id").alias("__key"), "component_id")
+    linked = found.where("component_id <> __key")
+    members = materialise(linked.unionByName(linked.select(F.col("component_id").alias("__key"), "component_id").distinct()), "join-members")
+    named = rows.select("__key", F.col(id_col).alias("id")).join(small(members), "__key")
+    stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__key")).alias("first")).select(F.col("first.__key").alias("__key"))
+    gone = materialise(members.select("__key").join(stays, "__key", "left_anti"), "join-gone")
+    return rows.join(small(gone), "__key", "left_anti").select(*docs.columns)
 
 
 def op5(spark, sf_dir):

@@ -111,6 +111,26 @@ def test_join_on_random_families(spark, tmp_path):
     assert sorted(collect(queries.QUERIES["op5_ngram_jaccard_join"](spark, str(tmp_path)))) == sorted(brute_join(rows))
 
 
+def test_keep_one_tells_rows_apart(spark, tmp_path):
+    """Rows that share an id, or have none, are judged by their own texts; of repeated rows one stays."""
+    copy, other, third = "a b c d e f g h", "quite another text of eight words here", "and one more text without any number at all"
+    rows = [(1, copy, "x"), (2, copy, "y"), (2, other, "z"), (None, third, "n1"), (None, third, "n2"), (3, "", "e1"), (3, "", "e2"), (4, other, "w"), (4, other, "w")]
+    spark.createDataFrame(rows, "doc_id long, text string, __tag string").repartition(2).write.parquet(str(tmp_path / "d"))
+    for docs in (spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame(rows, "doc_id long, text string, __tag string")):
+        out = ngram_join.keep_one(docs)
+        got = sorted((r.doc_id, r["__tag"]) for r in out.collect() if r.doc_id is not None)
+        assert got == [(1, "x"), (2, "z"), (3, "e1"), (3, "e2")] and out.columns == docs.columns
+        assert out.where("doc_id is null").count() == 1
+
+
+def test_dedup_of_exploded_rows(spark, tmp_path):
+    """Rows that share a place in a file are told apart."""
+    spark.createDataFrame([(1, "same text"), (2, "alone")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    assert sorted(r.doc_id for r in dedup.keep_first(docs).collect()) == [1, 2]
+    assert dedup.exact_dedup(docs).where("kept").count() == 2
+
+
 def test_packing(spark, tables):
     plain = Tokenizer.from_file(packing.vocabulary())
     want = []
@@ -212,7 +232,7 @@ def brute_mix(rows, share, epochs, seed):
         for k in keys:
             by[k[depth]].append(k)
         weights = [mixing.DOMAIN_WEIGHTS, mixing.LANGUAGE_WEIGHTS, {}][depth]
-        given = fill({c: (weights.get(c, 1.0), epochs * sum(tokens[k] for k in own)) for c, own in by.items()}, budget)
+        given = fill({c: (weights.get(c, min(weights.values(), default=1.0)), epochs * sum(tokens[k] for k in own)) for c, own in by.items()}, budget)
         return {k: v for c, b in given.items() for k, v in down(by[c], depth + 1, b).items()}
 
     out = []
@@ -246,6 +266,27 @@ def test_mixing_on_many_documents(spark, sf_dir):
     assert sorted(got) == sorted(brute_mix(rows, mixing.BUDGET_SHARE, mixing.MAX_EPOCHS, mixing.SEED))
 
 
+def test_mixing_divides_buckets_until_they_are_small(spark, monkeypatch):
+    """Repeated ids, and buckets that need several rounds, give the rows that sorting gives."""
+    monkeypatch.setattr(mixing, "SORTED_ROWS", 2)
+    r = random.Random(7)
+    rows = [(r.choice([k, k, 5, None]), "w " * r.randrange(9), r.choice(["en", "de", None]), r.choice(["src0", "src0", "src1", None])) for k in range(2500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mix(d, mixing.WEIGHTS, 0.6).select("doc_id", "mix_domain", F.coalesce("lang", F.lit("~")).alias("l"), F.coalesce("source", F.lit("~")).alias("s"), "mix_tokens", "mix_epoch")
+    d2 = d.select("doc_id", F.coalesce(mixing.domain_of(F.col("source")), F.lit("~")).alias("domain"), F.coalesce("lang", F.lit("~")).alias("language"), F.coalesce("source", F.lit("~")).alias("origin"), mixing.words_in(F.col("text")).alias("tokens"))
+    got = collect(mixing.choose(d2, mixing.WEIGHTS, 0.6, 2, 17).select("doc_id", "domain", "language", "origin", "tokens", "epoch"))
+    assert sorted(got, key=key) == sorted(brute_mix(rows, 0.6, 2, 17), key=key) and out.count() > 0
+
+
+def test_mix_keeps_columns_of_its_own_names(spark):
+    d = spark.createDataFrame([(k, "a b c", "en", "src1", f"mine{k}", -k, 7) for k in range(40)], "doc_id long, text string, lang string, source string, domain string, tokens long, epoch int")
+    out = mixing.mix(d, mixing.WEIGHTS, 1.0, added=None)
+    assert out.columns == d.columns and {(r.doc_id, r.domain, r.tokens, r.epoch) for r in out.collect()} == {(k, f"mine{k}", -k, 7) for k in range(40)}
+    assert mixing.mix(d, mixing.WEIGHTS, 1.0).columns == [*d.columns, "mix_domain", "mix_tokens", "mix_epoch"]
+    with pytest.raises(ValueError, match="mix_domain"):
+        mixing.mix(d.withColumnRenamed("domain", "mix_domain"), mixing.WEIGHTS)
+
+
 # ---- secrets and personal data
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
