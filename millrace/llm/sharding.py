@@ -10,15 +10,18 @@ Each shard consists of several ranges with splitters of their own, so that no ta
 slot of a row is its rank in its range plus the rows of the ranges before it.
 
 Defined results: a null text has size 1 and crc32 0, like an empty one; a null doc_id sorts first; fully repeated
-rows share a key, so they go to one range; fewer rows than shards leave shards empty; an empty table gives an
+rows share a key, so they go to one range; a very long text is one row of its size, never cut, so a shard may exceed its
+share by it; fewer rows than shards leave shards empty; an empty table gives an
 empty result; other columns are carried along (those named as outputs are replaced).
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,19 +34,24 @@ SHARDS = 16
 TOLERANCE = 0.0005
 #: Keys drawn per open bracket and round (expected).
 DRAWN = 32
-RANGE_BYTES = 256 << 20
+#: Bytes that one task sorts, about. The driver holds the splitters and probes: some dozens for each range.
+RANGE_BYTES = 512 << 20
 
 _LOW = -(1 << 63)
 
 
-def _keys(batch: pa.RecordBatch) -> np.ndarray:
-    """Sixteen bytes per row that compare as (h, id) does."""
-    out = np.empty((batch.num_rows, 2), ">u8")
-    for k, name in enumerate(("h", "id")):
-        out[:, k] = batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+def _pack_arrays(h: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Sixteen bytes per key that compare as (h, i) does."""
+    out = np.empty((len(h), 2), ">u8")
+    for k, v in enumerate((h, i)):
+        out[:, k] = v.view(np.uint64) ^ np.uint64(1 << 63)
     return out.view("S16")[:, 0]
 
 
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    return _pack_arrays(*(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "id")))
+
+
 def _pack(keys: list[tuple[int, int]]) -> np.ndarray:
     out = np.array([[h - _LOW, i - _LOW] for h, i in keys], np.uint64).reshape(-1, 2).astype(">u8")
     return out.view("S16")[:, 0]
@@ -53,7 +61,7 @@ def bytes_below(table: DataFrame, probes: list[tuple[int, int]]) -> list[tuple[i
     """Exact (bytes, rows) of the rows with key < probe, for each of the sorted probes."""
     packed, n = _pack(probes), len(probes)
 
-    def count(batches):
+    def counted(batches):
         size, rows = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
         for b in batches:
             at = np.searchsorted(packed, _keys(b), "right")
@@ -63,7 +71,7 @@ def bytes_below(table: DataFrame, probes: list[tuple[int, int]]) -> list[tuple[i
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(size[full]), pa.array(rows[full])], ["bin", "size", "rows"])
 
     size, rows = [0] * (n + 1), [0] * (n + 1)
-    for r in table.select("h", "id", "size").mapInArrow(count, "bin int, size long, rows long").groupBy("bin").agg(F.sum("size"), F.sum("rows")).collect():  # one row per probe
+    for r in table.select("h", "id", "size").mapInArrow(counted, "bin int, size long, rows long").groupBy("bin").agg(F.sum("size"), F.sum("rows")).collect():  # one row per probe
         size[r[0]], rows[r[0]] = r[1], r[2]
     return list(zip(np.cumsum(size[:n]).tolist(), np.cumsum(rows[:n]).tolist(), strict=True))
 
@@ -94,7 +102,7 @@ def splitters(table: DataFrame, total: int, rows: int, parts: int, strict: int,
     known = {low: (0, 0), high: (total, rows)}
     best: dict[int, tuple[int, int]] = {}
     spent: set[tuple] = set()  # brackets without a key between their ends
-    for seed in range(64):
+    for seed in count():  # each round draws keys within all open brackets, so it ends
         keys = sorted(known)
         sizes = [known[k][0] for k in keys]
         pending: dict[tuple, int] = {}
@@ -107,25 +115,23 @@ def splitters(table: DataFrame, total: int, rows: int, parts: int, strict: int,
             if abs(known[best[k]][0] - want) > slack and (lo, hi) not in spent:
                 pending[lo, hi] = known[hi][1] - known[lo][1]
         if not pending:
-            break
+            return [best[k] for k in sorted(best)]
         drawn = draw(table, sorted((lo, hi, n) for (lo, hi), n in pending.items()), seed)
         spent |= {(lo, hi) for (lo, hi), n in pending.items() if n <= DRAWN and not any(lo < k < hi for k in drawn)}
         if drawn:
             known |= dict(zip(drawn, bytes_below(table, drawn), strict=True))
-    return [best[k] for k in sorted(best)]
 
 
-def _place(cuts: list[tuple[int, int]], h: Column, i: Column) -> Column:
-    """How many cuts are <= (h, i), as a balanced tree of comparisons."""
+def _placer(spark, cuts: list[tuple[int, int]]):
+    """A function of the columns h and id: how many cuts are <= the key. Only the keys go through Arrow, for a binary search in the broadcast cuts."""
+    held = spark.sparkContext.broadcast(_pack(cuts))
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        ch, ci = cuts[mid]
-        return F.when((h < ch) | ((h == ch) & (i < ci)), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    @F.pandas_udf("int")
+    def place(h: pd.Series, i: pd.Series) -> pd.Series:
+        keys = _pack_arrays(h.to_numpy(np.int64), i.to_numpy(np.int64))
+        return pd.Series(np.searchsorted(held.value, keys, "right").astype(np.int32))
 
-    return tree(0, len(cuts))
+    return place
 
 
 def histogram_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -145,7 +151,7 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = T
     discard(table)
     offsets = [starts[k] - starts[k - k % per_shard] for k in range(parts)]
     frame = docs.drop("shard", "slot", "shard_range", "__h", "__i").withColumns({"__h": h, "__i": i})
-    frame = frame.withColumn("shard_range", _place(cuts, F.col("__h"), F.col("__i")))
+    frame = frame.withColumn("shard_range", _placer(spark, cuts)(F.col("__h"), F.col("__i")))
     rank = F.row_number().over(Window.partitionBy("shard_range").orderBy("__h", "__i"))
     offset = F.element_at(F.lit(offsets), F.col("shard_range") + 1)
     return frame.withColumn("slot", offset.cast("long") + rank - 1).withColumn("shard", F.floor(F.col("shard_range") / per_shard).cast("int")).drop("__h", "__i")

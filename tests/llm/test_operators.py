@@ -205,6 +205,29 @@ def test_shards_are_even_under_a_hot_group(spark, tmp_path):
     assert len(sizes) == 16 and max(sizes) - min(sizes) <= 2 * 401
 
 
+def test_shards_are_stretches_of_the_order_of_equal_bytes(spark, tables):
+    """The shard of each row follows from its place in the order of (hash, id), and the boundaries are the best there are."""
+    rows = documents(spark, tables["tricky"]).select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    size, order = Counter(), {}
+    for r in rows:
+        k = (r.h, -(1 << 63) if r.doc_id is None else r.doc_id)
+        size[k] += len((r.text or "").encode()) + 1
+        order[r.doc_id, zlib.crc32((r.text or "").encode())] = k
+    keys = sorted(size)
+    below = np.concatenate([[0], np.cumsum([size[k] for k in keys])])
+    want = below[-1] * np.arange(1, 16) / 16
+    got = queries.QUERIES["op10_sharding"](spark, tables["tricky"]).collect()
+    shards = defaultdict(set)
+    for r in got:
+        shards[order[r.doc_id, r.text_crc32]].add(r.shard)
+    assert all(len(s) == 1 for s in shards.values())
+    placed = [min(shards[k]) for k in keys]
+    assert placed == sorted(placed)
+    for b in range(1, 16):  # the cut before shard b lies as near to its ideal as any key does, or within the tolerance
+        cut = below[sum(p < b for p in placed)]
+        assert abs(cut - want[b - 1]) <= max(np.abs(below - want[b - 1]).min(), sharding.TOLERANCE * below[-1] / 16) + 1e-9
+
+
 def brute_mix(rows, share, epochs, seed):
     leaf = defaultdict(list)
     for i, t, lang, source in rows:
