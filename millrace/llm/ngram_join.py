@@ -3,22 +3,25 @@
 The n-grams are ordered by a 64-bit hash of their words and the order is cut into fragments. What a fragment
 counts is a partial result; partial results are summed per text or per pair.
 
-1. Texts with equal n-gram sets form a class. Every class sends each fragment its n-grams there; the fragment
-   counts how many of them other classes have too. Summed over the fragments this bounds what a class can share
-   with any other, so classes below the threshold are alone (most of a corpus).
+1. Texts with equal n-gram sets form a class. In the first fragments of the order (enough of it for the threshold),
+   each fragment counts how many of a class's n-grams other classes have too; summed over these fragments that bounds
+   what a class can share, so a class with more n-grams of its own than a link allows is alone (most of a corpus).
+   Before anything moves, each task counts the n-grams that several classes of its own block share, and sends such an
+   n-gram for two of them only: one that all classes have costs two entries a block.
 2. The rest post the first n-grams of the order that any partner must meet (prefix filter). Each posting list is
    a star around its most typical member: linearly many pairs, never all of a list.
 3. Pairs are verified exactly: the overlap in each fragment is counted apart and summed per pair.
-4. Lists that still hold several components yield those pairs across components that pass the length filter and
-   a parity sketch (it never overstates a difference), and these are verified like the others. So no link between
-   different sets is lost, while members of one component need not meet.
+4. Lists that still hold several components are gone through from their smallest components: in each round one member
+   of each such list meets the members of its other components (linearly many pairs) and leaves the list, until the
+   pairs that are left are few. A length filter and a parity sketch (it never overstates a difference) spare most
+   verifications. So no link between different sets is lost, while members of one component need not meet.
 
 Components come from alternating large-star and small-star steps on tables.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; with fewer words than
 an n-gram the whole sequence is the one n-gram; repeated rows are copies of each other; a null doc_id cannot name
 a component, so a group of such rows alone has a null one; an empty table gives an empty result; other columns are
-ignored. Hashes have 64 bits; a collision could at most change an overlap by one.
+ignored; very long texts are read whole. Hashes have 64 bits; a collision could at most change an overlap by one.
 """
 
 from __future__ import annotations
@@ -34,8 +37,12 @@ from pyspark.sql import functions as F
 from millrace.llm.common import documents, join_hot, materialise, row_keyed, slices, small, tidy
 
 WORDS, PERCENT = 4, 85
-#: Text bytes whose n-grams go to one fragment, about.
-FRAGMENT_BYTES = 24 << 20
+#: Text bytes whose n-grams go to one fragment, about: a task sorts 8 bytes for each of these n-grams that lies in the part of the order that is counted.
+FRAGMENT_BYTES = 48 << 20
+#: Entries that a task collects before it sends them.
+BLOCK = 2_000_000
+#: Pairs per entry of the lists that still hold several components, up to which these are compared at once.
+EASY = 8
 #: Fragments in which pairs are verified.
 PAIR_FRAGMENTS = 8
 SKETCH = 16  # longs of 64 bits
@@ -93,98 +100,136 @@ def _signature(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes(), seed=len(own))).astype(np.int64))
 
 
-_SEGMENTS = "frag int, kind int, ids binary, sigs binary, counts binary, hashes binary"
+def counted_share(percent: int) -> float:
+    """The part of the order in which shared n-grams are counted: a class without partners has more n-grams there than a link leaves unshared, by far."""
+    return min(1.0, 0.1 + 2 * (100 - percent) / 100)
+
+
+_SEGMENTS = "frag int, kind int, bucket int, ids binary, tags binary, counts binary, entries binary"
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [k for k, _ in fields])
+
+
+def _by_bucket(tags: np.ndarray, counts: np.ndarray, buckets: int):
+    """Counts of classes (named by 32 bits of their signature), in one piece per bucket: bucket, tags, counts."""
+    if not len(tags):
+        return
+    bucket = tags % np.uint32(buckets)
+    order = np.argsort(bucket, kind="stable")
+    there, cuts = np.unique(bucket[order], return_index=True)
+    for k, t, n in zip(there.tolist(), np.split(tags[order], cuts[1:]), np.split(counts[order], cuts[1:]), strict=True):
+        yield k, t.tobytes(), n.astype(np.uint32).tobytes()
+
+
+def _shared(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """entries: sorted, distinct; 32 bits of an n-gram, then 32 of a class. Whether each one's n-gram has another class, and whether it is the first or second of its n-gram."""
+    gram = entries >> np.uint64(32)
+    first = np.concatenate([[True], gram[1:] != gram[:-1]])[: len(gram)]
+    last = np.concatenate([gram[1:] != gram[:-1], [True]])[: len(gram)]
+    second = np.concatenate([[False], first[:-1]])[: len(gram)] & ~first
+    return ~(first & last), first | second, gram
+
+
+def _segments(batches, fragments: int, words: int, share: float):
+    """Kind 0: entries of a fragment. Kind 1: ids, signatures, set sizes and how much of each set lies in the counted part. Kind 2: counts of classes within a block."""
+    top = np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
+    high = np.uint64((int(top) >> 32) + 1)
+    turn, held, total = TaskContext.get().partitionId(), [], 0
+
+    def sent():
+        nonlocal held, total
+        frag, entries = (np.concatenate([x[k] for x in held]) for k in range(2))
+        held, total = [], 0
+        order = np.lexsort((entries, frag))
+        frag, entries = frag[order], entries[order]
+        new = np.concatenate([[True], (frag[1:] != frag[:-1]) | (entries[1:] != entries[:-1])])[: len(entries)]
+        frag, entries = frag[new], entries[new]
+        cuts = np.searchsorted(frag, np.arange(fragments + 1))
+        out, counted = [], []
+        for f in np.unique(frag).tolist():
+            own = entries[cuts[f] : cuts[f + 1]]
+            shared, named, _ = _shared(own)
+            out.append((f, 0, None, b"", b"", b"", own[named].tobytes()))
+            counted.append((own[shared & ~named] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        tags, n = np.unique(np.concatenate(counted), return_counts=True)
+        out += [(k % fragments, 2, k, b"", t, c, b"") for k, t, c in _by_bucket(tags, n, fragments)]
+        return _rows(out, _SEGMENTS)
 
-
-def _segments(batches, fragments: int, words: int):
-    """Kind 0: what a block of texts has in a fragment (32 bits of each hash are enough for a bound). Kind 1: its ids, signatures and set sizes."""
-    block = TaskContext.get().partitionId()
     for part in slices(batches):
-        block += 7919
+        turn += 7919
         own = sets(part.column("text"), words)
         sigs = np.array([_signature(s) if len(s) else 0 for s in own], np.int64)
-        sizes = np.array([len(s) for s in own], np.uint32)
-        ids = part.column("doc_id")
-        rows = [(block % fragments, 1, pc.fill_null(ids, _NO_ID).to_numpy().astype(np.int64).tobytes(), sigs.tobytes(), sizes.tobytes(), b"")]
-        first = np.unique(sigs, return_index=True)[1]  # one text of each class
-        first = first[sizes[first] > 0]
-        if len(first):
-            joined = np.concatenate([own[k] for k in first])
-            frag = ((joined >> np.uint64(40)) * np.uint64(fragments) >> np.uint64(24)).astype(np.int64)
-            who = np.repeat(np.arange(len(first)), sizes[first])
-            order = np.argsort(frag, kind="stable")
-            low, who, frag = joined[order].astype(np.uint32), who[order], frag[order]
-            cuts = np.searchsorted(frag, np.arange(fragments + 1))
-            for f in range(fragments):
-                a, b = cuts[f], cuts[f + 1]
-                if b > a:
-                    n = np.bincount(who[a:b], minlength=len(first))
-                    there = np.flatnonzero(n)
-                    rows.append((f, 0, b"", sigs[first[there]].tobytes(), n[there].astype(np.uint32).tobytes(), low[a:b].tobytes()))
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _SEGMENTS.split(", ")])
-
-
-_PARTIAL = "kind int, doc_id long, sig long, n int, bucket int, sigs binary, counts binary"
+        inside = [s[: np.searchsorted(s, top)] for s in own]
+        sizes, some = (np.array([len(s) for s in x], np.uint32) for x in (own, inside))
+        ids = pc.fill_null(part.column("doc_id"), _NO_ID).to_numpy().astype(np.int64)
+        yield _rows([(turn % fragments, 1, None, ids.tobytes(), sigs.tobytes(), sizes.tobytes(), some.tobytes())], _SEGMENTS)
+        joined = np.concatenate(inside)
+        tags = np.repeat(sigs.view(np.uint64) & np.uint64(0xFFFFFFFF), some)
+        held.append((((joined >> np.uint64(32)) * np.uint64(fragments) // high).astype(np.int32), joined << np.uint64(32) | tags))
+        total += len(joined)
+        if total >= BLOCK:
+            yield sent()
+    if total:
+        yield sent()
+
+
+_PARTIAL = "kind int, doc_id long, sig long, n int, inside int, bucket int, tags binary, counts binary"
 
 
 def _partial(batches, buckets: int):
-    """Kind 1: one row per text. Kind 0: how many n-grams of each class in this fragment another class has too, in one row per bucket of classes."""
+    """Kind 1: one row per text. Kind 0: how many n-grams of each class other classes have too, in one row per bucket of classes."""
     held: dict[int, list] = {}
     names = [x.split()[0] for x in _PARTIAL.split(", ")]
+
+    def counts(pieces):
+        bucket, tags, n = zip(*pieces, strict=True)
+        m = len(bucket)
+        none = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), *none, pa.array(bucket, pa.int32()), pa.array(tags, pa.binary()), pa.array(n, pa.binary())], names)
+
     for b in batches:
-        for f, kind, ids, sigs, counts, hashes in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-            sig, n = np.frombuffer(sigs, np.int64), np.frombuffer(counts, np.uint32)
+        for f, kind, bucket, ids, tags, n, entries in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
             if kind == 1:
                 doc = np.frombuffer(ids, np.int64)
+                columns = [pa.array(np.frombuffer(x, t).astype(u)) for x, t, u in ((tags, np.int64, np.int64), (n, np.uint32, np.int32), (entries, np.uint32, np.int32))]
                 none = [pa.nulls(len(doc), t) for t in (pa.int32(), pa.binary(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(doc), np.int32)), pa.array(doc, mask=doc == _NO_ID), pa.array(sig), pa.array(n.astype(np.int32)), *none], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(doc), np.int32)), pa.array(doc, mask=doc == _NO_ID), *columns, *none], names)
+            elif kind == 2:
+                yield counts([(bucket, tags, n)])
             else:
-                held.setdefault(f, []).append((sig, n, np.frombuffer(hashes, np.uint32)))
+                held.setdefault(f, []).append(entries)
     for f in sorted(held):
-        own = held.pop(f)
-        sig, n, h = (np.concatenate([x[k] for x in own]) for k in range(3))
-        first = np.unique(sig, return_index=True)[1]
-        kept = np.zeros(len(sig), bool)
-        kept[first] = True
+        own = np.frombuffer(b"".join(held.pop(f)), np.uint64).copy()
+        own.sort()
+        own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+        tags, n = np.unique((own[_shared(own)[0]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
         del own
-        who = np.repeat(np.arange(len(sig), dtype=np.int32), n)
-        inside = kept[who]
-        pair = h[inside].astype(np.uint64) << np.uint64(32) | who[inside].astype(np.uint64)
-        del h, who, inside
-        pair.sort()
-        same = np.diff(pair >> np.uint64(32)) == 0
-        shared = (np.concatenate([[False], same]) | np.concatenate([same, [False]]))[: len(pair)]
-        total = np.bincount((pair[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(sig))
-        at = np.flatnonzero(total)
-        bucket = (sig[at].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        at = at[np.argsort(bucket, kind="stable")]
-        there, cuts = np.unique(np.sort(bucket), return_index=True)
-        del pair, same, shared
         tidy()
-        sigs = [x.tobytes() for x in np.split(sig[at], cuts[1:])] if len(at) else []
-        counts = [x.tobytes() for x in np.split(total[at].astype(np.int64), cuts[1:])] if len(at) else []
-        m = len(there)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(there.astype(np.int32)), pa.array(sigs, pa.binary()), pa.array(counts, pa.binary())], names)
+        if len(tags):
+            yield counts([*_by_bucket(tags, n, buckets)])
 
 
 def _summed(batches):
-    """The partial counts of each class, summed over the fragments. A bucket holds as many classes as a fragment's share of the texts."""
+    """The counts of each class, summed. A bucket holds as many classes as a fragment's share of the texts."""
     parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for b in batches:
-        for k, sigs, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for k, tags, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             own = parts.setdefault(k, [])
-            own.append((np.frombuffer(sigs, np.int64), np.frombuffer(counts, np.int64)))
+            own.append((np.frombuffer(tags, np.uint32), np.frombuffer(counts, np.uint32)))
             if sum(len(x[0]) for x in own[1:]) > max(1 << 20, len(own[0][0])):
                 own[:] = [_added(own)]
     for k in sorted(parts):
-        sig, n = _added(parts.pop(k))
-        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(n)], ["sig", "shared"])
+        tags, n = _added(parts.pop(k))
+        yield pa.RecordBatch.from_arrays([pa.array(tags.astype(np.int64)), pa.array(n.astype(np.int64))], ["tag", "shared"])
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    sig, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return sig, np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    tags, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return tags, np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
 
 def _whole(batches, words: int, percent: int):
@@ -249,14 +294,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(2, -(-total // FRAGMENT_BYTES))
-    dealt = docs.mapInArrow(lambda b: _segments(b, fragments, words), _SEGMENTS).repartition(fragments, "frag")
+    share = counted_share(percent)
+    dealt = docs.mapInArrow(lambda b: _segments(b, fragments, words, share), _SEGMENTS).repartitionById(fragments, "frag")
     counted = materialise(dealt.mapInArrow(lambda b: _partial(b, fragments), _PARTIAL), "join-partial")
 
-    texts = counted.where("kind = 1").select("doc_id", "sig", F.col("n").alias("n_shingles"))
+    texts = counted.where("kind = 1").select("doc_id", "sig", F.col("n").alias("n_shingles"), "inside")
     keyed = F.coalesce(F.col("doc_id"), F.lit(_NO_ID))
-    classes = texts.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max(keyed).alias("key"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
-    shared = counted.where("kind = 0").select("bucket", "sigs", "counts").repartition(fragments, "bucket").mapInArrow(_summed, "sig long, shared long")
-    rest = materialise(shared.join(classes, "sig").where(f"shared * 100 >= n * {percent}").select("sig", "key", "n", (F.col("n") - F.col("shared")).alias("own")), "join-rest")
+    classes = texts.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max(keyed).alias("key"), F.max("n_shingles").alias("n"), F.max("inside").alias("inside"), F.count(F.lit(1)).alias("copies"))
+    shared = counted.where("kind = 0").select("bucket", "tags", "counts").repartitionById(fragments, "bucket").mapInArrow(_summed, "tag long, shared long")
+    tagged = classes.withColumn("tag", F.col("sig").bitwiseAND(F.lit(0xFFFFFFFF))).join(shared, "tag", "left")
+    own = F.greatest(F.lit(0), F.col("inside") - F.coalesce("shared", F.lit(0)))
+    rest = materialise(tagged.withColumn("own", own).where(f"own * 100 <= n * {100 - percent}").select("sig", "key", "n", "own"), "join-rest")
     n_rest = rest.count()
     wanted = docs.withColumn("key", keyed).join(small(rest.select("key"), n_rest), "key", "left_semi").select("doc_id", "text")
     whole = wanted.mapInArrow(lambda b: _whole(b, words, percent), "doc_id long, sig long, n int, sketch array<long>, prefix array<long>, parts array<array<long>>")
@@ -271,18 +319,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = materialise(verify(pairs, parts, percent), "join-links")
     found = components(links)
 
-    placed = posts.join(small(found.select(F.col("node").alias("sig"), "root")), "sig", "left").withColumn("comp", F.coalesce("root", "sig"))
-    mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    open_ = placed.join(mixed, "h", "left_semi").join(whole.select("sig", "sketch"), "sig").select("h", "sig", "n", "comp", "sketch")
-    open_ = materialise(open_, "join-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = sum((F.bit_count(F.col(f"x.sketch")[k].bitwiseXOR(F.col(f"y.sketch")[k])) for k in range(SKETCH)), F.lit(0))
-    close = (F.col("x.sig") < F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & _long_enough(F.col("x.n"), F.col("y.n"), percent) & (apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
-    crossing = x.join(y, (F.col("x.h") == F.col("y.h")) & close).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
-    crossing = materialise(crossing.join(pairs, ["a", "b"], "left_anti"), "join-crossing")
-    more = materialise(verify(crossing, parts, percent), "join-links")
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    links, found = _cross(posts.join(whole.select("sig", "sketch"), "sig"), parts, pairs, links, found, percent)
 
     roots = classes.join(found, F.col("sig") == F.col("node"), "left").select("sig", "rep", "copies", F.coalesce("root", "sig").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = roots.where("linked").groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -291,6 +328,48 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return texts.join(small(mapped), "sig", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _candidates(joined: DataFrame, x: str, y: str, percent: int) -> DataFrame:
+    """Of pairs with n, comp and sketch on both sides (names begin with x and y) those that may link."""
+    apart = sum((F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(SKETCH)), F.lit(0))
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    may = joined.where((F.col(f"{x}.comp") != F.col(f"{y}.comp")) & _long_enough(n, m, percent) & (apart * (100 + percent) <= (n + m) * (100 - percent)))
+    return may.select(F.least(f"{x}.sig", f"{y}.sig").alias("a"), F.greatest(f"{x}.sig", f"{y}.sig").alias("b")).distinct()
+
+
+def _cross(posts: DataFrame, parts: DataFrame, pairs: DataFrame, links: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links between components that meet in posting lists, beyond the pairs already verified. posts: h, sig, n, sketch. Returns all links, and the components."""
+    done = None  # members that have met all others of a list
+    while True:
+        placed = posts if done is None else posts.join(done, ["h", "sig"], "left_anti")
+        placed = placed.join(small(found.select(F.col("node").alias("sig"), "root")), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
+        mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+        open_ = materialise(placed.join(mixed, "h", "left_semi").distinct(), "join-open")
+        sizes = open_.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("size"), F.min("sig").alias("sig"))
+        lists = sizes.groupBy("h").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("within"), F.min(F.struct("size", "comp", "sig")).alias("next"))
+        lists = materialise(lists, "join-lists")
+        left, entries = lists.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
+        if not entries:
+            return links, found
+        finish = left <= EASY * entries
+        if finish:
+            x, y = open_.alias("x"), open_.alias("y")
+            crossing = _candidates(x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.sig") < F.col("y.sig"))), "x", "y", percent)
+        else:
+            turn = lists.select("h", F.col("next.sig").alias("sig")).join(open_, ["h", "sig"])
+            met = join_hot(open_, turn.select("h", F.struct("sig", "n", "comp", "sketch").alias("y")), "h", F.col("sig"))
+            crossing = _candidates(met.select(F.struct("sig", "n", "comp", "sketch").alias("x"), "y"), "x", "y", percent)
+            now = turn.select("h", "sig")
+            done = materialise(now if done is None else done.unionByName(now), "join-done")
+        crossing = materialise(crossing.join(pairs, ["a", "b"], "left_anti"), "join-crossing")
+        more = materialise(verify(crossing, parts, percent), "join-links")
+        if not more.isEmpty():
+            links = materialise(links.unionByName(more), "join-links")
+            found = components(links)
+        if finish:
+            return links, found
+        pairs = materialise(pairs.unionByName(crossing), "join-pairs")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, but of each component only the one with the smallest id (null last; of equal ids the first by place).
 

@@ -111,6 +111,40 @@ def test_join_on_random_families(spark, tmp_path):
     assert sorted(collect(queries.QUERIES["op5_ngram_jaccard_join"](spark, str(tmp_path)))) == sorted(brute_join(rows))
 
 
+def test_join_round_by_round(spark, tmp_path, monkeypatch):
+    """Lists of several components are gone through member by member, with the same result; blocks and fragments are many."""
+    monkeypatch.setattr(ngram_join, "EASY", 0)
+    monkeypatch.setattr(ngram_join, "FRAGMENT_BYTES", 2000)
+    r = random.Random(15)
+    passage, rows = [f"p{k}" for k in range(40)], []
+    for f in range(14):
+        words = passage + [f"{f % 4}_{r.randrange(60)}" for _ in range(r.randrange(1, 12))]
+        for _ in range(r.randrange(1, 5)):
+            rows.append((len(rows), " ".join(w if r.random() > 0.02 else f"z{r.randrange(10**6)}" for w in words)))
+    rows += [(len(rows) + k, " ".join(f"u{k}_{j}" for j in range(30))) for k in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(collect(queries.QUERIES["op5_ngram_jaccard_join"](spark, str(tmp_path))))
+    assert got == sorted(brute_join(rows)) and len({c for *_, c in got}) < len(rows)
+
+
+def test_counts_of_blocks_and_fragments_bound_what_is_shared():
+    """However texts are dealt over blocks, the sum per class is at least the number of its n-grams that other classes have."""
+    r = random.Random(16)
+    grams = [np.unique(np.array([r.randrange(60) for _ in range(20)], np.uint64)) for _ in range(30)]
+    entries = [np.sort(g << np.uint64(32) | np.uint64(k)) for k, g in enumerate(grams)]
+    total, sent = Counter(), []
+    for at in range(0, 30, 7):
+        own = np.sort(np.concatenate(entries[at : at + 7]))
+        shared, named, _ = ngram_join._shared(own)
+        total.update((own[shared & ~named] & np.uint64(0xFFFFFFFF)).tolist())
+        sent.append(own[named])
+    own = np.sort(np.concatenate(sent))
+    total.update((own[ngram_join._shared(own)[0]] & np.uint64(0xFFFFFFFF)).tolist())
+    lows = [set(g.tolist()) for g in grams]
+    for k, g in enumerate(lows):
+        assert total[k] == sum(any(x in o for j, o in enumerate(lows) if j != k) for x in g)
+
+
 def test_keep_one_tells_rows_apart(spark, tmp_path):
     """Rows that share an id, or have none, are judged by their own texts; of repeated rows one stays."""
     copy, other, third = "a b c d e f g h", "quite another text of eight words here", "and one more text without any number at all"
