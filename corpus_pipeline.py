@@ -1,7 +1,13 @@
 """The corpus pipeline: language ID, exact dedup, n-gram Jaccard join, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the folder
-that all executors share and reads it again for the next stage."""
+that all executors share and reads it again for the next stage.
+
+Defined results: rows without text, or of no clear language, go in the first stage; very long texts are read whole by
+every stage; of equal or near texts one row stays, rows being told apart by their place, so that shared or null ids
+lose no text; null languages and sources have leaves of their own in the mix, which takes or leaves rows of one id
+together; extra columns of whatever name are carried as they are up to the last stage, which ignores them; an empty
+table gives an empty result."""
 
 from __future__ import annotations
 
@@ -38,7 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their leaf's budget uses them."""
     ship(spark)
-    return mixing.mix(docs, mixing.WEIGHTS, MIX_SHARE).select(*docs.columns)
+    return mixing.mix(docs, mixing.WEIGHTS, MIX_SHARE, added=None)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
