@@ -7,7 +7,8 @@ counts is a partial result; partial results are summed per text or per pair.
    each fragment counts how many of a class's n-grams other classes have too; summed over these fragments that bounds
    what a class can share, so a class with more n-grams of its own than a link allows is alone (most of a corpus).
    Before anything moves, each task counts the n-grams that several classes of its own block share, and sends such an
-   n-gram for two of them only: one that all classes have costs two entries a block.
+   n-gram for two of them only: one that all classes have costs two entries a block. The classes that are left, among
+   which are all partners, are counted once more among themselves, over the whole order.
 2. The rest post the first n-grams of the order that any partner must meet (prefix filter). Each posting list is
    a star around its most typical member: linearly many pairs, never all of a list.
 3. Pairs are verified exactly: the overlap in each fragment is counted apart and summed per pair.
@@ -42,7 +43,7 @@ FRAGMENT_BYTES = 48 << 20
 #: Entries that a task collects before it sends them.
 BLOCK = 2_000_000
 #: Pairs per entry of the lists that still hold several components, up to which these are compared at once.
-EASY = 8
+EASY = 2
 #: Fragments in which pairs are verified.
 PAIR_FRAGMENTS = 8
 SKETCH = 16  # longs of 64 bits
@@ -289,15 +290,11 @@ def components(links: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, sig (class of equal sets, 0 if empty), component_id: one row per row of docs."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    fragments = max(2, -(-total // FRAGMENT_BYTES))
-    share = counted_share(percent)
+def _meeting(docs: DataFrame, total: int, words: int, percent: int, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts (doc_id, sig, n_shingles), their classes, and those of the classes (sig, key, n, own) that may have partners, by the n-grams in a share of the order. total: bytes of text."""
+    fragments = max(2, -(-int(total * share) // FRAGMENT_BYTES))
     dealt = docs.mapInArrow(lambda b: _segments(b, fragments, words, share), _SEGMENTS).repartitionById(fragments, "frag")
     counted = materialise(dealt.mapInArrow(lambda b: _partial(b, fragments), _PARTIAL), "join-partial")
-
     texts = counted.where("kind = 1").select("doc_id", "sig", F.col("n").alias("n_shingles"), "inside")
     keyed = F.coalesce(F.col("doc_id"), F.lit(_NO_ID))
     classes = texts.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max(keyed).alias("key"), F.max("n_shingles").alias("n"), F.max("inside").alias("inside"), F.count(F.lit(1)).alias("copies"))
@@ -305,8 +302,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tagged = classes.withColumn("tag", F.col("sig").bitwiseAND(F.lit(0xFFFFFFFF))).join(shared, "tag", "left")
     own = F.greatest(F.lit(0), F.col("inside") - F.coalesce("shared", F.lit(0)))
     rest = materialise(tagged.withColumn("own", own).where(f"own * 100 <= n * {100 - percent}").select("sig", "key", "n", "own"), "join-rest")
+    return texts, classes, rest
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, sig (class of equal sets, 0 if empty), component_id: one row per row of docs."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts, classes, rest = _meeting(docs, total, words, percent, counted_share(percent))
+
+    def having(rows: DataFrame, n: int) -> DataFrame:
+        """The documents of the classes in rows."""
+        keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit(_NO_ID)))
+        return keyed.join(small(rows.select("key"), n), "key", "left_semi").select("doc_id", "text")
+
+    # partners are among the rest, so the whole order is counted among the rest only
     n_rest = rest.count()
-    wanted = docs.withColumn("key", keyed).join(small(rest.select("key"), n_rest), "key", "left_semi").select("doc_id", "text")
+    if n_rest:
+        size = int(total * min(1.0, n_rest / max(1, classes.count())))
+        again = _meeting(having(rest, n_rest), size, words, percent, 1.0)[2].join(small(rest.select("sig"), n_rest), "sig", "left_semi")
+        rest = materialise(again, "join-rest")
+        n_rest = rest.count()
+    wanted = having(rest, n_rest)
     whole = wanted.mapInArrow(lambda b: _whole(b, words, percent), "doc_id long, sig long, n int, sketch array<long>, prefix array<long>, parts array<array<long>>")
     whole = materialise(whole, "join-sets").drop("doc_id")
     whole = whole.join(small(rest.select("sig", "own"), n_rest), "sig")
