@@ -12,9 +12,9 @@ counts is a partial result; partial results are summed per text or per pair.
 2. The rest post the first n-grams of the order that any partner must meet (prefix filter). Each posting list is
    a star around its most typical member: linearly many pairs, never all of a list.
 3. Pairs are verified exactly: the overlap in each fragment is counted apart and summed per pair.
-4. Lists that still hold several components are gone through from their smallest components: in each round one member
-   of each such list meets the members of its other components (linearly many pairs) and leaves the list, until the
-   pairs that are left are few. A length filter and a parity sketch (it never overstates a difference) spare most
+4. Lists that still hold several components are gone through from their smallest components: in each round a fixed
+   number of members of each such list meets the members of its other components (linearly many pairs) and leaves the
+   list, until the pairs that are left are few. A length filter and a parity sketch (it never overstates a difference) spare most
    verifications. So no link between different sets is lost, while members of one component need not meet.
 
 Components come from alternating large-star and small-star steps on tables.
@@ -34,6 +34,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm.common import documents, join_hot, materialise, row_keyed, slices, small, tidy
 
@@ -42,8 +43,8 @@ WORDS, PERCENT = 4, 85
 FRAGMENT_BYTES = 48 << 20
 #: Entries that a task collects before it sends them.
 BLOCK = 2_000_000
-#: Pairs per entry of the lists that still hold several components, up to which these are compared at once.
-EASY = 2
+#: Pairs per entry of the lists that still hold several components, up to which these are compared at once; and the members of a list that meet the others in one round.
+EASY = 64
 #: Fragments in which pairs are verified.
 PAIR_FRAGMENTS = 8
 SKETCH = 16  # longs of 64 bits
@@ -361,9 +362,8 @@ def _cross(posts: DataFrame, parts: DataFrame, pairs: DataFrame, links: DataFram
         placed = placed.join(small(found.select(F.col("node").alias("sig"), "root")), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
         mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
         open_ = materialise(placed.join(mixed, "h", "left_semi").distinct(), "join-open")
-        sizes = open_.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("size"), F.min("sig").alias("sig"))
-        lists = sizes.groupBy("h").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("within"), F.min(F.struct("size", "comp", "sig")).alias("next"))
-        lists = materialise(lists, "join-lists")
+        sizes = materialise(open_.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("size")), "join-sizes")
+        lists = sizes.groupBy("h").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("within"))
         left, entries = lists.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
         if not entries:
             return links, found
@@ -372,7 +372,9 @@ def _cross(posts: DataFrame, parts: DataFrame, pairs: DataFrame, links: DataFram
             x, y = open_.alias("x"), open_.alias("y")
             crossing = _candidates(x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.sig") < F.col("y.sig"))), "x", "y", percent)
         else:
-            turn = lists.select("h", F.col("next.sig").alias("sig")).join(open_, ["h", "sig"])
+            order = Window.partitionBy("h").orderBy("size", "comp", "sig")  # limited in each task before the exchange
+            turn = open_.join(sizes, ["h", "comp"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, EASY))
+            turn = materialise(turn, "join-turn")
             met = join_hot(open_, turn.select("h", F.struct("sig", "n", "comp", "sketch").alias("y")), "h", F.col("sig"))
             crossing = _candidates(met.select(F.struct("sig", "n", "comp", "sketch").alias("x"), "y"), "x", "y", percent)
             now = turn.select("h", "sig")
