@@ -44,7 +44,7 @@ FRAGMENT_BYTES = 48 << 20
 #: Entries that a task collects before it sends them.
 BLOCK = 2_000_000
 #: Pairs per entry of the lists that still hold several components, up to which these are compared at once; and the members of a list that meet the others in one round.
-EASY = 64
+EASY = 512
 #: Fragments in which pairs are verified.
 PAIR_FRAGMENTS = 8
 SKETCH = 16  # longs of 64 bits
@@ -273,22 +273,22 @@ def components(links: DataFrame) -> DataFrame:
     """links: a, b. node, root: the smallest node that each linked node (itself included) reaches, by large-star and small-star steps."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialise(edges, "join-edges")
-    before = None
+    state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while True:
+        nodes = 2 * state[0]  # at most
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = join_hot(both, least, "u", F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_hot(both, least, "u", F.col("v"), nodes).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small_ = join_hot(large, least, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        small_ = join_hot(large, least, "u", F.col("v"), nodes).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = materialise(small_, "join-edges")
         # a fixed point when each node has one edge, and its end has none
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        before, state = state, edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    return materialise(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "join-found")
 
 
 def _meeting(docs: DataFrame, total: int, words: int, percent: int, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -337,7 +337,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = materialise(verify(pairs, parts, percent), "join-links")
     found = components(links)
 
-    links, found = _cross(posts.join(whole.select("sig", "sketch"), "sig"), parts, pairs, links, found, percent)
+    found = _cross(posts.join(whole.select("sig", "sketch"), "sig"), parts, pairs, found, percent)
 
     roots = classes.join(found, F.col("sig") == F.col("node"), "left").select("sig", "rep", "copies", F.coalesce("root", "sig").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = roots.where("linked").groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -354,8 +354,19 @@ def _candidates(joined: DataFrame, x: str, y: str, percent: int) -> DataFrame:
     return may.select(F.least(f"{x}.sig", f"{y}.sig").alias("a"), F.greatest(f"{x}.sig", f"{y}.sig").alias("b")).distinct()
 
 
-def _cross(posts: DataFrame, parts: DataFrame, pairs: DataFrame, links: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links between components that meet in posting lists, beyond the pairs already verified. posts: h, sig, n, sketch. Returns all links, and the components."""
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, root) after further links (a, b): only their roots are gone through again."""
+    ends = found.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    step = links.join(small(ends), "a", "left").join(small(ends.toDF("b", "rb")), "b", "left")
+    roots = step.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    merged = components(roots).withColumnRenamed("root", "to")
+    old = found.join(small(merged.withColumnRenamed("node", "root")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    new = merged.select("node", F.col("to").alias("root")).join(small(found.select("node")), "node", "left_anti")
+    return materialise(old.unionByName(new), "join-found")
+
+
+def _cross(posts: DataFrame, parts: DataFrame, pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The components after the links between those that meet in posting lists, beyond the pairs already verified. posts: h, sig, n, sketch."""
     done = None  # members that have met all others of a list
     while True:
         placed = posts if done is None else posts.join(done, ["h", "sig"], "left_anti")
@@ -366,7 +377,7 @@ def _cross(posts: DataFrame, parts: DataFrame, pairs: DataFrame, links: DataFram
         lists = sizes.groupBy("h").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("within"))
         left, entries = lists.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
         if not entries:
-            return links, found
+            return found
         finish = left <= EASY * entries
         if finish:
             x, y = open_.alias("x"), open_.alias("y")
@@ -382,10 +393,9 @@ def _cross(posts: DataFrame, parts: DataFrame, pairs: DataFrame, links: DataFram
         crossing = materialise(crossing.join(pairs, ["a", "b"], "left_anti"), "join-crossing")
         more = materialise(verify(crossing, parts, percent), "join-links")
         if not more.isEmpty():
-            links = materialise(links.unionByName(more), "join-links")
-            found = components(links)
+            found = _joined(found, more)
         if finish:
-            return links, found
+            return found
         pairs = materialise(pairs.unionByName(crossing), "join-pairs")
 
 
