@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +23,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def cosine_to(a: Column, query: Sequence[float]) -> Column:
+    """The cosine with a known vector, a batch of rows at a time; 0 if either is zero, null where the lengths differ."""
+    q = np.array([float(x) for x in query])
+    size = float(np.sqrt(q @ q))
+
+    @F.arrow_udf("double")
+    def score(rows: pa.Array) -> pa.Array:
+        out, same = np.zeros(len(rows)), pc.fill_null(pc.equal(pc.list_value_length(rows), len(q)), False).to_numpy(zero_copy_only=False)
+        x = rows.filter(pa.array(same)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, max(1, len(q)))
+        sizes = np.sqrt(np.einsum("ij,ij->i", x, x)) * size
+        out[same] = np.divide(x @ q, sizes, out=np.zeros(len(x)), where=sizes > 0) if len(q) else 0.0
+        return pa.array(out, mask=~same)
+
+    return score(a)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 if either vector is zero."""
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

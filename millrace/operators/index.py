@@ -20,11 +20,12 @@ def collection(modality: Column) -> Column:
 
 
 def points(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows for the vector table, and the entries of unknown modality for the dead-letter table."""
+    """Rows for the vector table, and the entries of unknown modality for the dead-letter table. `content` keeps the whole snippet for the lexical table."""
     placed = entries.withColumn("collection", collection(F.col("modality")))
     ok = placed.where("collection is not null").withColumns(
         {
             "point_id": identity.point_id(F.col("chunk_id")),
+            "content": F.coalesce("snippet", F.lit("")),
             "snippet": F.left(F.coalesce("snippet", F.lit("")), F.lit(VECTOR_SNIPPET)),
             "repo": F.coalesce("repo", F.lit("")),
             "derived_from": F.coalesce("derived_from", F.lit("")),
@@ -37,7 +38,7 @@ def points(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 def lexical_docs(point_rows: DataFrame) -> DataFrame:
     """Rows for the lexical table: text modalities only."""
     out = point_rows.where("modality <> 'image'")
-    return out.withColumns({"doc_id": identity.lexical_id(F.col("chunk_id")), "snippet": F.left("snippet", F.lit(LEXICAL_SNIPPET)), "last_indexed": F.col("model")}).drop("vector", "point_id", "collection", "model")
+    return out.withColumns({"doc_id": identity.lexical_id(F.col("chunk_id")), "snippet": F.left("content", F.lit(LEXICAL_SNIPPET)), "last_indexed": F.col("model")}).drop("vector", "point_id", "collection", "model", "content")
 
 
 def upsert(table: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
@@ -72,7 +73,7 @@ def stats(vectors: DataFrame, lexical: DataFrame) -> DataFrame:
     return counted.crossJoin(lexical.agg(F.count(F.lit(1)).alias("lexical_docs"))).withColumn("total", F.col("text_points") + F.col("image_points") + F.col("lexical_docs"))  # one row each
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "snippet") -> DataFrame:
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """term, key, tf, doc_len: the inverted lists."""
     found = docs.select(key, ranking.terms(F.col(text)).alias("__t")).withColumn("doc_len", F.size("__t"))
     return found.select(key, "doc_len", F.explode("__t").alias("term")).groupBy("term", key, "doc_len").agg(F.count(F.lit(1)).alias("tf"))

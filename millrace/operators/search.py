@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from millrace.functions import ranking, text
@@ -34,10 +38,6 @@ def rerank(hits: DataFrame, as_of: int, boost: float, k: int, tie: str) -> DataF
     return hits.withColumn("score_final", ranking.blended(F.col("score"), fresh, boost)).orderBy(F.desc("score_final"), tie).limit(k)
 
 
-def _vector(values: Sequence[float]) -> Column:
-    return F.lit([float(v) for v in values]) if values else F.array().cast("array<double>")
-
-
 def semantic(
     vectors: DataFrame, query: Sequence[float], k: int = 10, threshold: float = 0.0, tie: str = "chunk_id", as_of: int | None = None,
     freshness_boost: float = 0.0, max_age_days: int | None = None, path_prefix: str | None = None, **equal: str | None,
@@ -45,17 +45,53 @@ def semantic(
     """The k rows nearest by cosine with score >= threshold. Exact: a filtered scan and a bounded heap per task."""
     rows = filtered(vectors, as_of, max_age_days, path_prefix, **equal)
     boost = ranking.clamp(freshness_boost)
-    scored = rows.withColumn("score", ranking.cosine(F.col("vector"), _vector(query))).drop("vector").where(F.col("score") >= threshold)
+    scored = rows.withColumn("score", ranking.cosine_to(F.col("vector"), query)).drop("vector").where(F.col("score") >= threshold)
     hits = scored.orderBy(F.desc("score"), tie).limit(ranking.fetch_size(k, boost))
     return rerank(hits, as_of, boost, k, tie) if boost > 0 else hits
 
 
+#: Queries whose vectors a task holds at once.
+QUERY_BLOCK = 4096
+
+
 def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, tie: str = "chunk_id") -> DataFrame:
-    """queries: query_id, query_vector, a stated set that is broadcast. The k best per query: the planner limits each group before the exchange too (WindowGroupLimit), so k rows per task and query are shuffled."""
-    scored = vectors.crossJoin(F.broadcast(queries.select("query_id", "query_vector"))).withColumn("score", ranking.cosine(F.col("vector"), F.col("query_vector"))).where(F.col("score") >= threshold)
-    narrow = scored.select("query_id", F.col(tie), F.col("score"))
-    best = narrow.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), tie))).where(F.col("rank") <= k)
-    return best.select("query_id", tie, "score", "rank")
+    """queries: query_id, query_vector, a stated set, met in blocks of QUERY_BLOCK. The k best per query.
+
+    Each task multiplies its batches with the block's matrix and passes on the k best of each query, so k rows per batch and query are shuffled."""
+    kinds = {f.name: f.dataType for f in [*vectors.select(tie).schema, *queries.select("query_id").schema]}
+    schema = StructType([StructField("query_id", kinds["query_id"]), StructField(tie, kinds[tie]), StructField("score", DoubleType())])
+    spark, blocks = vectors.sparkSession, max(1, -(-queries.count() // QUERY_BLOCK))
+    dealt = queries.select("query_id", "query_vector").withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    narrow, found = vectors.select(tie, "vector"), []
+    for block in range(blocks):
+        own = dealt.where(F.col("__b") == block).toArrow()  # about QUERY_BLOCK rows
+        ids, rows = own.column("query_id").combine_chunks(), own.column("query_vector").to_pylist()
+        width = max((len(v) for v in rows if v is not None), default=1)
+        held = spark.sparkContext.broadcast((ids, _unit_rows(rows, width), width))
+
+        def best(batches, held=held):
+            ids, matrix, width = held.value
+            for b in batches:
+                score = _unit_rows(b.column(1).to_pylist(), width) @ matrix.T
+                at = np.argpartition(-score, k - 1, 0)[:k] if 0 < k < len(score) else np.arange(len(score))[:, None].repeat(len(ids), 1)
+                least = np.take_along_axis(score, at, 0).min(0, initial=np.inf) if k > 0 else np.full(len(ids), np.inf)
+                row, query = np.nonzero((score >= np.maximum(least, threshold)[None]))  # ties with the last one too
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), b.column(0).take(pa.array(row)), pa.array(score[row, query])], ["query_id", tie, "score"])
+
+        found.append(narrow.mapInArrow(best, schema))
+    every = reduce(DataFrame.unionByName, found)
+    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), tie)))
+    return ranked.where(F.col("rank") <= k).select("query_id", tie, "score", "rank")
+
+
+def _unit_rows(rows: list, width: int) -> np.ndarray:
+    """Rows of length 1; zeros for null and for another width."""
+    out = np.zeros((len(rows), width))
+    for i, v in enumerate(rows):
+        if v is not None and len(v) == width:
+            out[i] = v
+    size = np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
+    return out / np.where(size > 0, size, 1)
 
 
 def query_terms(query: str) -> list[str]:
@@ -64,7 +100,7 @@ def query_terms(query: str) -> list[str]:
     return sorted(set(re.findall(r"[^\W_]+", query.lower())))
 
 
-def lexical_scores(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", content: str = "snippet", typos: bool = False) -> DataFrame:
+def lexical_scores(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", content: str = "text", typos: bool = False) -> DataFrame:
     """key, score: BM25 of the documents that hold a query term. Only occurrences of query terms leave the scan; lengths are summed there.
 
     With typos, words near a query term (one edit from 4 characters, two from 8) count as that term."""
@@ -84,13 +120,13 @@ def lexical_scores(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", c
 
 
 def lexical(
-    docs: DataFrame, query: str, limit: int = 20, offset: int = 0, key: str = "doc_id", content: str = "snippet", typos: bool = False, as_of: int | None = None,
+    docs: DataFrame, query: str, limit: int = 20, offset: int = 0, key: str = "doc_id", content: str = "text", typos: bool = False, as_of: int | None = None, index=None,
     freshness_boost: float = 0.0, max_age_days: int | None = None, path_prefix: str | None = None, **equal: str | None,
 ) -> DataFrame:
-    """Pages of documents by BM25, with highlights. A freshness boost scores ranks: 1 for the first, falling evenly over the fetched page."""
+    """Pages of documents by BM25 over whole texts, with highlights; through a LexicalIndex if one is given, else by a scan. A freshness boost scores ranks: 1 for the first, falling evenly over the fetched page."""
     terms = query_terms(query)
     rows = filtered(docs, as_of, max_age_days, path_prefix, **equal)
-    scores = lexical_scores(docs, terms, key, content, typos)
+    scores = lexical_scores(docs, terms, key, content, typos) if index is None else index.scores(terms, typos)
     boost = ranking.clamp(freshness_boost)
     best = scores.withColumn("bm25", F.round("bm25", 6))
     hits = rows.join(best, key).orderBy(F.desc("bm25"), key)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from millrace.functions import identity, ranking, text, urls
 from millrace.operators import cdc, chunking, crawl, extract, hybrid, index, routing, search
 from millrace.plans import sqltext as S
-from millrace.plans.views import AS_OF, COSINE, DOCS, QUERY_VECTOR, TERMS, VECTORS, docs, query_text, query_vector, table, vectors
+from millrace.plans.views import AS_OF, COSINE, DOCS, QUERY_VECTOR, TERMS, VECTORS, docs, lexical_index, query_text, query_vector, table, vector_index, vectors
 from millrace.streaming import jobs
 
 QUERIES: dict = {}
@@ -35,6 +35,12 @@ def semantic_topk(spark, d):
     return search.semantic(vectors(spark, d), query_vector(spark, d), 10, -1.0, "vec_id").select("vec_id", "path", F.round("score", 6).alias("score"))
 
 
+@query(f"{_SCORED} select vec_id, path, round(score, 6) as score from s order by s.score desc, vec_id limit 10")
+def semantic_indexed(spark, d):
+    """Through the cells of the vector index, all of them, so exactly."""
+    return vector_index(spark, d).search(query_vector(spark, d), 10, None, -1.0).select("vec_id", "path", F.round("score", 6).alias("score"))
+
+
 @query(f"{_SCORED} select vec_id, repo, path, round(score, 6) as score from s where modality = 'text' and repo = 'r1' and source_id in ('s1', 's2', 's3') and path like 'p1%' order by s.score desc, vec_id limit 10")
 def semantic_filtered(spark, d):
     rows = vectors(spark, d).where(F.col("source_id").isin("s1", "s2", "s3"))
@@ -78,7 +84,7 @@ def freshness_scores(spark, d):
 
 # ---- lexical search
 
-_BM25 = f"""{DOCS}, w as (select doc_id, {TERMS.format(x='snippet')} as ws from d),
+_BM25 = f"""{DOCS}, w as (select doc_id, {TERMS.format(x='text')} as ws from d),
 qt as (select distinct unnest({TERMS.format(x='text')}) as term from benchmark where item_id = 0),
 tot as (select count(*) as n, avg(len(ws)) as m from w), x as (select doc_id, len(ws) as dl, unnest(ws) as term from w),
 tf as (select doc_id, dl, term, count(*) as tf from x where term in (select term from qt) group by all), df as (select term, count(*) as df from tf group by 1),
@@ -87,12 +93,12 @@ b as (select doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 /
 
 @query(f"with {_BM25} select doc_id, bm25 from b order by bm25 desc, doc_id limit 20")
 def lexical_bm25(spark, d):
-    return search.lexical(docs(spark, d), query_text(spark, d)).select("doc_id", "bm25")
+    return search.lexical(docs(spark, d), query_text(spark, d), index=lexical_index(spark, d)).select("doc_id", "bm25")
 
 
 @query(f"with {_BM25} select doc_id, path, bm25 from b join d using (doc_id) where repo = 'en' order by bm25 desc, doc_id limit 10 offset 10")
 def lexical_paged(spark, d):
-    return search.lexical(docs(spark, d), query_text(spark, d), 10, 10, repo="en").select("doc_id", "path", "bm25")
+    return search.lexical(docs(spark, d), query_text(spark, d), 10, 10, index=lexical_index(spark, d), repo="en").select("doc_id", "path", "bm25")
 
 
 @query(f"""with {_BM25}, h as (select doc_id, bm25, content_modified_ts from b join d using (doc_id) order by bm25 desc, doc_id limit 80),
@@ -100,25 +106,32 @@ r as (select doc_id, content_modified_ts, 1 - (row_number() over (order by bm25
 f as (select doc_id, score, score * 0.5 + {_FRESH} * 0.5 as score_final from r)
 select doc_id, round(score, 6) as score, round(score_final, 6) as score_final from f order by f.score_final desc, doc_id limit 20""")
 def lexical_rank_score(spark, d):
-    return search.lexical(docs(spark, d), query_text(spark, d), 20, as_of=AS_OF, freshness_boost=0.5).select("doc_id", F.round("score", 6).alias("score"), F.round("score_final", 6).alias("score_final"))
+    return search.lexical(docs(spark, d), query_text(spark, d), 20, as_of=AS_OF, index=lexical_index(spark, d), freshness_boost=0.5).select("doc_id", F.round("score", 6).alias("score"), F.round("score_final", 6).alias("score_final"))
 
 
-@query(f"""with {DOCS}, w as (select doc_id, {TERMS.format(x='snippet')} as ws from d), qt as (select unnest(['tion', 'worthles', 'patheticc']) as term),
+@query(f"""with {DOCS}, w as (select doc_id, {TERMS.format(x='text')} as ws from d), qt as (select unnest(['tion', 'worthles', 'patheticc']) as term),
 tot as (select count(*) as n, avg(len(ws)) as m from w), x as (select doc_id, len(ws) as dl, unnest(ws) as word from w),
 tf as (select doc_id, dl, term, count(*) as tf from x join qt on levenshtein(regexp_replace(word, '[^\\x00-\\x7f]', '~', 'g'), term) <= case when length(term) < 4 then 0 when length(term) < 8 then 1 else 2 end group by all),
 df as (select term, count(*) as df from tf group by 1),
 b as (select doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))), 6) as bm25 from tf join df using (term), tot group by 1)
 select doc_id, bm25 from b order by bm25 desc, doc_id limit 20""")
 def lexical_typo(spark, d):
-    return search.lexical(docs(spark, d), "tion worthles patheticc", typos=True).select("doc_id", "bm25")
+    return search.lexical(docs(spark, d), "tion worthles patheticc", typos=True, index=lexical_index(spark, d)).select("doc_id", "bm25")
+
+
+@query(f"with {_BM25} select doc_id, bm25 from b order by bm25 desc, doc_id limit 20")
+def lexical_scan(spark, d):
+    """Without an index: one more scan of the texts."""
+    return search.lexical(docs(spark, d), query_text(spark, d)).select("doc_id", "bm25")
 
 
-@query(f"with {DOCS} select doc_id, regexp_replace(left(snippet, 300), '(?i)\\b(the|of)\\b', '<em>\\1</em>', 'g') as highlight from d where repo = 'en' and doc_id % 3 = 0")
+@query(r"""with x as (select doc_id, regexp_replace(text, '([^\p{L}\p{N}_]|^)(the|of|und|les)', '\1' || chr(1) || '\2', 'gi') as t from documents)
+select doc_id, md5(regexp_replace(regexp_replace(t, chr(1) || '(the|of|und|les)([\p{L}\p{N}_])', '\1\2', 'gi'), chr(1) || '(the|of|und|les)', '<em>\1</em>', 'gi')) as digest from x""")
 def highlights(spark, d):
-    return docs(spark, d).where("repo = 'en' and doc_id % 3 = 0").select("doc_id", text.highlight(F.left("snippet", F.lit(300)), ["the", "of"]).alias("highlight"))
+    return docs(spark, d).select("doc_id", F.md5(text.highlight(F.col("text"), ["the", "of", "und", "les"])).alias("digest"))
 
 
-@query(f"with {DOCS}, w as (select doc_id, {TERMS.format(x='snippet')} as ws from d), x as (select doc_id, len(ws) as doc_len, unnest(ws) as term from w) select term, doc_id, doc_len, count(*) as tf from x group by all")
+@query(f"with {DOCS}, w as (select doc_id, {TERMS.format(x='text')} as ws from d), x as (select doc_id, len(ws) as doc_len, unnest(ws) as term from w) select term, doc_id, doc_len, count(*) as tf from x group by all")
 def postings(spark, d):
     return index.postings(docs(spark, d)).select("term", "doc_id", F.col("doc_len").cast("long").alias("doc_len"), "tf")
 
@@ -128,11 +141,11 @@ def postings(spark, d):
 
 def _legs(spark, d):
     """Vectors stand for the documents of the same number; a query is vector 0 and benchmark text 0."""
-    base = docs(spark, d).select("doc_id", "source_id", "repo", "path", "snippet", "content_modified_ts")
+    base = docs(spark, d).select("doc_id", "source_id", "repo", "path", "snippet", "text", "content_modified_ts")
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     order = Window.orderBy(F.desc("score"), "doc_id")
-    sem = search.semantic(base.join(v, "doc_id"), query_vector(spark, d), 15, hybrid.THRESHOLD - 0.15, "doc_id").withColumn("pos", F.row_number().over(order) - 1)
-    lex = search.lexical(base, query_text(spark, d), 15).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("bm25"), "doc_id")) - 1)
+    sem = search.semantic(base.drop("text").join(v, "doc_id"), query_vector(spark, d), 15, hybrid.THRESHOLD - 0.15, "doc_id").withColumn("pos", F.row_number().over(order) - 1)
+    lex = search.lexical(base, query_text(spark, d), 15, index=lexical_index(spark, d)).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("bm25"), "doc_id")) - 1)
     return sem, lex
 
 

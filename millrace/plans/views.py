@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.lexical_index import LexicalIndex
+from millrace.operators.vector_index import VectorIndex
+from millrace.plans.session import shared_folder
+
 #: 2024-02-01 00:00 UTC, the present of every query.
 AS_OF = 1706745600
 
@@ -52,3 +56,30 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[floa
 
 def query_text(spark: SparkSession, sf_dir: str, item: int = 0) -> str:
     return table(spark, sf_dir, "benchmark").where(F.col("item_id") == item).select("text").first()[0]
+
+
+_BUILT: dict[tuple, LexicalIndex | VectorIndex] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a table from another: its files with their sizes and times."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p.suffix("/*")) or []
+    own = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+    return tuple((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in [own, *files])
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build):
+    """An index is built when a session first needs it, in the shared folder, and again when its table has changed."""
+    key = (spark.sparkContext.applicationId, name, _state(spark, f"{sf_dir}/{name}.parquet"))
+    if key not in _BUILT:
+        _BUILT[key] = build(shared_folder(spark, f"index-{name}"))
+    return _BUILT[key]
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    return _once(spark, sf_dir, "documents", lambda path: LexicalIndex.build(docs(spark, sf_dir), path))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    return _once(spark, sf_dir, "embeddings", lambda path: VectorIndex.build(vectors(spark, sf_dir), path, "vec_id"))
