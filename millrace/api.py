@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace import schemas
 from millrace.functions import identity
 from millrace.operators import cdc, chunking, embed, extract, hybrid, index, routing, search
-from millrace.sources import folder
+from millrace.operators.lexical_index import LexicalIndex
+from millrace.sources import folder, registry
+from millrace.streaming import jobs
 
 SOURCE_TYPES = ("git", "folder")
 
@@ -41,28 +45,52 @@ class Engine:
         hadoop = spark._jvm.org.apache.hadoop.fs
         self._path = hadoop.Path
         self._fs = hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._index: tuple[str, LexicalIndex] | None = None
 
     # ---- tables
 
     def _pointer(self, name: str) -> str:
         return f"{self.root}/{name}/CURRENT"
 
-    def read(self, name: str) -> DataFrame | None:
+    def _version(self, name: str) -> str | None:
         try:
-            version = self.spark.read.text(self._pointer(name)).first()
+            row = self.spark.read.text(self._pointer(name)).first()
         except AnalysisException:
             return None
-        return self.spark.read.parquet(f"{self.root}/{name}/{version[0]}") if version else None
+        return row[0] if row else None
+
+    def read(self, name: str) -> DataFrame | None:
+        version = self._version(name)
+        return self.spark.read.parquet(f"{self.root}/{name}/{version}") if version else None
 
-    def write(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
-        version = f"v-{uuid.uuid4().hex}"
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(f"{self.root}/{name}/{version}")
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """A new version; versions before the one that it replaces are removed."""
+        version, before = f"v-{uuid.uuid4().hex}", self._version(name)
+        df.write.parquet(f"{self.root}/{name}/{version}")
         out = self._fs.create(self._path(self._pointer(name)), True)
         out.write(bytearray(version.encode()))
         out.close()
+        for f in self._fs.listStatus(self._path(f"{self.root}/{name}")):
+            own = f.getPath().getName()
+            if own.startswith("v-") and own not in (version, before):
+                self._fs.delete(f.getPath(), True)
         return self.read(name)
 
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """A new version with all rows so far and these."""
+        held = self.read(name)
+        return self.write(name, df if held is None else held.unionByName(df, allowMissingColumns=True))
+
+    def _of_sources(self, name: str) -> list[str]:
+        """The current versions of a table that has a part for each source."""
+        base = self._path(f"{self.root}/{name}")
+        parts = [f.getPath().getName() for f in self._fs.listStatus(base)] if self._fs.exists(base) else []
+        return sorted(f"{self.root}/{name}/{p}/{v}" for p in parts if (v := self._version(f"{name}/{p}")))
+
+    def read_all(self, name: str) -> DataFrame | None:
+        paths = self._of_sources(name)
+        return self.spark.read.parquet(*paths) if paths else None
+
     @contextmanager
     def lock(self, name: str):
         """One holder at a time; a lock older than LOCK_SECONDS is void."""
@@ -71,7 +99,10 @@ class Engine:
             age = self.spark.range(1).select(F.unix_timestamp()).first()[0] - self._fs.getFileStatus(path).getModificationTime() / 1000
             if age < self.LOCK_SECONDS:
                 raise Conflict(f"{name} is being synchronised")
-            self._fs.delete(path, False)
+            void = self._path(f"{self.root}/locks/{name}.void-{uuid.uuid4().hex}")
+            if not self._fs.rename(path, void):  # of several that find it void one succeeds
+                raise Conflict(f"{name} is being synchronised")
+            self._fs.delete(void, False)
         if not self._fs.createNewFile(path):
             raise Conflict(f"{name} is being synchronised")
         try:
@@ -105,56 +136,120 @@ class Engine:
     # ---- ingestion
 
     def sync(self, source_id: str) -> DataFrame:
-        """Compare a folder source with its last snapshot and index what changed. The events of the run."""
+        """Compare a source with what it was at the last run and index what changed. The events of the run, without content.
+
+        Only changed files are opened. What fails is kept with its content in the dead-letter table, and a failed file
+        counts as unseen, so the next run tries it again."""
         source = self._source(source_id)
         with self.lock(source_id):
+            if source["type"] == "git":
+                return self._sync_git(source)
             listing = folder.files(self.spark, source["folder_path"], include=source["file_patterns"] or ())
             empty = self.spark.createDataFrame([], "path string, modified timestamp, size long")
             held = self.read(f"snapshots/{source_id}")
+            held = held if held is not None else empty
             current = self.write(f"snapshots-new/{source_id}", listing)
-            changes = cdc.snapshot_diff(current, held if held is not None else empty)
-            content = folder.files(self.spark, source["folder_path"], with_content=True, max_bytes=None)
-            bodies = cdc.changed_content(changes, content)
+            changes = self.write(f"changes/{source_id}", cdc.snapshot_diff(current, held))
+            bodies = cdc.changed_content(changes, folder.contents(self.spark, source["folder_path"], changes.where("operation <> 'delete'")))
             all_ = bodies.unionByName(changes.where("operation = 'delete'"), allowMissingColumns=True)
-            events = self.write(f"events/{source_id}", cdc.events(all_, source_id, "folder", F.current_timestamp()).withColumn("event_id", F.col("idempotency_key")))
-            self.ingest(events)
-            self.write(f"snapshots/{source_id}", current)
+            events = self._events(source, all_)
+            failed = self.ingest(events).select("path").distinct()
+            self.write(f"snapshots/{source_id}", cdc.next_snapshot(current, held, failed))
+        return events.drop("content")
+
+    def _sync_git(self, source) -> DataFrame:
+        """One clone and one pass over the history; heads are kept, so that the next run compares with them."""
+        name, heads = source["source_id"], self.read(f"heads/{source['source_id']}")
+        since = {r["repo"]: r["head"] for r in heads.collect()} if heads is not None else {}  # one row per repository
+        registry.register_data_sources(self.spark)
+        options = {"repos": source["url"], "branch": source["branch"] or "", "since": json.dumps(since), "include": json.dumps(list(source["file_patterns"] or ()))}
+        changes = self.write(f"changes/{name}", self.spark.read.format("git").options(**options).load())
+        found = cdc.split_renames(changes.withColumnRenamed("committed_at", "modified"))
+        gone = F.col("operation") == "delete"
+        found = found.withColumn("content", F.when(~gone, F.col("content"))).withColumn("content_hash", identity.content_hash(F.col("content")))
+        events = self._events(source, found.select("path", "operation", "modified", "size", "content", "content_hash"))
+        self.ingest(events)
+        new = changes.select("repo", "head").distinct()
+        self.write(f"heads/{name}", new if heads is None else heads.join(new.select("repo"), "repo", "left_anti").unionByName(new))
         return events.drop("content")
 
-    def ingest(self, events: DataFrame) -> None:
-        """Route events with content, extract, chunk, embed and index; failures go to the dead-letter table."""
+    def _events(self, source, changes: DataFrame) -> DataFrame:
+        events = cdc.events(changes, source["source_id"], source["type"], F.current_timestamp())
+        return self.write(f"events/{source['source_id']}", events.withColumn("event_id", F.col("idempotency_key")))
+
+    #: What the dead-letter table keeps of an event, enough to take it in again.
+    _LETTER = ("event_id", "source_id", "source_type", "operation", "path", "modality", "content_hash", "content", "content_modified_at", "depth", "retry_count")
+
+    def ingest(self, events: DataFrame) -> DataFrame:
+        """Route events with content, extract, chunk, embed and index. Failures are added to the dead-letter table, with their events, and returned.
+
+        What was extracted once from the same bytes, by the same version of an extractor, is taken from the cache."""
         caps = routing.capabilities(self.spark)
         ready = events.withColumn("content_ref", F.struct(F.lit("path").alias("kind"), F.col("path").alias("path")))
         if "content_mime" not in ready.columns:
             ready = ready.withColumn("content_mime", F.lit(None).cast("string"))
         routed = routing.route(ready, caps)
         gone = routed.where("route = 'delete'").select("source_id", "path")
-        got = self.write("extracted", extract.extracted(routed))
+        got = self._extracted(routed.where("route = 'extract'"))
         good = got.where("error is null").join(routed.select("event_id", "content_modified_at"), "event_id")
         cut = chunking.chunk_extracted(good.select("source_id", "path", "text", "pages", "content_modified_at"), most=self.chunker["chunk_size_tokens"], overlap=self.chunker["overlap_tokens"], strategy=self.chunker["strategy"])
         ok, bad = embed.split_errors(self._embedded(cut))
-        self.index(ok, gone)
-        failed = got.where("error is not null").select("event_id", "path", "error").unionByName(bad.select(F.col("chunk_id").alias("event_id"), "path", "error"))
-        self.write("dead", failed.withColumns({"retry_count": F.lit(0), "failed_at": F.current_timestamp()}))
+        unplaced = self.index(ok, gone)
+        by_path = [x.select("source_id", identity.base_path(F.col("path")).alias("path"), "error") for x in (bad, unplaced)]
+        errors = got.where("error is not null").select("source_id", "path", "error").unionByName(by_path[0]).unionByName(by_path[1])
+        errors = errors.groupBy("source_id", "path").agg(F.min("error").alias("error"))
+        letters = events.where("operation <> 'delete'").select(*self._LETTER).join(errors, ["source_id", "path"]).withColumn("failed_at", F.current_timestamp())
+        failed = self.write("failed", letters)
+        if not failed.isEmpty():
+            self.append("dead", failed)
+        return failed
+
+    def _extracted(self, files: DataFrame) -> DataFrame:
+        keyed = files.withColumn("cache_key", identity.cache_key(F.col("extractor"), F.lit(extract.VERSION), F.col("content_hash")))
+        held = self.read("cache")
+        known = held.select("cache_key") if held is not None else keyed.select("cache_key").limit(0)
+        fresh = extract.extracted(keyed.join(known, "cache_key", "left_anti")).join(keyed.select("event_id", "cache_key"), "event_id")
+        out = self.write("extracted", fresh if held is None else fresh.unionByName(keyed.select("event_id", "source_id", "path", "cache_key").join(held, "cache_key")))
+        new = out.where("error is null").drop("event_id", "source_id", "path").dropDuplicates(["cache_key"])
+        if held is None or not new.join(known, "cache_key", "left_anti").isEmpty():
+            self.append("cache", new.join(known, "cache_key", "left_anti"))
+        return out.drop("cache_key")
+
+    def drain(self, as_of: Column | None = None) -> dict[str, int]:
+        """Take in again what is due in the dead-letter table. How many rows were tried, still wait, and have failed for good."""
+        dead = self.read("dead")
+        if dead is None:
+            return {"again": 0, "waiting": 0, "final": 0}
+        again, waiting, final = jobs.drain(dead, as_of if as_of is not None else F.current_timestamp())
+        due = self.write("due", again)
+        counts = {"again": due.count(), "waiting": waiting.count(), "final": final.count()}
+        if counts["again"]:
+            self.ingest(due.drop("error", "failed_at"))  # failures are added, with their new count
+            tried = due.select("event_id", "failed_at")
+            self.write("dead", self.read("dead").join(tried, ["event_id", "failed_at"], "left_anti"))
+        return counts
 
     def _embedded(self, chunks: DataFrame) -> DataFrame:
         entries = embed.embed(chunks, self.embedder, "content", self.dimensions)
         return entries.withColumns({"model": F.lit("hashing" if self.embedder is None else "custom"), "modality": F.lit("text"), "repo": F.element_at(F.split("path", "/"), 1), "derived_from": F.lit(""), "snippet": F.col("content")}).drop("content")
 
-    def index(self, entries: DataFrame, gone: DataFrame | None = None) -> None:
-        """Replace the documents of entries in both indexes, and remove the gone ones."""
+    def index(self, entries: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+        """Replace the documents of entries in both indexes, and remove the gone ones; only the parts of their sources are written. Entries of no collection, with an error."""
         points, unknown = index.points(entries)
-        if not unknown.isEmpty():
-            self.write("unindexed", unknown.drop("vector"))
-        for name, fresh in (("vectors", points), ("lexical", index.lexical_docs(points))):
-            held = self.read(name)
-            out = fresh if held is None else index.replace_paths(held, fresh)
-            self.write(name, index.delete_paths(out, gone) if gone is not None else out)
+        points = self.write("points", points)
+        touched = points.select("source_id") if gone is None else points.select("source_id").unionByName(gone.select("source_id"))
+        for source in [r[0] for r in touched.distinct().collect()]:  # one row per source
+            mine = F.col("source_id") == source
+            for name, fresh in (("vectors", points.drop("content")), ("lexical", index.lexical_docs(points))):
+                held = self.read(f"{name}/{source}")
+                out = fresh.where(mine) if held is None else index.replace_paths(held, fresh.where(mine))
+                self.write(f"{name}/{source}", index.delete_paths(out, gone.where(mine)) if gone is not None else out)
+        return unknown
 
     # ---- queries
 
     def _vectors(self) -> DataFrame:
-        held = self.read("vectors")
+        held = self.read_all("vectors")
         if held is None:
             raise NotFound("nothing is indexed yet")
         return held
@@ -170,11 +265,26 @@ class Engine:
         hits = search.semantic(self._vectors(), vector, top_k, score_threshold, "chunk_id", self._now(as_of), freshness_boost, max_age_days, path_prefix, modality=modality, repo=repo)
         return search.projected(hits, ("score", "score_final"))
 
+    def _postings(self, docs: DataFrame) -> LexicalIndex:
+        """The inverted index of the current lexical parts, built when they are first searched; the one before is removed."""
+        state = hashlib.sha256("\n".join(self._of_sources("lexical")).encode()).hexdigest()[:32]
+        if self._index is None or self._index[0] != state:
+            base, path = self._path(f"{self.root}/postings"), f"{self.root}/postings/{state}"
+            if not self._fs.exists(self._path(f"{path}/READY")):
+                self._fs.delete(self._path(path), True)
+                LexicalIndex.build(docs, path, "doc_id", "snippet")
+                self._fs.createNewFile(self._path(f"{path}/READY"))
+            for f in self._fs.listStatus(base):
+                if f.getPath().getName() not in (state, self._index[0] if self._index else state):
+                    self._fs.delete(f.getPath(), True)
+            self._index = state, LexicalIndex(self.spark, path)
+        return self._index[1]
+
     def search_lexical(self, query: str, repo: str | None = None, path_prefix: str | None = None, modality: str | None = None, limit: int = 20, offset: int = 0, max_age_days: int | None = None, freshness_boost: float = 0.0, as_of: int | None = None, typos: bool = True) -> DataFrame:
-        docs = self.read("lexical")
+        docs = self.read_all("lexical")
         if docs is None:
             raise NotFound("nothing is indexed yet")
-        hits = search.lexical(docs, query, limit, offset, "doc_id", "snippet", typos, self._now(as_of), freshness_boost, max_age_days, path_prefix, repo=repo, modality=modality)
+        hits = search.lexical(docs, query, limit, offset, "doc_id", "snippet", typos, self._now(as_of), freshness_boost, max_age_days, path_prefix, index=self._postings(docs), repo=repo, modality=modality)
         return search.projected(hits, ("doc_id", "bm25", "score", "score_final", "highlight"))
 
     def rag_ask(self, question: str, repos: Sequence[str] | None = None, path_prefix: str | None = None, max_context_chars: int = 6000, top_k: int = 15, semantic_weight: float = 0.7, max_age_days: int | None = None, freshness_boost: float = 0.0, as_of: int | None = None, strict: bool = False) -> dict:
@@ -202,7 +312,7 @@ class Engine:
         return search.projected(search.semantic(self._vectors(), query, top_k, score_threshold, modality="image"))
 
     def list_files(self, source_id: str | None = None, path_prefix: str | None = None, modality: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-        held = self.read("lexical")
+        held = self.read_all("lexical")
         if held is None:
             raise NotFound("nothing is indexed yet")
         return index.list_files(held, source_id, path_prefix, modality, limit, offset)
@@ -214,27 +324,28 @@ class Engine:
         self._source(source_id)
         out = {}
         for name in ("vectors", "lexical"):
-            held = self.read(name)
+            held = self.read(f"{name}/{source_id}")
             if held is None:
                 out[name] = 0
                 continue
             kept, deleted = index.purge_source(held, source_id)
             out[name] = deleted.first()[0]
-            self.write(name, kept)
+            self.write(f"{name}/{source_id}", kept)
         return out
 
     def reindex(self, source_id: str) -> DataFrame:
         """Forget the snapshot of a source and index it anew."""
         self.purge(source_id)
         self.write(f"snapshots/{source_id}", self.spark.createDataFrame([], "path string, modified timestamp, size long"))
+        self.write(f"heads/{source_id}", self.spark.createDataFrame([], "repo string, head string"))
         return self.sync(source_id)
 
     def stats(self) -> dict:
-        v, x = self.read("vectors"), self.read("lexical")
+        v, x = self.read_all("vectors"), self.read_all("lexical")
         return {} if v is None or x is None else index.stats(v, x).first().asDict()
 
     def health(self) -> dict[str, str]:
-        checks = {name: "ok" if self.read(name) is not None else "missing" for name in ("sources", "vectors", "lexical")}
+        checks = {name: "ok" if table is not None else "missing" for name, table in (("sources", self.read("sources")), ("vectors", self.read_all("vectors")), ("lexical", self.read_all("lexical")))}
         state = "healthy" if set(checks.values()) == {"ok"} else "degraded" if "ok" in checks.values() else "empty"
         return {"status": state} | checks
 

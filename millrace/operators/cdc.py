@@ -95,3 +95,8 @@ def last_commit(commits: DataFrame) -> DataFrame:
 def distinct_in_order(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__n = 1").drop("__n")
+
+
+def of_unknown_sources(rows: DataFrame, sources: DataFrame, key: str = "source_id") -> DataFrame:
+    """Rows whose source is not registered."""
+    return rows.join(sources.select(key).distinct(), key, "left_anti").select(*rows.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ class LexicalIndex:
 
     def __init__(self, spark: SparkSession, path: str, key: str = "doc_id"):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self._postings, self._words = (spark.read.parquet(f"{self.path}/{t}") for t in ("postings", "words"))
         row = spark.read.parquet(f"{self.path}/totals").first()
         self.n_docs, self.mean_len = row["n_docs"], row["mean_len"]
 
@@ -37,23 +39,20 @@ class LexicalIndex:
         words.write.partitionBy("bucket").parquet(f"{path}/words")
         return cls(spark, path, key)
 
-    def _postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
-
     def _buckets(self, terms: Sequence[str]) -> list[int]:
-        if not terms:
-            return []
-        return sorted({r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(bucket(F.col("term"))).collect()})  # the query's terms
+        """As bucket() of each term, on the driver."""
+        signed = (xxhash.xxh64_intdigest(t.encode(), seed=42) for t in terms)
+        return sorted({(h - (1 << 64) if h >> 63 else h) % BUCKETS for h in signed})
 
     def matches(self, terms: Sequence[str], typos: bool = False) -> DataFrame:
         """key, doc_len, term, tf: the postings of the query's terms; with typos, words near a term count as that term. Only the vocabulary is compared."""
         if not typos:
-            held = self._postings().where(F.col("bucket").isin(self._buckets(terms)) & F.col("term").isin(list(terms)))
+            held = self._postings.where(F.col("bucket").isin(self._buckets(terms)) & F.col("term").isin(list(terms)))
             return held.select(self.key, "doc_len", "term", F.col("tf"))
         query = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
         near = F.filter(query, lambda t: (F.abs(F.length("term") - F.length(t)) <= 2) & (F.levenshtein(F.col("term"), t) <= F.when(F.length(t) < 4, 0).when(F.length(t) < 8, 1).otherwise(2)))
-        words = self.spark.read.parquet(f"{self.path}/words").select("bucket", "term", F.explode(near).alias("meant"))
-        found = self._postings().join(words, ["bucket", "term"])
+        words = self._words.select("bucket", "term", F.explode(near).alias("meant"))
+        found = self._postings.join(words, ["bucket", "term"])
         return found.groupBy(self.key, "doc_len", F.col("meant").alias("term")).agg(F.sum("tf").alias("tf"))
 
     def scores(self, terms: Sequence[str], typos: bool = False) -> DataFrame:

@@ -120,8 +120,8 @@ def lexical_scores(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", c
 
 
 def lexical(
-    docs: DataFrame, query: str, limit: int = 20, offset: int = 0, key: str = "doc_id", content: str = "text", typos: bool = False, as_of: int | None = None, index=None,
-    freshness_boost: float = 0.0, max_age_days: int | None = None, path_prefix: str | None = None, **equal: str | None,
+    docs: DataFrame, query: str, limit: int = 20, offset: int = 0, key: str = "doc_id", content: str = "text", typos: bool = False, as_of: int | None = None,
+    freshness_boost: float = 0.0, max_age_days: int | None = None, path_prefix: str | None = None, index=None, **equal: str | None,
 ) -> DataFrame:
     """Pages of documents by BM25 over whole texts, with highlights; through a LexicalIndex if one is given, else by a scan. A freshness boost scores ranks: 1 for the first, falling evenly over the fetched page."""
     terms = query_terms(query)

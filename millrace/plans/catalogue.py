@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from millrace.functions import identity, ranking, text, urls
 from millrace.operators import cdc, chunking, crawl, extract, hybrid, index, routing, search
 from millrace.plans import sqltext as S
 from millrace.plans.views import AS_OF, COSINE, DOCS, QUERY_VECTOR, TERMS, VECTORS, docs, lexical_index, query_text, query_vector, table, vector_index, vectors
+from millrace.sources import folder
 from millrace.streaming import jobs
 
 QUERIES: dict = {}
@@ -307,7 +309,8 @@ def glob_filter(spark, d):
 
 @query(f"with {DOCS} select path, length(text) as size from d where length(text) <= 2000")
 def size_cap(spark, d):
-    return docs(spark, d).select("path", F.length("text").cast("long").alias("size")).where("size <= 2000")
+    listing = docs(spark, d).select(F.col("path").alias("key"), F.lit(0).alias("modified"), F.length("text").cast("long").alias("size"), F.lit("").alias("etag"))
+    return folder.objects(listing, max_bytes=2000).select("path", "size")
 
 
 _EXT = "case doc_id % 8 when 0 then 'PNG' when 1 then 'txt' when 2 then 'jpeg' when 3 then 'bmp' when 4 then 'md' when 5 then 'pdf' when 6 then 'webp' else 'html' end"
@@ -410,14 +413,14 @@ def fetch_changes(spark, d):
 
 # ---- indexes
 
-_UPSERT = f"""{DOCS}, old as (select doc_id, source_id, path, left(text, 50) as snippet, 0 as seq from d where doc_id % 3 <> 0),
-new as (select doc_id, source_id, path, left(text, 40) || '!' as snippet, doc_id % 100 + 1 as seq from d where doc_id % 2 = 0)"""
+_UPSERT = f"""{DOCS}, old as (select doc_id, source_id, path, md5(text) as snippet, 0 as seq from d where doc_id % 3 <> 0),
+new as (select doc_id, source_id, path, md5(text || '!') as snippet, doc_id % 100 + 1 as seq from d where doc_id % 2 = 0)"""
 
 
 def _old_new(spark, d):
     b = docs(spark, d)
-    old = b.where("doc_id % 3 <> 0").select("doc_id", "source_id", "path", F.left("text", F.lit(50)).alias("snippet"), F.lit(0).cast("long").alias("seq"))
-    new = b.where("doc_id % 2 = 0").select("doc_id", "source_id", "path", F.concat(F.left("text", F.lit(40)), F.lit("!")).alias("snippet"), (F.col("doc_id") % 100 + 1).alias("seq"))
+    old = b.where("doc_id % 3 <> 0").select("doc_id", "source_id", "path", F.md5("text").alias("snippet"), F.lit(0).cast("long").alias("seq"))
+    new = b.where("doc_id % 2 = 0").select("doc_id", "source_id", "path", F.md5(F.concat("text", F.lit("!"))).alias("snippet"), (F.col("doc_id") % 100 + 1).alias("seq"))
     return old, new.unionByName(new.withColumns({"seq": F.lit(0).cast("long"), "snippet": F.lit("stale")}))
 
 
@@ -476,8 +479,7 @@ def sources_dedup(spark, d):
 
 @query("select event_type, case when bool_and(value > 90) then 'all' when bool_or(value > 90) then 'some' else 'none' end as status from events group by 1")
 def status_rollup(spark, d):
-    good = F.col("value") > 90
-    return table(spark, d, "events").groupBy("event_type").agg(F.when(F.bool_and(good), "all").when(F.bool_or(good), "some").otherwise("none").alias("status"))
+    return jobs.rollup(table(spark, d, "events"), "event_type", F.col("value") > 90)
 
 
 _LATE = "case retry_count when 0 then 60 when 1 then 300 when 2 then 900 end"
@@ -507,14 +509,13 @@ def cron_interval(spark, d):
 
 @query("select event_type, (props->>'k')::bigint % 10 as k, count(*) as n from events group by 1, 2")
 def json_props(spark, d):
-    k = F.from_json("props", "k long")["k"]
-    return table(spark, d, "events").groupBy("event_type", (k % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    parsed = jobs.parse_json(table(spark, d, "events").select("event_type", "props"), StructType([StructField("k", LongType())]), "props")
+    return parsed.where("not _bad").groupBy("event_type", (F.col("k") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""select event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' as value from events""")
 def publish_json(spark, d):
-    e = table(spark, d, "events").select("event_id", "event_type")
-    return e.select("event_id", F.to_json(F.struct("event_id", "event_type")).alias("value"))
+    return jobs.to_messages(table(spark, d, "events").select("event_id", "event_type"), keep=["event_id"])
 
 
 @query(f"with {DOCS} select doc_id, case when doc_id % 4 = 0 then 'log' when doc_id % 4 = 1 then 'csv' else 'md' end as format, case when doc_id % 4 = 1 then ',' end as delimiter, md5(text) as digest from d")
@@ -540,8 +541,6 @@ def latest_state(spark, d):
 @query("""with k as (select doc_id, 'pre/' || case when doc_id % 5 = 0 then source || '/' else source || '/' || doc_id || '.md' end as key, length(text) as size, '"' || md5(text) || '"' as etag from documents)
 select substr(key, 5) as path, size, trim(etag, '"') as etag from k where not ends_with(key, '/') and size <= 5000 and not regexp_matches(key, '^pre/src1/')""")
 def object_listing(spark, d):
-    from millrace.sources import folder
-
     b = table(spark, d, "documents")
     name = F.when(F.col("doc_id") % 5 == 0, F.concat("source", F.lit("/"))).otherwise(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")))
     listing = b.select(F.concat(F.lit("pre/"), name).alias("key"), F.lit(0).alias("modified"), F.length("text").cast("long").alias("size"), F.concat(F.lit('"'), F.md5("text"), F.lit('"')).alias("etag"))
@@ -603,7 +602,68 @@ def http_dates(spark, d):
 @query("select doc_id from documents where source not in (select distinct source from documents where doc_id % 50 = 0)")
 def unknown_sources(spark, d):
     b = table(spark, d, "documents").select("doc_id", "source")
-    return b.join(b.where("doc_id % 50 = 0").select("source"), "source", "left_anti").select("doc_id")
+    return cdc.of_unknown_sources(b, b.where("doc_id % 50 = 0"), "source").select("doc_id")
+
+
+@query("select doc_id, md5(left(text, 4000)) as vector_snippet, md5(left(text, 10000)) as lexical_snippet, md5('s:' || doc_id || ':0') as lexical_id from documents where doc_id % 4 <> 0 or doc_id % 8 = 0")
+def lexical_upsert_rows(spark, d):
+    n = F.col("doc_id")
+    modality = F.when(n % 8 == 4, "image").otherwise("text")
+    entries = table(spark, d, "documents").select(n, F.concat(F.lit("s:"), n.cast("string"), F.lit(":0")).alias("chunk_id"), modality.alias("modality"), F.col("text").alias("snippet"), F.lit("").alias("repo"), F.lit("").alias("derived_from"), F.lit(None).cast("timestamp").alias("content_modified_at"), F.array(F.lit(1.0)).alias("vector"), F.lit("m").alias("model"))
+    points, _ = index.points(entries.withColumnRenamed("doc_id", "number"))
+    found = index.lexical_docs(points).select(F.col("number").alias("doc_id"), F.col("doc_id").alias("lexical_id"), F.md5("snippet").alias("lexical_snippet"))
+    return found.join(points.select(F.col("number").alias("doc_id"), F.md5("snippet").alias("vector_snippet")), "doc_id")
+
+
+@query(f"with {_BM25} select doc_id, path, bm25 from b join d using (doc_id) where path like 'de/1%' order by bm25 desc, doc_id limit 10")
+def lexical_prefix(spark, d):
+    return search.lexical(docs(spark, d), query_text(spark, d), 10, path_prefix="de/1", index=lexical_index(spark, d)).select("doc_id", "path", "bm25")
+
+
+@query(f"with {_PICK} select doc_id, case when doc_id % 4 = 1 then 'control' when doc_id % 7 = 0 then 'delete' when doc_id % 5 >= 3 then 'too_deep' when modality = 'image' then 'image' when doc_id % 9 = 5 then 'no_content' else 'extract' end as route from k")
+def route_control_rows(spark, d):
+    """Control rows go first, and texts that no extractor names fall back."""
+    typed = _events(spark, d).withColumns({"type": F.when(F.col("doc_id") % 4 == 1, "trigger_sync"), "modality": F.coalesce("modality", F.lit("text"))})
+    return routing.route(typed, routing.capabilities(spark)).select("doc_id", "route")
+
+
+@query(f"with {DOCS} select source_id, repo, path, modality, md5(snippet) as snippet, case when doc_id % 3 = 0 then 'p' end as derived_from, content_modified_ts, doc_id from d")
+def payload_projection(spark, d):
+    hits = docs(spark, d).withColumn("derived_from", F.when(F.col("doc_id") % 3 == 0, "p").otherwise("")).withColumn("snippet", F.md5("snippet"))
+    return search.projected(hits, ["doc_id"])
+
+
+@query("""with e as (select doc_id, case when doc_id % 3 = 0 then 'delete' else 'modify' end as operation, doc_id || '.txt' as path, case when doc_id % 3 <> 0 then sha256(text) end as content_hash from documents)
+select doc_id, operation, content_hash, sha256('s' || ':' || path || ':' || coalesce(content_hash, '') || ':text') as idempotency_key, 0 as retry_count, 0 as depth, 'cron' as priority from e""")
+def change_events(spark, d):
+    b = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "delete").otherwise("modify").alias("operation"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), identity.content_hash(F.col("text").cast("binary")).alias("content_hash"))
+    return cdc.events(b, "s", "folder", F.lit(AS_OF).cast("timestamp")).select("doc_id", "operation", "content_hash", "idempotency_key", "retry_count", "depth", "priority")
+
+
+@query("""select doc_id, sha256(source || ':' || case when doc_id % 2 = 0 then 'add' else 'delete' end || ':' || case when doc_id % 5 = 0 then '' else lang end) as version_key, 'pre/' || doc_id as object_key from documents""")
+def version_keys(spark, d):
+    n = F.col("doc_id")
+    key = identity.version_key(F.col("source"), F.when(n % 2 == 0, "add").otherwise("delete"), F.when(n % 5 != 0, F.col("lang")))
+    return table(spark, d, "documents").select("doc_id", key.alias("version_key"), urls.object_key("pre", n.cast("string")).alias("object_key"))
+
+
+@query("""select doc_id, case when doc_id % 3 = 0 then md5(text) when doc_id % 3 = 1 then md5('inline') when strlen(text) > 3000 then md5('') when doc_id % 2 = 0 then md5(text) end as digest from documents""")
+def fetch_by_reference(spark, d):
+    """Content of events by the kind of their reference: inline, or a file, which is empty if too large and null if there is none."""
+    n = F.col("doc_id")
+    kind = F.when(n % 3 == 0, "inline_bytes").when(n % 3 == 1, "inline_text").otherwise("path")
+    ref = F.struct(kind.alias("kind"), n.cast("string").alias("path"), F.base64(F.col("text").cast("binary")).alias("bytes_b64"), F.lit("inline").alias("text"))
+    b = table(spark, d, "documents")
+    files = b.where("doc_id % 2 = 0 or octet_length(text) > 3000").select(n.cast("string").alias("path"), F.octet_length("text").alias("length"), F.col("text").cast("binary").alias("content"))
+    return routing.fetch_paths(b.select(n, ref.alias("content_ref")), files, 3000).select("doc_id", F.md5("content").alias("digest"))
+
+
+@query("""with c as (select doc_id, unnest([{'e': 'plain', 'p': 0}, {'e': 'office', 'p': 10}, {'e': 'html', 'p': (doc_id % 3) * 10}]) as c from documents)
+select doc_id, c.e as extractor, row_number() over (partition by doc_id order by c.p desc, c.e) as rank from c""")
+def extractor_candidates(spark, d):
+    pair = lambda e, p: F.struct(F.lit(e).alias("extractor"), p.cast("int").alias("priority"))
+    rows = table(spark, d, "documents").select("doc_id", F.inline(F.array(pair("plain", F.lit(0)), pair("office", F.lit(10)), pair("html", F.col("doc_id") % 3 * 10))))
+    return routing.rank_candidates(rows, "doc_id").select("doc_id", "extractor", F.col("rank").cast("long").alias("rank"))
 
 
 @query(None)
@@ -611,3 +671,9 @@ def hashing_embeddings(spark, d):
     from millrace.operators import embed
 
     return embed.embed(docs(spark, d).select("doc_id", F.col("text").alias("content")), dimensions=32).select("doc_id", "vector")
+
+
+@query("select doc_id, length(regexp_replace(case when doc_id % 4 = 0 then '  ' || left(text, 20) || '  ' else text end, '^\\s+|\\s+$', '', 'g')) < 50 as scanned from documents")
+def scanned_pages(spark, d):
+    body = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("  "), F.left("text", F.lit(20)), F.lit("  "))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", extract.likely_scanned(body).alias("scanned"))

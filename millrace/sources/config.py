@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
 
-_VARIABLE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}")
-
 _PLUGIN = {"id": (str, True), "plugin": (str, True), "enabled": (bool, False), "config": (dict, False)}
 #: Field: (type, required); nested dicts are closed objects, lists hold one kind of item.
 SCHEMA: dict[str, Any] = {
@@ -40,20 +37,40 @@ def place(path: tuple) -> str:
     return out or "<root>"
 
 
-def interpolate(value: Any, env: Mapping[str, str], path: tuple = ()) -> Any:
-    if isinstance(value, dict):
-        return {k: interpolate(v, env, (*path, k)) for k, v in value.items()}
-    if isinstance(value, list):
-        return [interpolate(v, env, (*path, i)) for i, v in enumerate(value)]
-    if not isinstance(value, str):
-        return value
+def filled(text: str, env: Mapping[str, str]) -> str:
+    """text with each `${NAME}` and `${NAME:-default}` replaced; KeyError for a name that is not set and has no default.
+
+    Whatever does not close, or holds something else than a name, stays as it is."""
+    head, *rest = text.split("${")
+    out = [head]
+    for part in rest:
+        inner, closed, tail = part.partition("}")
+        name, default, value = inner.partition(":-")
+        if not closed or not (name.isascii() and name.isidentifier()):
+            out.append("${" + part)
+        elif name in env or default:
+            out.append(env.get(name, value) + tail)
+        else:
+            raise KeyError(name)
+    return "".join(out)
+
+
+def interpolate(value: Any, env: Mapping[str, str]) -> tuple[Any, list[str]]:
+    """value with all its texts filled, and what could not be, each with its place."""
+    missing = []
 
-    def one(m: re.Match) -> str:
-        if m[1] not in env and m[2] is None:
-            raise ConfigError(f"{place(path)}: the environment has no {m[1]}")
-        return env.get(m[1], m[2])
+    def walk(at: tuple, v: Any) -> Any:
+        if isinstance(v, str):
+            try:
+                return filled(v, env)
+            except KeyError as e:
+                missing.append(f"{place(at)}: the environment has no {e.args[0]}")
+                return v
+        if isinstance(v, Mapping):
+            return {k: walk((*at, k), x) for k, x in v.items()}
+        return [walk((*at, k), x) for k, x in enumerate(v)] if isinstance(v, list) else v
 
-    return _VARIABLE.sub(one, value)
+    return walk((), value), missing
 
 
 def check(value: Any, kind: Any, path: tuple = ()) -> list[str]:
@@ -82,8 +99,8 @@ def check(value: Any, kind: Any, path: tuple = ()) -> list[str]:
 def parse(raw: Any, env: Mapping[str, str] | None = None) -> dict:
     if not isinstance(raw, dict):
         raise ConfigError("the configuration must be a mapping")
-    value = interpolate(raw, os.environ if env is None else env)
-    errors = check(value, SCHEMA)
+    value, missing = interpolate(raw, os.environ if env is None else env)
+    errors = missing or check(value, SCHEMA)
     if errors:
         raise ConfigError("; ".join(errors[:5]))
     return value

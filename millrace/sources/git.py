@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import json
+import re
 import subprocess
 import tempfile
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from millrace.functions.text import glob_regex
 from millrace.functions.urls import with_token
 
-#: How each provider lists the repositories of an organisation: URL, header of the token, field of the clone URL.
+# How each provider lists the repositories of an organisation (URL, header of the token, field of the clone URL).
 PROVIDERS = {
     "github": ("https://api.github.com", "{base}/orgs/{org}/repos?per_page=100&page={page}", ("Authorization", "Bearer {token}"), "clone_url"),
     "gitlab": ("https://gitlab.com", "{base}/api/v4/groups/{org}/projects?per_page=100&page={page}", ("PRIVATE-TOKEN", "{token}"), "http_url_to_repo"),
@@ -24,7 +27,7 @@ PROVIDERS = {
 SCHEMA = "repo string, head string, operation string, path string, old_path string, committed_at timestamp, size long, content binary"
 
 
-def list_repositories(provider: str, org: str, token: str = "", base_url: str = "", fetch=None, most_pages: int = 1000) -> list[str]:
+def list_repositories(provider: str, org: str, token: str = "", base_url: str = "", fetch=None) -> list[str]:
     """Clone URLs of an organisation, all pages, in order. `fetch(url, headers)` returns the decoded JSON of a page."""
     if provider not in PROVIDERS:
         raise ValueError(f"unknown git provider {provider!r}; one of {', '.join(sorted(PROVIDERS))}")
@@ -36,7 +39,7 @@ def list_repositories(provider: str, org: str, token: str = "", base_url: str =
             return json.load(r)
 
     out: dict[str, None] = {}
-    for page in range(1, most_pages + 1):
+    for page in count(1):
         got = (fetch or over_http)(url.format(base=(base_url or default).rstrip("/"), org=org, page=page), headers)
         fresh = [r[field] for r in got if field in r and r[field] not in out] if isinstance(got, list) else []
         if not fresh:
@@ -46,12 +49,32 @@ def list_repositories(provider: str, org: str, token: str = "", base_url: str =
 
 
 def git(folder: Path | str, *args: str) -> str:
-    done = subprocess.run(["git", "-C", str(folder), *args], capture_output=True, text=True, timeout=600, check=False)
+    done = subprocess.run(["git", "-C", str(folder), "-c", "core.quotePath=false", *args], capture_output=True, text=True, timeout=600, check=False)
     if done.returncode:
         raise RuntimeError(f"git {args[0]} failed: {done.stderr.strip()[:500]}")
     return done.stdout
 
 
+def last_commits(folder: str, head: str, paths: set[str]) -> dict[str, str]:
+    """The time of the last commit of each path, from one pass over the history, which ends when all are known."""
+    out: dict[str, str] = {}
+    stamp, waiting = "", set(paths)
+    run = subprocess.Popen(["git", "-C", folder, "-c", "core.quotePath=false", "log", "--format=%x01%cI", "--name-only", "--no-renames", head], stdout=subprocess.PIPE, text=True)
+    for line in run.stdout:
+        if not waiting:
+            break
+        line = line.rstrip("\n")
+        if line.startswith("\x01"):
+            stamp = line[1:]
+        elif line in waiting:
+            out[line] = stamp
+            waiting.discard(line)
+    run.stdout.close()
+    run.terminate()
+    run.wait()
+    return out
+
+
 @dataclass
 class Repository(InputPartition):
     url: str
@@ -64,6 +87,12 @@ class GitReader(DataSourceReader):
         self.since = json.loads(options.get("since", "{}"))
         self.branch, self.token = options.get("branch", ""), options.get("token", "")
         self.max_bytes = int(options.get("maxBytes", 25 << 20))
+        self.include, self.exclude = (json.loads(options.get(k, "[]")) for k in ("include", "exclude"))
+
+    def selected(self, path: str) -> bool:
+        """As the folder source selects: a pattern may match the whole path or its last part; exclusion first, and no inclusion pattern includes everything."""
+        hit = lambda patterns: any(re.search(glob_regex(p).replace(r"\z", r"\Z"), x) for p in patterns for x in (path, path.rpartition("/")[2]))
+        return not hit(self.exclude) and (not self.include or hit(self.include))
 
     def partitions(self) -> list[InputPartition]:
         return [Repository(r, self.since.get(r)) for r in dict.fromkeys(self.repos)]
@@ -83,9 +112,11 @@ class GitReader(DataSourceReader):
                 changes = [({"A": "add", "M": "modify", "D": "delete", "R": "rename"}.get(x[0][:1]), x[-1], x[1] if len(x) > 2 else None) for x in lines]
             else:
                 changes = [("add", p, None) for p in git(folder, "ls-tree", "-r", "--name-only", head).splitlines()]
+            # a rename into or out of the selection is an addition or a deletion
+            changes = [("add", p, None) if op == "rename" and not self.selected(old) else ("delete", old, None) if op == "rename" and not self.selected(p) else (op, p, old) for op, p, old in changes]
+            changes = [c for c in changes if c[0] is not None and self.selected(c[1])]
+            times = last_commits(folder, head, {p for op, p, _ in changes if op != "delete"})
             for operation, path, old in changes:
-                if operation is None:
-                    continue
                 at, size, content = None, None, None
                 if operation != "delete":
                     file = Path(folder, path)
@@ -93,8 +124,7 @@ class GitReader(DataSourceReader):
                     if size is None or size > self.max_bytes:
                         continue
                     content = file.read_bytes()
-                    stamp = git(folder, "log", "-1", "--format=%cI", "--", path).strip()
-                    at = datetime.fromisoformat(stamp) if stamp else None
+                    at = datetime.fromisoformat(times[path]) if path in times else None
                 # paths carry the repository, so that files of the same name in two repositories stay apart
                 yield (partition.url, head, operation, f"{name}/{path}", f"{name}/{old}" if old else None, at, size, content)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,13 +19,23 @@ DEDUP_TTL = "24 hours"
 def read_json_lines(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 50) -> DataFrame:
     """A stream of JSON lines; lines that are no such object are marked by `_bad` and can be set aside."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger).load(path)
-    parsed = lines.withColumn("__r", F.from_json("value", schema)).withColumn("_bad", F.col("__r").isNull() | (F.to_json("__r") == "{}"))
-    return parsed.select("__r.*", "_bad", F.col("value").alias("_raw"))
+    return parse_json(lines, schema)
 
 
-def to_messages(df: DataFrame) -> DataFrame:
-    """One JSON text per row; times in ISO form."""
-    return df.select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}).alias("value"))
+def parse_json(lines: DataFrame, schema: StructType, column: str = "value") -> DataFrame:
+    """The other columns, the fields of a JSON text, whether it is no such object (`_bad`), and the text itself (`_raw`)."""
+    parsed = lines.withColumn("__r", F.from_json(column, schema)).withColumn("_bad", F.col("__r").isNull() | (F.to_json("__r") == "{}"))
+    return parsed.select(*[c for c in lines.columns if c != column], "__r.*", "_bad", F.col(column).alias("_raw"))
+
+
+def to_messages(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One JSON text per row, beside the columns to keep; times in ISO form."""
+    return df.select(*keep, F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}).alias("value"))
+
+
+def rollup(rows: DataFrame, key: str, good: Column) -> DataFrame:
+    """key, status: whether all, some or none of a key's rows are good."""
+    return rows.groupBy(key).agg(F.when(F.bool_and(good), "all").when(F.bool_or(good), "some").otherwise("none").alias("status"))
 
 
 def unique_within(stream: DataFrame, key: str, time: str, ttl: str = DEDUP_TTL) -> DataFrame:

@@ -163,3 +163,43 @@ def test_threshold_prefix_and_age(spark):
     assert rows(search.semantic(v, [1.0, 0.0], 5, -1, as_of=10**9, max_age_days=10), "chunk_id") == [("c",)]
     with pytest.raises(ValueError):
         search.semantic(v, [1.0, 0.0], max_age_days=1)
+
+
+def test_vector_index_recall_and_exact_way(spark, tmp_path):
+    """A third of the cells finds nine in ten of the nearest; all cells find them all."""
+    import numpy as np
+
+    from millrace.operators import search
+    from millrace.operators.vector_index import VectorIndex
+
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(20, 32))
+    x = centres[r.integers(0, 20, 3000)] + 0.6 * r.normal(size=(3000, 32))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(3000, None), (3001, [0.0] * 32)], "chunk_id long, vector array<double>")
+    ix = VectorIndex.build(rows, str(tmp_path / "ix"), cells=30)
+    found = total = 0
+    for q in (0, 700, 1500, 2900):
+        exact = [h.chunk_id for h in search.semantic(rows, x[q].tolist(), 10).collect()]
+        assert [h.chunk_id for h in ix.search(x[q].tolist(), 10).collect()] == exact
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        assert exact == np.argsort(-(unit @ unit[q]), kind="stable")[:10].tolist()
+        found += len(set(exact) & {h.chunk_id for h in ix.search(x[q].tolist(), 10, probes=10).collect()})
+        total += 10
+    assert found / total >= 0.9
+    batch = search.semantic_batch(rows, spark.createDataFrame([(q, x[q].tolist()) for q in (0, 700)], "query_id int, query_vector array<double>"), 10)
+    assert [h.chunk_id for h in batch.where("query_id = 700").orderBy("rank").collect()] == [h.chunk_id for h in search.semantic(rows, x[700].tolist(), 10).collect()]
+
+
+def test_lexical_index_scores_like_a_scan(spark, tmp_path):
+    import random
+
+    from millrace.operators import search
+    from millrace.operators.lexical_index import LexicalIndex
+
+    r = random.Random(2)
+    words = ["mill", "river", "rivers", "wheel", "granite", "slate", "é"]
+    docs = spark.createDataFrame([(k, " ".join(r.choices(words, k=r.randrange(40)))) for k in range(200)] + [(200, None), (201, "x" * 9000 + " granite")], "doc_id long, text string")
+    ix = LexicalIndex.build(docs, str(tmp_path / "ix"))
+    for terms, typos in ((["granite", "mill"], False), (["rivres", "slat"], True), (["none"], False), ([], False)):
+        a, b = (sorted((x.doc_id, round(x.bm25, 9)) for x in s.collect()) for s in (ix.scores(terms, typos), search.lexical_scores(docs, terms, typos=typos)))
+        assert a == b and (bool(a) == (terms not in (["none"], [])))

@@ -104,6 +104,7 @@ def test_config():
         config.parse(raw, {})
     with pytest.raises(config.ConfigError, match=r"core\.chunker\.size: unknown; sources\[0\]: plugin is missing"):
         config.parse({"core": {"chunker": {"size": 1}}, "sources": [{"id": "x"}]}, {})
+    assert config.filled("a${X}b${Y:-}c${1}${Z", {"X": "1"}) == "a1bc${1}${Z"
     assert config.chunker(raw, {"CHUNK_SIZE_TOKENS": "9"})["chunk_size_tokens"] == 9 and config.chunker({}, {})["overlap_tokens"] == 50
 
 
@@ -143,6 +144,53 @@ def test_engine_end_to_end(spark, tmp_path):
         pass
 
 
+def test_engine_keeps_failures_and_tries_again(spark, tmp_path):
+    """A broken file is kept with its bytes, counts as unseen, and waits for its turn; what is mended is indexed."""
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.docx").write_bytes(b"no archive")
+    (src / "b.txt").write_text("granite")
+    e = Engine(spark, str(tmp_path / "data"))
+    id_ = e.add_source("folder", "one", folder_path=str(src))
+    e.sync(id_)
+    dead = e.read("dead").collect()
+    assert [(r.path, bytes(r.content), r.retry_count) for r in dead] == [("a.docx", b"no archive", 0)] and dead[0].error
+    assert [(r.path, r.operation) for r in e.sync(id_).collect()] == [("a.docx", "add")]
+    assert e.read("dead").count() == 2
+    assert e.drain()["waiting"] == 2
+    from pyspark.sql import functions as F
+
+    later = F.timestamp_seconds(F.unix_timestamp(F.current_timestamp()) + 120)
+    assert e.drain(later) == {"again": 2, "waiting": 0, "final": 0}
+    assert {r.retry_count for r in e.read("dead").collect()} == {1}
+    assert e.list_files().count() == 1 and e.read("cache").count() == 1
+
+
+def test_engine_syncs_git_and_opens_changed_files_only(spark, tmp_path, monkeypatch):
+    repo = tmp_path / "proj"
+    repo.mkdir()
+    run(repo, "init", "-q", "-b", "main")
+    (repo / "README.md").write_text("mills on rivers")
+    (repo / "old name.md").write_text("a page about granite and slate that stays as it is")
+    (repo / "skip.bin").write_text("x")
+    run(repo, "add", ".")
+    run(repo, "commit", "-qm", "first")
+    e = Engine(spark, str(tmp_path / "data"))
+    id_ = e.add_source("git", "g", url=str(repo), file_patterns=["*.md"])
+    assert sorted((r.path, r.operation) for r in e.sync(id_).collect()) == [("proj/README.md", "add"), ("proj/old name.md", "add")]
+    run(repo, "mv", "old name.md", "new.md")
+    run(repo, "commit", "-qm", "second")
+    assert sorted((r.path, r.operation) for r in e.sync(id_).collect()) == [("proj/new.md", "add"), ("proj/old name.md", "delete")]
+    assert [r.path for r in e.search_lexical("granite").collect()] == ["proj/new.md"]
+    assert e.sync(id_).count() == 0
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a[1].md").write_text("one")
+    (src / "b.md").write_text("two")
+    paths = spark.createDataFrame([("a[1].md",)], "path string")
+    assert [(r.path, bytes(r.content)) for r in folder.contents(spark, str(src), paths).collect()] == [("a[1].md", b"one")]
+
+
 def test_streaming_dedup_and_bad_lines(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text('{"k":"a","at":"2024-01-01T00:00:00Z"}\n{"k":"a","at":"2024-01-01T01:00:00Z"}\nnonsense\n{"k":"b","at":"2024-01-01T02:00:00Z"}\n')
