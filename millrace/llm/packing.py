@@ -32,7 +32,7 @@ END_ID = 0
 #: Bins that one task merges.
 GROUP = 16_384
 #: A worker remembers the ids of about so many stems and marks; when they are more, the half used last stays.
-MEMO = 100_000
+MEMO = 200_000
 SLICE_BYTES = 2 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long"
@@ -85,12 +85,16 @@ class Words:
         begin, width = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         ids, at = [], 0
         for group, simple in ((np.flatnonzero(plain), True), (np.flatnonzero(~plain), False)):
-            for k in range(0, len(group), 20_000):
-                own = group[k : k + 20_000]
+            for k in range(0, len(group), 4_000):
+                own = group[k : k + 4_000]
                 part = words.take(pa.array(own)).to_pylist()
-                got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-                new = np.array(got.ids, "<u2")
-                ends = np.flatnonzero(self.ends_word[new]) + 1
+                joined = " ".join(part)
+                got = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0] if simple else None  # without offsets
+                new = np.array(got.ids, "<u2") if simple else None
+                ends = np.flatnonzero(self.ends_word[new]) + 1 if simple else ()
+                if len(ends) != len(part) or not simple:
+                    got = self.tokenizer.encode(joined, add_special_tokens=False)
+                    new = np.array(got.ids, "<u2")
                 if simple and len(ends) == len(part):  # each word has at least one end, so each has one
                     begin[own] = at + np.concatenate([[0], ends[:-1]])
                     width[own] = np.diff(ends, prepend=0)
