@@ -14,7 +14,7 @@ PACKAGE = Path(__file__).resolve().parent.parent
 
 
 #: Rows of an Arrow batch on its way to Python: whole texts are long, and a batch lies in memory on both sides.
-ARROW_ROWS = "1000"
+ARROW_ROWS = "500"
 
 
 def ship(spark: SparkSession) -> SparkSession:
