@@ -22,6 +22,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores of a run that has ended are closed soon, and their native memory is free
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # one store per partition: no 4 MB reserved in each
 }
 

@@ -40,9 +40,9 @@ from millrace.llm.common import documents, join_hot, materialise, row_keyed, sli
 
 WORDS, PERCENT = 4, 85
 #: Text bytes whose n-grams go to one fragment, about: a task sorts 8 bytes for each of these n-grams that lies in the part of the order that is counted.
-FRAGMENT_BYTES = 48 << 20
+FRAGMENT_BYTES = 24 << 20
 #: Entries that a task collects before it sends them.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Pairs per entry of the lists that still hold several components, up to which these are compared at once; and the members of a list that meet the others in one round.
 EASY = 512
 #: Fragments in which pairs are verified.
@@ -159,6 +159,8 @@ def _segments(batches, fragments: int, words: int, share: float):
             counted.append((own[shared & ~named] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         tags, n = np.unique(np.concatenate(counted), return_counts=True)
         out += [(k % fragments, 2, k, b"", t, c, b"") for k, t, c in _by_bucket(tags, n, fragments)]
+        del frag, entries, order, new, counted
+        tidy()
         return _rows(out, _SEGMENTS)
 
     for part in slices(batches):
@@ -205,7 +207,7 @@ def _partial(batches, buckets: int):
             else:
                 held.setdefault(f, []).append(entries)
     for f in sorted(held):
-        own = np.frombuffer(b"".join(held.pop(f)), np.uint64).copy()
+        own = np.concatenate([np.frombuffer(x, np.uint64) for x in held.pop(f)])
         own.sort()
         own = own[np.concatenate([[True], own[1:] != own[:-1]])]
         tags, n = np.unique((own[_shared(own)[0]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)

@@ -32,8 +32,8 @@ END_ID = 0
 #: Bins that one task merges.
 GROUP = 16_384
 #: A worker remembers the ids of about so many stems and marks; when they are more, the half used last stays.
-MEMO = 200_000
-SLICE_BYTES = 2 << 20
+MEMO = 150_000
+SLICE_BYTES = 1 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long"
 
