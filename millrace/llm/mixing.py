@@ -168,123 +168,6 @@ def _cuts(partial: DataFrame, n_leaves: int) -> DataFrame:
         open_ = partial.join(small(cuts.drop("n"), n_leaves), keys).where("startswith(digest, at)").drop("at")
 
 
-WEIGHTS = {"bulk": 0.25, "d0": 0.2, "d1": 0.2, "d2": 0.2, "d3": 0.15}
-LANGUAGE_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
-BUDGET_SHARE, MAX_EPOCHS, SEED = 0.6, 2, 17
-
-
-def domain_of(source: Column) -> Column:
-    """The driver's corpus names no domains: its largest source is one, the others are dealt by number."""
-    number = F.coalesce(F.regexp_extract(source, "([0-9]+)$", 1).try_cast("int"), F.lit(0))
-    return F.when(source == "src0", "bulk").when(source.isNotNull(), F.concat(F.lit("d"), F.pmod(number, F.lit(4)).cast("string")))
-
-
-def words_in(text: Column) -> Column:
-    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long")
-
-
-def _other(weights: Mapping[str, float]) -> float:
-    """The weight of what is not listed."""
-    return float(min(weights.values(), default=1.0))
-
-
-def _weight(level: Column, weights: Mapping[str, float]) -> Column:
-    out = F.lit(_other(weights))
-    for k, v in weights.items():
-        out = F.when(level == k, float(v)).otherwise(out)
-    return out
-
-
-def fill(children: DataFrame, parent: list[str]) -> DataFrame:
-    """children: parent columns, child, weight, limit, budget (of the parent). Adds `given`: weighted shares, capped by limit.
-
-    Ordered by limit / weight, the children at their limit come first; each of the others gets its weight times one level."""
-    order = Window.partitionBy(*parent).orderBy((F.col("limit") / F.col("weight")).asc(), "child")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
-    out = children.where("weight > 0")
-    out = out.withColumn("level", (F.col("budget") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    out = out.withColumn("full", F.col("limit") <= F.col("level") * F.col("weight"))
-    everyone = Window.partitionBy(*parent)
-    spent = F.coalesce(F.sum(F.when(F.col("full"), F.col("limit"))).over(everyone), F.lit(0.0))
-    open_ = F.sum(F.when(~F.col("full"), F.col("weight"))).over(everyone)
-    share = F.when(F.col("full"), F.col("limit")).otherwise((F.col("budget") - spent) * F.col("weight") / open_)
-    return out.withColumn("given", share).drop("level", "full")
-
-
-def leaf_budgets(leaves: DataFrame, total: Column | float, weights: Mapping[str, Mapping[str, float]], max_epochs: int) -> DataFrame:
-    """leaves: domain, language, origin, tokens. Adds `given`, the tokens that each leaf may spend."""
-    current = leaves.withColumn("limit", (F.col("tokens") * max_epochs).cast("double"))
-    budget = F.lit(total) if isinstance(total, int | float) else total
-    placed = None
-    for depth, level in enumerate(LEVELS):
-        keys = list(LEVELS[:depth])
-        nodes = current.groupBy(*keys, level).agg(F.sum("limit").alias("limit")).withColumn("child", F.col(level)).withColumn("weight", _weight(F.col(level), weights.get(level, {})))
-        if placed is None:
-            nodes = nodes.withColumn("budget", budget.cast("double")).withColumn("root", F.lit(0))
-            placed = fill(nodes, ["root"])
-        else:
-            placed = fill(nodes.join(placed.select(*keys, F.col("given").alias("budget")), keys), keys)
-        placed = placed.select(*keys, level, "given")
-    return leaves.join(placed, list(LEVELS))
-
-
-def mix(
-    docs: DataFrame,
-    weights: Mapping[str, Mapping[str, float]],
-    budget_share: float = BUDGET_SHARE,
-    max_epochs: int = MAX_EPOCHS,
-    seed: int = SEED,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    lang_col: str = "lang",
-    source_col: str = "source",
-    added: tuple[str, str, str] | None = ("mix_domain", "mix_tokens", "mix_epoch"),
-) -> DataFrame:
-    """docs, one row for each time that a document is used, with its domain, tokens and epoch in the columns `added`.
-
-    The budget is budget_share of all tokens; max_epochs bounds how often one document is used. Names of docs itself
-    cannot be added."""
-    if taken := set(added or ()) & set(docs.columns):
-        raise ValueError(f"docs has columns named {sorted(taken)}; choose other names to add")
-    tag = {"domain": domain_of(F.col(source_col)), "language": F.col(lang_col), "origin": F.col(source_col)}
-    prefix = "__mix_"
-    named = {prefix + k: F.coalesce(v, F.lit("~")) for k, v in tag.items()} | {prefix + "tokens": words_in(F.col(text_col))}
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(v.alias(k.removeprefix(prefix)) for k, v in named.items()))
-    chosen = materialise(choose(materialise(narrow, "mix-tokens"), weights, budget_share, max_epochs, seed), "mix-chosen")
-    chosen = chosen.groupBy("doc_id").agg(F.collect_set("epoch").alias(prefix + "epochs")).withColumnRenamed("doc_id", prefix + "id")
-    out = docs.join(small(chosen), docs[id_col].cast("long").eqNullSafe(F.col(prefix + "id")))
-    values = (F.coalesce(tag["domain"], F.lit("~")), named[prefix + "tokens"], F.col(prefix + "epoch"))
-    out = out.withColumn(prefix + "epoch", F.explode(prefix + "epochs"))
-    return out.select(*(docs[c] for c in docs.columns), *(v.alias(n) for n, v in zip(added or (), values, strict=False)))
-
-
-def choose(rows: DataFrame, weights: Mapping[str, Mapping[str, float]], budget_share: float, max_epochs: int, seed: int) -> DataFrame:
-    """rows: doc_id, domain, language, origin, tokens. Adds epoch: one row for each use."""
-    keys = list(LEVELS)
-    leaves = materialise(rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
-    n_leaves = leaves.count()
-    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    budgets = leaf_budgets(leaves, float(total) * budget_share, weights, max_epochs)
-    budgets = budgets.withColumn("whole", F.least(F.lit(max_epochs), F.floor(F.round(F.col("given") / F.col("tokens"), 9)))).withColumn("left", F.greatest(F.lit(0.0), F.round(F.col("given") - F.col("whole") * F.col("tokens"), 6)))
-    budgets = materialise(budgets.select(*keys, F.col("whole").cast("int").alias("whole"), "left"), "mix-budgets")
-    rows = rows.join(small(budgets, n_leaves), keys)
-    full = rows.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), "whole"))).select("doc_id", *keys, "tokens", "epoch")
-
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~"))).cast("binary"))
-    partial = rows.where(f"left > 0 and whole < {max_epochs}").withColumn("digest", digest).withColumn("bucket", F.substring("digest", 1, DIGITS))
-    sums = partial.groupBy(*keys, "bucket", "left").agg(F.sum("tokens").alias("tokens"))
-    running = F.sum("tokens").over(Window.partitionBy(*keys).orderBy("bucket"))
-    sums = materialise(sums.withColumn("upto", running), "mix-buckets")
-    cuts = sums.where("upto > left").groupBy(*keys).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("below"))).alias("cut"))
-    cuts = materialise(cuts.select(*keys, F.col("cut.bucket").alias("at"), F.col("cut.below").alias("below")), "mix-cuts")
-    partial = partial.join(small(cuts, n_leaves), keys, "left")
-    before = partial.where("at is null or bucket < at")
-    last = partial.where("bucket = at").withColumn("upto", F.col("below") + F.sum("tokens").over(Window.partitionBy(*keys).orderBy("digest", "doc_id")))
-    taken = before.select("doc_id", *keys, "tokens", "whole").unionByName(last.where("upto <= left").select("doc_id", *keys, "tokens", "whole"))
-    return full.unionByName(taken.select("doc_id", *keys, "tokens", (F.col("whole") + 1).alias("epoch")))
-
-
 WEIGHTS = {"domain": DOMAIN_WEIGHTS, "language": LANGUAGE_WEIGHTS}
 
 
