@@ -198,8 +198,7 @@ def _sql_weight(column: str, weights: Mapping[str, float]) -> str:
 #: The same rows in SQL, every epoch's order sorted whole.
 ORACLE = rf"""
 with t as (select doc_id, case when source is null then '~' when source = 'src0' then 'bulk' else 'd' || (coalesce(try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') as int), 0) % 4) end as domain,
-  coalesce(lang, '~') as language, coalesce(source, '~') as origin, greatest(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')), 1) as tokens from documents),
+  coalesce(lang, '~') as language, coalesce(source, '~') as origin, greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1) as tokens from documents),
 lf as (select domain, language, origin, sum(tokens)::double as tokens from t group by all),
 s1 as (select 0 as root, domain, {_sql_weight("domain", DOMAIN_WEIGHTS)} as w, sum(tokens) * {MAX_EPOCHS} as lim, (select sum(tokens) from lf) * {BUDGET_SHARE} as budget from lf group by domain),{_filled("f1", "s1", "root", "domain")},
 s2 as (select x.domain, language, {_sql_weight("language", LANGUAGE_WEIGHTS)} as w, lim, given as budget from (select domain, language, sum(tokens) * {MAX_EPOCHS} as lim from lf group by all) x join (select domain, given from f1) using (domain)),{_filled("f2", "s2", "domain", "language")},
