@@ -35,7 +35,7 @@ def key(x):
 
 
 @pytest.mark.parametrize("kind", KINDS)
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted({*queries.QUERIES} - {"op11_url_filter", "op12_centroid_clustering"}))  # these read other tables
 def test_runs_on_every_table(spark, tables, name, kind):
     out = queries.QUERIES[name](spark, tables[kind])
     n = out.count()
@@ -843,6 +843,6 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert json.dumps(sorted(names))
     assert ngram_join.PERCENT == 85
