@@ -12,17 +12,20 @@ counts is a partial result; partial results are summed per text or per pair.
 2. The rest post the first n-grams of the order that any partner must meet (prefix filter). Each posting list is
    a star around its most typical member: linearly many pairs, never all of a list.
 3. Pairs are verified exactly: the overlap in each fragment is counted apart and summed per pair.
-4. Lists that still hold several components are gone through from their smallest components: in each round a fixed
-   number of members of each such list meets the members of its other components (linearly many pairs) and leaves the
-   list, until the pairs that are left are few. A length filter and a parity sketch (it never overstates a difference) spare most
-   verifications. So no link between different sets is lost, while members of one component need not meet.
+4. Lists that still hold several components are gone through from their smallest components: in each round a bounded
+   number of members of each such list meets the members of its other components and leaves the list, until one
+   component is left in it; so no list makes more than a bounded number of pairs, or linearly many, in a round. A length
+   filter and a parity sketch (it never overstates a difference) spare most verifications. So no link between different
+   sets is lost, while members of one component need not meet.
 
 Components come from alternating large-star and small-star steps on tables.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; with fewer words than
 an n-gram the whole sequence is the one n-gram; repeated rows are copies of each other; a null doc_id cannot name
 a component, so a group of such rows alone has a null one; an empty table gives an empty result; other columns are
-ignored; very long texts are read whole. Hashes have 64 bits; a collision could at most change an overlap by one.
+ignored; very long texts are read whole. N-grams and sets are known by hashes of 64 bits: two n-grams that collide
+change an overlap by one, two different sets that collide count as equal. In the counts of step 1 an entry is 32 bits of
+an n-gram within its fragment and all 64 of its class, which can only overstate what a class shares.
 """
 
 from __future__ import annotations
@@ -41,10 +44,12 @@ from millrace.llm.common import documents, join_hot, materialise, row_keyed, sli
 WORDS, PERCENT = 4, 85
 #: Text bytes whose n-grams go to one fragment, about: a task sorts 8 bytes for each of these n-grams that lies in the part of the order that is counted.
 FRAGMENT_BYTES = 24 << 20
-#: Entries that a task collects before it sends them.
-BLOCK = 1_000_000
-#: Pairs per entry of the lists that still hold several components, up to which these are compared at once; and the members of a list that meet the others in one round.
-EASY = 512
+#: Entries that a task collects before it sends them; more where fragments are very many, so that a row holds several, and the most.
+BLOCK, BLOCK_MOST = 1_000_000, 12_000_000
+#: Members of a list that meet the others in one round: EASY, or as many (up to TURN) as make LIST_PAIRS pairs.
+EASY, TURN, LIST_PAIRS = 512, 2048, 1 << 22
+#: Pairs of one text that are verified by one task.
+VERIFIED = 500
 #: Fragments in which pairs are verified.
 PAIR_FRAGMENTS = 8
 SKETCH = 16  # longs of 64 bits
@@ -108,6 +113,7 @@ def counted_share(percent: int) -> float:
 
 
 _SEGMENTS = "frag int, kind int, bucket int, ids binary, tags binary, counts binary, entries binary"
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -117,49 +123,61 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _by_bucket(tags: np.ndarray, counts: np.ndarray, buckets: int):
-    """Counts of classes (named by 32 bits of their signature), in one piece per bucket: bucket, tags, counts."""
+    """Counts of classes (named by their signature), in one piece per bucket: bucket, tags, counts."""
     if not len(tags):
         return
-    bucket = tags % np.uint32(buckets)
+    bucket = tags % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     there, cuts = np.unique(bucket[order], return_index=True)
     for k, t, n in zip(there.tolist(), np.split(tags[order], cuts[1:]), np.split(counts[order], cuts[1:]), strict=True):
         yield k, t.tobytes(), n.astype(np.uint32).tobytes()
 
 
-def _shared(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """entries: sorted, distinct; 32 bits of an n-gram, then 32 of a class. Whether each one's n-gram has another class, and whether it is the first or second of its n-gram."""
+def _shared(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """entries: sorted, distinct (with the rest of their classes); 32 bits of an n-gram, then 32 of a class. Whether each one's n-gram has another class, and whether it is the first or second of its n-gram."""
     gram = entries >> np.uint64(32)
     first = np.concatenate([[True], gram[1:] != gram[:-1]])[: len(gram)]
     last = np.concatenate([gram[1:] != gram[:-1], [True]])[: len(gram)]
     second = np.concatenate([[False], first[:-1]])[: len(gram)] & ~first
-    return ~(first & last), first | second, gram
+    return ~(first & last), first | second
+
+
+def _distinct(entries: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries in order with the upper 32 bits of their classes, each pair of both once; where classes agree in the lower bits, one may stay twice (which overstates)."""
+    order = np.argsort(entries)
+    entries, high = entries[order], high[order]
+    new = np.concatenate([[True], (entries[1:] != entries[:-1]) | (high[1:] != high[:-1])])[: len(entries)]
+    return entries[new], high[new]
+
+
+def _classes(entries: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return (high.astype(np.uint64) << np.uint64(32)) | (entries & _LOW)
 
 
 def _segments(batches, fragments: int, words: int, share: float):
-    """Kind 0: entries of a fragment. Kind 1: ids, signatures, set sizes and how much of each set lies in the counted part. Kind 2: counts of classes within a block."""
+    """Kind 0: entries of a fragment, and the upper halves of their classes. Kind 1: ids, signatures, set sizes and how much of each set lies in the counted part. Kind 2: counts of classes within a block."""
     top = np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
     high = np.uint64((int(top) >> 32) + 1)
     turn, held, total = TaskContext.get().partitionId(), [], 0
+    block = max(BLOCK, min(BLOCK_MOST, 8 * fragments))
 
     def sent():
         nonlocal held, total
-        frag, entries = (np.concatenate([x[k] for x in held]) for k in range(2))
+        frag, entries, upper = (np.concatenate([x[k] for x in held]) for k in range(3))
         held, total = [], 0
-        order = np.lexsort((entries, frag))
-        frag, entries = frag[order], entries[order]
-        new = np.concatenate([[True], (frag[1:] != frag[:-1]) | (entries[1:] != entries[:-1])])[: len(entries)]
-        frag, entries = frag[new], entries[new]
-        cuts = np.searchsorted(frag, np.arange(fragments + 1))
+        order = np.argsort(frag, kind="stable")
+        frag, entries, upper = frag[order], entries[order], upper[order]
+        there, cuts = np.unique(frag, return_index=True)
         out, counted = [], []
-        for f in np.unique(frag).tolist():
-            own = entries[cuts[f] : cuts[f + 1]]
-            shared, named, _ = _shared(own)
-            out.append((f, 0, None, b"", b"", b"", own[named].tobytes()))
-            counted.append((own[shared & ~named] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        for f, p, q in zip(there.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(frag)], strict=True):
+            own, own_high = _distinct(entries[p:q], upper[p:q])
+            shared, named = _shared(own)
+            out.append((f, 0, None, b"", b"", own_high[named].tobytes(), own[named].tobytes()))
+            rest = shared & ~named
+            counted.append(_classes(own[rest], own_high[rest]))
         tags, n = np.unique(np.concatenate(counted), return_counts=True)
         out += [(k % fragments, 2, k, b"", t, c, b"") for k, t, c in _by_bucket(tags, n, fragments)]
-        del frag, entries, order, new, counted
+        del frag, entries, upper, order, counted
         tidy()
         return _rows(out, _SEGMENTS)
 
@@ -172,10 +190,10 @@ def _segments(batches, fragments: int, words: int, share: float):
         ids = pc.fill_null(part.column("doc_id"), _NO_ID).to_numpy().astype(np.int64)
         yield _rows([(turn % fragments, 1, None, ids.tobytes(), sigs.tobytes(), sizes.tobytes(), some.tobytes())], _SEGMENTS)
         joined = np.concatenate(inside)
-        tags = np.repeat(sigs.view(np.uint64) & np.uint64(0xFFFFFFFF), some)
-        held.append((((joined >> np.uint64(32)) * np.uint64(fragments) // high).astype(np.int32), joined << np.uint64(32) | tags))
+        tags = np.repeat(sigs.view(np.uint64), some)
+        held.append((((joined >> np.uint64(32)) * np.uint64(fragments) // high).astype(np.int32), joined << np.uint64(32) | (tags & _LOW), (tags >> np.uint64(32)).astype(np.uint32)))
         total += len(joined)
-        if total >= BLOCK:
+        if total >= block:
             yield sent()
     if total:
         yield sent()
@@ -205,13 +223,13 @@ def _partial(batches, buckets: int):
             elif kind == 2:
                 yield counts([(bucket, tags, n)])
             else:
-                held.setdefault(f, []).append(entries)
+                held.setdefault(f, []).append((entries, n))
     for f in sorted(held):
-        own = np.concatenate([np.frombuffer(x, np.uint64) for x in held.pop(f)])
-        own.sort()
-        own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-        tags, n = np.unique((own[_shared(own)[0]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
-        del own
+        pieces = held.pop(f)
+        own, high = _distinct(np.concatenate([np.frombuffer(x, np.uint64) for x, _ in pieces]), np.concatenate([np.frombuffer(y, np.uint32) for _, y in pieces]))
+        shared = _shared(own)[0]
+        tags, n = np.unique(_classes(own[shared], high[shared]), return_counts=True)
+        del own, high, pieces
         tidy()
         if len(tags):
             yield counts([*_by_bucket(tags, n, buckets)])
@@ -223,12 +241,12 @@ def _summed(batches):
     for b in batches:
         for k, tags, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             own = parts.setdefault(k, [])
-            own.append((np.frombuffer(tags, np.uint32), np.frombuffer(counts, np.uint32)))
+            own.append((np.frombuffer(tags, np.uint64), np.frombuffer(counts, np.uint32)))
             if sum(len(x[0]) for x in own[1:]) > max(1 << 20, len(own[0][0])):
                 own[:] = [_added(own)]
     for k in sorted(parts):
         tags, n = _added(parts.pop(k))
-        yield pa.RecordBatch.from_arrays([pa.array(tags.astype(np.int64)), pa.array(n.astype(np.int64))], ["tag", "shared"])
+        yield pa.RecordBatch.from_arrays([pa.array(tags.view(np.int64)), pa.array(n.astype(np.int64))], ["sig", "shared"])
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -260,13 +278,17 @@ def _long_enough(a: Column, b: Column, percent: int) -> Column:
 def verify(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """pairs: a, b (distinct). parts: sig, n, frag, grams. The pairs that link; the overlap of each fragment is counted apart.
 
-    Only the n-grams of texts in some pair move, once to their partner."""
+    Only the n-grams of texts in some pair move, once to their partner. A text that many pairs end in is dealt out, VERIFIED pairs to a task."""
     n = pairs.count()
     ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     parts = parts.join(small(ends), "sig", "left_semi")
-    left = parts.select(F.col("sig").alias("a"), F.col("n").alias("na"), "frag", F.col("grams").alias("ga")).join(small(pairs, n), "a")
-    right = parts.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "frag", F.col("grams").alias("gb"))
-    partial = left.join(right, ["b", "frag"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).alias("same"))
+    deals = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / VERIFIED).cast("int").alias("deals"))
+    many = deals.where("deals > 1")
+    dealt = pairs.join(small(many), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal"))
+    left = parts.select(F.col("sig").alias("a"), F.col("n").alias("na"), "frag", F.col("grams").alias("ga")).join(small(dealt, n), "a")
+    right = parts.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "frag", F.col("grams").alias("gb")).join(small(many), "b", "left")
+    right = right.withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
+    partial = left.join(right, ["b", "frag", "deal"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).alias("same"))
     total = partial.groupBy("a", "b", "na", "nb", "frag").agg(F.max("same").alias("same")).groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same"))
     return total.where((F.col("same") * 100 >= (F.col("na") + F.col("nb") - F.col("same")) * percent)).select("a", "b")
 
@@ -301,8 +323,8 @@ def _meeting(docs: DataFrame, total: int, words: int, percent: int, share: float
     texts = counted.where("kind = 1").select("doc_id", "sig", F.col("n").alias("n_shingles"), "inside")
     keyed = F.coalesce(F.col("doc_id"), F.lit(_NO_ID))
     classes = texts.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max(keyed).alias("key"), F.max("n_shingles").alias("n"), F.max("inside").alias("inside"), F.count(F.lit(1)).alias("copies"))
-    shared = counted.where("kind = 0").select("bucket", "tags", "counts").repartitionById(fragments, "bucket").mapInArrow(_summed, "tag long, shared long")
-    tagged = classes.withColumn("tag", F.col("sig").bitwiseAND(F.lit(0xFFFFFFFF))).join(shared, "tag", "left")
+    shared = counted.where("kind = 0").select("bucket", "tags", "counts").repartitionById(fragments, "bucket").mapInArrow(_summed, "sig long, shared long")
+    tagged = classes.join(shared, "sig", "left")
     own = F.greatest(F.lit(0), F.col("inside") - F.coalesce("shared", F.lit(0)))
     rest = materialise(tagged.withColumn("own", own).where(f"own * 100 <= n * {100 - percent}").select("sig", "key", "n", "own"), "join-rest")
     return texts, classes, rest
@@ -376,28 +398,21 @@ def _cross(posts: DataFrame, parts: DataFrame, pairs: DataFrame, found: DataFram
         mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
         open_ = materialise(placed.join(mixed, "h", "left_semi").distinct(), "join-open")
         sizes = materialise(open_.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("size")), "join-sizes")
-        lists = sizes.groupBy("h").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("within"))
-        left, entries = lists.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
-        if not entries:
+        if sizes.isEmpty():
             return found
-        finish = left <= EASY * entries
-        if finish:
-            x, y = open_.alias("x"), open_.alias("y")
-            crossing = _candidates(x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.sig") < F.col("y.sig"))), "x", "y", percent)
-        else:
-            order = Window.partitionBy("h").orderBy("size", "comp", "sig")  # limited in each task before the exchange
-            turn = open_.join(sizes, ["h", "comp"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, EASY))
-            turn = materialise(turn, "join-turn")
-            met = join_hot(open_, turn.select("h", F.struct("sig", "n", "comp", "sketch").alias("y")), "h", F.col("sig"))
-            crossing = _candidates(met.select(F.struct("sig", "n", "comp", "sketch").alias("x"), "y"), "x", "y", percent)
-            now = turn.select("h", "sig")
-            done = materialise(now if done is None else done.unionByName(now), "join-done")
+        lists = sizes.groupBy("h").agg(F.sum("size").alias("all"))
+        order = Window.partitionBy("h").orderBy("size", "comp", "sig")  # limited in each task before the exchange
+        turn = open_.join(sizes, ["h", "comp"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, TURN))
+        turn = turn.join(lists, "h").where(F.col("place") <= F.greatest(F.lit(max(1, EASY)), F.lit(LIST_PAIRS) / F.col("all")))
+        turn = materialise(turn, "join-turn")
+        met = join_hot(open_, turn.select("h", F.struct("sig", "n", "comp", "sketch").alias("y")), "h", F.col("sig"))
+        crossing = _candidates(met.select(F.struct("sig", "n", "comp", "sketch").alias("x"), "y"), "x", "y", percent)
+        now = turn.select("h", "sig")
+        done = materialise(now if done is None else done.unionByName(now), "join-done")
         crossing = materialise(crossing.join(pairs, ["a", "b"], "left_anti"), "join-crossing")
         more = materialise(verify(crossing, parts, percent), "join-links")
         if not more.isEmpty():
             found = _joined(found, more)
-        if finish:
-            return found
         pairs = materialise(pairs.unionByName(crossing), "join-pairs")
 
 

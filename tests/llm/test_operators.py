@@ -113,8 +113,8 @@ def test_join_on_random_families(spark, tmp_path):
 
 def test_join_round_by_round(spark, tmp_path, monkeypatch):
     """Lists of several components are gone through member by member, with the same result; blocks and fragments are many."""
-    monkeypatch.setattr(ngram_join, "EASY", 0)
-    monkeypatch.setattr(ngram_join, "FRAGMENT_BYTES", 2000)
+    for name, value in (("EASY", 0), ("LIST_PAIRS", 0), ("VERIFIED", 2), ("FRAGMENT_BYTES", 2000)):
+        monkeypatch.setattr(ngram_join, name, value)
     r = random.Random(15)
     passage, rows = [f"p{k}" for k in range(40)], []
     for f in range(14):
@@ -135,7 +135,7 @@ def test_counts_of_blocks_and_fragments_bound_what_is_shared():
     total, sent = Counter(), []
     for at in range(0, 30, 7):
         own = np.sort(np.concatenate(entries[at : at + 7]))
-        shared, named, _ = ngram_join._shared(own)
+        shared, named = ngram_join._shared(own)
         total.update((own[shared & ~named] & np.uint64(0xFFFFFFFF)).tolist())
         sent.append(own[named])
     own = np.sort(np.concatenate(sent))
@@ -145,6 +145,24 @@ def test_counts_of_blocks_and_fragments_bound_what_is_shared():
         assert total[k] == sum(any(x in o for j, o in enumerate(lows) if j != k) for x in g)
 
 
+@pytest.mark.parametrize("bits", [0, 32])
+def test_classes_that_agree_in_half_of_their_bits_are_told_apart(monkeypatch, bits):
+    """Two long texts that differ in three words share nearly all n-grams, though their signatures agree in the lower or the upper bits."""
+    words = [f"w{k}" for k in range(400)]
+    other = [w if k not in (7, 180, 390) else f"z{k}" for k, w in enumerate(words)]
+    plain = ngram_join._signature
+    monkeypatch.setattr(ngram_join, "_signature", lambda own: int(np.uint64((plain(own) & 0xFFFFFFFF) << bits | 77 << (32 - bits)).astype(np.int64)))
+    monkeypatch.setattr(ngram_join, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": lambda self: 0})())}))
+    texts = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([" ".join(words), " ".join(other)])], ["doc_id", "text"])
+    for batches in ([texts], [texts.slice(0, 1), texts.slice(1, 1)]):
+        dealt = [x for b in batches for x in ngram_join._segments([b], 3, 4, 1.0)]
+        counted = pa.Table.from_batches(ngram_join._partial(dealt, 3)).to_pylist()
+        classes = {r["sig"]: r["inside"] for r in counted if r["kind"] == 1}
+        shared = {r["sig"]: r["shared"] for b in ngram_join._summed([pa.RecordBatch.from_pylist([{k: r[k] for k in ("bucket", "tags", "counts")} for r in counted if r["kind"] == 0])]) for r in b.to_pylist()}
+        assert len(classes) == 2 and shared.keys() == classes.keys()
+        assert all(inside - shared[sig] == 12 for sig, inside in classes.items())  # each changed word is in four n-grams
+
+
 def test_keep_one_tells_rows_apart(spark, tmp_path):
     """Rows that share an id, or have none, are judged by their own texts; of repeated rows one stays."""
     copy, other, third = "a b c d e f g h", "quite another text of eight words here", "and one more text without any number at all"
