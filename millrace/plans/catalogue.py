@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from millrace.functions import identity, ranking, text, urls
 from millrace.operators import cdc, chunking, crawl, extract, hybrid, index, routing, search
 from millrace.plans import sqltext as S
-from millrace.plans.views import AS_OF, COSINE, DOCS, QUERY_VECTOR, TERMS, VECTORS, docs, lexical_index, query_text, query_vector, table, vector_index, vectors
+from millrace.plans.views import AS_OF, COSINE, DOCS, QUERY_VECTOR, REVISED, TERMS, VECTORS, docs, lexical_index, query_text, query_vector, revised, table, vector_index, vectors
 from millrace.sources import folder
 from millrace.streaming import jobs
 
@@ -127,6 +127,29 @@ def lexical_scan(spark, d):
     return search.lexical(docs(spark, d), query_text(spark, d)).select("doc_id", "bm25")
 
 
+def _phases(spark, d, of):
+    """What `of` gives for the manifest before compaction and for the one after it."""
+    store, before, after = revised(spark, d)
+    return of(store, before).withColumn("phase", F.lit("before")).unionByName(of(store, after).withColumn("phase", F.lit("after")))
+
+
+@query(f"with {REVISED}, w as (select *, {TERMS.format(x='text')} as ws from r) select phase, path, md5(text) as digest, len(ws) as words from w, phases")
+def segment_rows(spark, d):
+    """The live rows of the store of segments after replacements, deletions and one more insertion, before and after compaction."""
+    return _phases(spark, d, lambda store, m: store.rows(m).select("path", F.md5("content").alias("digest"), F.col("doc_len").cast("long").alias("words")))
+
+
+@query(f"""with {REVISED}, w as (select path, {TERMS.format(x='text')} as ws from r), qt as (select distinct unnest({TERMS.format(x='text')}) as term from benchmark where item_id = 0),
+tot as (select count(*) as n, avg(len(ws)) as m from w), x as (select path, len(ws) as dl, unnest(ws) as term from w),
+tf as (select path, dl, term, count(*) as tf from x where term in (select term from qt union all select unnest(['mill', 'revised'])) group by all), df as (select term, count(*) as df from tf group by 1),
+b as (select path, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))), 6) as bm25 from tf join df using (term), tot group by 1)
+select phase, path, bm25 from b, phases""")
+def segment_bm25(spark, d):
+    """BM25 of all documents that hold a query term, over the postings of the segments before and after compaction."""
+    terms = search.query_terms(query_text(spark, d) + " mill revised")
+    return _phases(spark, d, lambda store, m: store.index(m).scores(terms).join(store.rows(m).select("doc_id", "path"), "doc_id").select("path", F.round("bm25", 6).alias("bm25")))
+
+
 @query(r"""with x as (select doc_id, regexp_replace(text, '([^\p{L}\p{N}_]|^)(the|of|und|les)', '\1' || chr(1) || '\2', 'gi') as t from documents)
 select doc_id, md5(regexp_replace(regexp_replace(t, chr(1) || '(the|of|und|les)([\p{L}\p{N}_])', '\1\2', 'gi'), chr(1) || '(the|of|und|les)', '<em>\1</em>', 'gi')) as digest from x""")
 def highlights(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.lexical_index import LexicalIndex
+from millrace.operators.segments import SegmentStore
 from millrace.operators.vector_index import VectorIndex
 from millrace.plans.session import shared_folder
 
@@ -58,7 +59,7 @@ def query_text(spark: SparkSession, sf_dir: str, item: int = 0) -> str:
     return table(spark, sf_dir, "benchmark").where(F.col("item_id") == item).select("text").first()[0]
 
 
-_BUILT: dict[tuple, LexicalIndex | VectorIndex] = {}
+_BUILT: dict[tuple, object] = {}
 
 
 def _state(spark: SparkSession, path: str) -> tuple:
@@ -69,11 +70,11 @@ def _state(spark: SparkSession, path: str) -> tuple:
     return tuple((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in [own, *files])
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build):
+def _once(spark: SparkSession, sf_dir: str, name: str, build, kind: str = "index"):
     """An index is built when a session first needs it, in the shared folder, and again when its table has changed."""
-    key = (spark.sparkContext.applicationId, name, _state(spark, f"{sf_dir}/{name}.parquet"))
+    key = (spark.sparkContext.applicationId, kind, name, _state(spark, f"{sf_dir}/{name}.parquet"))
     if key not in _BUILT:
-        _BUILT[key] = build(shared_folder(spark, f"index-{name}"))
+        _BUILT[key] = build(shared_folder(spark, f"{kind}-{name}"))
     return _BUILT[key]
 
 
@@ -83,3 +84,32 @@ def lexical_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
 
 def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
     return _once(spark, sf_dir, "embeddings", lambda path: VectorIndex.build(vectors(spark, sf_dir), path, "vec_id"))
+
+
+#: What the second commit of revised() adds to the documents that it replaces.
+REVISION = " revised: the mill wheel turns again"
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as one chunk, as the store takes it."""
+    d = docs(spark, sf_dir)
+    chunk = F.concat_ws(":", F.col("source_id"), F.col("path"), F.lit("0"))
+    return d.select(chunk.alias("chunk_id"), *(c for c in d.columns if c not in ("doc_id", "text")), F.coalesce("text", F.lit("")).alias("content"), F.col("doc_id").alias("number"))
+
+
+def revised(spark: SparkSession, sf_dir: str) -> tuple[SegmentStore, dict, dict]:
+    """All documents put into a store, then every fifth replaced, every seventh removed, and every 35th put in again: the store with its manifests before and after compaction."""
+
+    def build(path: str) -> tuple[SegmentStore, dict, dict]:
+        store, all_ = SegmentStore(spark, path), points(spark, sf_dir)
+        store.upsert(all_)
+        store.upsert(all_.where("number % 5 = 0").withColumn("content", F.concat("content", F.lit(REVISION))))
+        store.upsert(all_.limit(0), all_.where("number % 7 = 0").select("source_id", "path"))
+        before = store.upsert(all_.where("number % 35 = 0"))
+        return store, before, store.compact(everything=True)
+
+    return _once(spark, sf_dir, "documents", build, "segments")
+
+
+REVISED = f"""{DOCS}, r as (select doc_id, path, case when doc_id % 5 = 0 and doc_id % 35 <> 0 then coalesce(text, '') || '{REVISION}' else coalesce(text, '') end as text
+  from d where doc_id % 7 <> 0 or doc_id % 35 = 0), phases as (select unnest(['before', 'after']) as phase)"""
