@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import uuid
 from collections.abc import Callable, Sequence
@@ -16,7 +15,7 @@ from pyspark.sql.window import Window
 from millrace import schemas
 from millrace.functions import identity
 from millrace.operators import cdc, chunking, embed, extract, hybrid, index, routing, search
-from millrace.operators.lexical_index import LexicalIndex
+from millrace.operators.segments import Conflict, SegmentStore
 from millrace.sources import folder, registry
 from millrace.streaming import jobs
 
@@ -27,14 +26,11 @@ class NotFound(LookupError):
     pass
 
 
-class Conflict(ValueError):
-    pass
-
-
 class Engine:
     """Tables lie as Parquet below `root`, a folder that all executors share.
 
-    A table is a folder of versions; a pointer file names the current one, so readers see a whole version or the one before."""
+    A table is a folder of versions; a pointer file names the current one, so readers see a whole version or the one before.
+    Both indexes are one store of segments, in which a run adds what changed and nothing else is written again."""
 
     LOCK_SECONDS = 1800
 
@@ -45,7 +41,7 @@ class Engine:
         hadoop = spark._jvm.org.apache.hadoop.fs
         self._path = hadoop.Path
         self._fs = hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._index: tuple[str, LexicalIndex] | None = None
+        self.store = SegmentStore(spark, f"{self.root}/index")
 
     # ---- tables
 
@@ -77,19 +73,13 @@ class Engine:
         return self.read(name)
 
     def append(self, name: str, df: DataFrame) -> DataFrame:
-        """A new version with all rows so far and these."""
-        held = self.read(name)
-        return self.write(name, df if held is None else held.unionByName(df, allowMissingColumns=True))
-
-    def _of_sources(self, name: str) -> list[str]:
-        """The current versions of a table that has a part for each source."""
-        base = self._path(f"{self.root}/{name}")
-        parts = [f.getPath().getName() for f in self._fs.listStatus(base)] if self._fs.exists(base) else []
-        return sorted(f"{self.root}/{name}/{p}/{v}" for p in parts if (v := self._version(f"{name}/{p}")))
-
-    def read_all(self, name: str) -> DataFrame | None:
-        paths = self._of_sources(name)
-        return self.spark.read.parquet(*paths) if paths else None
+        """Files with these rows, beside those of the current version; what lies there is not read. Columns that it lacks are null."""
+        version = self._version(name)
+        if version is None:
+            return self.write(name, df)
+        schema = self.read(name).schema
+        df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema)).write.mode("append").parquet(f"{self.root}/{name}/{version}")
+        return self.read(name)
 
     @contextmanager
     def lock(self, name: str):
@@ -138,8 +128,8 @@ class Engine:
     def sync(self, source_id: str) -> DataFrame:
         """Compare a source with what it was at the last run and index what changed. The events of the run, without content.
 
-        Only changed files are opened. What fails is kept with its content in the dead-letter table, and a failed file
-        counts as unseen, so the next run tries it again."""
+        Only changed files are opened. What fails is kept with its content in the dead-letter table, from which drain()
+        tries it again; a file that could not even be read counts as unseen, so the next run opens it again."""
         source = self._source(source_id)
         with self.lock(source_id):
             if source["type"] == "git":
@@ -153,8 +143,9 @@ class Engine:
             bodies = cdc.changed_content(changes, folder.contents(self.spark, source["folder_path"], changes.where("operation <> 'delete'")))
             all_ = bodies.unionByName(changes.where("operation = 'delete'"), allowMissingColumns=True)
             events = self._events(source, all_)
-            failed = self.ingest(events).select("path").distinct()
-            self.write(f"snapshots/{source_id}", cdc.next_snapshot(current, held, failed))
+            self.ingest(events)
+            unread = changes.where("operation <> 'delete'").select("path").join(events.where("content is not null").select("path"), "path", "left_anti")
+            self.write(f"snapshots/{source_id}", cdc.next_snapshot(current, held, unread))
         return events.drop("content")
 
     def _sync_git(self, source) -> DataFrame:
@@ -181,27 +172,45 @@ class Engine:
     _LETTER = ("event_id", "source_id", "source_type", "operation", "path", "modality", "content_hash", "content", "content_modified_at", "depth", "retry_count")
 
     def ingest(self, events: DataFrame) -> DataFrame:
-        """Route events with content, extract, chunk, embed and index. Failures are added to the dead-letter table, with their events, and returned.
+        """Route events with content, extract, chunk, embed and index, in one commit of the index. Failures go to the dead-letter table, with their events, and are returned.
 
-        What was extracted once from the same bytes, by the same version of an extractor, is taken from the cache."""
+        What was extracted once from the same bytes, by the same version of an extractor, is taken from the cache. Events
+        that go nowhere (images, which no model here embeds, what lies too deep, has no content or no extractor) are
+        written to the table `unrouted` with their route. A document that is extracted anew loses its old chunks even if it
+        has none now."""
         caps = routing.capabilities(self.spark)
         ready = events.withColumn("content_ref", F.struct(F.lit("path").alias("kind"), F.col("path").alias("path")))
         if "content_mime" not in ready.columns:
             ready = ready.withColumn("content_mime", F.lit(None).cast("string"))
         routed = routing.route(ready, caps)
-        gone = routed.where("route = 'delete'").select("source_id", "path")
+        aside = routed.where(~F.col("route").isin("delete", "extract"))
+        if not aside.isEmpty():
+            self.append("unrouted", aside.select("event_id", "source_id", "path", "modality", "operation", "route", "content_hash").withColumn("at", F.current_timestamp()))
         got = self._extracted(routed.where("route = 'extract'"))
         good = got.where("error is null").join(routed.select("event_id", "content_modified_at"), "event_id")
+        gone = routed.where("route = 'delete'").select("source_id", "path").unionByName(good.select("source_id", "path"))
         cut = chunking.chunk_extracted(good.select("source_id", "path", "text", "pages", "content_modified_at"), most=self.chunker["chunk_size_tokens"], overlap=self.chunker["overlap_tokens"], strategy=self.chunker["strategy"])
-        ok, bad = embed.split_errors(self._embedded(cut))
+        ok, bad = embed.split_errors(self.write("embedded", self._embedded(cut)))
         unplaced = self.index(ok, gone)
         by_path = [x.select("source_id", identity.base_path(F.col("path")).alias("path"), "error") for x in (bad, unplaced)]
         errors = got.where("error is not null").select("source_id", "path", "error").unionByName(by_path[0]).unionByName(by_path[1])
         errors = errors.groupBy("source_id", "path").agg(F.min("error").alias("error"))
         letters = events.where("operation <> 'delete'").select(*self._LETTER).join(errors, ["source_id", "path"]).withColumn("failed_at", F.current_timestamp())
-        failed = self.write("failed", letters)
-        if not failed.isEmpty():
-            self.append("dead", failed)
+        return self._letters(events, self.write("failed", letters))
+
+    def _letters(self, events: DataFrame, failed: DataFrame) -> DataFrame:
+        """One letter for each document that failed last: those of these events go, the failed ones come. The same content keeps the count of its failures."""
+        dead = self.read("dead")
+        if dead is None:
+            if not failed.isEmpty():
+                self.write("dead", failed)
+            return failed
+        names = events.select("source_id", "path").distinct()
+        if failed.isEmpty() and dead.join(names, ["source_id", "path"], "left_semi").isEmpty():
+            return failed
+        before = dead.groupBy("source_id", "path", "content_hash").agg(F.max("retry_count").alias("__before"))
+        new = failed.join(before, ["source_id", "path", "content_hash"], "left").withColumn("retry_count", F.greatest("retry_count", "__before")).select(*dead.columns)
+        self.write("dead", dead.join(names, ["source_id", "path"], "left_anti").unionByName(new))
         return failed
 
     def _extracted(self, files: DataFrame) -> DataFrame:
@@ -224,9 +233,7 @@ class Engine:
         due = self.write("due", again)
         counts = {"again": due.count(), "waiting": waiting.count(), "final": final.count()}
         if counts["again"]:
-            self.ingest(due.drop("error", "failed_at"))  # failures are added, with their new count
-            tried = due.select("event_id", "failed_at")
-            self.write("dead", self.read("dead").join(tried, ["event_id", "failed_at"], "left_anti"))
+            self.ingest(due.drop("error", "failed_at"))  # what fails again takes the place of its letter, with the new count
         return counts
 
     def _embedded(self, chunks: DataFrame) -> DataFrame:
@@ -234,25 +241,21 @@ class Engine:
         return entries.withColumns({"model": F.lit("hashing" if self.embedder is None else "custom"), "modality": F.lit("text"), "repo": F.element_at(F.split("path", "/"), 1), "derived_from": F.lit(""), "snippet": F.col("content")}).drop("content")
 
     def index(self, entries: DataFrame, gone: DataFrame | None = None) -> DataFrame:
-        """Replace the documents of entries in both indexes, and remove the gone ones; only the parts of their sources are written. Entries of no collection, with an error."""
+        """Replace the documents of entries in both indexes, and remove the gone ones, in one commit. Entries of no collection, with an error."""
         points, unknown = index.points(entries)
-        points = self.write("points", points)
-        touched = points.select("source_id") if gone is None else points.select("source_id").unionByName(gone.select("source_id"))
-        for source in [r[0] for r in touched.distinct().collect()]:  # one row per source
-            mine = F.col("source_id") == source
-            for name, fresh in (("vectors", points.drop("content")), ("lexical", index.lexical_docs(points))):
-                held = self.read(f"{name}/{source}")
-                out = fresh.where(mine) if held is None else index.replace_paths(held, fresh.where(mine))
-                self.write(f"{name}/{source}", index.delete_paths(out, gone.where(mine)) if gone is not None else out)
+        self.store.upsert(points, gone)
+        self.store.compact()
         return unknown
 
     # ---- queries
 
-    def _vectors(self) -> DataFrame:
-        held = self.read_all("vectors")
-        if held is None:
+    def _held(self, table: DataFrame | None) -> DataFrame:
+        if table is None:
             raise NotFound("nothing is indexed yet")
-        return held
+        return table
+
+    def _vectors(self) -> DataFrame:
+        return self._held(self.store.vectors())
 
     def _now(self, as_of: int | None) -> int:
         return as_of if as_of is not None else self.spark.range(1).select(F.unix_timestamp()).first()[0]
@@ -265,26 +268,10 @@ class Engine:
         hits = search.semantic(self._vectors(), vector, top_k, score_threshold, "chunk_id", self._now(as_of), freshness_boost, max_age_days, path_prefix, modality=modality, repo=repo)
         return search.projected(hits, ("score", "score_final"))
 
-    def _postings(self, docs: DataFrame) -> LexicalIndex:
-        """The inverted index of the current lexical parts, built when they are first searched; the one before is removed."""
-        state = hashlib.sha256("\n".join(self._of_sources("lexical")).encode()).hexdigest()[:32]
-        if self._index is None or self._index[0] != state:
-            base, path = self._path(f"{self.root}/postings"), f"{self.root}/postings/{state}"
-            if not self._fs.exists(self._path(f"{path}/READY")):
-                self._fs.delete(self._path(path), True)
-                LexicalIndex.build(docs, path, "doc_id", "snippet")
-                self._fs.createNewFile(self._path(f"{path}/READY"))
-            for f in self._fs.listStatus(base):
-                if f.getPath().getName() not in (state, self._index[0] if self._index else state):
-                    self._fs.delete(f.getPath(), True)
-            self._index = state, LexicalIndex(self.spark, path)
-        return self._index[1]
-
     def search_lexical(self, query: str, repo: str | None = None, path_prefix: str | None = None, modality: str | None = None, limit: int = 20, offset: int = 0, max_age_days: int | None = None, freshness_boost: float = 0.0, as_of: int | None = None, typos: bool = True) -> DataFrame:
-        docs = self.read_all("lexical")
-        if docs is None:
-            raise NotFound("nothing is indexed yet")
-        hits = search.lexical(docs, query, limit, offset, "doc_id", "snippet", typos, self._now(as_of), freshness_boost, max_age_days, path_prefix, index=self._postings(docs), repo=repo, modality=modality)
+        head = self.store.head()  # rows and postings of one commit
+        docs = self._held(self.store.lexical(head))
+        hits = search.lexical(docs, query, limit, offset, "doc_id", "snippet", typos, self._now(as_of), freshness_boost, max_age_days, path_prefix, index=self.store.index(head), repo=repo, modality=modality)
         return search.projected(hits, ("doc_id", "bm25", "score", "score_final", "highlight"))
 
     def rag_ask(self, question: str, repos: Sequence[str] | None = None, path_prefix: str | None = None, max_context_chars: int = 6000, top_k: int = 15, semantic_weight: float = 0.7, max_age_days: int | None = None, freshness_boost: float = 0.0, as_of: int | None = None, strict: bool = False) -> dict:
@@ -312,26 +299,18 @@ class Engine:
         return search.projected(search.semantic(self._vectors(), query, top_k, score_threshold, modality="image"))
 
     def list_files(self, source_id: str | None = None, path_prefix: str | None = None, modality: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-        held = self.read_all("lexical")
-        if held is None:
-            raise NotFound("nothing is indexed yet")
-        return index.list_files(held, source_id, path_prefix, modality, limit, offset)
+        return index.list_files(self._held(self.store.lexical()), source_id, path_prefix, modality, limit, offset)
 
     # ---- upkeep
 
     def purge(self, source_id: str) -> dict[str, int]:
         """Remove a source from both indexes; how many rows each had."""
         self._source(source_id)
-        out = {}
-        for name in ("vectors", "lexical"):
-            held = self.read(f"{name}/{source_id}")
-            if held is None:
-                out[name] = 0
-                continue
-            kept, deleted = index.purge_source(held, source_id)
-            out[name] = deleted.first()[0]
-            self.write(f"{name}/{source_id}", kept)
-        return out
+        return self.store.purge(source_id)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove what earlier commits of the index held, but for the last `keep`."""
+        return self.store.vacuum(keep)
 
     def reindex(self, source_id: str) -> DataFrame:
         """Forget the snapshot of a source and index it anew."""
@@ -341,11 +320,33 @@ class Engine:
         return self.sync(source_id)
 
     def stats(self) -> dict:
-        v, x = self.read_all("vectors"), self.read_all("lexical")
-        return {} if v is None or x is None else index.stats(v, x).first().asDict()
+        """Counts of both indexes at one commit, those of the queues, and an error for each store that cannot be read."""
+        errors: dict[str, str] = {}
+
+        def tried(name: str, f: Callable[[], dict]) -> dict:
+            try:
+                return f()
+            except Exception as e:
+                errors[name] = f"{type(e).__name__}: {e}"[:300]
+                return {}
+
+        def counted() -> dict:
+            head = self.store.head()
+            v, x = self.store.vectors(head), self.store.lexical(head)
+            if v is None or x is None:
+                return {"text_points": 0, "image_points": 0, "lexical_docs": 0, "total": 0, "last_index_ts": None}
+            return index.stats(v, x).first().asDict()
+
+        def queued() -> dict:
+            dead = self.read("dead")
+            final = F.col("retry_count") >= jobs.MAX_RETRIES
+            return {"dead": 0, "final": 0} if dead is None else dead.agg(F.count_if(~final).alias("dead"), F.count_if(final).alias("final")).first().asDict()
+
+        return tried("index", counted) | tried("dead", queued) | {"errors": errors}
 
     def health(self) -> dict[str, str]:
-        checks = {name: "ok" if table is not None else "missing" for name, table in (("sources", self.read("sources")), ("vectors", self.read_all("vectors")), ("lexical", self.read_all("lexical")))}
+        head = self.store.head()
+        checks = {name: "ok" if there else "missing" for name, there in (("sources", self._version("sources")), ("vectors", any(s["rows"] for s in head["segments"])), ("lexical", any(s["docs"] for s in head["segments"])))}
         state = "healthy" if set(checks.values()) == {"ok"} else "degraded" if "ok" in checks.values() else "empty"
         return {"status": state} | checks
 

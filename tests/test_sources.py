@@ -155,15 +155,39 @@ def test_engine_keeps_failures_and_tries_again(spark, tmp_path):
     e.sync(id_)
     dead = e.read("dead").collect()
     assert [(r.path, bytes(r.content), r.retry_count) for r in dead] == [("a.docx", b"no archive", 0)] and dead[0].error
-    assert [(r.path, r.operation) for r in e.sync(id_).collect()] == [("a.docx", "add")]
-    assert e.read("dead").count() == 2
-    assert e.drain()["waiting"] == 2
+    assert e.sync(id_).count() == 0  # its bytes are in the letter, from which it is tried again
+    assert e.drain() == {"again": 0, "waiting": 1, "final": 0} and e.stats()["dead"] == 1
     from pyspark.sql import functions as F
 
-    later = F.timestamp_seconds(F.unix_timestamp(F.current_timestamp()) + 120)
-    assert e.drain(later) == {"again": 2, "waiting": 0, "final": 0}
-    assert {r.retry_count for r in e.read("dead").collect()} == {1}
+    later = lambda s: F.timestamp_seconds(F.unix_timestamp(F.current_timestamp()) + s)
+    for k, wait in enumerate((60, 300, 900)):  # one letter, tried after one, five and fifteen minutes
+        assert e.drain(later(wait - 30))["waiting"] == 1
+        assert e.drain(later(wait + 30)) == {"again": 1, "waiting": 0, "final": 0}
+        assert [r.retry_count for r in e.read("dead").collect()] == [k + 1]
+    assert e.drain(later(10**6)) == {"again": 0, "waiting": 0, "final": 1} and e.stats()["final"] == 1
     assert e.list_files().count() == 1 and e.read("cache").count() == 1
+    (src / "a.docx").write_bytes(b"broken in another way")
+    e.sync(id_)
+    assert [(bytes(r.content), r.retry_count) for r in e.read("dead").collect()] == [(b"broken in another way", 0)]
+    (src / "a.docx").unlink()
+    e.sync(id_)
+    assert e.read("dead").count() == 0
+
+
+def test_engine_records_what_it_does_not_index(spark, tmp_path):
+    """Images leave a row; a document that loses its text loses its chunks."""
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.png").write_bytes(b"\x89PNG")
+    (src / "b.txt").write_text("granite")
+    e = Engine(spark, str(tmp_path / "data"))
+    id_ = e.add_source("folder", "one", folder_path=str(src))
+    e.sync(id_)
+    assert [(r.path, r.route) for r in e.read("unrouted").collect()] == [("a.png", "image")]
+    (src / "b.txt").write_text(" ")
+    e.sync(id_)
+    assert e.list_files().count() == 0 and e.stats()["total"] == 0 and not e.stats()["errors"]
+    assert e.search_lexical("granite").count() == 0
 
 
 def test_engine_syncs_git_and_opens_changed_files_only(spark, tmp_path, monkeypatch):
