@@ -400,13 +400,18 @@ def _cross(posts: DataFrame, parts: DataFrame, pairs: DataFrame, found: DataFram
         sizes = materialise(open_.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("size")), "join-sizes")
         if sizes.isEmpty():
             return found
-        lists = sizes.groupBy("h").agg(F.sum("size").alias("all"))
+        lists = sizes.groupBy("h").agg(F.sum("size").alias("all"), F.max("size").alias("most")).withColumn("deals", F.ceil(F.col("all") / max(1, TURN)).cast("int"))
+        lists = materialise(lists, "join-lists")
         order = Window.partitionBy("h").orderBy("size", "comp", "sig")  # limited in each task before the exchange
         turn = open_.join(sizes, ["h", "comp"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, TURN))
-        turn = turn.join(lists, "h").where(F.col("place") <= F.greatest(F.lit(max(1, EASY)), F.lit(LIST_PAIRS) / F.col("all")))
-        turn = materialise(turn, "join-turn")
-        met = join_hot(open_, turn.select("h", F.struct("sig", "n", "comp", "sketch").alias("y")), "h", F.col("sig"))
-        crossing = _candidates(met.select(F.struct("sig", "n", "comp", "sketch").alias("x"), "y"), "x", "y", percent)
+        # the largest component of a list need not meet itself
+        bound = F.least(F.col("all") - F.col("most"), F.greatest(F.lit(max(1, EASY)), F.lit(LIST_PAIRS) / F.col("all")))
+        turn = materialise(turn.join(lists, "h").where(F.col("place") <= bound).select("h", "sig", "n", "comp", "sketch", "deals"), "join-turn")
+        # a long list is dealt out, and those whose turn it is come to each of its deals
+        dealt = join_hot(open_, lists.select("h", "deals"), "h", F.col("sig")).withColumn("deal", F.pmod(F.xxhash64("sig"), F.col("deals")).cast("int"))
+        others = turn.select("h", F.struct("sig", "n", "comp", "sketch").alias("y"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+        met = dealt.select("h", "deal", F.struct("sig", "n", "comp", "sketch").alias("x")).join(others, ["h", "deal"])
+        crossing = _candidates(met, "x", "y", percent)
         now = turn.select("h", "sig")
         done = materialise(now if done is None else done.unionByName(now), "join-done")
         crossing = materialise(crossing.join(pairs, ["a", "b"], "left_anti"), "join-crossing")

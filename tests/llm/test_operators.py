@@ -111,9 +111,10 @@ def test_join_on_random_families(spark, tmp_path):
     assert sorted(collect(queries.QUERIES["op5_ngram_jaccard_join"](spark, str(tmp_path)))) == sorted(brute_join(rows))
 
 
-def test_join_round_by_round(spark, tmp_path, monkeypatch):
-    """Lists of several components are gone through member by member, with the same result; blocks and fragments are many."""
-    for name, value in (("EASY", 0), ("LIST_PAIRS", 0), ("VERIFIED", 2), ("FRAGMENT_BYTES", 2000)):
+@pytest.mark.parametrize("turn", [1, 4])
+def test_join_round_by_round(spark, tmp_path, monkeypatch, turn):
+    """Lists of several components are gone through few members a round, and dealt out, with the same result; blocks and fragments are many."""
+    for name, value in (("EASY", 0), ("LIST_PAIRS", 0 if turn == 1 else 100), ("TURN", turn), ("VERIFIED", 2), ("FRAGMENT_BYTES", 2000)):
         monkeypatch.setattr(ngram_join, name, value)
     r = random.Random(15)
     passage, rows = [f"p{k}" for k in range(40)], []
