@@ -64,11 +64,27 @@ def _is_scan(plan) -> bool:
     return children.size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View") and _is_scan(children.apply(0))
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many signs added as make it one that docs has no column of, in whatever case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def place(docs: DataFrame) -> tuple[Column, Column]:
+    """The file and the row number of each row of a scan, though docs may have a column of the name of the metadata."""
+    about = docs.metadataColumn("_metadata")
+    return about.getField("file_path"), about.getField("row_index")
+
+
 def located(docs: DataFrame) -> DataFrame:
     """docs itself if it is a scan of files, whose rows a file and a row number find; else (rows may come twice) a copy that is one."""
     if _is_scan(docs._jdf.queryExecution().analyzed()):
         try:
-            docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+            docs.select(*place(docs)).schema  # noqa: B018
             return docs
         except AnalysisException:
             pass
@@ -76,14 +92,16 @@ def located(docs: DataFrame) -> DataFrame:
 
 
 def row_keyed(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a number for each row, unique and the same whenever it is read: the rank of its file and its place there.
+    """docs with a number for each row, unique and the same whenever it is read: the rank of its file and its place there. docs has no column `name`.
 
     Files are ranked in one task, by name; there are far fewer of them than rows."""
     docs = located(docs)
-    files = docs.select(F.col("_metadata.file_path").alias("__file")).distinct()
-    ranked = materialise(files.withColumn("__rank", F.row_number().over(Window.orderBy("__file")).cast("long")), "files")
-    out = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return out.join(small(ranked), "__file").withColumn(name, F.shiftleft("__rank", 40) + F.col("__row")).drop("__file", "__row", "__rank")
+    file, row, rank = free(docs, "__file", "__row", "__rank")
+    at = place(docs)
+    files = docs.select(at[0].alias(file)).distinct()
+    ranked = materialise(files.withColumn(rank, F.row_number().over(Window.orderBy(file)).cast("long")), "files")
+    out = docs.select("*", at[0].alias(file), at[1].alias(row))
+    return out.join(small(ranked), file).select(*(out[c] for c in docs.columns), (F.shiftleft(ranked[rank], 40) + out[row]).alias(name))
 
 
 def crc_split(doc_id: Column, modulus: int, remainder: int) -> Column:

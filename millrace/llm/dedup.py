@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WHITE, documents, located, materialise, scratch, small
+from millrace.llm.common import WHITE, documents, free, located, materialise, place, scratch, small
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -36,14 +36,14 @@ def normalised(text: Column) -> Column:
 
 def arrivals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One narrow row per document; file and row are the content locator."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text, (file, row) = F.coalesce(F.col(text_col), F.lit("")), place(docs)
     whole = [normalised(F.col(text_col)).alias("whole")] if with_text else []
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.sha2(normalised(F.col(text_col)), 256).alias("digest"),
         F.length(text).alias("code_points"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("row"),
+        file.alias("file"),
+        row.alias("row"),
         *whole,
     )
 
@@ -115,7 +115,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = located(docs)
     found = exact_dedup(docs, id_col, text_col)
     dropped = materialise(found.where(~F.col("kept")).select("file", "row"), "dedup-dropped")
-    return docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")).join(small(dropped.select(F.col("file").alias("__file"), F.col("row").alias("__row"))), ["__file", "__row"], "left_anti").select(*docs.columns)
+    names, at = free(docs, "__file", "__row"), place(docs)
+    rows = docs.select("*", *(c.alias(n) for c, n in zip(at, names, strict=True)))
+    return rows.join(small(dropped.toDF(*names)), names, "left_anti").select(*docs.columns)
 
 
 def op9(spark, sf_dir):

@@ -116,6 +116,8 @@ def mix(
         raise ValueError(f"docs has columns named {sorted(taken)}; choose other names to add")
     tag = {"domain": domain_of(F.col(source_col)), "language": F.col(lang_col), "origin": F.col(source_col)}
     prefix = "__mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
     named = {prefix + k: F.coalesce(v, F.lit("~")) for k, v in tag.items()} | {prefix + "tokens": words_in(F.col(text_col))}
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(v.alias(k.removeprefix(prefix)) for k, v in named.items()))
     chosen = materialise(choose(materialise(narrow, "mix-tokens"), weights, budget_share, max_epochs, seed), "mix-chosen")

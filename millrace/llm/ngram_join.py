@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import documents, join_hot, materialise, row_keyed, slices, small, tidy
+from millrace.llm.common import documents, free, join_hot, materialise, row_keyed, slices, small, tidy
 
 WORDS, PERCENT = 4, 85
 #: Text bytes whose n-grams go to one fragment, about: a task sorts 8 bytes for each of these n-grams that lies in the part of the order that is counted.
@@ -425,14 +425,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """The rows of docs, all columns, but of each component only the one with the smallest id (null last; of equal ids the first by place).
 
     Rows are told apart by their place, not by their id: rows that share an id, or have none, are judged by their own texts."""
-    rows = row_keyed(docs, "__key")
-    found = jaccard_components(rows, "__key", text_col, words, percent).select(F.col("doc_id").alias("__key"), "component_id")
+    key = free(docs, "__key")[0]
+    rows = row_keyed(docs, key)
+    found = jaccard_components(rows, key, text_col, words, percent).select(F.col("doc_id").alias("__key"), "component_id")
     linked = found.where("component_id <> __key")
     members = materialise(linked.unionByName(linked.select(F.col("component_id").alias("__key"), "component_id").distinct()), "join-members")
-    named = rows.select("__key", F.col(id_col).alias("id")).join(small(members), "__key")
+    named = rows.select(F.col(key).alias("__key"), F.col(id_col).alias("id")).join(small(members), "__key")
     stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__key")).alias("first")).select(F.col("first.__key").alias("__key"))
     gone = materialise(members.select("__key").join(stays, "__key", "left_anti"), "join-gone")
-    return rows.join(small(gone), "__key", "left_anti").select(*docs.columns)
+    return rows.join(small(gone.toDF(key)), key, "left_anti").select(*docs.columns)
 
 
 def op5(spark, sf_dir):

@@ -176,6 +176,18 @@ def test_keep_one_tells_rows_apart(spark, tmp_path):
         assert out.where("doc_id is null").count() == 1
 
 
+def test_stages_carry_columns_of_inner_names(spark, tmp_path):
+    """Names that the stages use inside, and that of the metadata, are carried as they are."""
+    names = ["__key", "__file", "__row", "__rank", "_metadata", "__mix_id", "__mix_epochs", "id", "sig", "component_id", "file", "root"]
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, t, *(f"{n}{k}" for n in names)) for k, t in enumerate([long, long + " more", "other text of a few words", "other text of a few words"])]
+    spark.createDataFrame(rows, ["doc_id", "text", *names]).repartition(2).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for out, kept in ((ngram_join.keep_one(docs), {0, 2}), (dedup.keep_first(docs), {0, 1, 2}), (mixing.mix(docs.withColumns({"lang": F.lit("en"), "source": F.lit("src1")}), mixing.WEIGHTS, 1.0, added=None), {0, 1, 2, 3})):
+        got = {r.doc_id: tuple(r[n] for n in names) for r in out.collect()}
+        assert out.columns[: len(docs.columns)] == docs.columns and got == {r[0]: r[2:] for r in rows if r[0] in kept}
+
+
 def test_dedup_of_exploded_rows(spark, tmp_path):
     """Rows that share a place in a file are told apart."""
     spark.createDataFrame([(1, "same text"), (2, "alone")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
