@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.html import anchors
+
 _ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)"
 SKIPPED = ("#", "javascript:", "mailto:", "tel:", "data:")
 
@@ -22,12 +24,6 @@ def origin(url: Column) -> Column:
     return F.concat(F.regexp_extract(url, _ORIGIN, 1), F.lit("://"), F.regexp_extract(url, _ORIGIN, 2))
 
 
-def hrefs(html: Column) -> Column:
-    """The trimmed href of every anchor."""
-    found = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'>]*)["']"""), F.lit(1))
-    return F.transform(found, lambda h: F.regexp_replace(h, r"^\s+|\s+$", ""))
-
-
 def resolve(base: Column, href: Column) -> Column:
     """An href against the page it stands on; dot segments are left in place."""
     directory = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), "[^/]*$", "")
@@ -43,7 +39,7 @@ def resolve(base: Column, href: Column) -> Column:
 
 def links(html: Column, base: Column) -> Column:
     """Absolute http and https targets of a page, in order, repeated ones too."""
-    real = F.filter(hrefs(html), lambda h: (h != "") & ~_starts(h))
+    real = F.filter(anchors(html), lambda h: (h != "") & ~_starts(h))
     return F.filter(F.transform(real, lambda h: resolve(base, h)), lambda u: F.lower(u).rlike("^https?:"))
 
 

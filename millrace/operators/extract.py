@@ -1,6 +1,6 @@
 """Extraction: bytes or text in, text with pages, structure and metadata out.
 
-Plain text and the default HTML backend are expressions; office and PDF formats are parsed in Arrow batches, a
+Plain text is an expression; HTML is scanned in Arrow batches, in one pass; office and PDF formats are parsed in Arrow batches, a
 failure of one file staying a column of its row. Other backends register under an extractor's name.
 """
 
@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import identity, text
+from millrace.functions import html as markup
+from millrace.functions import text
 
 VERSION = "0.1.0"
 SCANNED_BELOW = 50
@@ -41,42 +42,11 @@ def plain(docs: DataFrame, content: str = "text") -> DataFrame:
     return docs.withColumns({"text": F.col(content), "structure": structure, "metadata": metadata, "extractor_id": F.lit("plain"), "extractor_version": F.lit(VERSION)})
 
 
-def html_text(html: Column, strip_nav: bool = True, include_tables: bool = True) -> Column:
-    """The readable text: scripts, styles, comments and, with strip_nav, page furniture go; blocks end lines; the common entities are resolved."""
-    gone = ["script", "style", "noscript", "template", "svg", "head", "title"] + (["nav", "header", "footer", "aside", "form"] if strip_nav else []) + ([] if include_tables else ["table"])
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in gone:
-        out = F.regexp_replace(out, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", " ")
-    out = F.regexp_replace(out, r"\s+", " ")
-    out = F.regexp_replace(out, r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|blockquote|pre|main|body|html)(\s[^>]*)?/?>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.regexp_replace(out, r"[ \t]*\n[ \t\n]*", "\n")
-    return F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"^[ \n]+|[ \n]+$", "")
-
-
-def html_metadata(html: Column) -> Column:
-    """title, author, date, sitename, language, where given; and the format."""
-
-    def meta(name: str) -> Column:
-        a = F.regexp_extract(html, rf"""(?is)<meta\s[^>]*?(?:name|property)=["']{name}["'][^>]*?content=["']([^"']*)["']""", 1)
-        b = F.regexp_extract(html, rf"""(?is)<meta\s[^>]*?content=["']([^"']*)["'][^>]*?(?:name|property)=["']{name}["']""", 1)
-        return F.when(a != "", a).otherwise(b)
-
-    found = {
-        "title": F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)),
-        "author": meta("author"),
-        "date": meta("(?:article:published_time|date)"),
-        "sitename": meta("og:site_name"),
-        "language": F.regexp_extract(html, r"""(?is)<html\s[^>]*?lang=["']([^"']*)["']""", 1),
-    }
-    pairs = [x for k, v in found.items() for x in (F.lit(k), v)]
-    return F.map_filter(F.create_map(F.lit("format"), F.lit("html"), *pairs), lambda k, v: v != "")
-
-
-def html(docs: DataFrame, content: str = "html", **options) -> DataFrame:
-    return docs.withColumns({"text": html_text(F.col(content), **options), "metadata": html_metadata(F.col(content)), "extractor_id": F.lit("html"), "extractor_version": F.lit(VERSION)})
+def html(docs: DataFrame, content: str = "html", main: bool = False, **options) -> DataFrame:
+    """Adds text (with main, only that of long blocks of few links) and metadata."""
+    body = F.col(content)
+    found = markup.main_text(body, **options) if main else markup.readable_text(body, **options)
+    return docs.withColumns({"text": found, "metadata": markup.page_metadata(body), "extractor_id": F.lit("html"), "extractor_version": F.lit(VERSION)})
 
 
 def properties(author: Column, title: Column, subject: Column, last_modified_by: Column, created_at: Column) -> Column:
@@ -292,12 +262,6 @@ def parsed(files: DataFrame, extractor: str, key: str = "event_id", backend: Bac
     return out.withColumnRenamed("key", key).withColumns({"extractor_id": F.lit(extractor), "extractor_version": F.lit(VERSION)})
 
 
-def cached(files: DataFrame, cache: DataFrame, extractor: str, version: str = VERSION) -> tuple[DataFrame, DataFrame]:
-    """files with content_hash: those whose result is in the cache, with it, and those still to be parsed."""
-    keyed = files.withColumn("cache_key", identity.cache_key(F.lit(extractor), F.lit(version), F.col("content_hash")))
-    return keyed.join(cache, "cache_key"), keyed.join(cache.select("cache_key"), "cache_key", "left_anti")
-
-
 def extracted(events: DataFrame, **options) -> DataFrame:
     """Routed events with content (binary): one row each with text, pages, structure, metadata, extractor and error."""
     body = events.where("route = 'extract'").select("event_id", "extractor", "source_id", "path", "content")

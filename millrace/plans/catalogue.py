@@ -411,6 +411,12 @@ def html_text(spark, d):
     return extract.html(table(spark, d, "pages")).select("page_id", "text")
 
 
+@query(f"select page_id, {S.main_text('html')} as text from pages")
+def html_main_text(spark, d):
+    """The main text of every page: long blocks of few links."""
+    return extract.html(table(spark, d, "pages"), main=True).select("page_id", "text")
+
+
 def _site(spark, d):
     """Pages have no links among themselves, so each links to the next two of a derived order."""
     p = table(spark, d, "pages").select("page_id")

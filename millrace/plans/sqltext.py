@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.functions.html import LEAST_CHARS, MOST_LINKED
 from millrace.functions.text import SEPARATORS, SPACE
 
 _NONE = "[]::varchar[]"
@@ -81,11 +82,22 @@ one as (select source_id, path, len(ps) as total_chunks, unnest(ps) as content,
 select source_id || ':' || path || ':' || chunk_index as chunk_id, chunk_index, total_chunks, content from one"""
 
 
-def html(x: str) -> str:
+def main_text(x: str) -> str:
+    """Of the lines of html(x, linked=True) those that are long enough and hold few links."""
+    clean = "replace(replace(l, chr(1), ''), chr(2), '')"
+    linked = f"length({clean}) - length(replace(regexp_replace(l, chr(1) || '[^' || chr(1) || chr(2) || ']*', '', 'g'), chr(2), ''))"
+    kept = f"list_filter(string_split({html(x, True)}, chr(10)), lambda l: length({clean}) >= {LEAST_CHARS} and {linked} <= {MOST_LINKED} * length({clean}))"
+    return f"array_to_string(list_transform({kept}, lambda l: trim({clean}, ' ')), chr(10))"
+
+
+def html(x: str, linked: bool = False) -> str:
     out = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
     for tag in ("script", "style", "noscript", "template", "svg", "head", "title", "nav", "header", "footer", "aside", "form"):
         out = f"regexp_replace({out}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', ' ', 'g')"
     out = f"regexp_replace({out}, '\\s+', ' ', 'g')"
+    if linked:
+        for slash, mark in (("", 1), ("/", 2)):
+            out = f"regexp_replace({out}, '(?i)<{slash}a(\\s[^>]*)?>', chr({mark}), 'g')"
     out = f"regexp_replace({out}, '(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|blockquote|pre|main|body|html)(\\s[^>]*)?/?>', chr(10), 'g')"
     out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
     for name, char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
