@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -54,42 +55,102 @@ def semantic(
 QUERY_BLOCK = 4096
 
 
-def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, tie: str = "chunk_id") -> DataFrame:
+def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, tie: str = "chunk_id", route: Callable[[np.ndarray], Sequence[int]] | None = None) -> DataFrame:
     """queries: query_id, query_vector, a stated set, met in blocks of QUERY_BLOCK. The k best per query.
 
-    Each task multiplies its batches with the block's matrix and passes on the k best of each query, so k rows per batch and query are shuffled."""
+    Each task multiplies its batches with the block's matrix and keeps the k best of each query over all its batches, so at
+    most k rows for each query and *task* are shuffled, and merged once. route: gives the cells that a query is sent to; rows
+    (with a column `cell`) of other cells are not multiplied with it."""
     kinds = {f.name: f.dataType for f in [*vectors.select(tie).schema, *queries.select("query_id").schema]}
     schema = StructType([StructField("query_id", kinds["query_id"]), StructField(tie, kinds[tie]), StructField("score", DoubleType())])
     spark, blocks = vectors.sparkSession, max(1, -(-queries.count() // QUERY_BLOCK))
     dealt = queries.select("query_id", "query_vector").withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    narrow, found = vectors.select(tie, "vector"), []
+    narrow, found = vectors.select(tie, "vector", *(["cell"] if route else [])), []
     for block in range(blocks):
         own = dealt.where(F.col("__b") == block).toArrow()  # about QUERY_BLOCK rows
-        ids, rows = own.column("query_id").combine_chunks(), own.column("query_vector").to_pylist()
-        width = max((len(v) for v in rows if v is not None), default=1)
-        held = spark.sparkContext.broadcast((ids, _unit_rows(rows, width), width))
+        ids, rows = own.column("query_id").combine_chunks(), own.column("query_vector").combine_chunks()
+        width = pc.max(pc.list_value_length(rows)).as_py() or 1
+        matrix = _unit_rows(rows, width)
+        sent: dict[int, list[int]] = {}
+        for i, q in enumerate(matrix if route else ()):
+            for c in route(q):
+                sent.setdefault(int(c), []).append(i)
+        held = spark.sparkContext.broadcast((ids, matrix, width, sent if route else None))
 
         def best(batches, held=held):
-            ids, matrix, width = held.value
+            ids, matrix, width, sent = held.value
+            heap = _Best(len(ids), k, threshold)
             for b in batches:
-                score = _unit_rows(b.column(1).to_pylist(), width) @ matrix.T
-                at = np.argpartition(-score, k - 1, 0)[:k] if 0 < k < len(score) else np.arange(len(score))[:, None].repeat(len(ids), 1)
-                least = np.take_along_axis(score, at, 0).min(0, initial=np.inf) if k > 0 else np.full(len(ids), np.inf)
-                row, query = np.nonzero((score >= np.maximum(least, threshold)[None]))  # ties with the last one too
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), b.column(0).take(pa.array(row)), pa.array(score[row, query])], ["query_id", tie, "score"])
-
-        found.append(narrow.mapInArrow(best, schema))
+                x = _unit_rows(b.column(1), width)
+                if sent is None:
+                    heap.add(x @ matrix.T, b.column(0), np.arange(len(x)), np.arange(len(ids)))
+                    continue
+                cells = b.column(2).to_numpy(zero_copy_only=False)
+                for c in np.unique(cells).tolist():
+                    if wanted := sent.get(int(c)):
+                        mine = np.flatnonzero(cells == c)
+                        heap.add(x[mine] @ matrix[wanted].T, b.column(0), mine, np.array(wanted))
+            query, keys, score = heap.all()
+            if len(query):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), keys, pa.array(score)], ["query_id", tie, "score"])
+
+        chosen = narrow.where(F.col("cell").isin(sorted(sent))) if route and len(sent) <= LISTED_CELLS else narrow
+        found.append(chosen.mapInArrow(best, schema))
     every = reduce(DataFrame.unionByName, found)
     ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), tie)))
     return ranked.where(F.col("rank") <= k).select("query_id", tie, "score", "rank")
 
 
-def _unit_rows(rows: list, width: int) -> np.ndarray:
+#: Cells that are named in a filter, so that the files' statistics spare others.
+LISTED_CELLS = 2000
+
+
+class _Best:
+    """The k best keys of each of n queries, of equal scores those with the least keys."""
+
+    def __init__(self, n: int, k: int, threshold: float):
+        self.k, self.least, self.parts, self.size = max(0, k), np.full(n, float(threshold)), [], 0
+        self.most = max(1 << 16, 4 * n * max(1, k))
+
+    def add(self, score: np.ndarray, keys: pa.Array, rows: np.ndarray, queries: np.ndarray) -> None:
+        """score: rows by queries."""
+        if not self.k or not score.size:
+            return
+        floor = self.least[queries]
+        if len(rows) > self.k:  # a row below the k-th of this batch cannot stay; ties may
+            floor = np.maximum(floor, np.partition(score, len(rows) - self.k, 0)[len(rows) - self.k])
+        at, query = np.nonzero(score >= floor[None])
+        if len(at):
+            self.parts.append((queries[query], keys.take(pa.array(rows[at])), score[at, query]))
+            self.size += len(at)
+            if self.size > self.most:
+                self._prune()
+
+    def _prune(self) -> None:
+        query, keys, score = self.all()
+        self.parts, self.size = [(query, keys, score)], len(query)
+        full = np.bincount(query, minlength=len(self.least)) >= self.k
+        lowest = np.full(len(self.least), np.inf)
+        np.minimum.at(lowest, query, score)
+        self.least = np.where(full, np.maximum(self.least, lowest), self.least)
+
+    def all(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), pa.array([]), np.zeros(0)
+        query, score = (np.concatenate([p[k] for p in self.parts]) for k in (0, 2))
+        keys = pa.concat_arrays([p[1] for p in self.parts])
+        order = pc.sort_indices(pa.table({"q": query, "s": -score, "k": keys}), sort_keys=[("q", "ascending"), ("s", "ascending"), ("k", "ascending")], null_placement="at_start").to_numpy()
+        query, score = query[order], score[order]
+        first = np.searchsorted(query, query, "left")
+        kept = np.arange(len(query)) - first < self.k
+        return query[kept], keys.take(pa.array(order[kept])), score[kept]
+
+
+def _unit_rows(rows: pa.Array, width: int) -> np.ndarray:
     """Rows of length 1; zeros for null and for another width."""
     out = np.zeros((len(rows), width))
-    for i, v in enumerate(rows):
-        if v is not None and len(v) == width:
-            out[i] = v
+    same = pc.fill_null(pc.equal(pc.list_value_length(rows), width), False)
+    out[same.to_numpy(zero_copy_only=False)] = pc.fill_null(rows.filter(same).flatten(), 0.0).to_numpy(zero_copy_only=False).reshape(-1, width)
     size = np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
     return out / np.where(size > 0, size, 1)
 

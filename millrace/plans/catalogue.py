@@ -78,6 +78,40 @@ def semantic_batch_topk(spark, d):
     return search.semantic_batch(v, qs, 5, -1.0, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+_BATCH = f"""with {VECTORS}, qs as (select vec_id as query_id, vector as qv from v where vec_id % 100 = 0),
+s as (select query_id, vec_id, {COSINE.format(a='vector', b='qv')} as score from v, qs),
+t as (select query_id, vec_id, row_number() over (partition by query_id order by s.score desc, vec_id) as rank from s qualify rank <= 10)"""
+
+
+def _recall(spark, d, found):
+    """query_id, whether at least nine in ten of the ten nearest rows of all were found, over all queries together."""
+    v = vectors(spark, d)
+    qs = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    exact = search.semantic_batch(v, qs, 10, -1.0, "vec_id").select("query_id", "vec_id")
+    hits = exact.join(found(qs).select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return hits.agg(F.count(F.lit(1)).alias("wanted"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("nine_in_ten"))
+
+
+@query(f"{_BATCH} select count(*) as wanted, true as nine_in_ten from t")
+def semantic_cells_recall(spark, d):
+    """Batch search through a third of the cells against the exact answer over all rows: recall of the ten best."""
+    ix = vector_index(spark, d)
+    return _recall(spark, d, lambda qs: ix.batch(qs, 10, probes(ix), -1.0))
+
+
+def probes(ix) -> int:
+    """A third of the cells."""
+    return max(1, len(ix.codebook.leaves()) // 3)
+
+
+@query(f"{_BATCH} select query_id, vec_id, rank from t")
+def semantic_cells_batch(spark, d):
+    """Batch search with every query sent to all cells: the exact answer."""
+    qs = vectors(spark, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    ix = vector_index(spark, d)
+    return ix.batch(qs, 10, len(ix.codebook.leaves()), -1.0).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"with {VECTORS} select vec_id, round({_FRESH}, 6) as freshness, round(0.4 * 0.5 + 0.5 * {_FRESH}, 6) as blended from v")
 def freshness_scores(spark, d):
     fresh = ranking.freshness(F.col("content_modified_ts"), AS_OF)

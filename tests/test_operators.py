@@ -190,6 +190,62 @@ def test_vector_index_recall_and_exact_way(spark, tmp_path):
     assert [h.chunk_id for h in batch.where("query_id = 700").orderBy("rank").collect()] == [h.chunk_id for h in search.semantic(rows, x[700].tolist(), 10).collect()]
 
 
+def test_cells_split_until_they_are_small_and_batches_are_exact(spark, tmp_path):
+    """Cells divide as rows grow, one of equal rows stays whole; through all cells a batch is exact, through some nearly so."""
+    import numpy as np
+
+    from millrace.operators import search
+    from millrace.operators.vector_index import VectorIndex
+
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.normal(size=(40, 16))[r.integers(0, 40, 4000)] + 0.3 * r.normal(size=(4000, 16)), np.tile(r.normal(size=(1, 16)), (1500, 1))])
+    rows = spark.createDataFrame([(f"k{k}", v.tolist(), k) for k, v in enumerate(x)] + [(f"n{k}", None, k) for k in range(5)], "chunk_id string, vector array<double>, n int").repartition(5)
+    ix = VectorIndex.build(rows, str(tmp_path / "ix"), cells=4, most=300)
+    sizes = {r.cell: r["count"] for r in ix.rows([0.0]).groupBy("cell").count().collect()}
+    assert sum(sizes.values()) == 5505 and sum(n > 300 for n in sizes.values()) <= 1 and len(sizes) > 12 and sizes.keys() <= set(ix.codebook.leaves().tolist())
+    qs = spark.createDataFrame([(k, x[k].tolist()) for k in range(0, 4000, 80)] + [(-1, None), (-2, x[4100].tolist())], "query_id int, query_vector array<double>")
+    exact, unit = {}, x / np.linalg.norm(x, axis=1, keepdims=True)
+    names = np.array([f"k{k}" for k in range(len(x))])
+    for h in search.semantic_batch(rows, qs, 5, -1.0).collect():
+        exact.setdefault(h.query_id, []).append((h["rank"], h.chunk_id))
+    for q, hits in exact.items():
+        if q >= 0:
+            score = unit @ unit[q]
+            best = np.lexsort((names, -np.round(score, 12)))[:5]
+            assert [c for _, c in sorted(hits)] == names[best].tolist()
+    routed = lambda probes: {(h.query_id, h["rank"], h.chunk_id) for h in ix.batch(qs, 5, probes, -1.0).collect()}
+    every = {(q, k, c) for q, hits in exact.items() for k, c in hits}
+    assert routed(10**6) == every and len({(q, c) for q, _, c in routed(6)} & {(q, c) for q, _, c in every}) >= 0.9 * len(every)
+    held = search.semantic_batch(rows, qs, 5, -1.0)
+    assert held._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    found = total = 0
+    for k in range(0, 4000, 400):
+        want = {c for _, c in exact[k]}
+        found, total = found + len(want & {h.chunk_id for h in ix.search(x[k].tolist(), 5, 6, -1.0).collect()}), total + len(want)
+    assert found >= 0.9 * total
+    assert {h.chunk_id for h in ix.search(x[0].tolist(), 3, 8, -1.0, n=7).collect()} <= {"k7"}  # filters come first
+
+
+def test_best_of_many_batches_keeps_ties(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from millrace.operators.search import _Best
+
+    r = np.random.default_rng(1)
+    score = np.round(r.normal(size=(500, 7)), 1)
+    heap = _Best(7, 4, -0.5)
+    heap.most = 40
+    names = np.array([f"{k:04d}" for k in r.permutation(500)])
+    for at in range(0, 500, 13):
+        own = np.arange(at, min(500, at + 13))
+        heap.add(score[own], pa.array(names[own]), np.arange(len(own)), np.arange(7))
+    query, keys, _ = heap.all()
+    for q in range(7):
+        want = [names[k] for k in np.lexsort((names, -score[:, q])) if score[k, q] >= -0.5][:4]
+        assert [k for k, p in zip(keys.to_pylist(), query, strict=True) if p == q] == want
+
+
 def test_lexical_index_scores_like_a_scan(spark, tmp_path):
     import random
 
