@@ -31,6 +31,8 @@ SAMPLE, SPLIT_SAMPLE = 20_000, 2_000
 FIRST_CELLS = 512
 #: Parts of a vector that have a code of one byte each, about so many dimensions in one.
 PART = 4
+#: Rows that are queries when the number of cells for a recall is measured (expected).
+TUNED = 100
 #: Rows of a file, about; and how many candidates are scored by their vectors for each row that is asked for.
 FILE_ROWS, AGAIN = 1_000_000, 20
 
@@ -194,6 +196,19 @@ class VectorIndex:
 
         return score(F.col("cell"), F.col("code"))
 
+    def probes_for(self, recall: float, k: int = 10) -> int:
+        """How many cells a query needs so that about this part of its k nearest rows lie in them, measured on TUNED rows as queries against all rows."""
+        rows = self.spark.read.parquet(f"{self.path}/rows")
+        n = rows.count()
+        drawn = rows.where(_share(self.key, TUNED, n)).where("vector is not null").select(F.col(self.key).alias("query_id"), F.col("vector").alias("query_vector"))
+        near = search.semantic_batch(rows, drawn, k, -1.0, self.key).join(rows.select(self.key, "cell"), self.key).join(drawn, "query_id").select("query_vector", "cell").toArrow()  # k rows for each of them
+        if not near.num_rows:
+            return 1
+        leaves = self.codebook.leaves()
+        order = np.argsort(-(unit(_matrix(near.column("query_vector").combine_chunks(), self.codebook.width)) @ self.codebook.centroids[leaves].T), axis=1, kind="stable")
+        rank = (leaves[order] == near.column("cell").to_numpy()[:, None]).argmax(1)
+        return int(np.quantile(rank, recall, method="higher")) + 1
+
     def batch(self, queries: DataFrame, k: int = 10, probes: int | None = None, threshold: float = 0.0) -> DataFrame:
         """query_id, key, score, rank: the k best of each query (query_id, query_vector) among the rows of its nearest cells; among all, without probes."""
         held = self.spark.read.parquet(f"{self.path}/rows")

@@ -216,6 +216,8 @@ def test_cells_split_until_they_are_small_and_batches_are_exact(spark, tmp_path)
     routed = lambda probes: {(h.query_id, h["rank"], h.chunk_id) for h in ix.batch(qs, 5, probes, -1.0).collect()}
     every = {(q, k, c) for q, hits in exact.items() for k, c in hits}
     assert routed(10**6) == every and len({(q, c) for q, _, c in routed(6)} & {(q, c) for q, _, c in every}) >= 0.9 * len(every)
+    tuned = ix.probes_for(0.95, 5)
+    assert 1 <= tuned < len(sizes) and len({(q, c) for q, _, c in routed(tuned)} & {(q, c) for q, _, c in every}) >= 0.9 * len(every)
     held = search.semantic_batch(rows, qs, 5, -1.0)
     assert held._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     found = total = 0
