@@ -155,12 +155,21 @@ class Engine:
         registry.register_data_sources(self.spark)
         options = {"repos": source["url"], "branch": source["branch"] or "", "since": json.dumps(since), "include": json.dumps(list(source["file_patterns"] or ()))}
         changes = self.write(f"changes/{name}", self.spark.read.format("git").options(**options).load())
+        # of a repository whose old head is gone everything known is void: what its new listing lacks is deleted
+        void = changes.where("operation = 'reset'").select("path")
+        held = self.store.rows()
+        if held is not None and not void.isEmpty():
+            mine = held.where(F.col("source_id") == name).select(F.col("document").alias("path")).distinct()
+            lost = mine.join(void.withColumnRenamed("path", "__at"), F.startswith(F.col("path"), F.col("__at")), "left_semi").join(changes.select("path"), "path", "left_anti")
+            changes = changes.where("operation <> 'reset'").unionByName(lost.withColumn("operation", F.lit("delete")), allowMissingColumns=True)
+        else:
+            changes = changes.where("operation <> 'reset'")
         found = cdc.split_renames(changes.withColumnRenamed("committed_at", "modified"))
         gone = F.col("operation") == "delete"
         found = found.withColumn("content", F.when(~gone, F.col("content"))).withColumn("content_hash", identity.content_hash(F.col("content")))
         events = self._events(source, found.select("path", "operation", "modified", "size", "content", "content_hash"))
         self.ingest(events)
-        new = changes.select("repo", "head").distinct()
+        new = changes.where("head is not null").select("repo", "head").distinct()
         self.write(f"heads/{name}", new if heads is None else heads.join(new.select("repo"), "repo", "left_anti").unionByName(new))
         return events.drop("content")
 

@@ -49,26 +49,49 @@ def list_repositories(provider: str, org: str, token: str = "", base_url: str =
 
 
 def git(folder: Path | str, *args: str) -> str:
-    done = subprocess.run(["git", "-C", str(folder), "-c", "core.quotePath=false", *args], capture_output=True, text=True, timeout=600, check=False)
+    done = subprocess.run(["git", "-C", str(folder), "-c", "core.quotePath=false", *args], capture_output=True, text=True, errors="surrogateescape", timeout=600, check=False)
     if done.returncode:
         raise RuntimeError(f"git {args[0]} failed: {done.stderr.strip()[:500]}")
     return done.stdout
 
 
+def _names(text: str) -> list[str]:
+    """The parts of an output that ends each with a zero byte, so that names of any signs come as they are."""
+    return [x for x in text.split("\0") if x]
+
+
+def _ended(stream) -> Iterator[str]:
+    """As _names(), of a stream, bit by bit."""
+    held = b""
+    while piece := stream.read(1 << 16):
+        *whole, held = (held + piece).split(b"\0")
+        yield from (x.decode(errors="surrogateescape") for x in whole if x)
+    if held:
+        yield held.decode(errors="surrogateescape")
+
+
+def _diff(folder: str, since: str, head: str) -> list[tuple[str | None, str, str | None]]:
+    """operation, path and old path of what changed between two commits."""
+    parts, out = iter(_names(git(folder, "diff", "-z", "--name-status", "-M", since, head))), []
+    for mark in parts:
+        old = next(parts) if mark[:1] in "RC" else None
+        out.append(({"A": "add", "C": "add", "M": "modify", "T": "modify", "D": "delete", "R": "rename"}.get(mark[:1]), next(parts), old if mark[:1] == "R" else None))
+    return out
+
+
 def last_commits(folder: str, head: str, paths: set[str]) -> dict[str, str]:
     """The time of the last commit of each path, from one pass over the history, which ends when all are known."""
     out: dict[str, str] = {}
     stamp, waiting = "", set(paths)
-    run = subprocess.Popen(["git", "-C", folder, "-c", "core.quotePath=false", "log", "--format=%x01%cI", "--name-only", "--no-renames", head], stdout=subprocess.PIPE, text=True)
-    for line in run.stdout:
+    run = subprocess.Popen(["git", "-C", folder, "log", "-z", "--format=%x01%cI", "--name-only", "--no-renames", head], stdout=subprocess.PIPE)
+    for name in _ended(run.stdout):
         if not waiting:
             break
-        line = line.rstrip("\n")
-        if line.startswith("\x01"):
-            stamp = line[1:]
-        elif line in waiting:
-            out[line] = stamp
-            waiting.discard(line)
+        if name.startswith("\x01"):
+            stamp = name[1:]
+        elif (name := name.removeprefix("\n")) in waiting:  # a line ends before the first name of a commit
+            out[name] = stamp
+            waiting.discard(name)
     run.stdout.close()
     run.terminate()
     run.wait()
@@ -94,11 +117,22 @@ class GitReader(DataSourceReader):
         hit = lambda patterns: any(re.search(glob_regex(p).replace(r"\z", r"\Z"), x) for p in patterns for x in (path, path.rpartition("/")[2]))
         return not hit(self.exclude) and (not self.include or hit(self.include))
 
+    @staticmethod
+    def has(folder: str, commit: str) -> bool:
+        try:
+            git(folder, "cat-file", "-e", f"{commit}^{{commit}}")
+        except RuntimeError:
+            return False
+        return True
+
     def partitions(self) -> list[InputPartition]:
         return [Repository(r, self.since.get(r)) for r in dict.fromkeys(self.repos)]
 
     def read(self, partition: Repository) -> Iterator[tuple]:
-        """Clone, compare with the head seen before, and yield what changed; without one, everything is an addition."""
+        """Clone, compare with the head seen before, and yield what changed; without one, everything is an addition.
+
+        After a head that is gone (its branch was forced elsewhere) a row `reset` comes first, then everything as additions:
+        what was known of the repository is void. A file that is too large, or no file, now counts as deleted."""
         from datetime import datetime
 
         name = partition.url.rstrip("/").rpartition("/")[2].removesuffix(".git")
@@ -107,11 +141,13 @@ class GitReader(DataSourceReader):
             head = git(folder, "rev-parse", "HEAD").strip()
             if head == partition.since:
                 return
-            if partition.since:
-                lines = [x.split("\t") for x in git(folder, "diff", "--name-status", "-M", partition.since, head).splitlines()]
-                changes = [({"A": "add", "M": "modify", "D": "delete", "R": "rename"}.get(x[0][:1]), x[-1], x[1] if len(x) > 2 else None) for x in lines]
+            known = partition.since and self.has(folder, partition.since)
+            if known:
+                changes = _diff(folder, partition.since, head)
             else:
-                changes = [("add", p, None) for p in git(folder, "ls-tree", "-r", "--name-only", head).splitlines()]
+                changes = [("add", p, None) for p in _names(git(folder, "ls-tree", "-r", "-z", "--name-only", head))]
+                if partition.since:
+                    yield (partition.url, head, "reset", f"{name}/", None, None, None, None)
             # a rename into or out of the selection is an addition or a deletion
             changes = [("add", p, None) if op == "rename" and not self.selected(old) else ("delete", old, None) if op == "rename" and not self.selected(p) else (op, p, old) for op, p, old in changes]
             changes = [c for c in changes if c[0] is not None and self.selected(c[1])]
@@ -122,6 +158,8 @@ class GitReader(DataSourceReader):
                     file = Path(folder, path)
                     size = file.stat().st_size if file.is_file() else None
                     if size is None or size > self.max_bytes:
+                        gone = [p for p in (path, old) if p] if known else []  # what was indexed before it grew
+                        yield from ((partition.url, head, "delete", f"{name}/{p}", None, None, None, None) for p in gone)
                         continue
                     content = file.read_bytes()
                     at = datetime.fromisoformat(times[path]) if path in times else None

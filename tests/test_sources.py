@@ -215,6 +215,40 @@ def test_engine_syncs_git_and_opens_changed_files_only(spark, tmp_path, monkeypa
     assert [(r.path, bytes(r.content)) for r in folder.contents(spark, str(src), paths).collect()] == [("a[1].md", b"one")]
 
 
+def test_git_after_a_force_push_and_files_of_odd_names_and_sizes(spark, tmp_path):
+    """A head that is gone counts as a first sight, and what is lost is deleted; odd names come as they are; a file that grows too large leaves the index."""
+    repo = tmp_path / "proj"
+    repo.mkdir()
+    run(repo, "init", "-q", "-b", "main")
+    (repo / "a.md").write_text("granite")
+    (repo / 'tab\there "x"\nline.md').write_text("slate")
+    run(repo, "add", ".")
+    run(repo, "commit", "-qm", "first")
+    e = Engine(spark, str(tmp_path / "data"))
+    id_ = e.add_source("git", "g", url=str(repo), file_patterns=["*.md"])
+    odd = 'proj/tab\there "x"\nline.md'
+    rows = e.sync(id_).collect()
+    assert sorted((r.path, r.operation) for r in rows) == [("proj/a.md", "add"), (odd, "add")] and all(r.content_modified_at for r in rows)
+    run(repo, "checkout", "-q", "--orphan", "other")
+    run(repo, "rm", "-q", "--cached", "a.md")
+    (repo / "a.md").unlink()
+    (repo / "b.md").write_text("gneiss")
+    run(repo, "add", ".")
+    run(repo, "commit", "-qm", "other")
+    run(repo, "branch", "-M", "other", "main")
+    run(repo, "-c", "gc.reflogExpire=now", "reflog", "expire", "--expire=now", "--all")
+    run(repo, "gc", "-q", "--prune=now")
+    assert sorted((r.path, r.operation) for r in e.sync(id_).collect()) == [("proj/a.md", "delete"), ("proj/b.md", "add"), (odd, "add")]
+    assert sorted(r.path for r in e.list_files().collect()) == ["proj/b.md", odd]
+    from millrace.sources.git import GitReader, Repository, git
+
+    head = git(repo, "rev-parse", "HEAD").strip()
+    (repo / "b.md").write_text("x" * 1000)
+    run(repo, "add", ".")
+    run(repo, "commit", "-qm", "grows")
+    assert [(r[2], r[3]) for r in GitReader({"repos": str(repo), "maxBytes": "100"}).read(Repository(str(repo), head))] == [("delete", "proj/b.md")]
+
+
 def test_streaming_dedup_and_bad_lines(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text('{"k":"a","at":"2024-01-01T00:00:00Z"}\n{"k":"a","at":"2024-01-01T01:00:00Z"}\nnonsense\n{"k":"b","at":"2024-01-01T02:00:00Z"}\n')
