@@ -33,6 +33,8 @@ class Engine:
     Both indexes are one store of segments, in which a run adds what changed and nothing else is written again."""
 
     LOCK_SECONDS = 1800
+    #: Rows from which vectors get cells and codes; these are made anew when the rows are four times as many.
+    CELLS_FROM = 50_000
 
     def __init__(self, spark: SparkSession, root: str, embedder: Callable[[], embed.Embedder] | None = None, dimensions: int = 64, chunker: dict | None = None):
         self.spark, self.root = spark, root.rstrip("/")
@@ -253,7 +255,10 @@ class Engine:
         """Replace the documents of entries in both indexes, and remove the gone ones, in one commit. Entries of no collection, with an error."""
         points, unknown = index.points(entries)
         self.store.upsert(points, gone)
-        self.store.compact()
+        head = self.store.compact()
+        rows = sum(s["rows"] for s in head["segments"])
+        if rows >= self.CELLS_FROM and rows >= 4 * (head["book"] or {"rows": 0})["rows"]:
+            self.store.train(self.dimensions)
         return unknown
 
     # ---- queries
@@ -269,12 +274,19 @@ class Engine:
     def _now(self, as_of: int | None) -> int:
         return as_of if as_of is not None else self.spark.range(1).select(F.unix_timestamp()).first()[0]
 
-    def search_semantic(self, query: str, modality: str | None = None, repo: str | None = None, path_prefix: str | None = None, top_k: int = 10, score_threshold: float = 0.0, max_age_days: int | None = None, freshness_boost: float = 0.0, as_of: int | None = None) -> DataFrame:
+    def search_semantic(self, query: str, modality: str | None = None, repo: str | None = None, path_prefix: str | None = None, top_k: int = 10, score_threshold: float = 0.0, max_age_days: int | None = None, freshness_boost: float = 0.0, as_of: int | None = None, recall: float | None = None) -> DataFrame:
+        """The nearest chunks: exactly, or with a recall (such as 0.95) through the cells that hold about this part of them, where the index has some."""
         wanted = schemas.IMAGE_DIMENSIONS if modality == "image" else self.dimensions
         vector = embed.embed_query(query, "text", self.embedder, self.spark, self.dimensions)
         if len(vector) != wanted:
             raise ValueError(f"the query has {len(vector)} dimensions, the {modality or 'text'} index {wanted}")
-        hits = search.semantic(self._vectors(), vector, top_k, score_threshold, "chunk_id", self._now(as_of), freshness_boost, max_age_days, path_prefix, modality=modality, repo=repo)
+        options = (top_k, score_threshold, "chunk_id", self._now(as_of), freshness_boost, max_age_days, path_prefix)
+        hits = None
+        if recall is not None:
+            k, threshold, tie, now, boost, age, prefix = options
+            hits = self.store.nearest(vector, k, recall, threshold, tie, now, boost, age, prefix, modality=modality, repo=repo)
+        if hits is None:
+            hits = search.semantic(self._vectors(), vector, *options, modality=modality, repo=repo)
         return search.projected(hits, ("score", "score_final"))
 
     def search_lexical(self, query: str, repo: str | None = None, path_prefix: str | None = None, modality: str | None = None, limit: int = 20, offset: int = 0, max_age_days: int | None = None, freshness_boost: float = 0.0, as_of: int | None = None, typos: bool = True) -> DataFrame:

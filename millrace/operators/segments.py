@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import identity, ranking
-from millrace.operators import index
+from millrace.operators import index, search
+from millrace.operators.vector_index import AGAIN, Codebook, clear, grown, placed
 
 #: Segments of one tier that are merged; tiers grow by this factor.
 FAN = 4
@@ -37,7 +38,10 @@ FILE_WORDS = 4_000_000
 BROADCAST_ROWS, LISTED = 200_000, 1000
 #: Seconds after which a manifest that is not whole was left by a writer that died.
 STALE = 600
-_EMPTY = {"version": 0, "segments": [], "deletions": [], "docs": 0, "words": 0}
+_EMPTY = {"version": 0, "segments": [], "deletions": [], "docs": 0, "words": 0, "codes": [], "book": None}
+#: Recalls for which the number of cells is measured when codes are made; candidates that are scored by their vectors, at most.
+RECALLS, CANDIDATES = (0.9, 0.95, 0.99), 2000
+_CODED = ("chunk_id", "source_id", "document", "repo", "modality", "path", "content_modified_ts")
 
 
 class Conflict(ValueError):
@@ -53,7 +57,7 @@ class SegmentStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._path, self._books = spark._jvm.org.apache.hadoop.fs.Path, {}
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     # ---- manifests
@@ -126,7 +130,7 @@ class SegmentStore:
 
     def _alive(self, rows: DataFrame, manifest: dict, key: str) -> DataFrame:
         """Without the rows that a later deletion vector names."""
-        oldest = min((s["seq"] for s in manifest["segments"]), default=0)
+        oldest = min((p["seq"] for p in (*manifest["segments"], *manifest["codes"])), default=0)
         vectors = [d for d in manifest["deletions"] if d["seq"] > oldest]
         if not vectors:
             return rows.drop("__seq")
@@ -214,8 +218,79 @@ class SegmentStore:
                 new[kind].append(part | {"seq": seq})
         for n in ("docs", "words"):
             new[n] += (segment or {}).get(n, 0) - (dead or {}).get(n, 0)
+        if segment and head.get("book"):
+            rows = self.spark.read.parquet(f"{self.root}/segments/{segment['id']}/rows").where(F.size("vector") == head["book"]["width"])
+            new["codes"].append({"id": self._write_codes(placed(rows.select(*_CODED, "vector"), self._book(head), f"{self.root}/codes/{uuid.uuid4().hex}")), "seq": seq})
         return new
 
+    # ---- vectors by cells
+
+    def _book(self, manifest: dict) -> Codebook:
+        id_ = manifest["book"]["id"]
+        if id_ not in self._books:
+            self._books = {id_: Codebook.load(self.spark, f"{self.root}/books/{id_}")}
+        return self._books[id_]
+
+    def _write_codes(self, rows: DataFrame) -> str:
+        """A part of codes, in the order of the cells; of the vectors only the codes. `rows` may be a table of placed(), which goes."""
+        id_, from_ = uuid.uuid4().hex, {f.rsplit("/", 1)[0] for f in rows.inputFiles()} if "vector" in rows.columns else set()
+        rows.drop("vector").sortWithinPartitions("cell").write.parquet(f"{self.root}/codes/{id_}")
+        for path in from_:
+            self._fs.delete(self._path(path), True)
+        return id_
+
+    def _codes(self, manifest: dict) -> DataFrame:
+        parts = [self.spark.read.parquet(f"{self.root}/codes/{c['id']}").withColumn("__seq", F.lit(c["seq"]).cast("long")) for c in manifest["codes"]]
+        return self._alive(reduce(DataFrame.unionByName, parts), manifest, "chunk_id")
+
+    def train(self, dimensions: int, cells: int | None = None, most: int | None = None) -> dict:
+        """Make a codebook for the live vectors of so many dimensions, and their codes; later commits add theirs. The manifest.
+
+        To be called again when the rows have grown by much: then the cells are made anew."""
+        head = self.head()
+        held = self.rows(head)
+        if held is None:
+            return head
+        own = held.where(F.size("vector") == dimensions).select(*_CODED, "vector")
+        n, id_ = own.count(), uuid.uuid4().hex
+        if not n:
+            return head
+        work = f"{self.root}/books/{id_}-work"
+        book, rows = grown(own, work, "chunk_id", n, cells, most)
+        book.save(self.spark, f"{self.root}/books/{id_}")
+        probes = {str(r): book.probes_for(rows, "chunk_id", r) for r in RECALLS}
+        codes = self._write_codes(rows)
+        clear(self.spark, work)
+
+        def make(now: dict) -> dict:
+            new = json.loads(json.dumps(now))
+            new["book"] = {"id": id_, "width": dimensions, "rows": n, "cells": len(book.leaves()), "probes": probes}
+            new["codes"] = [{"id": codes, "seq": head["version"]}]
+            for s in now["segments"]:  # written meanwhile
+                if s["seq"] > head["version"]:
+                    rest = self.spark.read.parquet(f"{self.root}/segments/{s['id']}/rows").where(F.size("vector") == dimensions).select(*_CODED, "vector")
+                    new["codes"].append({"id": self._write_codes(placed(rest, book, f"{self.root}/codes/{uuid.uuid4().hex}")), "seq": s["seq"]})
+            return new
+
+        return self._commit(make)
+
+    def nearest(self, query: Sequence[float], k: int = 10, recall: float = 0.95, threshold: float = 0.0, tie: str = "chunk_id", as_of: int | None = None, freshness_boost: float = 0.0, max_age_days: int | None = None, path_prefix: str | None = None, probes: int | None = None, manifest: dict | None = None, **equal: str | None) -> DataFrame | None:
+        """As search.semantic() over the cells that hold about this part of the nearest rows: codes first, then the vectors of the best. None without codes for such a query.
+
+        Filters come first; where they leave fewer rows than are wanted in these cells, the answer has fewer."""
+        manifest = manifest or self.head()
+        if not manifest.get("book") or manifest["book"]["width"] != len(query) or k <= 0:
+            return None
+        book = self._book(manifest)
+        n = probes or manifest["book"]["probes"][str(min((r for r in RECALLS if r >= recall), default=RECALLS[-1]))]
+        held = search.filtered(self._codes(manifest).where(F.col("cell").isin(book.near(query, n))), as_of, max_age_days, path_prefix, **equal)
+        wanted = min(CANDIDATES, AGAIN * ranking.fetch_size(k, freshness_boost))
+        best = held.select(*_CODED[:3], book.rough(query).alias("__rough")).orderBy(F.desc("__rough"), tie).limit(max(wanted, k)).collect()
+        rows = self.rows(manifest)
+        for c in _CODED[:3]:  # the statistics of the files spare most of them
+            rows = rows.where(F.col(c).isin(sorted({r[c] for r in best})))
+        return search.semantic(rows.drop("content", "doc_id", "doc_len", "document"), query, k, threshold, tie, as_of, freshness_boost)
+
     def upsert(self, points: DataFrame, gone: DataFrame | None = None) -> dict:
         """Replace the documents of points, and remove the gone ones (source_id, path): all of it in one commit. The manifest.
 
@@ -276,6 +351,9 @@ class SegmentStore:
             new = json.loads(json.dumps(now))
             new["segments"] = [s for s in new["segments"] if s["id"] not in ids] + ([merged] if n["rows"] else [])
             oldest = min((s["seq"] for s in new["segments"]), default=now["version"])
+            if len(now["codes"]) >= FAN:  # the codes of one book become one part
+                new["codes"] = [{"id": self._write_codes(self._codes(now)), "seq": now["version"]}]
+            oldest = min((p["seq"] for p in (*new["segments"], *new["codes"])), default=now["version"])
             new["deletions"] = [d for d in new["deletions"] if d["seq"] > oldest]
             return new
 
@@ -288,8 +366,8 @@ class SegmentStore:
         for v in numbers[:-keep]:
             self._fs.delete(self._file(v), False)
         gone = 0
-        for kind in ("segments", "deletions"):
-            base, named = self._path(f"{self.root}/{kind}"), {p["id"] for m in kept for p in m[kind]}
+        for kind in ("segments", "deletions", "codes", "books"):
+            base, named = self._path(f"{self.root}/{kind}"), {p["id"] for m in kept for p in (m[kind] if kind != "books" else [m["book"]] if m["book"] else [])}
             for f in self._fs.listStatus(base) if self._fs.exists(base) else []:
                 if f.getPath().getName() not in named and time.time() - f.getModificationTime() / 1000 > STALE:
                     gone += bool(self._fs.delete(f.getPath(), True))

@@ -123,6 +123,39 @@ class Codebook:
         self.children[cell] = len(self.centroids) + np.arange(len(centroids))
         self.centroids = np.concatenate([self.centroids, centroids])
 
+    def rough(self, query: Sequence[float]) -> Column:
+        """The score of a row by its columns cell and code."""
+        q = unit(np.array([query], float))[0]
+        base, tables = self.centroids @ q, self.tables(q)
+
+        @F.arrow_udf("double")
+        def score(cell: pa.Array, code: pa.Array) -> pa.Array:
+            out = base[cell.to_numpy(zero_copy_only=False)]
+            codes = np.frombuffer(b"".join(code.to_pylist()), np.uint8).reshape(len(code), len(tables))
+            for j, t in enumerate(tables):
+                out = out + t[codes[:, j]]
+            return pa.array(out)
+
+        return score(F.col("cell"), F.col("code"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(bytearray(pickle.dumps(self)),)], "bytes binary").coalesce(1).write.parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Codebook:
+        return pickle.loads(bytes(spark.read.parquet(path).first()["bytes"]))
+
+    def probes_for(self, rows: DataFrame, key: str, recall: float, k: int = 10) -> int:
+        """How many cells a query needs so that about this part of its k nearest rows (key, vector, cell) lie in them, measured on TUNED rows as queries against all rows."""
+        drawn = rows.where(_share(key, TUNED, rows.count())).where("vector is not null").select(F.col(key).alias("query_id"), F.col("vector").alias("query_vector"))
+        near = search.semantic_batch(rows, drawn, k, -1.0, key).join(rows.select(key, "cell"), key).join(drawn, "query_id").select("query_vector", "cell").toArrow()  # k rows for each of them
+        if not near.num_rows:
+            return 1
+        leaves = self.leaves()
+        order = np.argsort(-(unit(_matrix(near.column("query_vector").combine_chunks(), self.width)) @ self.centroids[leaves].T), axis=1, kind="stable")
+        rank = (leaves[order] == near.column("cell").to_numpy()[:, None]).argmax(1)
+        return int(np.quantile(rank, recall, method="higher")) + 1
+
 
 def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
     """Rows of a list column; null, and lists of another length, as zeros."""
@@ -135,36 +168,17 @@ def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
 class VectorIndex:
     def __init__(self, spark: SparkSession, path: str, key: str = "chunk_id"):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
-        self.codebook: Codebook = pickle.loads(bytes(spark.read.parquet(f"{self.path}/codebook").first()["bytes"]))
+        self.codebook = Codebook.load(spark, f"{self.path}/codebook")
 
     @classmethod
     def build(cls, vectors: DataFrame, path: str, key: str = "chunk_id", cells: int | None = None, most: int | None = None) -> VectorIndex:
         """vectors: key, vector and other columns. Cells number about the square root of the rows, unless given; `most` rows are in a cell, unless they are alike."""
         spark, n = vectors.sparkSession, vectors.count()
-        cells = cells or max(1, min(FIRST_CELLS, int(n**0.5)))
-        most = most or max(1024, 4 * int(n**0.5))
-        drawn = vectors.where(_share(key, SAMPLE, n)).select("vector").toArrow()  # the bounded sample
-        lengths = pc.list_value_length(drawn.column("vector")).drop_null()
-        width = pc.max(lengths).as_py() or 1
-        whole = drawn.filter(pc.equal(pc.list_value_length(drawn.column("vector")), width)).column("vector").combine_chunks()
-        book = Codebook.fitted(_matrix(whole, width), cells)
-        rows = _placed(vectors, book, f"{path}/placed-0")
-        for k in range(1, 64):
-            large = rows.groupBy("cell").count().where(F.col("count") > most)
-            split = [r for r in _fitted(rows, large, key, most).collect() if len(r["centroids"]) > 1]  # one row for each large cell
-            if not split:
-                break
-            for r in split:
-                book.split(r["cell"], np.array(r["centroids"]).reshape(-1, width))
-            rows = _placed(rows, book, f"{path}/placed-{k}")
+        book, rows = grown(vectors, path, key, n, cells, most)
         files = max(1, -(-n // FILE_ROWS))
         rows.repartitionByRange(files, "cell", F.xxhash64(key)).sortWithinPartitions("cell").write.parquet(f"{path}/rows")
-        spark.createDataFrame([(bytearray(pickle.dumps(book)),)], "bytes binary").coalesce(1).write.parquet(f"{path}/codebook")
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
-        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        for f in fs.listStatus(hadoop.getParent()):
-            if f.getPath().getName().startswith("placed-"):
-                fs.delete(f.getPath(), True)
+        book.save(spark, f"{path}/codebook")
+        clear(spark, path)
         return cls(spark, path, key)
 
     def rows(self, query: Sequence[float], probes: int | None = None) -> DataFrame:
@@ -177,37 +191,13 @@ class VectorIndex:
         equal = {c: v for c, v in options.items() if c != "freshness_boost"}
         held = search.filtered(self.rows(query, probes), as_of, max_age_days, path_prefix, **equal)
         if probes is not None and len(query) == self.codebook.width:
-            best = held.select(self.key, self._rough(query).alias("__rough")).orderBy(F.desc("__rough"), self.key).limit(AGAIN * max(k, 1)).select(self.key)
+            best = held.select(self.key, self.codebook.rough(query).alias("__rough")).orderBy(F.desc("__rough"), self.key).limit(AGAIN * max(k, 1)).select(self.key)
             held = held.join(F.broadcast(best), self.key, "left_semi")
         return search.semantic(held.drop("cell", "code"), query, k, threshold, self.key, as_of, options.get("freshness_boost", 0.0))
 
-    def _rough(self, query: Sequence[float]) -> Column:
-        """The score of a row by its cell and code."""
-        q = unit(np.array([query], float))[0]
-        base, tables = self.codebook.centroids @ q, self.codebook.tables(q)
-
-        @F.arrow_udf("double")
-        def score(cell: pa.Array, code: pa.Array) -> pa.Array:
-            out = base[cell.to_numpy(zero_copy_only=False)]
-            codes = np.frombuffer(b"".join(code.to_pylist()), np.uint8).reshape(len(code), len(tables))
-            for j, t in enumerate(tables):
-                out = out + t[codes[:, j]]
-            return pa.array(out)
-
-        return score(F.col("cell"), F.col("code"))
-
     def probes_for(self, recall: float, k: int = 10) -> int:
-        """How many cells a query needs so that about this part of its k nearest rows lie in them, measured on TUNED rows as queries against all rows."""
-        rows = self.spark.read.parquet(f"{self.path}/rows")
-        n = rows.count()
-        drawn = rows.where(_share(self.key, TUNED, n)).where("vector is not null").select(F.col(self.key).alias("query_id"), F.col("vector").alias("query_vector"))
-        near = search.semantic_batch(rows, drawn, k, -1.0, self.key).join(rows.select(self.key, "cell"), self.key).join(drawn, "query_id").select("query_vector", "cell").toArrow()  # k rows for each of them
-        if not near.num_rows:
-            return 1
-        leaves = self.codebook.leaves()
-        order = np.argsort(-(unit(_matrix(near.column("query_vector").combine_chunks(), self.codebook.width)) @ self.codebook.centroids[leaves].T), axis=1, kind="stable")
-        rank = (leaves[order] == near.column("cell").to_numpy()[:, None]).argmax(1)
-        return int(np.quantile(rank, recall, method="higher")) + 1
+        """As Codebook.probes_for() over the rows of the index."""
+        return self.codebook.probes_for(self.spark.read.parquet(f"{self.path}/rows"), self.key, recall, k)
 
     def batch(self, queries: DataFrame, k: int = 10, probes: int | None = None, threshold: float = 0.0) -> DataFrame:
         """query_id, key, score, rank: the k best of each query (query_id, query_vector) among the rows of its nearest cells; among all, without probes."""
@@ -215,12 +205,40 @@ class VectorIndex:
         return search.semantic_batch(held, queries, k, threshold, self.key, None if probes is None else (lambda q: self.codebook.near(q, probes)))
 
 
+def grown(vectors: DataFrame, path: str, key: str, n: int, cells: int | None = None, most: int | None = None) -> tuple[Codebook, DataFrame]:
+    """A codebook for n rows, and the rows with cell and code; tables lie below path until clear()."""
+    cells = cells or max(1, min(FIRST_CELLS, int(n**0.5)))
+    most = most or max(1024, 4 * int(n**0.5))
+    drawn = vectors.where(_share(key, SAMPLE, n)).select("vector").toArrow().column("vector")  # the bounded sample
+    width = pc.max(pc.list_value_length(drawn)).as_py() or 1
+    book = Codebook.fitted(_matrix(drawn.filter(pc.equal(pc.list_value_length(drawn), width)).combine_chunks(), width), cells)
+    rows = placed(vectors, book, f"{path}/placed-0")
+    for k in range(1, 64):
+        large = rows.groupBy("cell").count().where(F.col("count") > most)
+        split = [r for r in _fitted(rows, large, key, most).collect() if len(r["centroids"]) > 1]  # one row for each large cell
+        if not split:
+            break
+        for r in split:
+            book.split(r["cell"], np.array(r["centroids"]).reshape(-1, width))
+        rows = placed(rows, book, f"{path}/placed-{k}")
+    return book, rows
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Remove the tables of grown()."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(base):
+        if f.getPath().getName().startswith("placed-"):
+            fs.delete(f.getPath(), True)
+
+
 def _share(key: str, rows: int, of: int) -> Column:
     """About so many rows, evenly by a hash of the key."""
     return F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(min(1.0, rows / max(1, of)) * (1 << 20))
 
 
-def _placed(rows: DataFrame, book: Codebook, path: str) -> DataFrame:
+def placed(rows: DataFrame, book: Codebook, path: str) -> DataFrame:
     """rows with cell and code, as a table; those whose cell was split go down from it."""
     spark, again = rows.sparkSession, "cell" in rows.columns
     held = spark.sparkContext.broadcast(book)

@@ -136,6 +136,49 @@ def test_a_merge_meets_later_commits(spark, tmp_path):
     assert store._merge(head, head["segments"])["version"] == n
 
 
+def test_nearest_by_codes_follows_commits(spark, tmp_path, monkeypatch):
+    """Codes are made once and by each later commit; what is replaced or removed is not found; merged parts give the same."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(12, 8))
+    x = centres[r.integers(0, 12, 900)] + 0.2 * r.normal(size=(900, 8))
+
+    def rows(keys, shift=0):
+        made = [(f"a:p{k}:0", "a", f"p{k}", "r", "text", "t", "", 5, f"mill {k}", "m", x[(k + shift) % 900].tolist()) for k in keys]
+        return spark.createDataFrame(made, SCHEMA)
+
+    store = SegmentStore(spark, str(tmp_path / "s"))
+    assert store.nearest([0.0] * 8) is None
+    store.upsert(rows(range(600)))
+    head = store.train(8, cells=12)
+    assert head["book"]["rows"] == 600 and store.nearest([0.0] * 7) is None
+    now = {k: x[k] for k in range(600)}
+    store.upsert(rows(range(600, 900)))
+    now |= {k: x[k] for k in range(600, 900)}
+    store.upsert(rows(range(0, 900, 9), 100), gone(spark, [("a", f"p{k}") for k in range(1, 900, 10)]))
+    now = {k: v for k, v in now.items() if k % 10 != 1} | {k: x[(k + 100) % 900] for k in range(0, 900, 9)}
+    monkeypatch.setattr(segments, "FAN", 2)
+
+    def recalled():
+        got = total = 0
+        for q in range(0, 900, 150):
+            score = {k: v @ x[q] / np.linalg.norm(v) for k, v in now.items()}
+            best = {f"p{k}" for k in sorted(score, key=lambda k: (-score[k], k))[:10]}
+            hits = store.nearest(x[q].tolist(), 10, 0.95, -1.0, path_prefix="p").collect()
+            assert len(hits) == 10 and all(abs(h.score - score[int(h.path[1:])] / np.linalg.norm(x[q])) < 1e-5 for h in hits)
+            got, total = got + len(best & {h.path for h in hits}), total + 10
+        return got / total
+
+    assert recalled() >= 0.9 and len(store.head()["codes"]) == 3
+    assert len(store.compact(everything=True)["codes"]) == 1 and recalled() >= 0.9
+    store.train(8, cells=12)
+    monkeypatch.setattr(segments, "STALE", -1)
+    store.vacuum(keep=1)
+    assert recalled() >= 0.9
+    assert [h.path for h in store.nearest(x[5].tolist(), 3, 0.99, -1.0, repo="none").collect()] == []
+
+
 def test_near_words_and_derived_rows(spark, tmp_path, monkeypatch):
     store = SegmentStore(spark, str(tmp_path / "s"))
     rows = points(spark, [("a", "p", ["granite mills"]), ("a", "q", ["grenite"]), ("a", "d.pdf#page=2", ["slate"]), ("a", "img", ["stone"])])
