@@ -187,8 +187,12 @@ def lexical(
     """Pages of documents by BM25 over whole texts, with highlights; through a LexicalIndex if one is given, else by a scan. A freshness boost scores ranks: 1 for the first, falling evenly over the fetched page."""
     terms = query_terms(query)
     rows = filtered(docs, as_of, max_age_days, path_prefix, **equal)
-    scores = lexical_scores(docs, terms, key, content, typos) if index is None else index.scores(terms, typos)
     boost = ranking.clamp(freshness_boost)
+    if index is not None and not typos and hasattr(index, "top"):  # reads only what may be among the hits
+        narrowed = path_prefix or max_age_days is not None or any(v is not None for v in equal.values())
+        scores = F.broadcast(index.top(terms, ranking.fetch_size(limit, boost) + offset, rows.select(key) if narrowed else None)[0])
+    else:
+        scores = lexical_scores(docs, terms, key, content, typos) if index is None else index.scores(terms, typos)
     best = scores.withColumn("bm25", F.round("bm25", 6))
     hits = rows.join(best, key).orderBy(F.desc("bm25"), key)
     hits = hits.limit(limit + offset).offset(offset) if boost <= 0 else hits.limit(ranking.fetch_size(limit, boost) + offset).offset(offset)

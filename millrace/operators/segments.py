@@ -36,6 +36,8 @@ FAN = 4
 FILE_WORDS = 4_000_000
 #: Rows of a deletion vector, documents of a commit and words near a query that may be broadcast, or listed in a filter.
 BROADCAST_ROWS, LISTED = 200_000, 1000
+#: Documents of a part, about; documents that have a word from which it has stored blocks; and parts that are scored before others are left out.
+PART_DOCS, FREQUENT, FIRST_PARTS = 2000, 128, 64
 #: Seconds after which a manifest that is not whole was left by a writer that died.
 STALE = 600
 _EMPTY = {"version": 0, "segments": [], "deletions": [], "docs": 0, "words": 0, "codes": [], "book": None}
@@ -167,17 +169,26 @@ class SegmentStore:
             self._fs.delete(self._path(path), True)
             return None
         if n["docs"]:
-            self._write_postings(path, index.postings(rows.where("doc_len is not null"), "doc_id", "content"), n["words"])
+            self._write_postings(path, index.postings(rows.where("doc_len is not null"), "doc_id", "content"), n["words"], n["docs"])
         return {"id": id_, "rows": n["rows"], "docs": n["docs"], "words": n["words"]}
 
-    def _write_postings(self, path: str, postings: DataFrame, words: int) -> None:
-        """Postings in order of term and document over files of bounded size, so that a frequent term has several; what terms each file has; and the words."""
+    def _write_postings(self, path: str, postings: DataFrame, words: int, docs: int) -> None:
+        """Postings in order of term and document over files of bounded size, so that a frequent term has several; what terms each file has; and the words.
+
+        Documents of about one length lie in parts of about PART_DOCS. A frequent term has a block for each part: how many
+        documents, its most occurrences and its least length there, which bound its score in the part."""
+        length = F.floor(F.log2(F.col("doc_len").cast("double") + 1) * 4).cast("long")
+        part = F.shiftleft(length, 32) + F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs // (16 * PART_DOCS))))
         files = max(1, -(-words // FILE_WORDS))
-        dealt = postings.coalesce(1) if files == 1 else postings.repartitionByRange(files, "term", "doc_id")
-        dealt.sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+        rows = postings.select("term", part.alias("part"), "doc_id", "doc_len", "tf")
+        dealt = rows.coalesce(1) if files == 1 else rows.repartitionByRange(files, "term", "part", "doc_id")
+        dealt.sortWithinPartitions("term", "part", "doc_id").write.parquet(f"{path}/postings")
         held = self.spark.read.parquet(f"{path}/postings")
         held.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("term").alias("least"), F.max("term").alias("most")).coalesce(1).write.parquet(f"{path}/fences")
+        blocks = _blocks(held)
         held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/words")
+        often = self.spark.read.parquet(f"{path}/words").where(F.col("df") >= FREQUENT).select("term")
+        blocks.join(often, "term", "left_semi").sortWithinPartitions("term").write.parquet(f"{path}/blocks")
 
     def _write_deletions(self, manifest: dict, documents: DataFrame, gone: DataFrame | None) -> dict | None:
         """The live rows of documents (source_id, document) that are replaced, and of those that are gone, with what was derived from these."""
@@ -341,7 +352,7 @@ class SegmentStore:
         self._alive(self._of(head, "rows", old), head, "chunk_id").sortWithinPartitions("source_id", "document").write.parquet(f"{path}/rows")
         n = self.spark.read.parquet(f"{path}/rows").agg(F.count(F.lit(1)).alias("rows"), F.count("doc_len").alias("docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("words")).first()
         if n["docs"]:
-            self._write_postings(path, self._alive(self._of(head, "postings", old), head, "doc_id"), n["words"])
+            self._write_postings(path, self._alive(self._of(head, "postings", old), head, "doc_id"), n["words"], n["docs"])
         # what is alive at this head is what its number says; later deletions still reach it
         merged = {"id": id_, "rows": n["rows"], "docs": n["docs"], "words": n["words"], "seq": head["version"]}
 
@@ -379,6 +390,10 @@ class SegmentStore:
         return SegmentIndex(self, manifest or self.head())
 
 
+def _blocks(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term", "part").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most_tf"), F.min("doc_len").alias("least_len"))
+
+
 class SegmentIndex:
     """BM25 over the postings of one manifest. Only files that may have a term are opened, by the least and most term of each."""
 
@@ -404,6 +419,80 @@ class SegmentIndex:
             return spark.createDataFrame([], "term string, doc_id string, doc_len int, tf long")
         return self.store._alive(reduce(DataFrame.unionByName, parts), self.manifest, "doc_id").select("term", "doc_id", "doc_len", "tf")
 
+    # ---- the k best, without reading what cannot be among them
+
+    def bounds(self, terms: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+        """segment, part and the most that a document there can score, as a table; and how many live documents have each term."""
+        spark, parts = self.store.spark, []
+        for s in self.manifest["segments"]:
+            if not s["docs"]:
+                continue
+            base = f"{self.store.root}/segments/{s['id']}"
+            stored = spark.read.parquet(f"{base}/blocks").where(F.col("term").isin(list(terms)))
+            often = [r.term for r in stored.select("term").distinct().collect()]  # of the query's terms
+            rare = [t for t in terms if t not in often]
+            files = self._files(s, rare) if rare else []
+            if files:  # few postings each
+                stored = stored.unionByName(_blocks(spark.read.parquet(*files).where(F.col("term").isin(rare))))
+            parts.append(stored.withColumn("segment", F.lit(s["id"])))
+        if not parts:
+            return spark.createDataFrame([], "segment string, part long, bound double"), {}
+        blocks = reduce(DataFrame.unionByName, parts)
+        if any(d["docs"] for d in self.manifest["deletions"]):
+            df = self.postings(terms).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        else:
+            df = blocks.groupBy("term").agg(F.sum("df").alias("n"))
+        counts = {r.term: r.n for r in df.collect()}  # of the query's terms
+        each = F.create_map(*[x for t, n in counts.items() for x in (F.lit(t), F.lit(n))]) if counts else F.lit(None).cast("map<string,bigint>")
+        most = ranking.bm25(F.col("most_tf"), each[F.col("term")], F.col("least_len"), F.lit(self.n_docs), F.lit(self.mean_len))
+        return blocks.groupBy("segment", "part").agg(F.sum(most).alias("bound")), counts
+
+    def _scored(self, terms: Sequence[str], chosen: list[tuple[str, int]] | DataFrame, counts: dict[str, int]) -> DataFrame:
+        """doc_id, bm25 of the live documents of some parts."""
+        spark, parts = self.store.spark, []
+        by_segment: dict[str, list[int]] = {}
+        for segment, part in chosen if isinstance(chosen, list) else ():
+            by_segment.setdefault(segment, []).append(part)
+        for s in self.manifest["segments"]:
+            if not s["docs"] or (isinstance(chosen, list) and s["id"] not in by_segment):
+                continue
+            files = self._files(s, terms)
+            if not files:
+                continue
+            rows = spark.read.parquet(*files).where(F.col("term").isin(list(terms)))
+            rows = rows.where(F.col("part").isin(by_segment[s["id"]])) if isinstance(chosen, list) else rows.join(chosen.where(F.col("segment") == s["id"]).select("part"), "part", "left_semi")
+            parts.append(rows.withColumn("__seq", F.lit(s["seq"]).cast("long")))
+        if not parts or not counts:
+            return spark.createDataFrame([], "doc_id string, bm25 double")
+        each = F.create_map(*[x for t, n in counts.items() for x in (F.lit(t), F.lit(n))])
+        live = self.store._alive(reduce(DataFrame.unionByName, parts), self.manifest, "doc_id")
+        one = ranking.bm25(F.col("tf"), each[F.col("term")], F.col("doc_len"), F.lit(self.n_docs), F.lit(self.mean_len))
+        return live.select("doc_id", one.alias("part_score")).groupBy("doc_id").agg(F.sum("part_score").alias("bm25"))
+
+    def top(self, terms: Sequence[str], k: int, among: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
+        """doc_id, bm25 of the k best documents at least (by bm25 to six places, then by doc_id), among those of a table (doc_id) if given; and how many parts there were and were read.
+
+        The parts of the highest bounds are scored first; the k-th score is the threshold below which a part is left out."""
+        bounds, counts = self.bounds(terms)
+        bounds = bounds.cache()
+        try:
+            total = bounds.count()
+            first = [(r.segment, r.part) for r in bounds.orderBy(F.desc("bound"), "segment", "part").limit(FIRST_PARTS).collect()]
+            within = lambda scores: scores if among is None else scores.join(among.select("doc_id"), "doc_id", "left_semi")
+            best = within(self._scored(terms, first, counts)).withColumn("bm25", F.round("bm25", 6)).orderBy(F.desc("bm25"), "doc_id").limit(k).collect()
+            least = best[-1].bm25 if len(best) >= k > 0 else float("-inf")
+            seen = self.store.spark.createDataFrame(first, "segment string, part long")
+            rest = bounds.where(F.col("bound") >= least - 2e-6).join(F.broadcast(seen), ["segment", "part"], "left_anti")
+            n = rest.count() if total > len(first) else 0
+            found = self.store.spark.createDataFrame(best, "doc_id string, bm25 double")
+            if n:
+                chosen = [(r.segment, r.part) for r in rest.select("segment", "part").collect()] if n <= LISTED else rest.select("segment", "part")
+                more = within(self._scored(terms, chosen, counts)).withColumn("bm25", F.round("bm25", 6)).orderBy(F.desc("bm25"), "doc_id").limit(k)
+                found = self.store.spark.createDataFrame([*best, *more.collect()], "doc_id string, bm25 double")  # 2 k rows
+            return found, {"parts": total, "read": len(first) + n}
+        finally:
+            bounds.unpersist()
+
     def near(self, terms: Sequence[str]) -> DataFrame | None:
         """term, meant: the words of the vocabulary near a query's terms; only the words of the segments are compared."""
         query = F.array(*[F.lit(t) for t in terms]).cast("array<string>")

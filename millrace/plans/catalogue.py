@@ -179,6 +179,19 @@ def segment_bm25(spark, d):
     return _phases(spark, d, lambda store, m: store.index(m).scores(terms).join(store.rows(m).select("doc_id", "path"), "doc_id").select("path", F.round("bm25", 6).alias("bm25")))
 
 
+@query(f"""with {REVISED}, w as (select path, {TERMS.format(x='text')} as ws from r), qt as (select distinct unnest({TERMS.format(x='text')}) as term from benchmark where item_id = 0),
+tot as (select count(*) as n, avg(len(ws)) as m from w), x as (select path, len(ws) as dl, unnest(ws) as term from w),
+tf as (select path, dl, term, count(*) as tf from x where term in (select term from qt) group by all), df as (select term, count(*) as df from tf group by 1),
+b as (select path, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))), 6) as bm25 from tf join df using (term), tot group by 1)
+select phase, bm25, row_number() over (partition by phase order by bm25 desc) as rank from b, phases qualify rank <= 20""")
+def segment_top(spark, d):
+    """The scores of the 20 best documents, from the parts of the postings whose bounds let them hold one, before and after compaction."""
+    terms = search.query_terms(query_text(spark, d))
+    best = _phases(spark, d, lambda store, m: store.index(m).top(terms, 20)[0])
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("phase").orderBy(F.desc("bm25"), "doc_id")))
+    return ranked.where("rank <= 20").select("phase", "bm25", F.col("rank").cast("long").alias("rank"))
+
+
 @query(r"""with x as (select doc_id, regexp_replace(text, '([^\p{L}\p{N}_]|^)(the|of|und|les)', '\1' || chr(1) || '\2', 'gi') as t from documents)
 select doc_id, md5(regexp_replace(regexp_replace(t, chr(1) || '(the|of|und|les)([\p{L}\p{N}_])', '\1\2', 'gi'), chr(1) || '(the|of|und|les)', '<em>\1</em>', 'gi')) as digest from x""")
 def highlights(spark, d):

@@ -86,6 +86,38 @@ def test_random_commits_equal_a_dictionary(spark, tmp_path, monkeypatch):
     check(store, model)
 
 
+@pytest.mark.parametrize("listed", [1000, 0])
+def test_best_documents_without_reading_all_parts(spark, tmp_path, monkeypatch, listed):
+    """The k best equal those of a full scoring, with deletions and over several segments; parts that cannot hold one are not read."""
+    for name, value in (("PART_DOCS", 2), ("FREQUENT", 20), ("FIRST_PARTS", 4), ("LISTED", listed)):
+        monkeypatch.setattr(segments, name, value)
+    r, store = random.Random(8), SegmentStore(spark, str(tmp_path / "s"))
+    text = lambda: " ".join(r.choices([*WORDS, *(f"u{k}" for k in range(300))], k=int(2 + r.paretovariate(0.7) % 200)))
+    model = {("a", f"p{k}"): [text()] for k in range(700)}
+    store.upsert(points(spark, [(*k, v) for k, v in model.items()]))
+    new = {("a", f"p{k}"): [text()] for k in range(600, 800)}
+    store.upsert(points(spark, [(*k, v) for k, v in new.items()]), gone(spark, [("a", f"p{k}") for k in range(0, 100)]))
+    model = {k: v for k, v in (model | new).items() if int(k[1][1:]) >= 100}
+    keys = {r.doc_id: (r.source_id, r.path, 0) for r in store.rows().collect()}
+    queries = ((["mill", "u7"], 5), (["u3", "u4", "u5"], 3), (["none"], 4), (["mill", "wheel", "river", "stone"], 2000))
+    for own in (queries, queries[:1]) if listed else (queries[:1],):
+        ix = store.index()
+        for terms, k in own:
+            want = brute(model, terms)
+            order = sorted(want, key=lambda x: (-round(want[x], 6), next(d for d, y in keys.items() if y == x)))[:k]
+            found, read = ix.top(terms, k)
+            got = sorted(found.collect(), key=lambda x: (-x.bm25, x.doc_id))[:k]
+            assert [keys[x.doc_id] for x in got] == order and all(abs(x.bm25 - want[keys[x.doc_id]]) < 1e-5 for x in got)
+            assert read["read"] <= read["parts"]
+            if terms == ["mill", "u7"]:
+                assert read["read"] < read["parts"] / 2
+        some = store.rows().where("path like 'p7%'")
+        got = sorted(ix.top(["mill"], 3, some)[0].collect(), key=lambda x: (-x.bm25, x.doc_id))[:3]
+        want = {k: v for k, v in brute(model, ["mill"]).items() if k[1].startswith("p7")}
+        assert [round(x.bm25, 5) for x in got] == [round(v, 5) for v in sorted(want.values(), reverse=True)[:3]]
+        store.compact(everything=True)
+
+
 def test_a_commit_writes_in_proportion_to_what_changed(spark, tmp_path):
     """One changed document of 400 writes one row, its own postings and one key; nothing that lay there is touched."""
     store = SegmentStore(spark, str(tmp_path / "s"))
