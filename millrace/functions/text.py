@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 #: White space as Python strips it, for both Java and RE2 classes.
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SEPARATORS = ("\n\n", "\n", ". ", " ")
+# The extensions that count as images.
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "bmp", "tiff", "tif", "webp", "ico")
-#: Extensions that adapters give the image modality; all others are text.
+# Extensions that adapters give the image modality; all others are text.
 ADAPTER_IMAGES = ("jpg", "jpeg", "png", "gif", "webp")
 
 

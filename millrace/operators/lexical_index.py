@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from millrace.functions import ranking
 from millrace.operators import index
 
-BUCKETS = 64
+#: Buckets at least, and words of text for each beyond: their number grows with the corpus.
+BUCKETS, BUCKET_WORDS = 64, 4_000_000
 
 
 def bucket(term: Column, buckets: int = BUCKETS) -> Column:
@@ -19,22 +20,25 @@ def bucket(term: Column, buckets: int = BUCKETS) -> Column:
 
 
 class LexicalIndex:
-    """Postings lie in a folder per bucket, sorted by term, so that a query reads the files of its terms' buckets and there the row groups of its terms."""
+    """Postings lie in a folder per bucket (their number grows with the words), sorted by term, so that a query reads the files of its terms' buckets and there the row groups of its terms."""
 
     def __init__(self, spark: SparkSession, path: str, key: str = "doc_id"):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
         self._postings, self._words = (spark.read.parquet(f"{self.path}/{t}") for t in ("postings", "words"))
         row = spark.read.parquet(f"{self.path}/totals").first()
-        self.n_docs, self.mean_len = row["n_docs"], row["mean_len"]
+        self.n_docs, self.mean_len, self.buckets = row["n_docs"], row["mean_len"], row["buckets"]
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> LexicalIndex:
         """Every document and its whole text. One pass over the texts writes the postings; the rest is counted from these and the lengths."""
         spark = docs.sparkSession
         lengths = docs.select(F.size(ranking.terms(F.col(text))).alias("doc_len"))
-        lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("mean_len")).write.parquet(f"{path}/totals")
-        rows = index.postings(docs, key, text).withColumn("bucket", bucket(F.col("term")))
-        rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        n = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("mean_len"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("words")).first()
+        buckets = max(BUCKETS, -(-n["words"] // BUCKET_WORDS))
+        spark.createDataFrame([(n["n_docs"], n["mean_len"], buckets)], "n_docs long, mean_len double, buckets int").write.parquet(f"{path}/totals")
+        rows = index.postings(docs, key, text).withColumn("bucket", bucket(F.col("term"), buckets))
+        # ranges by term and document: a frequent term is spread over several tasks and files of its bucket
+        rows.repartitionByRange(max(1, -(-n["words"] // BUCKET_WORDS)), "bucket", "term", key).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
         words = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
         words.write.partitionBy("bucket").parquet(f"{path}/words")
         return cls(spark, path, key)
@@ -42,7 +46,7 @@ class LexicalIndex:
     def _buckets(self, terms: Sequence[str]) -> list[int]:
         """As bucket() of each term, on the driver."""
         signed = (xxhash.xxh64_intdigest(t.encode(), seed=42) for t in terms)
-        return sorted({(h - (1 << 64) if h >> 63 else h) % BUCKETS for h in signed})
+        return sorted({(h - (1 << 64) if h >> 63 else h) % self.buckets for h in signed})
 
     def matches(self, terms: Sequence[str], typos: bool = False) -> DataFrame:
         """key, doc_len, term, tf: the postings of the query's terms; with typos, words near a term count as that term. Only the vocabulary is compared."""

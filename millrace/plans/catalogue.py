@@ -475,6 +475,19 @@ def crawl_bfs(spark, d):
     return crawl.crawl(root, _site(spark, d), 5).select("url", F.col("depth").cast("int").alias("depth"))
 
 
+@query(r"""with r as (select url, row_number() over (order by url) as rank from (select distinct url from pages)),
+h as (select url, list_filter(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''>]*)["'']', 1), lambda x: trim(x)), lambda x: x like '/%' and x not like '//%') as hrefs from pages),
+l as (select url as src, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || unnest(hrefs) as dst, generate_subscripts(hrefs, 1) as pos from h),
+f as (select dst, min(rank * 1000000 + pos) as via from l join r on src = r.url where dst not in (select url from r) group by 1)
+select url, 0 as depth, rank from r union all select dst, 1, row_number() over (order by via, dst) + (select count(*) from r) from f""")
+def crawl_pages(spark, d):
+    """From every page over the links in its text, level by level; what the table has no page for is where the walk ends."""
+    p = table(spark, d, "pages")
+    links = p.select(F.col("url").alias("src"), F.posexplode(urls.links(F.col("html"), F.col("url"))).alias("link_pos", "dst"))
+    return crawl.crawl(p.select("url"), links, max_depth=2).select("url", "depth", "rank")
+
+
+
 @query("""with h as (select page_id, url, md5(html) as h, page_id % 17 as site from pages), g as (select *, lag(h) over (partition by site order by page_id) as before, row_number() over (partition by site order by page_id) as n from h where page_id % 19 <> 1)
 select page_id, case when n = 1 then 'add' else 'modify' end as operation from g where n = 1 or h is distinct from before""")
 def fetch_changes(spark, d):
