@@ -261,3 +261,23 @@ def test_lexical_index_scores_like_a_scan(spark, tmp_path):
     for terms, typos in ((["granite", "mill"], False), (["rivres", "slat"], True), (["none"], False), ([], False)):
         a, b = (sorted((x.doc_id, round(x.bm25, 9)) for x in s.collect()) for s in (ix.scores(terms, typos), search.lexical_scores(docs, terms, typos=typos)))
         assert a == b and (bool(a) == (terms not in (["none"], [])))
+
+
+def test_hashing_embedding_equals_plain_counting(spark):
+    import math
+    import re
+
+    import xxhash
+
+    from millrace.operators.embed import hashing_embedding
+
+    texts = ["The mill, the wheel and the river", "", None, "... !!", "a " * 500 + "B", "straße Ünder 12 x1"]
+    for dimensions in (64, 7):
+        got = [r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").repartition(1).select(hashing_embedding(F.col("t"), dimensions).alias("v")).collect()]
+        for t, v in zip(texts, got, strict=True):
+            want = [0.0] * dimensions
+            for w in re.findall(r"[^\W_]+", (t or "").lower()):
+                h = xxhash.xxh64_intdigest(w, seed=42)
+                want[(h - (1 << 64) if h >> 63 else h) % dimensions] += -1.0 if h >> 40 & 1 else 1.0
+            size = math.sqrt(sum(x * x for x in want))
+            assert all(abs(a - (b / size if size else 0.0)) < 1e-6 for a, b in zip(v, want, strict=True))
