@@ -279,15 +279,18 @@ def verify(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFr
     """pairs: a, b (distinct). parts: sig, n, frag, grams. The pairs that link; the overlap of each fragment is counted apart.
 
     Only the n-grams of texts in some pair move, once to their partner. A text that many pairs end in is dealt out, VERIFIED pairs to a task."""
-    n = pairs.count()
+    by_end = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    n, most = by_end.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     parts = parts.join(small(ends), "sig", "left_semi")
-    deals = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / VERIFIED).cast("int").alias("deals"))
-    many = deals.where("deals > 1")
-    dealt = pairs.join(small(many), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal"))
+    dealt = pairs.select("a", "b", F.lit(0).alias("deal"))
+    right = parts.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "frag", F.col("grams").alias("gb")).withColumn("deal", F.lit(0))
+    if most > VERIFIED:
+        many = materialise(by_end.where(F.col("n") > VERIFIED).select("b", F.ceil(F.col("n") / VERIFIED).cast("int").alias("deals")), "join-deals")
+        held = many.count()
+        dealt = pairs.join(small(many, held), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal"))
+        right = right.join(small(many, held), "b", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
     left = parts.select(F.col("sig").alias("a"), F.col("n").alias("na"), "frag", F.col("grams").alias("ga")).join(small(dealt, n), "a")
-    right = parts.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "frag", F.col("grams").alias("gb")).join(small(many), "b", "left")
-    right = right.withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
     partial = left.join(right, ["b", "frag", "deal"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).alias("same"))
     total = partial.groupBy("a", "b", "na", "nb", "frag").agg(F.max("same").alias("same")).groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same"))
     return total.where((F.col("same") * 100 >= (F.col("na") + F.col("nb") - F.col("same")) * percent)).select("a", "b")
@@ -398,26 +401,29 @@ def _cross(posts: DataFrame, parts: DataFrame, pairs: DataFrame, found: DataFram
         mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
         open_ = materialise(placed.join(mixed, "h", "left_semi").distinct(), "join-open")
         sizes = materialise(open_.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("size")), "join-sizes")
-        if sizes.isEmpty():
-            return found
         lists = sizes.groupBy("h").agg(F.sum("size").alias("all"), F.max("size").alias("most")).withColumn("deals", F.ceil(F.col("all") / max(1, TURN)).cast("int"))
-        lists = materialise(lists, "join-lists")
+        # the largest component of a list need not meet itself
+        bound = F.least(F.lit(max(1, TURN)), F.greatest(F.lit(max(1, EASY)), F.lit(LIST_PAIRS) / F.col("all")))
+        left = lists.agg(F.max(F.col("all") - F.col("most") - bound)).first()[0]  # members that no list has to wait with, if not above 0
+        if left is None:
+            return found
         order = Window.partitionBy("h").orderBy("size", "comp", "sig")  # limited in each task before the exchange
         turn = open_.join(sizes, ["h", "comp"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, TURN))
-        # the largest component of a list need not meet itself
-        bound = F.least(F.col("all") - F.col("most"), F.greatest(F.lit(max(1, EASY)), F.lit(LIST_PAIRS) / F.col("all")))
-        turn = materialise(turn.join(lists, "h").where(F.col("place") <= bound).select("h", "sig", "n", "comp", "sketch", "deals"), "join-turn")
+        turn = turn.join(lists, "h").where((F.col("place") <= bound) & (F.col("place") <= F.col("all") - F.col("most")))
+        turn = materialise(turn.select("h", "sig", "n", "comp", "sketch", "deals"), "join-turn")
         # a long list is dealt out, and those whose turn it is come to each of its deals
         dealt = join_hot(open_, lists.select("h", "deals"), "h", F.col("sig")).withColumn("deal", F.pmod(F.xxhash64("sig"), F.col("deals")).cast("int"))
         others = turn.select("h", F.struct("sig", "n", "comp", "sketch").alias("y"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
         met = dealt.select("h", "deal", F.struct("sig", "n", "comp", "sketch").alias("x")).join(others, ["h", "deal"])
         crossing = _candidates(met, "x", "y", percent)
-        now = turn.select("h", "sig")
-        done = materialise(now if done is None else done.unionByName(now), "join-done")
         crossing = materialise(crossing.join(pairs, ["a", "b"], "left_anti"), "join-crossing")
         more = materialise(verify(crossing, parts, percent), "join-links")
         if not more.isEmpty():
             found = _joined(found, more)
+        if left <= 0:
+            return found
+        now = turn.select("h", "sig")
+        done = materialise(now if done is None else done.unionByName(now), "join-done")
         pairs = materialise(pairs.unionByName(crossing), "join-pairs")
 
 
