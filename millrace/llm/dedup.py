@@ -76,7 +76,7 @@ def _rank() -> Column:
 
 
 def differing(docs: DataFrame, hits: DataFrame, text_col: str = "text") -> DataFrame:
-    """Digests under which the whole normalised bytes are not all the same. Pre-aggregated, so a hot group moves one row per task."""
+    """Digests under which the whole normalised bytes are not all the same. With hits that can be broadcast, texts are aggregated before they move, one row per group and task; beyond that all texts of hits are exchanged by their digests first."""
     bytes_ = docs.select(F.sha2(normalised(F.col(text_col)), 256).alias("digest"), normalised(F.col(text_col)).alias("whole"))
     return bytes_.join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").select("digest")
 
