@@ -42,10 +42,10 @@ from pyspark.sql.window import Window
 from millrace.llm.common import documents, free, join_hot, materialise, row_keyed, slices, small, tidy
 
 WORDS, PERCENT = 4, 85
-#: Text bytes whose n-grams go to one fragment, about: a task sorts 8 bytes for each of these n-grams that lies in the part of the order that is counted.
-FRAGMENT_BYTES = 24 << 20
+#: Text bytes whose n-grams go to one fragment, about: a task sorts 12 bytes for each of these n-grams that lies in the part of the order that is counted.
+FRAGMENT_BYTES = 16 << 20
 #: Entries that a task collects before it sends them; more where fragments are very many, so that a row holds several, and the most.
-BLOCK, BLOCK_MOST = 1_000_000, 12_000_000
+BLOCK, BLOCK_MOST = 500_000, 12_000_000
 #: Members of a list that meet the others in one round: EASY, or as many (up to TURN) as make LIST_PAIRS pairs.
 EASY, TURN, LIST_PAIRS = 512, 2048, 1 << 22
 #: Pairs of one text that are verified by one task.
