@@ -1,63 +1,62 @@
-"""An inverted index as tables: postings by bucket and term, the vocabulary, and the totals that BM25 needs."""
+"""An inverted index as tables: postings by document and term, the vocabulary, and the totals that BM25 needs."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import ranking
 from millrace.operators import index
 
-#: Buckets at least, and words of text for each beyond: their number grows with the corpus.
-BUCKETS, BUCKET_WORDS = 64, 4_000_000
-
-
-def bucket(term: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+#: Bytes of text whose postings go to one file, about: the number of files grows with the corpus.
+FILE_BYTES = 24_000_000
+#: Words near a query that are listed in a filter, or broadcast.
+LISTED, BROADCAST_ROWS = 1000, 200_000
 
 
 class LexicalIndex:
-    """Postings lie in a folder per bucket (their number grows with the words), sorted by term, so that a query reads the files of its terms' buckets and there the row groups of its terms."""
+    """A file holds all postings of its documents, sorted by term, so that a query reads the pages of its terms in each; a posting is never shuffled."""
 
     def __init__(self, spark: SparkSession, path: str, key: str = "doc_id"):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
         self._postings, self._words = (spark.read.parquet(f"{self.path}/{t}") for t in ("postings", "words"))
         row = spark.read.parquet(f"{self.path}/totals").first()
-        self.n_docs, self.mean_len, self.buckets = row["n_docs"], row["mean_len"], row["buckets"]
+        self.n_docs, self.mean_len = row["n_docs"], row["mean_len"]
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> LexicalIndex:
-        """Every document and its whole text. One pass over the texts writes the postings; the rest is counted from these and the lengths."""
+        """Every document and its whole text. Texts are dealt out by key and split into words once; the rest is counted from the postings."""
         spark = docs.sparkSession
-        lengths = docs.select(F.size(ranking.terms(F.col(text))).alias("doc_len"))
-        n = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("mean_len"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("words")).first()
-        buckets = max(BUCKETS, -(-n["words"] // BUCKET_WORDS))
-        spark.createDataFrame([(n["n_docs"], n["mean_len"], buckets)], "n_docs long, mean_len double, buckets int").write.parquet(f"{path}/totals")
-        rows = index.postings(docs, key, text).withColumn("bucket", bucket(F.col("term"), buckets))
-        # ranges by term and document: a frequent term is spread over several tasks and files of its bucket
-        rows.repartitionByRange(max(1, -(-n["words"] // BUCKET_WORDS)), "bucket", "term", key).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-        words = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
-        words.write.partitionBy("bucket").parquet(f"{path}/words")
+        n = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.count(text).alias("texts"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+        rows = index.postings(docs.select(key, text).repartition(max(1, -(-n["bytes"] // FILE_BYTES)), key), key, text)
+        rows.sortWithinPartitions("term", key).write.parquet(f"{path}/postings")
+        words = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+        words.write.parquet(f"{path}/words")
+        total = spark.read.parquet(f"{path}/words").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).first()["words"]
+        mean = total / n["texts"] if n["texts"] else None
+        spark.createDataFrame([(n["n_docs"], mean)], "n_docs long, mean_len double").write.parquet(f"{path}/totals")
         return cls(spark, path, key)
 
-    def _buckets(self, terms: Sequence[str]) -> list[int]:
-        """As bucket() of each term, on the driver."""
-        signed = (xxhash.xxh64_intdigest(t.encode(), seed=42) for t in terms)
-        return sorted({(h - (1 << 64) if h >> 63 else h) % self.buckets for h in signed})
+    def near(self, terms: Sequence[str]) -> DataFrame:
+        """term, meant: the words of the vocabulary near a query's terms."""
+        query = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+        close = F.filter(query, lambda t: (F.abs(F.length("term") - F.length(t)) <= 2) & (F.levenshtein(F.col("term"), t) <= F.when(F.length(t) < 4, 0).when(F.length(t) < 8, 1).otherwise(2)))
+        return self._words.select("term", F.explode(close).alias("meant"))
 
     def matches(self, terms: Sequence[str], typos: bool = False) -> DataFrame:
-        """key, doc_len, term, tf: the postings of the query's terms; with typos, words near a term count as that term. Only the vocabulary is compared."""
+        """key, doc_len, term, tf: the postings of the query's terms; with typos, words near a term count as that term. Only the vocabulary is compared, and only the near words move."""
         if not typos:
-            held = self._postings.where(F.col("bucket").isin(self._buckets(terms)) & F.col("term").isin(list(terms)))
-            return held.select(self.key, "doc_len", "term", F.col("tf"))
-        query = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-        near = F.filter(query, lambda t: (F.abs(F.length("term") - F.length(t)) <= 2) & (F.levenshtein(F.col("term"), t) <= F.when(F.length(t) < 4, 0).when(F.length(t) < 8, 1).otherwise(2)))
-        words = self._words.select("bucket", "term", F.explode(near).alias("meant"))
-        found = self._postings.join(words, ["bucket", "term"])
-        return found.groupBy(self.key, "doc_len", F.col("meant").alias("term")).agg(F.sum("tf").alias("tf"))
+            return self._postings.where(F.col("term").isin(list(terms))).select(self.key, "doc_len", "term", "tf")
+        words, held = self.near(terms), self._postings
+        few = words.limit(LISTED + 1).collect()
+        if len(few) <= LISTED:
+            words = F.broadcast(self.spark.createDataFrame(few, words.schema))
+            held = held.where(F.col("term").isin(sorted({r.term for r in few})))
+        elif words.count() <= BROADCAST_ROWS:
+            words = F.broadcast(words)
+        return held.join(words, "term").groupBy(self.key, "doc_len", F.col("meant").alias("term")).agg(F.sum("tf").alias("tf"))
 
     def scores(self, terms: Sequence[str], typos: bool = False) -> DataFrame:
         """key, bm25."""

@@ -263,6 +263,30 @@ def test_lexical_index_scores_like_a_scan(spark, tmp_path):
         assert a == b and (bool(a) == (terms not in (["none"], [])))
 
 
+def test_lexical_index_keeps_the_postings_of_a_document_together(spark, tmp_path, monkeypatch):
+    """Postings lie in the file of their document, in order of term; for typos, the near words go to the postings."""
+    from millrace.operators import lexical_index
+
+    monkeypatch.setattr(lexical_index, "FILE_BYTES", 500)
+    docs = spark.createDataFrame([(k, f"mill river rivers w{k}") for k in range(300)] + [(300, None), (301, "")], "doc_id long, text string")
+    ix = lexical_index.LexicalIndex.build(docs, str(tmp_path / "ix"))
+    assert ix.n_docs == 302 and abs(ix.mean_len - 1200 / 301) < 1e-12
+    held = spark.read.parquet(f"{ix.path}/postings").select("doc_id", "term", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("n")).collect()
+    files = {r.f: [x.term for x in sorted((y for y in held if y.f == r.f), key=lambda y: y.n)] for r in held}
+    assert len(held) == 1200 and len(files) > 5 and len({(r.doc_id, r.f) for r in held}) == 300
+    assert all(terms == sorted(terms) for terms in files.values())
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for listed in (1000, 0):
+            monkeypatch.setattr(lexical_index, "LISTED", listed)
+            found = ix.matches(["rivrs"], True)
+            assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+            assert {(r.doc_id, r.doc_len, r.term, r.tf) for r in found.collect()} == {(k, 4, "rivrs", 1) for k in range(300)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_postings_are_counted_where_the_rows_lie(spark):
     """No posting is shuffled where keys are distinct; rows of one key and length are summed, as by a grouping of all words."""
     import re
