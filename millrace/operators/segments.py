@@ -9,8 +9,8 @@ A row is alive unless a deletion vector of a later commit names its key. Manifes
 only if they are not there yet (compare and set): of two writers of one number the second starts again from the other's
 manifest. (On stores without create-if-absent, writers need a lock of their own; Engine has one per source.)
 
-Compaction is by tiers of size: FAN segments of about one size become one, without what is dead in them; postings are
-merged, texts are not read again. Deletion vectors that no segment is older than are dropped. vacuum() removes
+Compaction is by tiers of size: FAN segments of about one size become one, without what is dead in them; its postings are
+counted from the rows that are alive, each of which lies in one place, so that no posting is shuffled. Deletion vectors that no segment is older than are dropped. vacuum() removes
 folders that the last manifests do not name."""
 
 from __future__ import annotations
@@ -36,8 +36,13 @@ FAN = 4
 FILE_WORDS = 4_000_000
 #: Rows of a deletion vector, documents of a commit and words near a query that may be broadcast, or listed in a filter.
 BROADCAST_ROWS, LISTED = 200_000, 1000
-#: Documents of a part, about; documents that have a word from which it has stored blocks; and parts that are scored before others are left out.
+#: Documents of a part, about; documents that have a word from which it has stored blocks, at least; and parts that are scored before others are left out.
 PART_DOCS, FREQUENT, FIRST_PARTS = 2000, 128, 64
+#: In a large segment, the part of its documents that have to have a word (one of so many) for it to have stored blocks.
+OFTEN = 1000
+#: Of rows and postings.
+CODEC = "zstd"
+POSTINGS = "term string, part long, doc_id string, doc_len int, tf long"
 #: Seconds after which a manifest that is not whole was left by a writer that died.
 STALE = 600
 _EMPTY = {"version": 0, "segments": [], "deletions": [], "docs": 0, "words": 0, "codes": [], "book": None}
@@ -124,27 +129,46 @@ class SegmentStore:
 
     # ---- reading
 
-    def _of(self, manifest: dict, name: str, segments: list[dict] | None = None) -> DataFrame | None:
-        """All rows of a table, dead ones too, with the number of the commit that wrote them in `__seq`."""
+    def _of(self, manifest: dict, name: str, segments: list[dict] | None = None, places: bool = False) -> DataFrame | None:
+        """All rows of a table, dead ones too, with the number of the commit that wrote them in `__seq`; with places, also their file and their number in it."""
+        where = [F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row")] if places else []
         own = [s for s in (manifest["segments"] if segments is None else segments) if name == "rows" or s["docs"]]
-        parts = [self.spark.read.parquet(f"{self.root}/segments/{s['id']}/{name}").withColumn("__seq", F.lit(s["seq"]).cast("long")) for s in own]
+        parts = [self.spark.read.parquet(f"{self.root}/segments/{s['id']}/{name}").select("*", *where, F.lit(s["seq"]).cast("long").alias("__seq")) for s in own]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
-    def _alive(self, rows: DataFrame, manifest: dict, key: str) -> DataFrame:
-        """Without the rows that a later deletion vector names."""
+    def _later(self, manifest: dict) -> list[dict]:
+        """The deletion vectors that some part is older than."""
         oldest = min((p["seq"] for p in (*manifest["segments"], *manifest["codes"])), default=0)
-        vectors = [d for d in manifest["deletions"] if d["seq"] > oldest]
+        return [d for d in manifest["deletions"] if d["seq"] > oldest]
+
+    def _alive(self, rows: DataFrame, manifest: dict, key: str, how: str = "left_anti") -> DataFrame:
+        """Without the rows that a later deletion vector names; or only these (left_semi)."""
+        vectors = self._later(manifest)
         if not vectors:
             return rows.drop("__seq")
         dead = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.root}/deletions/{d['id']}").select(F.col(key).alias("__dead"), F.lit(d["seq"]).cast("long").alias("__at")) for d in vectors])
         hit = (F.col(key) == F.col("__dead")) & (F.col("__seq") < F.col("__at"))
-        return rows.join(_small(dead, sum(d["rows"] for d in vectors)), hit, "left_anti").drop("__seq")
+        return rows.join(_small(dead, sum(d["rows"] for d in vectors)), hit, how).drop("__seq")
+
+    def _alive_rows(self, manifest: dict, segments: list[dict] | None = None) -> DataFrame | None:
+        """The live rows with their texts and vectors. Where more are dead than may be broadcast, keys alone are joined; that gives a bit
+        for each row of a file, by which the rows are left out where they lie."""
+        if sum(d["rows"] for d in self._later(manifest)) <= BROADCAST_ROWS:
+            held = self._of(manifest, "rows", segments)
+            return None if held is None else self._alive(held, manifest, "chunk_id")
+        held = self._of(manifest, "rows", segments, places=True)
+        if held is None:
+            return None
+        slot, bit = F.bitmap_bucket_number(F.col("__row") + 1), F.bitmap_bit_position(F.col("__row") + 1)
+        dead = self._alive(held.select("chunk_id", "__file", "__row", "__seq"), manifest, "chunk_id", "left_semi")
+        bits = dead.groupBy("__file", slot.alias("__slot")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+        byte = F.conv(F.hex(F.substring("__bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        gone = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+        return held.withColumn("__slot", slot).join(F.broadcast(bits), ["__file", "__slot"], "left").where(~gone).drop("__file", "__slot", "__bits", "__row", "__seq")
 
     def rows(self, manifest: dict | None = None) -> DataFrame | None:
         """All live rows; None if no segment is there."""
-        manifest = manifest or self.head()
-        held = self._of(manifest, "rows")
-        return None if held is None else self._alive(held, manifest, "chunk_id")
+        return self._alive_rows(manifest or self.head())
 
     def vectors(self, manifest: dict | None = None) -> DataFrame | None:
         held = self.rows(manifest)
@@ -162,33 +186,35 @@ class SegmentStore:
         path = f"{self.root}/segments/{id_}"
         document = identity.base_path(F.col("path"))
         words = F.when(F.col("modality") != "image", F.size(ranking.terms(F.col("content"))))
-        points.withColumns({"doc_id": identity.lexical_id(F.col("chunk_id")), "document": document, "doc_len": words}).sortWithinPartitions("source_id", "document").write.parquet(f"{path}/rows")
+        points.withColumns({"doc_id": identity.lexical_id(F.col("chunk_id")), "document": document, "doc_len": words}).sortWithinPartitions("source_id", "document").write.option("compression", CODEC).parquet(f"{path}/rows")
         rows = self.spark.read.parquet(f"{path}/rows")
         n = rows.agg(F.count(F.lit(1)).alias("rows"), F.count("doc_len").alias("docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("words")).first()
         if not n["rows"]:
             self._fs.delete(self._path(path), True)
             return None
         if n["docs"]:
-            self._write_postings(path, index.postings(rows.where("doc_len is not null"), "doc_id", "content"), n["words"], n["docs"])
+            self._write_postings(path, n["words"], n["docs"])
         return {"id": id_, "rows": n["rows"], "docs": n["docs"], "words": n["words"]}
 
-    def _write_postings(self, path: str, postings: DataFrame, words: int, docs: int) -> None:
-        """Postings in order of term and document over files of bounded size, so that a frequent term has several; what terms each file has; and the words.
+    def _write_postings(self, path: str, words: int, docs: int) -> None:
+        """Postings of the rows of a segment, over files of bounded size, and the words. Texts are dealt out by document: a file has all
+        postings of its documents, in order of term, so that a query reads the pages of its terms.
 
         Documents of about one length lie in parts of about PART_DOCS. A frequent term has a block for each part: how many
         documents, its most occurrences and its least length there, which bound its score in the part."""
         length = F.floor(F.log2(F.col("doc_len").cast("double") + 1) * 4).cast("long")
         part = F.shiftleft(length, 32) + F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs // (16 * PART_DOCS))))
         files = max(1, -(-words // FILE_WORDS))
-        rows = postings.select("term", part.alias("part"), "doc_id", "doc_len", "tf")
-        dealt = rows.coalesce(1) if files == 1 else rows.repartitionByRange(files, "term", "part", "doc_id")
-        dealt.sortWithinPartitions("term", "part", "doc_id").write.parquet(f"{path}/postings")
-        held = self.spark.read.parquet(f"{path}/postings")
-        held.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("term").alias("least"), F.max("term").alias("most")).coalesce(1).write.parquet(f"{path}/fences")
-        blocks = _blocks(held)
+        texts = self.spark.read.parquet(f"{path}/rows").where("doc_len is not null").select("doc_id", "content")
+        dealt = index.counted(texts.coalesce(1) if files == 1 else texts.repartition(files, "doc_id"), "doc_id", "content")
+        rows = dealt.select("term", part.alias("part"), "doc_id", "doc_len", "tf")
+        rows.sortWithinPartitions("term", "part", "doc_id").write.option("compression", CODEC).parquet(f"{path}/postings")
+        held = self.spark.read.schema(POSTINGS).parquet(f"{path}/postings")
         held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/words")
-        often = self.spark.read.parquet(f"{path}/words").where(F.col("df") >= FREQUENT).select("term")
-        blocks.join(often, "term", "left_semi").sortWithinPartitions("term").write.parquet(f"{path}/blocks")
+        often = self.spark.read.parquet(f"{path}/words").where(F.col("df") >= max(FREQUENT, docs // OFTEN)).select("term")
+        n = often.count()
+        blocks = _blocks(held.join(F.broadcast(often), "term", "left_semi")) if n <= BROADCAST_ROWS else _blocks(held).join(often, "term", "left_semi")
+        blocks.sortWithinPartitions("term").write.parquet(f"{path}/blocks")
 
     def _write_deletions(self, manifest: dict, documents: DataFrame, gone: DataFrame | None) -> dict | None:
         """The live rows of documents (source_id, document) that are replaced, and of those that are gone, with what was derived from these."""
@@ -349,10 +375,10 @@ class SegmentStore:
     def _merge(self, head: dict, old: list[dict]) -> dict:
         id_ = uuid.uuid4().hex
         path, ids = f"{self.root}/segments/{id_}", {s["id"] for s in old}
-        self._alive(self._of(head, "rows", old), head, "chunk_id").sortWithinPartitions("source_id", "document").write.parquet(f"{path}/rows")
+        self._alive_rows(head, old).sortWithinPartitions("source_id", "document").write.option("compression", CODEC).parquet(f"{path}/rows")
         n = self.spark.read.parquet(f"{path}/rows").agg(F.count(F.lit(1)).alias("rows"), F.count("doc_len").alias("docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("words")).first()
         if n["docs"]:
-            self._write_postings(path, self._alive(self._of(head, "postings", old), head, "doc_id"), n["words"], n["docs"])
+            self._write_postings(path, n["words"], n["docs"])
         # what is alive at this head is what its number says; later deletions still reach it
         merged = {"id": id_, "rows": n["rows"], "docs": n["docs"], "words": n["words"], "seq": head["version"]}
 
@@ -395,7 +421,7 @@ def _blocks(postings: DataFrame) -> DataFrame:
 
 
 class SegmentIndex:
-    """BM25 over the postings of one manifest. Only files that may have a term are opened, by the least and most term of each."""
+    """BM25 over the postings of one manifest. Files are in order of term: only the pages that may have a term are read."""
 
     key = "doc_id"
 
@@ -403,20 +429,15 @@ class SegmentIndex:
         self.store, self.manifest = store, manifest
         self.n_docs, self.mean_len = manifest["docs"], manifest["words"] / max(1, manifest["docs"])
 
-    def _files(self, segment: dict, terms: Sequence[str]) -> list[str]:
-        base = f"{self.store.root}/segments/{segment['id']}"
-        held = self.store.spark.read.parquet(f"{base}/fences")
-        may = reduce(lambda a, b: a | b, [(F.col("least") <= t) & (F.col("most") >= t) for t in terms])
-        return [f"{base}/postings/{r.file}" for r in held.where(may).select("file").collect()]
+    def _held(self, segment: dict, terms: Sequence[str]) -> DataFrame:
+        """The postings of these terms in a segment, dead ones too."""
+        return self.store.spark.read.schema(POSTINGS).parquet(f"{self.store.root}/segments/{segment['id']}/postings").where(F.col("term").isin(list(terms)))
 
     def postings(self, terms: Sequence[str]) -> DataFrame:
         """term, doc_id, doc_len, tf: live postings of these terms."""
-        spark, parts = self.store.spark, []
-        for s in self.manifest["segments"]:
-            if s["docs"] and terms and (files := self._files(s, terms)):
-                parts.append(spark.read.parquet(*files).where(F.col("term").isin(list(terms))).withColumn("__seq", F.lit(s["seq"]).cast("long")))
+        parts = [self._held(s, terms).withColumn("__seq", F.lit(s["seq"]).cast("long")) for s in self.manifest["segments"] if s["docs"] and terms]
         if not parts:
-            return spark.createDataFrame([], "term string, doc_id string, doc_len int, tf long")
+            return self.store.spark.createDataFrame([], "term string, doc_id string, doc_len int, tf long")
         return self.store._alive(reduce(DataFrame.unionByName, parts), self.manifest, "doc_id").select("term", "doc_id", "doc_len", "tf")
 
     # ---- the k best, without reading what cannot be among them
@@ -431,9 +452,8 @@ class SegmentIndex:
             stored = spark.read.parquet(f"{base}/blocks").where(F.col("term").isin(list(terms)))
             often = [r.term for r in stored.select("term").distinct().collect()]  # of the query's terms
             rare = [t for t in terms if t not in often]
-            files = self._files(s, rare) if rare else []
-            if files:  # few postings each
-                stored = stored.unionByName(_blocks(spark.read.parquet(*files).where(F.col("term").isin(rare))))
+            if rare:  # few postings each
+                stored = stored.unionByName(_blocks(self._held(s, rare)))
             parts.append(stored.withColumn("segment", F.lit(s["id"])))
         if not parts:
             return spark.createDataFrame([], "segment string, part long, bound double"), {}
@@ -456,10 +476,7 @@ class SegmentIndex:
         for s in self.manifest["segments"]:
             if not s["docs"] or (isinstance(chosen, list) and s["id"] not in by_segment):
                 continue
-            files = self._files(s, terms)
-            if not files:
-                continue
-            rows = spark.read.parquet(*files).where(F.col("term").isin(list(terms)))
+            rows = self._held(s, terms)
             rows = rows.where(F.col("part").isin(by_segment[s["id"]])) if isinstance(chosen, list) else rows.join(chosen.where(F.col("segment") == s["id"]).select("part"), "part", "left_semi")
             parts.append(rows.withColumn("__seq", F.lit(s["seq"]).cast("long")))
         if not parts or not counts:
@@ -505,11 +522,14 @@ class SegmentIndex:
         if not typos or (near := self.near(terms)) is None:
             return self.postings(terms)
         few = near.limit(LISTED + 1).collect()
-        if len(few) <= LISTED:  # only the files of these words are opened
+        if len(few) <= LISTED:  # only the pages of these words are read
             words = F.broadcast(self.store.spark.createDataFrame(few, near.schema))
             held = self.postings(sorted({r.term for r in few}))
         else:
-            words, held = near, self.store._alive(self.store._of(self.manifest, "postings"), self.manifest, "doc_id")
+            n = near.count()
+            words = _small(near, n)  # postings of other words go before the dead ones are joined
+            held = self.store._of(self.manifest, "postings").join(_small(near.select("term").distinct(), n), "term", "left_semi")
+            held = self.store._alive(held, self.manifest, "doc_id")
         return held.join(words, "term").groupBy("doc_id", "doc_len", F.col("meant").alias("term")).agg(F.sum("tf").alias("tf"))
 
     def scores(self, terms: Sequence[str], typos: bool = False) -> DataFrame:

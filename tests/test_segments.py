@@ -118,6 +118,35 @@ def test_best_documents_without_reading_all_parts(spark, tmp_path, monkeypatch,
         store.compact(everything=True)
 
 
+def test_many_dead_rows_move_no_texts(spark, tmp_path, monkeypatch):
+    """Beyond what may be broadcast, only keys are joined: no text and no posting of the store is shuffled, but for texts that are dealt out once."""
+    store, model = SegmentStore(spark, str(tmp_path / "s")), {("a", f"p{k}"): [f"mill w{k} " * (k % 7)] for k in range(300)}
+    store.upsert(points(spark, [(*k, v) for k, v in model.items()]))
+    monkeypatch.setattr(segments, "BROADCAST_ROWS", 0)
+    new = {("a", f"p{k}"): [f"river v{k}"] for k in range(0, 300, 5)}
+    store.upsert(points(spark, [(*k, v) for k, v in new.items()]), gone(spark, [("a", f"p{k}") for k in range(0, 300, 7) if k % 5]))
+    back = {("a", "p7"): ["granite"]}
+    store.upsert(points(spark, [(*k, v) for k, v in back.items()]))
+    model = {k: v for k, v in (model | new).items() if int(k[1][1:]) % 7 or int(k[1][1:]) % 5 == 0} | back
+    check(store, model)
+    plan = store.rows()._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = [part for part in plan.split("\n\n") if "Exchange" in part.split("\n")[0]]
+    assert moved and not any("content" in part for part in moved)
+    store.compact(everything=True)
+    check(store, model)
+
+
+def test_all_postings_of_a_document_lie_in_one_file(spark, tmp_path, monkeypatch):
+    """Postings are written where the texts were counted, in order of term."""
+    monkeypatch.setattr(segments, "FILE_WORDS", 200)
+    store = SegmentStore(spark, str(tmp_path / "s"))
+    head = store.upsert(points(spark, [("a", f"p{k}", [f"mill wheel river slate w{k}"]) for k in range(400)]))
+    held = spark.read.parquet(f"{store.root}/segments/{head['segments'][0]['id']}/postings").select("doc_id", "term", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("n")).collect()
+    files = {r.f: [x.term for x in sorted((y for y in held if y.f == r.f), key=lambda y: y.n)] for r in held}
+    assert len(held) == 2000 and len(files) > 5 and len({(r.doc_id, r.f) for r in held}) == 400
+    assert all(terms == sorted(terms) for terms in files.values())
+
+
 def test_a_commit_writes_in_proportion_to_what_changed(spark, tmp_path):
     """One changed document of 400 writes one row, its own postings and one key; nothing that lay there is touched."""
     store = SegmentStore(spark, str(tmp_path / "s"))
