@@ -203,8 +203,10 @@ class SegmentStore:
         Documents of about one length lie in parts of about PART_DOCS. A frequent term has a block for each part: how many
         documents, its most occurrences and its least length there, which bound its score in the part."""
         length = F.floor(F.log2(F.col("doc_len").cast("double") + 1) * 4).cast("long")
-        part = F.shiftleft(length, 32) + F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs // (16 * PART_DOCS))))
-        files = max(1, -(-words // FILE_WORDS))
+        files, groups, own = max(1, -(-words // FILE_WORDS)), max(1, docs // (16 * PART_DOCS)), F.hash("doc_id")
+        # as texts are dealt out by the same hash, a file has the parts of few groups, and few blocks for each word
+        group = F.pmod(F.pmod(own, F.lit(files)), F.lit(groups)) if groups < files else F.pmod(own, F.lit(files * -(-groups // files)))
+        part = F.shiftleft(length, 32) + group
         texts = self.spark.read.parquet(f"{path}/rows").where("doc_len is not null").select("doc_id", "content")
         dealt = index.counted(texts.coalesce(1) if files == 1 else texts.repartition(files, "doc_id"), "doc_id", "content")
         rows = dealt.select("term", part.alias("part"), "doc_id", "doc_len", "tf")
