@@ -9,13 +9,16 @@ counts is a partial result; partial results are summed per text or per pair.
    Before anything moves, each task counts the n-grams that several classes of its own block share, and sends such an
    n-gram for two of them only: one that all classes have costs two entries a block. The classes that are left, among
    which are all partners, are counted once more among themselves, over the whole order.
-2. The rest post the first n-grams of the order that any partner must meet (prefix filter). Each posting list is
-   a star around its most typical member: linearly many pairs, never all of a list.
+2. The rest post the first n-grams that any partner must meet (prefix filter). For this the n-grams are ordered anew: those
+   that many sets have come last, by how many have them, so that lists are short where sets have anything rare. The order only
+   decides what is posted: which n-grams count as frequent, and how exactly they were counted, changes no result. Each posting
+   list is a star around its most typical member: linearly many pairs, never all of a list.
 3. Pairs are verified exactly: the overlap in each fragment is counted apart and summed per pair.
 4. Lists that still hold several components are gone through from their smallest components: in each round a bounded
    number of members of each such list meets the members of its other components and leaves the list, until one
-   component is left in it; so no list makes more than a bounded number of pairs, or linearly many, in a round. A length
-   filter and a parity sketch (it never overstates a difference) spare most verifications. So no link between different
+   component is left in it; so no list makes more than a bounded number of pairs, or linearly many, in a round. A round reads
+   what the one before left open. A length filter, the places of the n-gram in both sets (beyond it there must be enough of both) and a
+   parity sketch (it never overstates a difference) spare most verifications. So no link between different
    sets is lost, while members of one component need not meet.
 
 Components come from alternating large-star and small-star steps on tables.
@@ -39,7 +42,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import documents, free, join_hot, materialise, row_keyed, slices, small, tidy
+from millrace.llm import url_filter
+from millrace.llm.common import BROADCAST_ROWS, documents, free, join_hot, lent, materialise, ragged, row_keyed, slices, small, tidy
 
 WORDS, PERCENT = 4, 85
 #: Text bytes whose n-grams go to one fragment, about: a task sorts 12 bytes for each of these n-grams that lies in the part of the order that is counted.
@@ -53,6 +57,10 @@ VERIFIED = 500
 #: Fragments in which pairs are verified.
 PAIR_FRAGMENTS = 8
 SKETCH = 16  # longs of 64 bits
+#: N-grams that come last in the order of prefixes, at most (they are broadcast, 16 bytes each), and the least number of sets for it.
+FREQUENT, OFTEN = 100_000, 8
+#: N-grams of sets that a task counts at once.
+COUNTED = 1 << 21
 _NO_ID = -(1 << 63)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -254,35 +262,101 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return tags, np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
 
-def _whole(batches, words: int, percent: int):
-    """Per text its signature, size, parity sketch, prefix and n-grams by pair fragment."""
+def _whole(batches, words: int):
+    """Per text its signature, size, parity sketch and n-grams by pair fragment."""
     for part in slices(batches):
         own = sets(part.column("text"), words)
         rows = []
         for s in own:
             bits = np.zeros(SKETCH * 64, np.uint8)
             np.bitwise_xor.at(bits, (s >> np.uint64(20)).astype(np.int64) % (SKETCH * 64), 1)
-            signed = s.view(np.int64)
             cut = np.searchsorted(s, np.arange(1, PAIR_FRAGMENTS).astype(np.uint64) * np.uint64((1 << 64) // PAIR_FRAGMENTS))
-            rows.append((_signature(s), len(s), np.packbits(bits).view(np.int64), signed[: len(s) - (percent * len(s) + 99) // 100 + 1], np.split(signed, cut)))
+            rows.append((_signature(s), len(s), np.packbits(bits).view(np.int64), np.split(s.view(np.int64), cut)))
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.list_(pa.list_(pa.int64())))],
-            ["doc_id", "sig", "n", "sketch", "prefix", "parts"],
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.list_(pa.int64())))],
+            ["sig", "n", "sketch", "parts"],
         )
 
 
+def _repeated(batches):
+    """N-grams that several sets of a block have, and how many have them."""
+    held, total = [], 0
+
+    def sent():
+        grams, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(grams[n > 1]), pa.array(n[n > 1].astype(np.int64))], ["h", "sets"])
+
+    for b in batches:
+        held.append(b.column("parts").flatten().flatten().to_numpy(zero_copy_only=False))
+        total += len(held[-1])
+        if total >= COUNTED:
+            yield sent()
+            held, total = [], 0
+    if total:
+        yield sent()
+    del held
+    tidy()
+
+
+def _frequent(whole: DataFrame) -> np.ndarray:
+    """N-grams that many sets have, those that most have last: at most FREQUENT, all that at least some power of two of sets have (as counted in blocks)."""
+    found = whole.select("parts").mapInArrow(_repeated, "h long, sets long").groupBy("h").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= OFTEN)
+    found = materialise(found, "join-frequent")
+    least, held = None, 0
+    for level, n in sorted(found.groupBy(F.floor(F.log2("sets"))).count().collect(), reverse=True):
+        held += n
+        if held > FREQUENT:
+            break
+        least = 1 << level
+    if least is None:
+        return np.zeros(0, np.uint64)
+    rows = sorted((r.sets, r.h) for r in found.where(F.col("sets") >= least).collect())
+    return np.array([h for _, h in rows], np.int64).view(np.uint64)
+
+
+def _prefixes(batches, frequent: np.ndarray, percent: int):
+    """The n-grams that a partner of a set must meet, first those that are not frequent, and the place of each, from 1."""
+    by_hash = np.argsort(frequent)
+    hashes, ranks = frequent[by_hash], by_hash + 1
+    for b in batches:
+        lists = b.column("parts")
+        n = b.column("n").to_numpy().astype(np.int64)
+        grams = lists.flatten().flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        rank = np.zeros(len(grams), np.int64)
+        if len(hashes):
+            at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+            rank = np.where(hashes[at] == grams, ranks[at], 0)
+        order = np.argsort(np.repeat(np.arange(len(n)), n) * (len(hashes) + 1) + rank, kind="stable")
+        first = n - (percent * n + 99) // 100 + 1
+        picked = grams[order[ragged(np.cumsum(n) - n, first)]].view(np.int64)
+        row = pa.array(np.repeat(np.arange(len(n)), first))
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in ("sig", "n", "own")), pa.array(picked), pa.array(ragged(np.ones(len(n), np.int64), first).astype(np.int32))], ["sig", "n", "own", "h", "place"])
+    tidy()
+
+
+def _posts(whole: DataFrame, percent: int) -> DataFrame:
+    """h, sig, n, own, place: the n-grams of each set that any partner must meet, and their places in the order."""
+    held = whole.sparkSession.sparkContext.broadcast(_frequent(whole))
+
+    def run(batches):
+        with lent(held) as frequent:
+            yield from _prefixes(batches, frequent, percent)
+
+    return materialise(whole.select("sig", "n", "own", "parts").mapInArrow(run, "sig long, n int, own long, h long, place int"), "join-posts")
+
+
 def _long_enough(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def verify(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """pairs: a, b (distinct). parts: sig, n, frag, grams. The pairs that link; the overlap of each fragment is counted apart.
+def verify(pairs: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """pairs: a, b (distinct). whole: sig, n, parts (n-grams by fragment). The pairs that link; the overlap of each fragment is counted apart.
 
     Only the n-grams of texts in some pair move, once to their partner. A text that many pairs end in is dealt out, VERIFIED pairs to a task."""
     by_end = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     n, most = by_end.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    parts = parts.join(small(ends), "sig", "left_semi")
+    parts = whole.select("sig", "n", "parts").join(small(ends), "sig", "left_semi").select("sig", "n", F.posexplode("parts").alias("frag", "grams")).where(F.size("grams") > 0)
     dealt = pairs.select("a", "b", F.lit(0).alias("deal"))
     right = parts.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "frag", F.col("grams").alias("gb")).withColumn("deal", F.lit(0))
     if most > VERIFIED:
@@ -333,38 +407,42 @@ def _meeting(docs: DataFrame, total: int, words: int, percent: int, share: float
     return texts, classes, rest
 
 
+def _having(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The documents (doc_id, text) of the n classes in rows. Where their keys are too many to broadcast, a Bloom filter of them is, and only texts that pass it move."""
+    keyed, keys = docs.withColumn("key", F.coalesce("doc_id", F.lit(_NO_ID))), rows.select("key")
+    if n > BROADCAST_ROWS:
+        blocks = min(BROADCAST_ROWS, -(-n * url_filter.BITS // (64 * url_filter.WORDS)))
+        passing = F.broadcast(url_filter.bloom(keys.withColumnRenamed("key", "__url"), blocks))
+        keyed = url_filter._possible(keyed, passing, blocks, "key").where("__possible is not null")
+    return keyed.join(small(keys, n), "key", "left_semi").select("doc_id", "text")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, sig (class of equal sets, 0 if empty), component_id: one row per row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     texts, classes, rest = _meeting(docs, total, words, percent, counted_share(percent))
 
-    def having(rows: DataFrame, n: int) -> DataFrame:
-        """The documents of the classes in rows."""
-        keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit(_NO_ID)))
-        return keyed.join(small(rows.select("key"), n), "key", "left_semi").select("doc_id", "text")
-
     # partners are among the rest, so the whole order is counted among the rest only
-    n_rest = rest.count()
+    wanted, n_rest = docs, rest.count()
     if n_rest:
+        wanted = materialise(_having(docs, rest, n_rest), "join-docs")
         size = int(total * min(1.0, n_rest / max(1, classes.count())))
-        again = _meeting(having(rest, n_rest), size, words, percent, 1.0)[2].join(small(rest.select("sig"), n_rest), "sig", "left_semi")
+        again = _meeting(wanted, size, words, percent, 1.0)[2].join(small(rest.select("sig"), n_rest), "sig", "left_semi")
         rest = materialise(again, "join-rest")
         n_rest = rest.count()
-    wanted = having(rest, n_rest)
-    whole = wanted.mapInArrow(lambda b: _whole(b, words, percent), "doc_id long, sig long, n int, sketch array<long>, prefix array<long>, parts array<array<long>>")
-    whole = materialise(whole, "join-sets").drop("doc_id")
-    whole = whole.join(small(rest.select("sig", "own"), n_rest), "sig")
-    parts = whole.select("sig", "n", F.posexplode("parts").alias("frag", "grams")).where(F.size("grams") > 0)
-    posts = materialise(whole.select("sig", "n", "own", F.explode("prefix").alias("h")), "join-posts")
+    wanted = _having(wanted, rest, n_rest)
+    whole = wanted.mapInArrow(lambda b: _whole(b, words), "sig long, n int, sketch array<long>, parts array<array<long>>")
+    whole = materialise(whole.join(small(rest.select("sig", "own"), n_rest), "sig"), "join-sets")
+    posts = _posts(whole, percent)
 
     heads = posts.groupBy("h").agg(F.min(F.struct("own", "sig", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     stars = posts.join(heads, "h").where((F.col("sig") != F.col("head.sig")) & _long_enough(F.col("n"), F.col("head.n"), percent))
     pairs = materialise(stars.select(F.least("sig", "head.sig").alias("a"), F.greatest("sig", "head.sig").alias("b")).distinct(), "join-pairs")
-    links = materialise(verify(pairs, parts, percent), "join-links")
+    links = materialise(verify(pairs, whole, percent), "join-links")
     found = components(links)
 
-    found = _cross(posts.join(whole.select("sig", "sketch"), "sig"), parts, pairs, found, percent)
+    found = _cross(posts.select("h", "sig", "n", "place"), whole, pairs, found, percent)
 
     roots = classes.join(found, F.col("sig") == F.col("node"), "left").select("sig", "rep", "copies", F.coalesce("root", "sig").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = roots.where("linked").groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -374,10 +452,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _candidates(joined: DataFrame, x: str, y: str, percent: int) -> DataFrame:
-    """Of pairs with n, comp and sketch on both sides (names begin with x and y) those that may link."""
+    """Of pairs with n, comp, place and sketch on both sides (names begin with x and y) those that may link, if this is the first n-gram of both that they share."""
     apart = sum((F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(SKETCH)), F.lit(0))
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    may = joined.where((F.col(f"{x}.comp") != F.col(f"{y}.comp")) & _long_enough(n, m, percent) & (apart * (100 + percent) <= (n + m) * (100 - percent)))
+    left = F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place")) + 1  # they share no more
+    may = joined.where((F.col(f"{x}.comp") != F.col(f"{y}.comp")) & _long_enough(n, m, percent) & (left * (100 + percent) >= (n + m) * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent)))
     return may.select(F.least(f"{x}.sig", f"{y}.sig").alias("a"), F.greatest(f"{x}.sig", f"{y}.sig").alias("b")).distinct()
 
 
@@ -392,12 +471,11 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(old.unionByName(new), "join-found")
 
 
-def _cross(posts: DataFrame, parts: DataFrame, pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The components after the links between those that meet in posting lists, beyond the pairs already verified. posts: h, sig, n, sketch."""
-    done = None  # members that have met all others of a list
+def _cross(posts: DataFrame, whole: DataFrame, pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The components after the links between those that meet in posting lists, beyond the pairs already verified. posts: h, sig, n, place. whole: sig, n, sketch, parts."""
+    sketches = whole.select("sig", "sketch").dropDuplicates(["sig"])
     while True:
-        placed = posts if done is None else posts.join(done, ["h", "sig"], "left_anti")
-        placed = placed.join(small(found.select(F.col("node").alias("sig"), "root")), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
+        placed = posts.join(small(found.select(F.col("node").alias("sig"), "root")), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
         mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
         open_ = materialise(placed.join(mixed, "h", "left_semi").distinct(), "join-open")
         sizes = materialise(open_.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("size")), "join-sizes")
@@ -408,22 +486,22 @@ def _cross(posts: DataFrame, parts: DataFrame, pairs: DataFrame, found: DataFram
         if left is None:
             return found
         order = Window.partitionBy("h").orderBy("size", "comp", "sig")  # limited in each task before the exchange
-        turn = open_.join(sizes, ["h", "comp"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, TURN))
-        turn = turn.join(lists, "h").where((F.col("place") <= bound) & (F.col("place") <= F.col("all") - F.col("most")))
-        turn = materialise(turn.select("h", "sig", "n", "comp", "sketch", "deals"), "join-turn")
+        turn = open_.join(sizes, ["h", "comp"]).withColumn("place_", F.row_number().over(order)).where(F.col("place_") <= max(1, TURN))
+        turn = turn.join(lists, "h").where((F.col("place_") <= bound) & (F.col("place_") <= F.col("all") - F.col("most")))
+        turn = materialise(turn.select("h", "sig", "n", "place", "comp", "deals").join(sketches, "sig"), "join-turn")
         # a long list is dealt out, and those whose turn it is come to each of its deals
-        dealt = join_hot(open_, lists.select("h", "deals"), "h", F.col("sig")).withColumn("deal", F.pmod(F.xxhash64("sig"), F.col("deals")).cast("int"))
-        others = turn.select("h", F.struct("sig", "n", "comp", "sketch").alias("y"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
-        met = dealt.select("h", "deal", F.struct("sig", "n", "comp", "sketch").alias("x")).join(others, ["h", "deal"])
+        dealt = open_.join(small(lists.where("deals > 1").select("h", "deals")), "h", "left").join(sketches, "sig").withColumn("deal", F.pmod(F.xxhash64("sig"), F.coalesce("deals", F.lit(1))).cast("int"))
+        others = turn.select("h", F.struct("sig", "n", "place", "comp", "sketch").alias("y"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+        met = dealt.select("h", "deal", F.struct("sig", "n", "place", "comp", "sketch").alias("x")).join(others, ["h", "deal"])
         crossing = _candidates(met, "x", "y", percent)
         crossing = materialise(crossing.join(pairs, ["a", "b"], "left_anti"), "join-crossing")
-        more = materialise(verify(crossing, parts, percent), "join-links")
+        more = materialise(verify(crossing, whole, percent), "join-links")
         if not more.isEmpty():
             found = _joined(found, more)
         if left <= 0:
             return found
-        now = turn.select("h", "sig")
-        done = materialise(now if done is None else done.unionByName(now), "join-done")
+        # members that have met all others leave; a list of one component stays one
+        posts = open_.drop("comp").join(turn.select("h", "sig"), ["h", "sig"], "left_anti")
         pairs = materialise(pairs.unionByName(crossing), "join-pairs")
 
 

@@ -128,6 +128,70 @@ def test_join_round_by_round(spark, tmp_path, monkeypatch, turn):
     assert got == sorted(brute_join(rows)) and len({c for *_, c in got}) < len(rows)
 
 
+def passages(seed):
+    """Families of near copies, each with one of a few passages that many families have."""
+    r = random.Random(seed)
+    common, rows = [[f"p{k}_{j}" for j in range(40)] for k in range(3)], []
+    for f in range(40):
+        words = common[f % 3] + [f"{f}_{j}" for j in range(3)]
+        for _ in range(r.randrange(1, 4)):
+            rows.append((len(rows), " ".join(w if r.random() > 0.01 else f"z{r.randrange(10**6)}" for w in words)))
+    return rows
+
+
+def test_join_meets_in_rare_ngrams(spark, tmp_path, monkeypatch):
+    """N-grams of passages that many sets have come last: few of them are posted, and lists are gone through in few rounds."""
+    for name, value in (("EASY", 0), ("LIST_PAIRS", 0), ("TURN", 1), ("OFTEN", 5)):
+        monkeypatch.setattr(ngram_join, name, value, raising=False)
+    tags, plain = [], ngram_join.materialise
+
+    def noted(df, tag):
+        out = plain(df, tag)
+        tags.append((tag, out.groupBy("h").count().agg(F.max("count")).first()[0] if tag == "join-posts" else None))
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", noted)
+    rows = [(k, " ".join([f"p{j}" for j in range(40)] + [f"{k // 2}_{j}" for j in range(7 + k % 2)])) for k in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(collect(queries.QUERIES["op5_ngram_jaccard_join"](spark, str(tmp_path))))
+    assert got == sorted(brute_join(rows))
+    assert dict(tags)["join-posts"] <= 4 and sum(t == "join-turn" for t, _ in tags) <= 2
+
+
+@pytest.mark.parametrize(("frequent", "often"), [(0, 1), (5, 1), (1000, 2)])
+def test_join_whatever_counts_as_frequent(spark, tmp_path, monkeypatch, frequent, often):
+    """The order of the n-grams decides what is posted, never what is linked."""
+    for name, value in (("FREQUENT", frequent), ("OFTEN", often), ("COUNTED", 200), ("TURN", 4)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = passages(frequent)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(collect(queries.QUERIES["op5_ngram_jaccard_join"](spark, str(tmp_path))))
+    assert got == sorted(brute_join(rows)) and len({c for *_, c in got}) < len(rows)
+
+
+def test_join_moves_few_texts_where_keys_are_many(spark, tmp_path, monkeypatch):
+    """Beyond the bound of broadcasts a filter of the keys is broadcast, and texts that cannot have a partner stay where they are."""
+    from millrace.llm import common
+
+    for module in (common, ngram_join):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 8, raising=False)
+    alone = [(1000 + k, " ".join(f"u{k}_{j}" for j in range(400))) for k in range(600)]
+    rows = passages(1) + alone
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    joined, kind = [], type(spark.range(0))
+    plain = kind.join
+
+    def noted(self, other, on=None, how=None):
+        if how == "left_semi" and on == "key":
+            joined.append(self.count())
+        return plain(self, other, on, how)
+
+    monkeypatch.setattr(kind, "join", noted)
+    got = sorted(collect(queries.QUERIES["op5_ngram_jaccard_join"](spark, str(tmp_path))))
+    assert got == sorted(brute_join(rows))
+    assert joined and max(joined) < 200
+
+
 def test_counts_of_blocks_and_fragments_bound_what_is_shared():
     """However texts are dealt over blocks, the sum per class is at least the number of its n-grams that other classes have."""
     r = random.Random(16)
